@@ -263,5 +263,5 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int =
                 offset[rows] = place[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.array(sequence), pa.array(offset)], names=names)
 
-    ranked = numbered.join(base.drop("n"), ["task", "length"]).select(*names[:5], (F.col("base") + F.col("local_rank")).alias("rank"))
+    ranked = numbered.join(base.drop("n").hint("merge"), ["task", "length"]).select(*names[:5], (F.col("base") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(run, schema)
