@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import langid, packing, probminhash, warc, wumanber
+from coppice.llm import langid, packing, probminhash, toxicity, warc, wumanber
 from coppice.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op9_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
