@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import langid, packing, probminhash, toxicity, warc, wumanber
+from coppice.llm import langid, multi_index, packing, probminhash, toxicity, warc, wumanber
 from coppice.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = wumanber.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
