@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import langid, multi_index, packing, probminhash, toxicity, warc, wumanber
+from coppice.llm import langid, licences, multi_index, packing, probminhash, toxicity, warc, wumanber
 from coppice.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text_digest", "licence", "notices", "n_notice_lines")
+
+
 def op9_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licence_digests": licences.sql()}
