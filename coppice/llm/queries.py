@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import langid, licences, multi_index, packing, probminhash, toxicity, warc, wumanber
+from coppice.llm import brown, langid, licences, multi_index, packing, probminhash, toxicity, warc, wumanber
 from coppice.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
