@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import brown, langid, licences, multi_index, packing, probminhash, toxicity, warc, wumanber
+from coppice.llm import brown, langid, licences, multi_index, packing, probminhash, toxicity, warc, wrappers, wumanber
 from coppice.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.linked(table(spark, sf_dir, "embeddings"))
 
