@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from coppice.llm.common import written
 
 #: Words kept per worker; once full, it stays as it is, as frequent words come early.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class Encoder:
@@ -43,11 +43,8 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
-        self.word = None
+        self.vocabulary, self.whole, self.word = vocabulary, None, None
         if ranks:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -77,6 +74,11 @@ class Encoder:
         return array("I", self.word.encode_ordinary(first)).tobytes() + b"".join(got)
 
     def slow(self, text: str) -> bytes:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.vocabulary)
+            self.whole.encode_special_tokens = True
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
