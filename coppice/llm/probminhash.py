@@ -7,18 +7,17 @@ similarity of the sets. An element whose next arrival lies beyond the latest reg
 and ends early; all elements of a batch of texts advance together, so the work is numpy's.
 
 Candidates. Equal texts are collapsed to their smallest id first. Registers are banded; texts that share a band's key
-meet in a bucket. Buckets of equal members are compared once. Within a bucket, texts are taken in turn as pivots: the
-pivot is compared with all members by registers, those estimated far below the threshold are passed over, the others
-become candidates, and those estimated safely above it need not be pivots themselves. So a bucket of thousands of
-near copies gives a few links for each text rather than all pairs. Large buckets are dealt over blocks, whose pivots
-then meet. Every candidate is verified by the exact Jaccard similarity of the shingle sets.
+meet in a bucket. Buckets of equal members are compared once. Within a bucket each text is held against those that
+are not joined with it yet, first by registers, then by the exact Jaccard similarity of the shingle sets; a link joins
+two groups. So a bucket of thousands of near copies gives a link for each text rather than all pairs. Large buckets
+are dealt over blocks at random, anew in each band; blocks then meet only if links elsewhere have not joined them.
 
 Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from coppice.llm.common import appended, words, written
 from coppice.llm.graph import components
 
 BANDS, ROWS = 24, 5
-BLOCK = 4096
+BLOCK = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,29 +133,35 @@ def _sketcher(k: int, bands: int, rows: int):
     return make
 
 
-def bucket_candidates(registers: np.ndarray, low: float, high: float) -> tuple[list[tuple[int, np.ndarray]], list[int]]:
-    """Pivots with the members that may be similar to each, and all pivots, of one bucket."""
-    n = len(registers)
-    open_, was = np.ones(n, bool), np.zeros(n, bool)
-    found, pivots = [], []
-    at = 0
-    while at < n:
-        if not open_[at]:
-            at += 1
-            continue
-        est = (registers == registers[at]).mean(1)
-        open_[at] = False
-        was[at] = True
-        pivots.append(at)
-        near = np.flatnonzero((est >= low) & ~was)
-        if len(near):
-            found.append((at, near))
-            open_[near[est[near] >= high]] = False
-    return found, pivots
-
-
-def _compare(rows: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
-    """(a, b) candidates and (a, bucket) pivots of buckets that were dealt over blocks, from bucket, id, registers, blocks."""
+def bucket_links(registers: np.ndarray, sets: Callable[[int], np.ndarray], group: np.ndarray, low: float, threshold: float) -> list[tuple[int, int, float]]:
+    """A spanning forest of the links of one bucket: members of one ``group`` count as joined already.
+
+    Each member in turn is held against those not yet joined with it: by registers, then by the exact similarity of
+    the sets, nearest first. Every link between members that are not joined otherwise is found.
+    """
+    group, found = group.copy(), []
+    for p in range(len(group)):
+        if (group == group[0]).all():
+            break
+        apart = np.flatnonzero(group[p + 1 :] != group[p]) + p + 1
+        est = (registers[apart] == registers[p]).mean(1)
+        order = np.argsort(-est, kind="stable")
+        for x in apart[order[: int((est >= low).sum())]]:
+            if group[x] == group[p]:
+                continue
+            one, two = sets(p), sets(int(x))
+            if min(len(one), len(two)) < threshold * max(len(one), len(two)):
+                continue
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            similarity = both / (len(one) + len(two) - both) if both else 0.0
+            if similarity >= threshold:
+                found.append((p, int(x), similarity))
+                group[group == group[x]] = group[p]
+    return found
+
+
+def _compare(rows: DataFrame, keys: list[str], k: int, low: float, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the links of each group of rows (keys, id, registers, text, group) that join its members."""
     id_type = rows.schema["id"].dataType
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -181,72 +186,39 @@ def _compare(rows: DataFrame, keys: list[str], low: float, high: float) -> DataF
             yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, bucket, size = [], [], [], 0
-        schema = None
         for g in groups(batches):
-            schema = schema or pa.schema([("a", g.schema.field("id").type), ("b", g.schema.field("id").type), ("bucket", pa.int64())])
-            if g.num_rows < 2 and g.column("blocks")[0].as_py() == 1:
+            if g.num_rows < 2:
                 continue
             registers = np.stack([np.frombuffer(x, "<u2") for x in g.column("registers").to_pylist()])
-            ids = g.column("id").combine_chunks()
-            found, pivots = bucket_candidates(registers, low, high)
-            for p, near in found:
-                a.append(ids.take(pa.array(np.full(len(near), p))))
-                b.append(ids.take(pa.array(near)))
-                bucket.append(pa.nulls(len(near), pa.int64()))
-                size += len(near)
-            if g.column("blocks")[0].as_py() > 1:
-                a.append(ids.take(pa.array(pivots)))
-                b.append(pa.nulls(len(pivots), ids.type))
-                bucket.append(pa.array([g.column("bucket")[0].as_py()] * len(pivots), pa.int64()))
-                size += len(pivots)
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (a, b, bucket)], schema=schema)
-                a, b, bucket, size = [], [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (a, b, bucket)], schema=schema)
-
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return dealt.mapInArrow(run, f"a {id_type.simpleString()}, b {id_type.simpleString()}, bucket long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    def make():
-        last: dict = {}
-
-        def shingles(t: str) -> np.ndarray:
-            if t not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[t] = np.unique(shingle_hashes([words(t)], k)[1])
-            return last[t]
-
-        def run(ta: list, tb: list) -> list:
-            out = []
-            for x, y in zip(ta, tb, strict=True):
-                p, q = shingles(x or ""), shingles(y or "")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both) if both else 0.0)
-            return [out]
+            ids, texts = g.column("id").combine_chunks(), g.column("text")
+            made: dict[int, np.ndarray] = {}
 
-        return run
+            def sets(i: int) -> np.ndarray:
+                if i not in made:
+                    made[i] = np.unique(shingle_hashes([words(texts[i].as_py())], k)[1])  # noqa: B023
+                return made[i]  # noqa: B023
+
+            _, group = np.unique(np.array(g.column("group").to_pylist(), object).astype(str), return_inverse=True)
+            found = bucket_links(registers, sets, group, low, threshold)
+            if found:
+                a, b, similarity = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
 
-    left = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    scored = appended(both, ["ta", "tb"], "similarity double", make, rows=200)
-    return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    dealt = rows.select(*keys, "id", "registers", "text", "group").repartition(*keys).sortWithinPartitions(*keys, "id")
+    name = id_type.simpleString()
+    return dealt.mapInArrow(run, f"a {name}, b {name}, similarity double")
 
 
 def links(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) between representatives, and membership (doc_id, representative).
+    """Links (a, b, similarity) that join all similar texts, and membership (doc_id, representative).
 
     ``docs`` has doc_id and text. A text that is null or empty is its own class; a text without words links with its
-    exact copies only; rows without an id are in no class. The candidate rule passes over texts estimated
-    six standard deviations below the threshold.
+    exact copies only; rows without an id are in no class. Between texts that no other link joins, no link of a
+    shared bucket is left out; the register test passes over texts estimated six standard deviations below the
+    threshold only.
     """
     m = bands * rows
-    spread = (threshold * (1 - threshold) / m) ** 0.5
-    low, high = threshold - 6 * spread, min(1.0, threshold + spread)
+    low = threshold - 6 * (threshold * (1 - threshold) / m) ** 0.5
     source = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     sketched = written(appended(source, ["text"], "digest binary, registers binary, keys array<long>", _sketcher(k, bands, rows), rows=2000).drop("text"), "sketches")
 
@@ -264,12 +236,28 @@ def links(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BAND
     met = spots.join(distinct, ["band", "key"]).select(
         "id", F.xxhash64("band", "key").alias("bucket"), F.ceil(F.col("n") / block).cast("int").alias("blocks")
     ).withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
+    met = written(met, "buckets")
     registers = texts.select("id", "registers")
-    compared = written(_compare(met.join(registers, "id"), ["bucket", "block"], low, high), "candidates")
-    pivots = compared.where("bucket is not null").select(F.col("a").alias("id"), "bucket", F.lit(1).alias("blocks"))
-    again = _compare(pivots.join(registers, "id"), ["bucket"], low, high)
-    pairs = compared.unionByName(again).where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return written(_verified(pairs, source, k, threshold), "links"), members
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.join(registers, "id").join(source, "id")
+
+    found = written(_compare(whole(met.withColumn("group", F.col("id"))), ["bucket", "block"], k, low, threshold), "links")
+    dealt = met.where("blocks > 1")
+    if dealt.isEmpty():
+        return found, members
+    # Blocks of one bucket meet only where their members are not joined by now; block pairs, so every pair once.
+    joined = components(found).withColumnRenamed("component", "group")
+    grouped = written(dealt.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+    open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = grouped.join(open_, "bucket").withColumn("other", F.explode(other)).where("other <> block").select(
+        "id", "group", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+    )
+    if pairs.isEmpty():
+        return found, members
+    again = written(_compare(whole(pairs), ["bucket", "one", "two"], k, low, threshold), "links")
+    return found.unionByName(again), members
 
 
 def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
