@@ -59,13 +59,15 @@ def digits(c: Column, places: Sequence[int]) -> list[Column]:
     return [(F.floor(c / F.lit(10.0**p)) % 10).cast("int") for p in places]
 
 
-def quantile_edges(df: DataFrame, features: Sequence[str], bins: int, decimals: int = 6) -> DataFrame:
+def quantile_edges(df: DataFrame, features: Sequence[str], bins: int, decimals: int = 6, exact: bool = True) -> DataFrame:
     """feature, edges: distinct interpolated quantiles strictly inside the range, rounded; of two values the midpoint.
 
-    Exact percentiles are counted by value, so they are combined before they are shuffled.
+    Exact percentiles hold a count for each distinct value; ``exact`` false takes sketches of bounded size instead, for
+    columns of very many values.
     """
+    quantiles = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
     ps = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    aggs = [F.struct(F.lit(f).alias("feature"), F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi"), F.count_distinct(F.col(f)).alias("n"), F.percentile(F.col(f).cast("double"), ps).alias("q")) for f in features]
+    aggs = [F.struct(F.lit(f).alias("feature"), F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi"), F.count_distinct(F.col(f)).alias("n"), quantiles(F.col(f).cast("double"), ps).alias("q")) for f in features]
     rows = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     inside = F.array_sort(F.array_distinct(F.filter(F.transform("q", lambda x: F.round(x, decimals)), lambda x: (x > F.col("lo")) & (x < F.col("hi")))))
     return rows.select("feature", F.when(F.col("n") == 2, F.array((F.col("lo") + F.col("hi")) / 2)).otherwise(inside).alias("edges"))
