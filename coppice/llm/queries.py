@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import brown, langid, licences, multi_index, packing, probminhash, toxicity, warc, wrappers, wumanber
+from coppice.llm import brown, langid, licences, multi_index, oracles, packing, probminhash, toxicity, warc, wrappers, wumanber
 from coppice.llm.common import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licence_digests": licences.sql()}
+    return oracles.oracle_sql()
