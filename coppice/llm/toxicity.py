@@ -56,7 +56,7 @@ def cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         kind.append(np.full(len(h), n))
     flat, owner_ = np.concatenate(rows), np.concatenate(owner)
     order = np.lexsort((np.concatenate(kind), owner_))
-    return flat[order], np.bincount(owner_, minlength=len(words))
+    return flat[order].astype(np.int32), np.bincount(owner_, minlength=len(words))
 
 
 def summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -171,7 +171,7 @@ class Words:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.flat, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)  # number 0, the padding, has cell 0
+        self.flat, self.size = np.zeros(1, np.int32), np.ones(1, np.int64)  # number 0, the padding, has cell 0
 
     def __len__(self) -> int:
         return len(self.number) + 1
@@ -188,16 +188,25 @@ class Words:
                         if k > len(self.size) + len(new) - 1 + self.dropped:
                             new.append(t[i])
         if new:
-            flat, size = cells(new)
-            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        return [np.array(x, np.int64) for x in out]
+            made = [cells(new[i : i + 10_000]) for i in range(0, len(new), 10_000)]
+            self.flat = np.concatenate([self.flat, *(f for f, _ in made)])
+            self.size = np.concatenate([self.size, *(n for _, n in made)])
+        return [np.array(x, np.int32) for x in out]
 
     dropped = 0
 
+    def first(self) -> np.ndarray:
+        """Where each word's cells start."""
+        if self.known is None or len(self.known) != len(self.size):
+            self.known = np.cumsum(self.size) - self.size
+        return self.known
+
+    known: np.ndarray | None = None
+
     def drop(self) -> None:
         """Forget the cells so far; the numbers stay."""
         self.dropped += len(self.size)
-        self.flat, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def vectors(self, table: np.ndarray, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors of words (of all with cells if not said): that of the word plus the mean of its n-grams'; with them
@@ -206,7 +215,7 @@ class Words:
             flat, size = self.flat, self.size
         else:
             size = self.size[which]
-            first = (np.cumsum(self.size) - self.size)[which]
+            first = self.first()[which]
             flat = self.flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         start = np.cumsum(size) - size
         share = np.repeat(1 / np.maximum(1, size - 1), size).astype(np.float32)
@@ -223,7 +232,7 @@ def _windows(docs: list[np.ndarray], window: int, stride: int) -> tuple[np.ndarr
     """Word numbers (0: none) of all windows (windows, time) and the document of each."""
     at = [starts(len(d), window, stride) for d in docs]
     owner = np.repeat(np.arange(len(docs)), [len(a) for a in at])
-    out = np.zeros((len(owner), window), np.int64)
+    out = np.zeros((len(owner), window), np.int32)
     k = 0
     for d, a in zip(docs, at, strict=True):
         for s in a:
@@ -234,13 +243,15 @@ def _windows(docs: list[np.ndarray], window: int, stride: int) -> tuple[np.ndarr
 
 
 def train(
-    texts: list[str | None], labels: list[int], dim: int = 12, hidden: int = 8, rounds: int = 2, epochs: int = 3, batch: int = 256,
-    window: int = 32, stride: int = 24, rate: float = 0.01, seed: int = 7, max_words: int = 2000,
+    texts: list[str | None], labels: list[int], dim: int = 12, hidden: int = 8, rounds: int = 2, epochs: int = 3, batch: int | None = None,
+    window: int = 32, stride: int = 24, rate: float = 0.01, seed: int = 7, max_words: int = 2000, least_steps: int = 200,
 ) -> Network:
-    """Fits the network to labelled texts (at most ``max_words`` words of each; scoring has no such bound)."""
+    """Fits the network to labelled texts (at most ``max_words`` words of each; scoring has no such bound). Small samples
+    are gone through more often, ``least_steps`` steps a round at least, and in smaller batches."""
+    batch = batch or (256 if len(texts) >= 2000 else 64)
     rng = np.random.default_rng(seed)
     words = Words()
-    docs = words.ids([tokens(t)[:max_words] for t in texts])
+    docs = [d for i in range(0, len(texts), 200) for d in words.ids([tokens(t)[:max_words] for t in texts[i : i + 200]])]
     y = np.array(labels, np.float32)
     p = fresh(dim, hidden, rng)
     net = Network(p, window, stride)
@@ -262,7 +273,7 @@ def train(
         chosen = np.concatenate([top[y == 1], negative])
         target = y[owner[chosen]]
         weight = np.where(target == 1, min(4.0, 0.25 * len(negative) / max(1, int(target.sum()))), 1).astype(np.float32)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps * batch // len(chosen)))):
             order = rng.permutation(len(chosen))
             for i in range(0, len(order), batch):
                 b = order[i : i + batch]
@@ -303,7 +314,7 @@ def _log_odds(words: Words, docs: list[np.ndarray], y: np.ndarray) -> np.ndarray
             seen[int(label), np.unique(words.flat[at])] += 1
     pos, neg = max(1, y.sum()), max(1, (1 - y).sum())
     odds = (np.log((seen[1] + 0.5) / (pos + 1)) - np.log((seen[0] + 0.5) / (neg + 1))) * np.minimum(1, seen[1] / 5)
-    best = np.maximum.reduceat(odds[words.flat], first)
+    best = np.maximum.reduceat(odds.astype(np.float32)[words.flat], first)
     best[0] = 0
     return best
 
@@ -334,14 +345,18 @@ def _learn(p, m, v, step, words, win, y, weight, rate) -> None:  # noqa: ANN001
     p["table"][rows] -= rate * 3 * gt / (np.sqrt(v["table"][rows]) + 1e-8)
 
 
-def _score(p: dict, words: Words, win: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    vec = words.vectors(p["table"])[0]
-    vec[0] = 0
-    proj = [(vec @ p[f"W{d}"] + p[f"b{d}"]).astype(np.float32) for d in (0, 1)]
+def _score(p: dict, words: Words, win: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    proj = [np.empty((len(words), p["U0"].shape[1]), np.float32) for _ in (0, 1)]
+    for i in range(0, len(words), 10_000):
+        vec = words.vectors(p["table"], np.arange(i, min(i + 10_000, len(words))))[0]
+        for d in (0, 1):
+            proj[d][i : i + 10_000] = vec @ p[f"W{d}"] + p[f"b{d}"]
+    for d in (0, 1):
+        proj[d][0] = p[f"b{d}"]
     out = np.empty(len(win), np.float32)
     for i in range(0, len(win), chunk):
         w = win[i : i + chunk].T
-        out[i : i + chunk] = forward(p, (proj[0][w], proj[1][w]), w > 0)[0]
+        out[i : i + chunk] = forward(p, tuple((lambda t, x=x: x[w[t]]) for x in proj), w > 0)[0]  # noqa: B023
     return out
 
 
@@ -386,7 +401,7 @@ class Scorer:
         return sigmoid(best.astype(float) + net.bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 4000, **options) -> Network:  # noqa: ANN003
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, **options) -> Network:  # noqa: ANN003
     """Trains on labelled rows: doc_id, text of docs joined with doc_id, toxic of labels.
 
     The sample is bounded: of either label all rows, or, if there are more, the ``max_toxic`` and ``max_clean`` of the
