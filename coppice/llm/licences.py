@@ -56,6 +56,7 @@ EQUIVALENT = (
     ("recognise", "recognize"),
     ("signalling", "signaling"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("while", "whilst"),
     ("wilful", "willful"),

@@ -191,7 +191,7 @@ def _loaded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return t.column("id").to_numpy(), t.column("m").to_numpy(), unit(values), t.column("own").to_numpy()
 
 
-def linked(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, sample: int = 20_000, per_cell: int = 16, most_centroids: int = 1024) -> DataFrame:
+def linked(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, sample: int = 20_000, per_cell: int = 16, most_centroids: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vec_id (whole number), embedding (array of numbers).
 
     Rows whose vector is null, empty, zero, of another length than most of the sample, or holds null or non-finite
@@ -283,6 +283,6 @@ def recall_against_brute_force(vectors: DataFrame, threshold: float = 0.95, ever
             hit = ((u @ unit(values).T >= threshold) & (ids[:, None] != other[None])).sum(1) if len(rows) else np.zeros(len(ids), int)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.astype(np.int64))], names=["vec_id", "n"])
 
-    true = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(count, "vec_id long, n long").agg(F.sum("n")).first()[0] or 0
+    true = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(count, "vec_id long, n long").agg(F.sum("n")).first()[0] or 0
     found = got.agg(F.sum("n_links")).first()[0] or 0
     return found / true if true else 1.0
