@@ -27,6 +27,7 @@ class Settings:
     allow_small: bool = False  # else regularisation is at least one row's share
     min_rows: int = 1
     rule_list: bool = False
+    proposals: int | None = None  # splits tried at a node: those of the most gain; then the best tree over proposals
     seconds: float = 60.0
     max_patterns: int = 50_000
 
@@ -128,7 +129,7 @@ class Search:
             best = min(best, self.greedy(rows, frontier)[0])
         elif depth > 0 and least + 2 * self.reg < best - EPS and not self.timed_out:
             gain = self.gains(rows)
-            for f in np.argsort(-gain, kind="stable"):
+            for f in np.argsort(-gain, kind="stable")[: self.s.proposals]:
                 if gain[f] == -np.inf:
                     break
                 a, b = self.halves(rows, int(f))

@@ -168,6 +168,13 @@ def _replaced(tree: Tree, path: str, new: Tree) -> Tree:
     return Split(tree.feature, tree.branches, children, tree.prediction, tree.loss, tree.counts)
 
 
+def with_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], sizes: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """Adds a column ``a_x_b`` for each pair of binned features: the number of their joint cell. As a feature of a shape
+    tree it branches on both at once; a histogram holds sizes[a] * sizes[b] cells."""
+    joint = {f"{a}_x_{b}": (F.col(a) * sizes[b] + F.col(b)).cast("int") for a, b in pairs}
+    return df.withColumns(joint), list(joint)
+
+
 def alternate(df: DataFrame, tree: Tree, features: Sequence[str], y: str, settings: Settings, rounds: int = 1) -> Tree:
     """Alternating optimisation, bottom up: each split is refitted on the rows that only one of its branches gets right,
     and kept if that lowers the training errors. A job a node and round."""

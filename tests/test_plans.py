@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import softmax
 from coppice.operators import binning, evaluate, prep
-from coppice.plans import exact, levelwise, multiway, rashomon, selection, trees
+from coppice.plans import exact, imbalance, levelwise, multiway, rashomon, selection, trees
 from coppice.sources import tables
 
 BITS = ["a", "b", "c"]
@@ -264,3 +264,49 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM hist").first()[0] == 30
+
+
+@pytest.mark.parametrize("objective", ["acc", "bacc", "f1"])
+def test_imbalance_equals_brute_force(spark, objective):
+    r = random.Random(11)
+    x = [[r.randint(0, 1) for _ in range(3)] for _ in range(30)]
+    y = [int(a and b or r.random() < 0.1) for a, b, _ in x]
+    cases = exact.collapse(frame(spark, [(*a, b) for a, b in zip(x, y, strict=True)], [*BITS, "y"]), BITS, "y")
+    p, n = sum(y) / 30, 1 - sum(y) / 30
+
+    def confusions(rows, depth):
+        for label in (0, 1):
+            yield sum(label == 1 and y[i] == 0 for i in rows), sum(label == 0 and y[i] == 1 for i in rows), 1
+        if depth:
+            for f in range(3):
+                on, off = [i for i in rows if x[i][f]], [i for i in rows if not x[i][f]]
+                if on and off:
+                    for a, b in itertools.product(list(confusions(on, depth - 1)), list(confusions(off, depth - 1))):
+                        yield a[0] + b[0], a[1] + b[1], a[2] + b[2]
+
+    loss = imbalance.LOSSES[objective]
+    best = min(loss(fp / 30, fn / 30, p, n) + 0.01 * k for fp, fn, k in confusions(range(30), 2))
+    value, tree = imbalance.optimal(cases, exact.Settings(2, 0.01), objective)
+    assert value == pytest.approx(best)
+    got = [trees.predict_one(tree, dict(zip(BITS, row, strict=True))) for row in x]
+    fp, fn = sum(g > t for g, t in zip(got, y, strict=True)) / 30, sum(g < t for g, t in zip(got, y, strict=True)) / 30
+    assert loss(fp, fn, p, n) + 0.01 * trees.statistics(tree)["leaves"] == pytest.approx(best)
+
+
+def test_areas_and_proposals(spark):
+    assert imbalance.leaf_area([(3, 0), (1, 2), (0, 2)]) == pytest.approx(0.9375)
+    rows = [(a, b, int(a ^ b)) for a in (0, 1) for b in (0, 1)] * 3 + [(1, 0, 0)]
+    cases = exact.collapse(frame(spark, rows, ["a", "b", "y"]), ["a", "b"], "y")
+    models = rashomon.ModelSet(cases, exact.Settings(2, 0.08), adder=0.3)
+    value, tree = imbalance.best_area(models)
+    assert value <= 1 and trees.statistics(tree)["leaves"] >= 1
+    one, all_ = (exact.optimal(cases, exact.Settings(2, 0.08, proposals=k)).objective for k in (1, None))
+    assert all_ <= one + 1e-12
+
+
+def test_pair_features(spark):
+    df = frame(spark, [(a, b, int((a + b) % 2)) for a in range(4) for b in range(4)] * 2, ["a", "b", "y"])
+    wide, names = levelwise.with_pairs(df, [("a", "b")], {"a": 4, "b": 4})
+    tree = levelwise.grow(wide, ["a", "b", *names], "y", levelwise.Settings(1, "shape", 2))
+    assert tree.feature == "a_x_b"
+    assert trees.predict(wide.withColumnRenamed("a_x_b", "pair"), trees.Split("pair", tree.branches, tree.children, tree.prediction)).where("predicted <> y").count() == 0
