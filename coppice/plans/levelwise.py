@@ -116,6 +116,8 @@ def grow(df: DataFrame, features: Sequence[str], y: str, settings: Settings = Se
     open_ = {""}
     total = 0.0
     for level in range(s.depth + 1):
+        if level == s.depth and tree is not None:
+            break
         path = expression(tree, "path") if tree is not None else F.lit("")
         rows = df.select(*features, F.col(y).alias("_y")).withColumn("_path", path).where(F.col("_path").isin(sorted(open_)))
         long = long_form(rows, features, ["_path", "_y"], "_bin")
