@@ -1,9 +1,10 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification.
+"""Near-duplicate documents by ProbMinHash over word shingles, banding and verification.
 
 Sketch. A shingle of weight w is a Poisson process of rate w over m registers: its arrivals are exponential steps
 drawn from its hash, each falls on a random register, and a register keeps its earliest arrival. Two texts agree in a
 register with the probability Jaccard similarity of their weighted shingles, which for equal weights is the Jaccard
-similarity of the sets. An element whose next arrival lies beyond the latest register of its text can no longer win
+similarity of the sets. As that is what is verified, every distinct shingle has weight 1 here, however often it
+occurs. An element whose next arrival lies beyond the latest register of its text can no longer win
 and ends early; all elements of a batch of texts advance together, so the work is numpy's.
 
 Candidates. Equal texts are collapsed to their smallest id first. Registers are banded; texts that share a band's key
@@ -77,14 +78,12 @@ def shingle_hashes(split: list[list[bytes]], k: int) -> tuple[np.ndarray, np.nda
 
 
 def weighted(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, hash) with weight 1 + log2(times it occurs)."""
+    """Distinct (text, hash), each of weight 1: registers then agree as often as the verified similarity says."""
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(h)))
-    return text[first], h[first], 1 + np.log2(times)
+    return text[new], h[new], np.ones(int(new.sum()))
 
 
 def sketch(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, m: int) -> np.ndarray:

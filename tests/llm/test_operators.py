@@ -359,6 +359,16 @@ def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
     assert probminhash.classes(docs(spark, [])).count() == 0
 
 
+def test_lines_repeated_hundreds_of_times_link(spark):
+    rows = []
+    for i, (n, m, times) in enumerate([(200, 20, 200), (100, 12, 200), (200, 20, 1000)] * 6):
+        own, line = [f"p{i}w{j}" for j in range(n)], [f"p{i}l{j}" for j in range(m)]
+        rows += [(2 * i, " ".join(own + line * (times == 1000))), (2 * i + 1, " ".join(own + line * times))]
+    want = brute_classes(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(18))
+    assert {g["doc_id"]: g["class_id"] for g in probminhash.classes(docs(spark, rows)).collect()} == want
+
+
 def test_registers_estimate_probability_jaccard():
     r = random.Random(9)
     a = [f"w{r.randrange(10**6)}".encode() for _ in range(400)]
