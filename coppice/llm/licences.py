@@ -3,14 +3,16 @@
 Texts are brought to a canonical form: lower case, runs of anything but letters and digits one space, copyright lines
 dropped, equivalent spellings made one. The digest of the whole canonical text, and that of each of its lines, is
 looked up among the digests of known licences and licence notices. All of it is built-in functions over one scan; the
-known texts are constants of this module, so the side that is broadcast has a fixed size, and no row is shuffled.
+known texts are constants of this module and the digests of longer ones a data file beside it, so the side that is
+broadcast has a fixed size, and no row is shuffled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Equivalent spellings (left to right), words of the canonical form.
@@ -135,16 +137,33 @@ def _spelled(x: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.replace(c, F.lit(f" {p[0]} "), F.lit(f" {p[1]} ")), EQUIVALENT, padded))
 
 
+def digests_of(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    """Digest of the canonical text -> identifier."""
+    table = spark.createDataFrame(list(known), "licence string, text string")
+    return {r["d"]: r["licence"] for r in table.select("licence", F.md5(_spelled(F.array_join(_lines(F.col("text")), " "))).alias("d")).collect()}
+
+
+def full_texts() -> dict[str, str]:
+    """Digest -> identifier of the licences whose whole texts are too long for constants (licence_digests.tsv)."""
+    rows = Path(__file__).with_name("licence_digests.tsv").read_text().splitlines()
+    return {d: i for i, d, _ in (r.split("\t") for r in rows)}
+
+
+def forms(text: str) -> list[str]:
+    """A licence's text as it is distributed: all of it, and, if it has an appendix, what comes before that."""
+    end = text.find("END OF TERMS AND CONDITIONS")
+    return [text] if end < 0 else [text, text[:end], text[:end] + "END OF TERMS AND CONDITIONS"]
+
+
 def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """Adds text_digest, licence, notices, n_notice_lines to docs, replacing columns of these names.
 
     text_digest: MD5 of the canonical text; licence: that whose known text equals the whole text, else null; notices:
-    the known ones that a line equals, sorted and comma-joined ('' if none); n_notice_lines: how many lines do. Null
+    the known ones that a line equals (full texts included), sorted and comma-joined ('' if none); n_notice_lines: how many lines do. Null
     text is as the empty text, which is no licence; repeated rows are each reported.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(known), "licence string, text string")
-    digests = {r["d"]: r["licence"] for r in table.select("licence", F.md5(_spelled(F.array_join(_lines(F.col("text")), " "))).alias("d")).collect()}
+    digests = full_texts() | digests_of(spark, known)
     by_digest = F.create_map(*(F.lit(x) for pair in sorted(digests.items()) for x in pair))
     kept = docs.drop("text_digest", "licence", "notices", "n_notice_lines", "_lines", "_found")
     lines = kept.withColumn("_lines", _lines(F.coalesce(F.col("text"), F.lit(""))))

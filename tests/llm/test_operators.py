@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -305,6 +306,21 @@ def test_licences(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
+def test_whole_texts_of_long_licences(spark):
+    folder = Path("/usr/share/common-licenses")
+    known = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in known):
+        pytest.skip("no licence texts on this box")
+    texts = [((folder / f).read_text(), i) for f, i in known.items()]
+    rows = [(k, t) for k, (t, _) in enumerate(texts)]
+    rows += [(100, texts[0][0].upper().replace("\n", "\r\n")), (101, texts[0][0].split("END OF TERMS")[0]), (102, texts[1][0] + " more"), (103, texts[2][0][1000:])]
+    by = {r["doc_id"]: r["licence"] for r in licences.scan(docs(spark, rows)).collect()}
+    assert [by[k] for k in range(len(texts))] == [i for _, i in texts]
+    assert [by[k] for k in (100, 101, 102, 103)] == ["Apache-2.0", "Apache-2.0", None, None]
+    made = licences.digests_of(spark, tuple((i, x) for t, i in texts for x in licences.forms(t)))
+    assert made.items() <= licences.full_texts().items()
+
+
 # --- 9
 
 
