@@ -3,7 +3,8 @@
 A word enters as the sum of a word vector and of vectors of its character n-grams, so that unseen spellings share
 what their characters tell. A gated recurrent unit reads each window of words in both directions, attention weighs
 the states, and a logistic output scores the window. A document's score is that of its highest window; windows of
-``window`` words start every ``stride`` words and cover the whole text, whatever its length.
+``window`` words start every ``stride`` words and cover the whole text, whatever its length. A run of word characters
+longer than LONGEST (slugs, unspaced scripts) is read as overlapping pieces, each a word.
 
 Training is on the driver, on a bounded sample of labelled rows. Labels are of documents: of a toxic document only
 the window that scores highest is a positive example, chosen anew in each round (in the first by the log odds of its
@@ -26,18 +27,22 @@ from coppice.llm.common import appended, remainder
 
 _WORD = re.compile(r"\w+")
 WORD_CELLS, GRAM_CELLS, GRAMS = 1 << 13, 1 << 15, (3, 4, 5)
+LONGEST, PIECE_STRIDE = 40, 30
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[s : s + LONGEST] for w in found for s in starts(len(w), LONGEST, PIECE_STRIDE)]
 
 
 def cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of words, one after another, and how many each has: itself, then its character n-grams (of its
-    UTF-8, edges marked, the first 40 characters), all hashed at once."""
+    UTF-8, edges marked), all hashed at once."""
     from xxhash import xxh32_intdigest
 
-    raw = [b"<" + w[:40].encode("utf-8", "replace") + b">" for w in words]
+    raw = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     size = np.array([len(r) for r in raw], np.int64)
     text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     end = np.repeat(np.cumsum(size), size)

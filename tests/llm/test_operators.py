@@ -474,6 +474,16 @@ def test_gradients_match_differences():
     assert dx[1][2, 1, 4] == pytest.approx((up - loss()) / 2e-3, rel=0.05, abs=2e-4)
 
 
+def test_long_runs_of_word_characters_are_read_whole():
+    for n in (1, 40, 41, 70, 71, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.tokens(f"a {run} b")
+        assert max(map(len, pieces)) <= 40 and set("".join(pieces)) == {"a", *run, "b"}
+    score = toxicity.Scorer(toxicity.Network(toxicity.fresh(12, 8, np.random.default_rng(1))))
+    for start in ("slug_" * 20, "中" * 500):
+        assert len({float(x) for x in score([start + "gronk", start + "vleri"])}) == 2
+
+
 def test_every_word_is_in_a_window():
     for n in range(200):
         seen = {i for s in toxicity.starts(n, 32, 24) for i in range(s, min(n, s + 32))}
