@@ -4,10 +4,11 @@ Counting. Documents are packed into chunks of some megabytes: a row with the chu
 counts, and each token as a number into them. So words cross the network once a chunk rather than once a token, both
 to be counted and to bring the corpus counts back to the documents that use them.
 
-Classes. Every word has a symbol: the most frequent words their own, all others that of their ending. Class counts
-come from the symbol bigrams of the whole training corpus, whose number is bounded by the square of the symbols.
+Classes. The seed: every word has a symbol, the most frequent words their own, all others that of their ending.
 Exchange clustering on the driver moves one symbol at a time to the class that raises the likelihood of the class
-bigrams most.
+bigrams most. Then every other training word, however many there are, is given the class that its own neighbours'
+classes make likeliest: counts of class contexts by word are summed over the chunks. Class bigrams are counted anew
+with these classes. Only words that training has not keep the class of their ending.
 
 Scoring. log10 P(text) = sum of log10 P(class | class before) P(word | class): class transitions are interpolated
 with class frequencies, emissions have half a count for a word not seen in the class.
@@ -32,7 +33,8 @@ from coppice.llm.common import remainder, written
 #: Stands for the end of a text; no word holds a space.
 END = b" "
 _POSITIONS = 1 << 24
-_PAYLOAD = ["ids", "held_out", "sizes", "tokens", "words"]
+_CLASSES = 64
+_PAYLOAD = ["ids", "held_out", "sizes", "tokens", "endings"]
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,11 @@ class Settings:
     chunk_bytes: int = 4 << 20
     chunk_docs: int = 20_000
     prior: float = 20.0
+    ending_tokens: float = 2.0
+
+    def __post_init__(self):
+        if self.classes > _CLASSES:
+            raise ValueError(f"at most {_CLASSES} classes")
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -66,9 +73,9 @@ def symbol(word: bytes, frequent: dict[bytes, int], endings: int) -> int:
 
 
 def chunks(docs: DataFrame, held_out_column: str, settings: Settings) -> DataFrame:
-    """doc_id, text, held out -> one row a chunk: chunk, ids, held_out, sizes, tokens, words, counts."""
+    """doc_id, text, held out -> one row a chunk: chunk, ids, held_out, sizes, tokens, endings, words, counts."""
     id_field = docs.schema["doc_id"]
-    schema = StructType([StructField("chunk", LongType()), StructField("ids", ArrayType(id_field.dataType)), *StructType.fromDDL("held_out array<boolean>, sizes array<int>, tokens binary, words array<binary>, counts array<int>").fields])
+    schema = StructType([StructField("chunk", LongType()), StructField("ids", ArrayType(id_field.dataType)), *StructType.fromDDL("held_out array<boolean>, sizes array<int>, tokens binary, endings binary, words array<binary>, counts array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -84,6 +91,7 @@ def chunks(docs: DataFrame, held_out_column: str, settings: Settings) -> DataFra
             arrays = [
                 pa.array([base + made]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids_arrays)),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack_numbers(flat)], pa.binary()),
+                pa.array([pack_numbers(np.array([zlib.crc32(w[-3:]) % settings.endings for w in number]))], pa.binary()),
                 pa.array([list(number)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())),
             ]
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -179,10 +187,18 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Model:
+class Seed:
+    """Classes by exchange of the most frequent words and of the endings: where all other words start from."""
+
     frequent: dict[bytes, int]
-    endings: int
     own: np.ndarray  # class of each symbol
+    pull: np.ndarray  # (2 classes, classes): what a neighbour before, or after, adds to the log likelihood of each class
+    typical: np.ndarray  # of each symbol, the mean of that over its tokens
+
+
+@dataclass(frozen=True)
+class Model:
+    unseen: np.ndarray  # class of each ending, for words that training has not
     transition: np.ndarray  # log10 P(class | class before)
     emission: np.ndarray  # of each class, the denominator of P(word | class)
     n: int
@@ -236,33 +252,111 @@ def _by_symbol(counts: DataFrame, frequent: dict[bytes, int], endings: int) -> n
     return out
 
 
-def fit(packed: DataFrame, counts: DataFrame, settings: Settings) -> Model:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(settings.frequent).collect()
-    frequent = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
+def _probabilities(g: np.ndarray, n: np.ndarray, v: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Class transitions, and the denominators of emissions, from class bigrams, tokens and distinct words."""
+    share = (n + 0.5) / (n.sum() + 0.5 * len(n))
+    return (g + prior * share[None]) / (g.sum(1, keepdims=True) + prior), n + 0.5 * (v + 1)
+
+
+def seed(packed: DataFrame, counts: DataFrame, top: list[bytes], settings: Settings) -> Seed:
+    frequent = {END: 0} | {w: i + 1 for i, w in enumerate(top)}
     bigrams = _sums(packed, frequent, settings.endings)
     own = exchange(bigrams, settings.classes)
     k = int(own.max()) + 1
     member = np.zeros((len(own), k))
     member[np.arange(len(own)), own] = 1
-    g = member.T @ bigrams @ member
     n, v = _by_symbol(counts, frequent, settings.endings) @ member
-    share = (n + 0.5) / (n.sum() + 0.5 * k)
-    transition = (g + settings.prior * share[None]) / (g.sum(1, keepdims=True) + settings.prior)
-    return Model(frequent, settings.endings, own, np.log10(transition), n + 0.5 * (v + 1), int(total["n"]), int(total["v"]))
+    transition, emission = _probabilities(member.T @ bigrams @ member, n, v, settings.prior)
+    pull = np.concatenate([np.log(transition) - np.log(emission)[None], np.log(transition).T])
+    pull[:, 0] = -1e9  # class 0 is the end's alone
+    around = np.concatenate([bigrams.T @ member, bigrams @ member], 1)
+    return Seed(frequent, own, pull, (around / np.maximum(1, bigrams.sum(0))[:, None]) @ pull)
+
+
+def _before(now: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    before = np.concatenate([[0], now[:-1]])
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = first
+    return before
+
 
+def word_classes(packed: DataFrame, found: Seed, settings: Settings) -> DataFrame:
+    """word, c (training count), cls of every training word that is not among the frequent ones.
 
-def _score(model: Model, id_type: pa.DataType, doc: dict, counts: np.ndarray) -> pa.RecordBatch:
+    A word's class is that of the highest likelihood of its tokens between the classes of their neighbours. Tokens of
+    the word's ending count for ``ending_tokens`` of its own, so that rare words lean on words spelled alike.
+    """
+    seeded, k = packed.sparkSession.sparkContext.broadcast(found), found.pull.shape[1]
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, own = seeded.value.frequent, seeded.value.own
+        for batch in batches:
+            for held, sizes, tokens_, words in zip(*(batch.column(c) for c in ("held_out", "sizes", "tokens", "words")), strict=True):
+                of = _symbols(words.as_py(), frequent, settings.endings)
+                sizes, at = np.array(sizes.as_py(), np.int64), unpack_numbers(tokens_.as_py())
+                now = own[of][at]
+                before = _before(now, sizes, 0)
+                mine = np.flatnonzero(~np.repeat(np.array(held.as_py(), bool), sizes) & (of >= len(frequent))[at])
+                base = at[mine].astype(np.int64) * (2 * k)  # the end follows every text, so every token of a word has a next one
+                key, n = np.unique(np.concatenate([base + before[mine], base + k + now[mine + 1]]), return_counts=True)
+                which, start = np.unique(key // (2 * k), return_index=True)
+                x = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)), pa.int32()), pa.array(n * (2 * k) + key % (2 * k), pa.int64()))
+                yield pa.RecordBatch.from_arrays([words.values.take(pa.array(which)), pa.array(of[which], pa.int32()), x], names=["word", "s", "x"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                lists = part.column("x")
+                x = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                m = np.bincount(row * (2 * k) + x % (2 * k), weights=x // (2 * k), minlength=part.num_rows * 2 * k).reshape(-1, 2 * k)
+                fits = m @ seeded.value.pull + settings.ending_tokens * seeded.value.typical[part.column("s").to_numpy()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("word"), pa.array(m[:, :k].sum(1).astype(np.int64)), pa.array(fits.argmax(1), pa.int32())], names=["word", "c", "cls"]
+                )
+
+    rows = packed.select("held_out", "sizes", "tokens", "words").mapInArrow(around, "word binary, s int, x array<long>")
+    return rows.groupBy("word").agg(F.first("s").alias("s"), F.flatten(F.collect_list("x")).alias("x")).mapInArrow(choose, "word binary, c long, cls int")
+
+
+def _decoded(doc: dict, x: pa.Array | None, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training count and class of each word of a chunk."""
+    cls = unseen[unpack_numbers(doc["endings"])]
+    cls[0] = 0
+    counts = np.zeros(len(cls), np.int64)
+    if x is not None:
+        x = x.to_numpy()
+        at = x % _POSITIONS
+        counts[at], cls[at] = x // (_POSITIONS * _CLASSES), x // _POSITIONS % _CLASSES
+    return counts, cls
+
+
+def _class_bigrams(rows: DataFrame, unseen: np.ndarray, k: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc = {c: batch.column(c)[i].as_py() for c in ("held_out", "sizes", "tokens", "endings")}
+                cls, sizes = _decoded(doc, batch.column("found")[i].values, unseen)[1], np.array(doc["sizes"], np.int64)
+                now = cls[unpack_numbers(doc["tokens"])]
+                train = ~np.repeat(np.array(doc["held_out"], bool), sizes)
+                total += np.bincount(_before(now, sizes, 0)[train] * k + now[train], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], names=["k", "n"])
+
+    out = np.zeros(k * k)
+    for r in rows.select("held_out", "sizes", "tokens", "endings", "found").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r["k"]] = r["n"]
+    return out.reshape(k, k)
+
+
+def _score(model: Model, id_type: pa.DataType, doc: dict, counts: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
     sizes = np.array(doc["sizes"], np.int64)
     at = unpack_numbers(doc["tokens"])
-    of = model.own[_symbols(doc["words"], model.frequent, model.endings)]
     base = np.log10((counts + 0.5) / (model.n + 0.5 * (model.v + 1)))
-    emitted = np.log10((counts + 0.5) / model.emission[of])
-    now = of[at]
-    before = np.concatenate([[0], now[:-1]])
+    emitted = np.log10((counts + 0.5) / model.emission[cls])
+    now = cls[at]
     start = np.cumsum(sizes) - sizes
-    before[start] = model.own[0]
-    score = emitted[at] + model.transition[before, now]
+    score = emitted[at] + model.transition[_before(now, sizes, 0), now]
     known = (counts > 0)[at]
     columns = [
         pa.array(doc["ids"], id_type), pa.array(doc["held_out"], pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), start)),
@@ -282,23 +376,30 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, settings: Settings = Se
     packed = written(chunks(flagged, "_held", settings), "chunks")
     used = packed.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = written(used.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    model = docs.sparkSession.sparkContext.broadcast(fit(packed, counts, settings))  # bounded by the settings
-    # Position and count in one number, and one row a chunk: its words are bounded, so this row is.
-    back = used.select("chunk", "pos", "word").join(counts, "word").select("chunk", (F.col("c") * _POSITIONS + F.col("pos")).alias("x"))
+    spark = docs.sparkSession
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
+    top = {bytes(r["word"]): r["c"] for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(settings.frequent).collect()}
+    start = seed(packed, counts, list(top), settings)
+    k, unseen = start.pull.shape[1], start.own[len(start.frequent) :]
+    first = [(bytearray(w), c, int(start.own[start.frequent[w]])) for w, c in [(END, total["ends"] or 0), *top.items()]]
+    known = written(word_classes(packed, start, settings).unionByName(spark.createDataFrame(first, "word binary, c long, cls int")), "word-classes")
+    # Count, class and position in one number, and one row a chunk: its words are bounded, so this row is.
+    number = F.col("c") * (_POSITIONS * _CLASSES) + F.col("cls").cast("long") * _POSITIONS + F.col("pos")
+    back = used.select("chunk", "pos", "word").join(known.where("c > 0"), "word").select("chunk", number.alias("x"))
     found = back.groupBy("chunk").agg(F.collect_list("x").alias("found"))
+    rows = written(packed.select("chunk", *_PAYLOAD).join(found, "chunk", "left").drop("chunk"), "classed")
+    n, v = np.zeros(k), np.zeros(k)
+    for r in known.where("c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # one row a class
+        n[r["cls"]], v[r["cls"]] = r["n"], r["v"]
+    transition, emission = _probabilities(_class_bigrams(rows, unseen, k), n, v, settings.prior)
+    model = spark.sparkContext.broadcast(Model(unseen, np.log10(transition), emission, int(total["n"]), int(total["v"])))  # bounded by the settings
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    rows = packed.select("chunk", *_PAYLOAD).join(found, "chunk", "left").drop("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
                 doc = {k: batch.column(k)[i].as_py() for k in _PAYLOAD}
-                counts = np.zeros(len(doc["words"]), np.int64)
-                x = batch.column("found")[i].values
-                if x is not None:
-                    x = x.to_numpy()
-                    counts[x % _POSITIONS] = x // _POSITIONS
-                yield _score(model.value, id_type, doc, counts)
+                yield _score(model.value, id_type, doc, *_decoded(doc, batch.column("found")[i].values, model.value.unseen))
 
     return rows.mapInArrow(run, schema)

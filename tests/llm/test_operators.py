@@ -237,6 +237,14 @@ def test_class_model(spark):
     assert alone["n_tokens"] == 3
 
 
+def test_words_of_one_ending_are_told_by_their_neighbours(spark):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    rows = [(i, f"aa nn bb vv aa n{i % 40}ing bb v{i % 40}ing aa nn bb vv") for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows += [(i, f"aa n{j}ing bb v{j}ing" if j % 2 else f"aa v{j - 1}ing bb n{j - 1}ing") for j, i in enumerate(held, 1)]
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows), settings=brown.Settings(frequent=4, endings=1, classes=8)).collect()}
+    assert all(got[a] > got[b] + 1 for a, b in zip(held[::2], held[1::2], strict=True))
+
+
 def test_exchange_finds_blocks():
     b = np.zeros((9, 9))
     b[0, 1:5] = 5
