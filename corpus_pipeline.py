@@ -45,7 +45,7 @@ STAGES = [
     ("pattern packing", pattern_packing),
 ]
 
-#: The first two stages learn and the last packs; SQL expresses none of these, so tests hold run() against a plain version.
+#: The first two stages learn and the last packs; SQL expresses none of these. Tests look at columns and falling row counts only.
 ORACLE_SQL = None
 
 
