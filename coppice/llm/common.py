@@ -25,23 +25,47 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """This application's folder in the one that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local master gets a temporary folder; a cluster, whose machines would each write to a disk
+    of their own, gets an error.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not root and current.isDefined():
+        root = current.get()
     if not root:
-        current = sc._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="coppice-")
+    if not current.isDefined():
         sc.setCheckpointDir(root)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/coppice-{sc.applicationId}"
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/coppice-{what}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes what operators of this application wrote to the shared folder: to be called once results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Ids of a broadcast side at most; a broadcast table of them takes some tens of MB.
+BROADCAST_IDS = 1_000_000
+
+
+def matching(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of df with ids (one column ``key``, distinct, of a written table).
+
+    Up to BROADCAST_IDS ids are counted and broadcast, so that df stays where it is; more are dealt by key with df.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -61,8 +85,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def appended(df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[], Callable[..., list]], rows: int = 1000) -> DataFrame:
-    """All rows and columns of df (but those named as a new field) and the columns of ``fields``, made in Python.
+def appended(
+    df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[], Callable[..., list]], rows: int = 1000, without: Sequence[str] = ()
+) -> DataFrame:
+    """All rows and columns of df (but those named as a new field or in ``without``) and the columns of ``fields``, made in Python.
 
     ``make()`` runs once a task and returns the function that gets the values of ``inputs`` as lists, ``rows`` rows
     at a time, and returns a list (or Arrow array) for each new field. Other columns pass through as Arrow buffers,
@@ -70,7 +96,8 @@ def appended(df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[
     """
     new = StructType.fromDDL(fields)
     df = df.drop(*new.names)
-    names = [*df.columns, *new.names]
+    passed = [i for i, c in enumerate(df.columns) if c not in without]
+    names = [*(df.columns[i] for i in passed), *new.names]
     at = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +111,6 @@ def appended(df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[
                 batch = whole.slice(i, rows)
                 made = f(*(batch.column(k).to_pylist() for k in at))
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), *arrays], names=names)
 
-    return df.mapInArrow(run, StructType(df.schema.fields + new.fields))
+    return df.mapInArrow(run, StructType([df.schema.fields[i] for i in passed] + new.fields))

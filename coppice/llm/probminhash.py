@@ -3,16 +3,18 @@
 Sketch. A shingle of weight w is a Poisson process of rate w over m registers: its arrivals are exponential steps
 drawn from its hash, each falls on a random register, and a register keeps its earliest arrival. Two texts agree in a
 register with the probability Jaccard similarity of their weighted shingles, which for equal weights is the Jaccard
-similarity of the sets. As that is what is verified, every distinct shingle has weight 1 here, however often it
-occurs. An element whose next arrival lies beyond the latest register of its text can no longer win
-and ends early; all elements of a batch of texts advance together, so the work is numpy's.
-
-Candidates. Equal texts are collapsed to their smallest id first. Registers are banded; texts that share a band's key
-meet in a bucket. Buckets of equal members are compared once. Within a bucket each text is held against those that
-are not joined with it yet, first by registers, then by the exact Jaccard similarity of the shingle sets; a link joins
-two groups. So a bucket of thousands of near copies gives a link for each text rather than all pairs. Large buckets
-are dealt over blocks at random, anew in each band; blocks then meet only if links elsewhere have not joined them.
-
+similarity of the sets. An element whose next arrival lies beyond the latest register of its text can no longer win
+and ends early; all elements of a batch of texts advance together, so the work is numpy's. The similarity that is
+sketched is the one that is verified, for equal weights (as near-duplicates use) and for weights by count.
+
+Candidates. Equal texts are collapsed to their smallest id first. Registers are banded; texts that share a band meet
+in a bucket. Buckets of equal members are compared once. Within a bucket each text is held against those that are not
+joined with it yet, first by registers, then by the exact similarity of the shingles; a link joins two groups. So a
+bucket of thousands of near copies gives a link for each text rather than all pairs. Large buckets are dealt over
+blocks at random, anew in each band. Where links elsewhere have not joined the members of such a bucket, one member
+for each group goes on to the next round; only groups that no such round joins are compared block by block.
+
+Texts travel by id to the buckets they share with others, those of buckets of their own stay where they are.
 Classes are the connected components of the verified links.
 """
 
@@ -25,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import appended, words, written
+from coppice.llm.common import appended, matching, words, written
 from coppice.llm.graph import components
 
-BANDS, ROWS = 24, 5
-BLOCK = 1024
+#: A band of four registers is 64 bits. Texts of similarity 0.8 share none of 20 bands with probability 3e-5.
+BANDS, ROWS = 20, 4
+#: Members and bytes of text of a block at most (but for a single longer text).
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Texts of a digest for which its rows are not dealt by it: over one in HOT of all rows, so fewer than HOT digests.
+HOT = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,13 +83,32 @@ def shingle_hashes(split: list[list[bytes]], k: int) -> tuple[np.ndarray, np.nda
     return text, mix(h)
 
 
-def weighted(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, hash), each of weight 1: registers then agree as often as the verified similarity says."""
+def weighted(text: np.ndarray, h: np.ndarray, by_count: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, hash) and their weights: 1, or how often the text has them."""
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return text[new], h[new], np.ones(int(new.sum()))
+    at = np.flatnonzero(new)
+    return text[at], h[at], np.diff(np.append(at, len(h))).astype(float) if by_count else np.ones(len(at))
+
+
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Exact probability Jaccard similarity of sorted distinct hashes with weights: the sum over common elements i of
+    1 / sum over all z of max(a_z / a_i, b_z / b_i)."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x = np.concatenate([wa[i], np.delete(wa, i), np.zeros(len(b) - len(j))])
+    y = np.concatenate([wb[j], np.zeros(len(a) - len(i)), np.delete(wb, j)])
+    with np.errstate(divide="ignore"):
+        ratio = x / y
+    order = np.argsort(ratio, kind="stable")
+    below = np.concatenate([[0.0], np.cumsum(y[order])])
+    above = np.concatenate([[0.0], np.cumsum(x[order][::-1])])[::-1]
+    own = ratio[: len(i)]
+    k = np.searchsorted(ratio[order], own)
+    return float((1 / (above[k] / wa[i] + below[k] / wb[j])).sum())
 
 
 def sketch(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -104,27 +129,20 @@ def sketch(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, m: int) -> np
     return won.reshape(n, m)
 
 
-def _sketcher(k: int, bands: int, rows: int):
+def _sketcher(k: int, m: int, by_count: bool):
     def make():
         from xxhash import xxh3_128_digest
 
-        m = bands * rows
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)
-
         def run(texts: list[str | None]) -> list:
             split = [words(t) for t in texts]
-            elements = weighted(*shingle_hashes(split, k))
-            won = sketch(*elements, len(texts), m)
+            won = sketch(*weighted(*shingle_hashes(split, k), by_count), len(texts), m)
             with np.errstate(over="ignore"):
-                keys = np.tile(salt, (len(texts), 1))
-                for j in range(rows):
-                    keys = mix(keys + won[:, j::rows])
                 registers = (mix(won + np.arange(m, dtype=np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
-            some = [bool(w) for w in split]
+            raw = [t.encode("utf-8", "surrogatepass") if t else None for t in texts]
             return [
-                [xxh3_128_digest(t.encode("utf-8", "surrogatepass")) if t else None for t in texts],
-                [registers[i].tobytes() if ok else None for i, ok in enumerate(some)],
-                [keys[i].view(np.int64) if ok else None for i, ok in enumerate(some)],
+                [xxh3_128_digest(t) if t else None for t in raw],
+                [r.tobytes() if w else None for r, w in zip(registers, split, strict=True)],
+                [len(t) if t else 0 for t in raw],
             ]
 
         return run
@@ -132,11 +150,13 @@ def _sketcher(k: int, bands: int, rows: int):
     return make
 
 
-def bucket_links(registers: np.ndarray, sets: Callable[[int], np.ndarray], group: np.ndarray, low: float, threshold: float) -> list[tuple[int, int, float]]:
+def bucket_links(
+    registers: np.ndarray, sets: Callable[[int], tuple[np.ndarray, np.ndarray]], group: np.ndarray, low: float, threshold: float, by_count: bool = False
+) -> list[tuple[int, int, float]]:
     """A spanning forest of the links of one bucket: members of one ``group`` count as joined already.
 
     Each member in turn is held against those not yet joined with it: by registers, then by the exact similarity of
-    the sets, nearest first. Every link between members that are not joined otherwise is found.
+    the shingles, nearest first. Every link between members that are not joined otherwise is found.
     """
     group, found = group.copy(), []
     for p in range(len(group)):
@@ -148,18 +168,21 @@ def bucket_links(registers: np.ndarray, sets: Callable[[int], np.ndarray], group
         for x in apart[order[: int((est >= low).sum())]]:
             if group[x] == group[p]:
                 continue
-            one, two = sets(p), sets(int(x))
-            if min(len(one), len(two)) < threshold * max(len(one), len(two)):
-                continue
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            similarity = both / (len(one) + len(two) - both) if both else 0.0
+            (one, w1), (two, w2) = sets(p), sets(int(x))
+            if by_count:
+                similarity = probability_jaccard(one, w1, two, w2)
+            else:
+                if min(len(one), len(two)) < threshold * max(len(one), len(two)):
+                    continue
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                similarity = both / (len(one) + len(two) - both) if both else 0.0
             if similarity >= threshold:
                 found.append((p, int(x), similarity))
                 group[group == group[x]] = group[p]
     return found
 
 
-def _compare(rows: DataFrame, keys: list[str], k: int, low: float, threshold: float) -> DataFrame:
+def _compare(rows: DataFrame, keys: list[str], k: int, low: float, threshold: float, by_count: bool) -> DataFrame:
     """(a, b, similarity) of the links of each group of rows (keys, id, registers, text, group) that join its members."""
     id_type = rows.schema["id"].dataType
 
@@ -190,15 +213,15 @@ def _compare(rows: DataFrame, keys: list[str], k: int, low: float, threshold: fl
                 continue
             registers = np.stack([np.frombuffer(x, "<u2") for x in g.column("registers").to_pylist()])
             ids, texts = g.column("id").combine_chunks(), g.column("text")
-            made: dict[int, np.ndarray] = {}
+            made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-            def sets(i: int) -> np.ndarray:
+            def sets(i: int) -> tuple[np.ndarray, np.ndarray]:
                 if i not in made:
-                    made[i] = np.unique(shingle_hashes([words(texts[i].as_py())], k)[1])  # noqa: B023
+                    made[i] = weighted(*shingle_hashes([words(texts[i].as_py())], k), by_count)[1:]  # noqa: B023
                 return made[i]  # noqa: B023
 
             _, group = np.unique(np.array(g.column("group").to_pylist(), object).astype(str), return_inverse=True)
-            found = bucket_links(registers, sets, group, low, threshold)
+            found = bucket_links(registers, sets, group, low, threshold, by_count)
             if found:
                 a, b, similarity = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
@@ -208,76 +231,104 @@ def _compare(rows: DataFrame, keys: list[str], k: int, low: float, threshold: fl
     return dealt.mapInArrow(run, f"a {name}, b {name}, similarity double")
 
 
-def links(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) that join all similar texts, and membership (doc_id, representative).
+def links(
+    docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, by_count: bool = False, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b, similarity) that join all similar texts, the rows (id, digest), and the distinct texts (digest, id, n).
 
-    ``docs`` has doc_id and text. A text that is null or empty is its own class; a text without words links with its
-    exact copies only; rows without an id are in no class. Between texts that no other link joins, no link of a
-    shared bucket is left out; the register test passes over texts estimated six standard deviations below the
-    threshold only.
+    ``docs`` has doc_id and text. A text that is null or empty has no digest; one without words links with its exact
+    copies only, which share its digest; rows without an id are left out. Between texts that no other link joins, no
+    link of a shared bucket is left out; the register test passes over texts estimated six standard deviations below
+    the threshold only.
     """
+    if rows > 4:
+        raise ValueError("a band holds at most four registers of 16 bits")
     m = bands * rows
     low = threshold - 6 * (threshold * (1 - threshold) / m) ** 0.5
     source = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    sketched = written(appended(source, ["text"], "digest binary, registers binary, keys array<long>", _sketcher(k, bands, rows), rows=2000).drop("text"), "sketches")
-
-    same = sketched.where("digest is not null").groupBy("digest")
-    first = same.agg(F.min("id").alias("representative"))
-    members = sketched.select("id", "digest").join(first, "digest", "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("representative", "id").alias("representative")
-    )
-    texts = same.agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("keys").alias("keys")).where("registers is not null")
+    made = appended(source, ["text"], "digest binary, registers binary, size long", _sketcher(k, m, by_count), rows=2000, without=["text"])
+    sketched = written(made, "sketches")
+    texts = sketched.where("digest is not null").groupBy("digest").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("registers").alias("registers"), F.first("size").alias("size"))
     texts = written(texts, "texts")
 
-    spots = texts.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = spots.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lowest")).where("n > 1")
-    distinct = buckets.groupBy("n", "x", "lowest").agg(F.min(F.struct("band", "key")).alias("s")).select("s.band", "s.key", "n")
-    met = spots.join(distinct, ["band", "key"]).select(
-        "id", F.xxhash64("band", "key").alias("bucket"), F.ceil(F.col("n") / block).cast("int").alias("blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
-    met = written(met, "buckets")
-    registers = texts.select("id", "registers")
+    band = lambda b: F.xxhash64(F.lit(b), F.substring("registers", 2 * rows * b + 1, 2 * rows))
+    spots = texts.where("registers is not null").select("id", "size", F.explode(F.array(*map(band, range(bands)))).alias("bucket"))
+    buckets = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum("size").alias("size")).where("n > 1")
+    distinct = buckets.groupBy("n", "x", "size").agg(F.min("bucket").alias("bucket"))
+    sized = distinct.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    met = written(spots.select("id", "bucket").join(sized.hint("merge"), "bucket"), "buckets")
+    sharing = matching(source, written(met.select("id").distinct(), "sharing"), "id")
+    registers = texts.select("id", "registers", "size")
 
     def whole(rows: DataFrame) -> DataFrame:
-        return rows.join(registers, "id").join(source, "id")
-
-    found = written(_compare(whole(met.withColumn("group", F.col("id"))), ["bucket", "block"], k, low, threshold), "links")
-    dealt = met.where("blocks > 1")
-    if dealt.isEmpty():
-        return found, members
-    # Blocks of one bucket meet only where their members are not joined by now; block pairs, so every pair once.
-    joined = components(found).withColumnRenamed("component", "group")
-    grouped = written(dealt.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
-    open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = grouped.join(open_, "bucket").withColumn("other", F.explode(other)).where("other <> block").select(
-        "id", "group", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-    )
-    if pairs.isEmpty():
-        return found, members
-    again = written(_compare(whole(pairs), ["bucket", "one", "two"], k, low, threshold), "links")
-    return found.unionByName(again), members
-
-
-def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+        return rows.join(registers.drop("size").hint("merge"), "id").join(sharing.hint("merge"), "id")
+
+    def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return written(_compare(whole(rows), keys, k, low, threshold, by_count), "links")
+
+    def dealt(rows: DataFrame, turn: int) -> DataFrame:
+        return rows.withColumn("block", F.pmod(F.xxhash64("id", "bucket", F.lit(turn)), F.col("blocks")).cast("int"))
+
+    found = compared(dealt(met, 0).withColumn("group", F.col("id")), ["bucket", "block"])
+    large = met.where("blocks > 1")
+    turn, settled = 0, large.isEmpty()
+    while not settled:
+        # Of a large bucket one member of each group goes on, dealt anew, until all are joined or a round joins none.
+        turn += 1
+        joined = components(found).withColumnRenamed("component", "group")
+        grouped = written(large.join(joined.hint("merge"), "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+        open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
+        grouped = written(grouped.join(open_, "bucket"), "open")
+        if grouped.isEmpty():
+            return found, sketched.select("id", "digest"), texts.select("digest", "id", "n")
+        one = grouped.groupBy("bucket", "group").agg(F.min("id").alias("id")).join(registers.drop("registers"), "id")
+        parts = one.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        more = compared(dealt(one.drop("size").join(parts, "bucket"), turn), ["bucket", "block"])
+        settled = more.isEmpty()
+        found = found.unionByName(more)
+    if turn:  # what is still apart meets block by block, each pair of blocks once
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        pairs = dealt(grouped, 0).withColumn("other", other).where("other <> block").select(
+            "id", "group", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+        found = found.unionByName(compared(pairs, ["bucket", "one", "two"]))
+    return found, sketched.select("id", "digest"), texts.select("digest", "id", "n")
+
+
+def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, by_count: bool = False) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), kept (doc_id = class_id); a row for each row of docs.
 
-    Rows without an id have no class and are kept; repeated rows of one id share its class; no rows give none.
+    Rows without an id have no class and are kept, null and empty texts are alone in their class; repeated rows of
+    one id share its class if their texts are equal, else each has that of its text; no rows give none. Other columns
+    are ignored. A text that very many rows share does not go through one task: its class is broadcast.
     """
-    found, members = links(docs, k, threshold)
-    joined = members.join(components(found).withColumnRenamed("id", "representative"), "representative", "left")
-    named = joined.select("doc_id", F.coalesce("component", "representative").alias("class_id"))
+    found, rows, texts = links(docs, k, threshold, by_count=by_count)
+    joined = components(found)
+    of_text = written(texts.join(joined.hint("merge"), "id", "left").select("digest", "n", F.coalesce("component", "id").alias("class_id")), "text-classes")
+    total = of_text.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of_text.where(F.col("n") > total / HOT).select("digest", F.col("class_id").alias("hot_class")))  # fewer than HOT rows
+    marked = rows.join(hot, "digest", "left")
+    done = marked.where("digest is null or hot_class is not null").select(F.col("id").alias("doc_id"), F.coalesce("hot_class", "id").alias("class_id"))
+    rest = marked.where("digest is not null and hot_class is null").select("id", "digest").join(of_text.drop("n").hint("merge"), "digest")
     bare = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return named.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    named = done.unionByName(rest.select(F.col("id").alias("doc_id"), "class_id")).unionByName(bare)
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs of which one stays for each class: that of the smallest id (of rows repeating it, any one)."""
+    """The rows of docs of which one stays for each class: that of the smallest id.
+
+    Of rows that repeat that id, the one of the smallest text stays (nulls first), and of rows that repeat both, that
+    of the smallest hash of its other columns. Rows without an id stay. All columns of docs are kept.
+    """
     found = written(classes(docs, k, threshold), "classes")
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    of_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    of_id = written(of_id.where("not kept or n > 1"), "class-ids")
+    kept = matching(docs, of_id.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = of_id.where("kept").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    plain = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").cast("string"), F.xxhash64(*plain))).alias("row")
+    once = matching(kept, repeated, "doc_id").groupBy("doc_id").agg(first).select("row.*")
+    return matching(kept, repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
