@@ -8,8 +8,12 @@ fitted, on partners drawn at the threshold around the sample's vectors. Of two c
 so a pair is met once. Every met pair is verified in double precision.
 
 Every vector is indexed and every vector asks. Equal vectors are collapsed first and counted with their multiplicity.
-The members of a cell and its visitors meet in blocks of bounded size; a block's matrix of cosines gives link counts
-and a spanning forest of its links, so dense groups send neither pairs nor squares of their size over the network.
+Cells of one row of the grid make a region (of up to GROUP neighbouring columns): a vector travels once to each region
+it visits, with a mask of its cells there, and in the numbers' own precision. The members of a region and its visitors
+meet in blocks of bounded size; a block's matrices of cosines give link counts and a spanning forest of its links, so
+dense groups send neither pairs nor squares of their size over the network.
+
+Vectors of each length have an index of their own; those of lengths that the sample has not share one cell each.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from coppice.llm.common import written
 from coppice.llm.graph import components
 
-MEMBERS, VISITORS = 2048, 8192
+#: Members and visitors of a block; columns of the grid in a region.
+MEMBERS, VISITORS, GROUP = 2048, 8192, 16
 
 
 @dataclass(frozen=True)
@@ -89,6 +94,7 @@ def bisectors(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Centroids, ordered along their direction of largest spread, so that neighbours have numbers nearby."""
     c = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))].copy()
     for _ in range(rounds):
         own = nearest(x, c)
@@ -96,7 +102,10 @@ def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
         np.add.at(total, own, x)
         n = np.bincount(own, minlength=len(c))
         c[n > 0] = total[n > 0] / n[n > 0, None]
-    return c
+    if not c.size:
+        return c
+    axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
+    return c[np.argsort(c @ axis, kind="stable")]
 
 
 def build(sample: np.ndarray, k: int, threshold: float, recall: float, seed: int = 5) -> Index:
@@ -118,21 +127,25 @@ def build(sample: np.ndarray, k: int, threshold: float, recall: float, seed: int
     return Index(dim, books, float(np.quantile(first[at, a] + second[at, b], recall)) + 1e-12)
 
 
-def matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+def lengths(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that are usable vectors of the dimension, their values in double precision)."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    filled = np.maximum(size, 0)
-    start = np.cumsum(filled) - filled
+    size = lengths(column)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(size == dim) if dim else np.zeros(0, np.int64)
-    values = flat[start[rows][:, None] + np.arange(dim)] if len(rows) else np.zeros((0, dim or 0))
-    norm = np.linalg.norm(values, axis=1) if len(rows) else np.zeros(0)
-    ok = np.isfinite(values).all(1) & np.isfinite(norm) & (norm > 0) if len(rows) else np.zeros(0, bool)
+    values = flat[(np.cumsum(size) - size)[rows][:, None] + np.arange(dim)]
+    ok = np.isfinite(values).all(1) & values.any(1)
     return rows[ok], values[ok]
 
 
 def unit(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is taken out first, so that no square overflows or vanishes."""
+    if not values.size:
+        return values
+    values = values / np.abs(values).max(1)[:, None]
     return values / np.linalg.norm(values, axis=1)[:, None]
 
 
@@ -149,13 +162,13 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(rows < n, rows, -1), np.where(columns < n, columns, -1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by (cell, part, turn), the members of a block before its visitors. Yields counts and forest edges."""
+def _blocks(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Rows come by (region, part, turn), the members of a block before its visitors. Yields counts and forest edges."""
     names = ("a", "b", "n")
     key, members = None, []
-    held: tuple | None = None
+    held: list | None = None
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "turn")], 1)
+        keys = np.stack([batch.column(c).to_numpy() for c in ("region", "part", "turn")], 1)
         kind = batch.column("visitor").to_numpy(zero_copy_only=False)
         change = np.ones(len(keys), bool)
         change[1:] = (keys[1:] != keys[:-1]).any(1) | (kind[1:] != kind[:-1])
@@ -167,87 +180,135 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             if not kind[lo]:
                 members.append(part)
                 continue
-            if not members:
-                continue
             if held is None:
-                held = _loaded(pa.Table.from_batches(members))
-            asking = _loaded(pa.Table.from_batches([part]))
-            cosines = asking[2] @ held[2].T
-            linked = (cosines >= threshold) & (asking[0][:, None] != held[0][None])
-            if not linked.any():
-                continue
-            n_asking, n_held = linked @ held[1], asking[1] @ linked
-            same = asking[3][:, None] == held[3][None]
-            n_held = n_held - asking[1] @ (linked & same)  # within a cell the partner asks as well
-            rows, columns = spanning(linked)
-            ids = np.concatenate([asking[0][rows >= 0], held[0][columns >= 0]])
-            roots = asking[0][np.concatenate([rows[rows >= 0], columns[columns >= 0]])]
-            counts = np.concatenate([n_asking[rows >= 0], n_held[columns >= 0]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots), pa.array(counts.astype(np.int64))], names=names)
-
-
-def _loaded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    values = np.frombuffer(b"".join(t.column("vector").to_pylist()), "<f8").reshape(t.num_rows, -1)
-    return t.column("id").to_numpy(), t.column("m").to_numpy(), unit(values), t.column("own").to_numpy()
-
-
-def linked(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, sample: int = 20_000, per_cell: int = 16, most_centroids: int = 1024) -> DataFrame:
+                held = list(_by_cell(*_loaded(pa.Table.from_batches(members), dtype))) if members else []
+            asking = _loaded(pa.Table.from_batches([part]), dtype)
+            for cell, ids, m, vectors in held:
+                at = np.flatnonzero(asking[4] >> (cell % GROUP) & 1)
+                for which in np.split(at, range(1024, len(at), 1024)):
+                    if len(which):
+                        found = _met(asking[0][which], asking[1][which], asking[2][which], asking[3][which] == cell, ids, m, vectors, threshold)
+                        if found is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+
+
+def _met(
+    a: np.ndarray, ma: np.ndarray, va: np.ndarray, own: np.ndarray, b: np.ndarray, mb: np.ndarray, vb: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(id, root, links) of the ids that have links: visitors a (``own``: the cell is theirs), members b, m copies each."""
+    linked = (va @ vb.T >= threshold) & (a[:, None] != b[None])
+    if not linked.any():
+        return None
+    rows, columns = spanning(linked)
+    ids = np.concatenate([a[rows >= 0], b[columns >= 0]])
+    roots = a[np.concatenate([rows[rows >= 0], columns[columns >= 0]])]
+    n_b = np.where(own, 0, ma) @ linked  # within a cell the partner asks as well
+    return ids, roots, np.concatenate([(linked @ mb)[rows >= 0], n_b[columns >= 0]]).astype(np.int64)
+
+
+def _loaded(t: pa.Table, dtype: str) -> tuple[np.ndarray, ...]:
+    """id, m, unit vectors, own cell, mask."""
+    values = np.frombuffer(b"".join(t.column("vector").to_pylist()), dtype).reshape(t.num_rows, -1).astype(float)
+    id_, m, own, mask = (t.column(c).to_numpy() for c in ("id", "m", "own", "mask"))
+    return id_, m, unit(values), own, mask
+
+
+def _by_cell(ids: np.ndarray, m: np.ndarray, vectors: np.ndarray, own: np.ndarray, _: np.ndarray) -> Iterator[tuple]:
+    order = np.argsort(own, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        yield int(own[part[0]]), ids[part], m[part], vectors[part]
+
+
+#: Numbers of cells of one length; a cell's number holds the length above them.
+_CELLS = 1 << 24
+
+
+def linked(
+    vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, sample: int = 20_000, per_cell: int = 256, most_centroids: int = 1024
+) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vec_id (whole number), embedding (array of numbers).
 
-    Rows whose vector is null, empty, zero, of another length than most of the sample, or holds null or non-finite
-    components link with nothing. Rows without an id are returned with no links and a null component, kept. Rows
-    that repeat an id count as one vector if equal. No rows give none. Other columns are ignored. The codebooks are
-    fitted on the ``sample`` rows of the smallest hash of vec_id; all rows are indexed.
+    Rows whose vector is null, empty, zero, or holds null or non-finite components link with nothing, nor do vectors
+    of different lengths. Rows without an id are returned with no links and a null component, kept. Rows that repeat
+    an id count as one vector if equal, else as several of one id. No rows give none. Other columns are ignored. The
+    codebooks are fitted on the ``sample`` rows of the smallest hash of vec_id; all rows are indexed. Components of
+    equal value at other precision (0.1 as float and as double) are of one column's type, so equal vectors are equal.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("embedding"))
     known = rows.where("id is not null")
     spark = vectors.sparkSession
-    picked = known.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
-    column = picked.column(0).combine_chunks() if picked.num_rows else None
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False) if column is not None else np.zeros(0, np.int64)
-    sizes = sizes[sizes > 0]
-    dim = int(np.bincount(sizes).argmax()) if len(sizes) else 0
-    values = matrix(column, dim)[1] if dim else np.zeros((0, 0))
+    dtype = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() in ("float", "byte", "short") else "<f8"
+    picked = known.where("size(embedding) > 0").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
+    column = picked.column(0).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     alone = F.lit(0).cast("long")
-    if not len(values):
-        return rows.select(F.col("id").alias("vec_id"), alone.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    k = int(np.clip(np.ceil((known.count() / per_cell) ** 0.5), 1, min(most_centroids, len(values))))
-    index = spark.sparkContext.broadcast(build(unit(values), k, threshold, recall))  # bounded: 2 most_centroids half vectors
+    n = known.count()
+    found: dict[int, Index] = {}
+    for dim in np.unique(lengths(column)[lengths(column) > 0]).tolist() if len(column) else []:
+        values = matrix(column, dim)[1]
+        if len(values):
+            share = len(values) / len(column)
+            k = int(np.clip(np.ceil((n * share / per_cell) ** 0.5), 1, min(most_centroids, len(values))))
+            found[dim] = build(unit(values), k, threshold, recall)
+    if not found:
+        found = {0: Index(0, (np.zeros((0, 0)), np.zeros((0, 0))), 0.0)}
+    indexes = spark.sparkContext.broadcast(found)  # bounded: codebooks over at most ``sample`` vectors
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, found = matrix(batch.column(1), dim)
-            found = found + 0.0  # one zero
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array([x.tobytes() for x in found.astype("<f8")], pa.binary())], names=["id", "vector"])
-
-    usable = known.mapInArrow(parse, "id long, vector binary").withColumn("digest", F.md5("vector"))
-    usable = written(usable, "vectors")
+            lists = batch.column(1)
+            for dim in np.unique(lengths(lists)).tolist():
+                ok, values = matrix(lists, dim)
+                if len(ok):
+                    values = (values + 0.0).astype(dtype)  # one zero
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array([x.tobytes() for x in values], pa.binary())], names=["id", "vector"])
+
+    usable = written(known.mapInArrow(parse, "id long, vector binary").withColumn("digest", F.md5("vector")), "vectors")
     same = usable.groupBy("digest").agg(F.min("id").alias("id"), F.count_distinct("id").alias("m"), F.first("vector").alias("vector"))
+    same = written(same, "distinct-vectors")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(dtype).itemsize
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                u = unit(np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<f8").reshape(batch.num_rows, -1))
-                own = index.value.cells(u)
-                who, cell = index.value.visits(u)
-                up = cell >= own[who]
-                who, cell = who[up], cell[up]
-                start = np.searchsorted(who, np.arange(batch.num_rows + 1))
-                visits = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(cell, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "m", "vector")), pa.array(own, pa.int64()), visits], names=["id", "m", "vector", "own", "visits"])
+            raw = whole.column("vector")
+            size = np.array([len(x) for x in raw.to_pylist()], np.int64) // width
+            for dim in np.unique(size).tolist():
+                rows = np.flatnonzero(size == dim)
+                for i in range(0, len(rows), 512):
+                    batch = whole.take(pa.array(rows[i : i + 512]))
+                    index, base = indexes.value.get(dim), dim * _CELLS
+                    who, cell, own = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+                    if index:
+                        u = unit(np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype).reshape(batch.num_rows, -1).astype(float))
+                        own, columns = index.cells(u), len(index.books[1])
+                        who, cell = index.visits(u)
+                        up = cell >= own[who]
+                        who, cell = who[up], cell[up]
+                        spread = -(-columns // GROUP) * GROUP  # so that no region has cells of two rows of the grid
+                        own, cell = (x // columns * spread + x % columns for x in (own, cell))
+                    own, cell = own + base, cell + base
+                    order = np.lexsort((cell, who))
+                    who, region, bit = who[order], cell[order] // GROUP, 1 << (cell[order] % GROUP)
+                    new = np.flatnonzero(np.diff(who, prepend=-1).astype(bool) | np.diff(region, prepend=-1).astype(bool))
+                    mask = np.bitwise_or.reduceat(bit, new)
+                    start = np.searchsorted(who[new], np.arange(batch.num_rows + 1))
+                    visits = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(region[new] * (1 << GROUP) + mask, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "m", "vector")), pa.array(own, pa.int64()), visits], names=["id", "m", "vector", "own", "visits"])
 
     placed = written(same.select("id", "m", "vector").mapInArrow(place, "id long, m long, vector binary, own long, visits array<long>"), "placed")
-    members = placed.groupBy(F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    visited = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("turns"))
-    sized = members.join(visited, "cell")
+    region_of = (F.col("own") / GROUP).cast("long")
+    split = F.col("visit").bitwiseAND((1 << GROUP) - 1), F.shiftright("visit", GROUP)
+    members = placed.groupBy(region_of.alias("region")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    visited = placed.select(F.explode("visits").alias("visit")).groupBy(split[1].alias("region")).agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("turns"))
+    sized = members.join(visited, "region")  # at most one row for each region of the grids
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = placed.withColumn("cell", F.col("own")).join(sized, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select(
-        "cell", "part", every("turns").alias("turn"), F.lit(False).alias("visitor"), "id", "m", "vector", "own")
-    asking = placed.select("id", "m", "vector", "own", F.explode("visits").alias("cell")).join(sized, "cell").withColumn("turn", F.pmod(F.xxhash64("id"), "turns").cast("int")).select(
-        "cell", every("parts").alias("part"), "turn", F.lit(True).alias("visitor"), "id", "m", "vector", "own")
-    dealt = held.unionByName(asking).repartition("cell", "part", "turn").sortWithinPartitions("cell", "part", "turn", "visitor")
-    met = written(dealt.mapInArrow(partial(_blocks, threshold=threshold), "a long, b long, n long"), "met")
+    held = placed.withColumn("region", region_of).join(sized, "region").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select(
+        "region", "part", every("turns").alias("turn"), F.lit(False).alias("visitor"), "id", "m", "vector", "own", F.lit(0).cast("long").alias("mask"))
+    asking = placed.select("id", "m", "vector", "own", F.explode("visits").alias("visit")).withColumns({"mask": split[0], "region": split[1]}).join(sized, "region")
+    asking = asking.withColumn("turn", F.pmod(F.xxhash64("id"), "turns").cast("int")).select(
+        "region", every("parts").alias("part"), "turn", F.lit(True).alias("visitor"), "id", "m", "vector", "own", "mask")
+    dealt = held.unionByName(asking).repartition("region", "part", "turn").sortWithinPartitions("region", "part", "turn", "visitor")
+    met = written(dealt.mapInArrow(partial(_blocks, threshold=threshold, dtype=dtype), "a long, b long, n long"), "met")
 
     counts = met.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     classes = components(met.select("a", "b"))
@@ -261,28 +322,35 @@ def linked(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, s
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def recall_against_brute_force(vectors: DataFrame, threshold: float = 0.95, every: int = 100, **options) -> float:  # noqa: ANN003
+def recall_against_brute_force(vectors: DataFrame, threshold: float = 0.95, every: int = 100, block: int = 20_000, **options) -> float:  # noqa: ANN003
     """Share of the links of all rows whose id is divisible by ``every`` that the index finds; 1.0 where there are none.
 
-    Link counts are compared: verified links are a subset of all, so the counts' ratio is the recall.
+    Link counts are compared: verified links are a subset of all, so the counts' ratio is the recall. The rows asked
+    are held against all rows in blocks of at most ``block``, one block of them on the driver at a time.
     """
     got = linked(vectors, threshold, **options).where(F.col("vec_id") % every == 0)
-    asked = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").collect()
-    q = [(r[0], np.array(r[1], float)) for r in asked if r[1] is not None and None not in r[1]]
-    q = [(i, x / np.linalg.norm(x)) for i, x in q if np.isfinite(x).all() and x.any()]
-    if not q:
-        return 1.0
-    ids, u = np.array([i for i, _ in q]), np.stack([x for _, x in q])
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, u))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, u = shared.value
-        for batch in batches:
-            rows, values = matrix(batch.column(1), u.shape[1])
-            other = batch.column(0).to_numpy()[rows]
-            hit = ((u @ unit(values).T >= threshold) & (ids[:, None] != other[None])).sum(1) if len(rows) else np.zeros(len(ids), int)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.astype(np.int64))], names=["vec_id", "n"])
-
-    true = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(count, "vec_id long, n long").agg(F.sum("n")).first()[0] or 0
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
+    asked = rows.where((F.col("vec_id") % every == 0) & (F.size("embedding") > 0)).toLocalIterator()
+    true = 0
+    while part := [(r[0], r[1]) for _, r in zip(range(block), asked, strict=False)]:
+        table = pa.table({"id": [i for i, _ in part], "x": [x for _, x in part]})
+        lists = table.column("x").combine_chunks()
+        dims = {}
+        for dim in np.unique(lengths(lists)).tolist():
+            at, values = matrix(lists, dim)
+            dims[dim] = np.array([part[i][0] for i in at], np.int64), unit(values)
+        shared = vectors.sparkSession.sparkContext.broadcast(dims)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = 0
+                for dim, (ids, u) in shared.value.items():  # noqa: B023
+                    at, values = matrix(batch.column(1), dim)
+                    if len(at) and len(ids):
+                        n += int(((u @ unit(values).T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[at][None])).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+        true += rows.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        shared.unpersist()
     found = got.agg(F.sum("n_links")).first()[0] or 0
     return found / true if true else 1.0

@@ -166,6 +166,20 @@ def test_multi_index_equals_brute_force(spark):
     assert multi_index.linked(df.where(f"vec_id = {n}")).first()["n_links"] == 0
 
 
+def test_vectors_of_every_length_and_size_link(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim in (9, 16, 33):
+        for i in range(6):
+            x = rng.normal(size=dim)
+            rows += [(len(rows) + j, [float(v) for v in x * s]) for j, s in enumerate((1.0, 1e200, 1e-200, -1.0))]
+    for options in ({}, {"sample": 1}):  # lengths that the sample has not are indexed too
+        got = {r["vec_id"]: r for r in multi_index.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect()}
+        for i in range(0, len(rows), 4):
+            assert [got[i + j]["component_id"] for j in range(3)] == [i] * 3 and got[i + 3]["component_id"] == i + 3
+            assert [got[i + j]["n_links"] for j in range(4)] == [2, 2, 2, 0]
+
+
 def test_blocks_split_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "MEMBERS", 8)
     monkeypatch.setattr(multi_index, "VISITORS", 8)
