@@ -40,6 +40,8 @@ class Encoder:
 
     def __init__(self, vocabulary: str, ranks: str | None = None):
         import base64
+        import json
+        import re
 
         import public_tokenizers
         import tiktoken
@@ -49,13 +51,16 @@ class Encoder:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.word = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            with open(vocabulary, encoding="utf-8") as f:
+                added = [re.escape(t["content"]) for t in json.load(f).get("added_tokens") or []]
+            self.added = re.compile("|".join(added)).search if added else lambda text: None
         self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.word is None:
+        if self.word is None or self.added(text):
             return self.slow(text)
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
@@ -78,7 +83,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.vocabulary)
-            self.whole.encode_special_tokens = True
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
