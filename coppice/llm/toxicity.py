@@ -249,14 +249,14 @@ def _windows(docs: list[np.ndarray], window: int, stride: int) -> tuple[np.ndarr
 
 def train(
     texts: list[str | None], labels: list[int], dim: int = 12, hidden: int = 8, rounds: int = 2, epochs: int = 3, batch: int | None = None,
-    window: int = 32, stride: int = 24, rate: float = 0.01, seed: int = 7, max_words: int = 2000, least_steps: int = 200,
+    window: int = 32, stride: int = 24, rate: float = 0.01, seed: int = 7, least_steps: int = 200,
 ) -> Network:
-    """Fits the network to labelled texts (at most ``max_words`` words of each; scoring has no such bound). Small samples
-    are gone through more often, ``least_steps`` steps a round at least, and in smaller batches."""
+    """Fits the network to all windows of labelled texts. Small samples are gone through more often, ``least_steps``
+    steps a round at least, and in smaller batches."""
     batch = batch or (256 if len(texts) >= 2000 else 64)
     rng = np.random.default_rng(seed)
     words = Words()
-    docs = [d for i in range(0, len(texts), 200) for d in words.ids([tokens(t)[:max_words] for t in texts[i : i + 200]])]
+    docs = [d for i in range(0, len(texts), 200) for d in words.ids([tokens(t) for t in texts[i : i + 200]])]
     y = np.array(labels, np.float32)
     p = fresh(dim, hidden, rng)
     net = Network(p, window, stride)
@@ -409,15 +409,17 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, **options) -> Network:  # noqa: ANN003
     """Trains on labelled rows: doc_id, text of docs joined with doc_id, toxic of labels.
 
-    The sample is bounded: of either label all rows, or, if there are more, the ``max_toxic`` and ``max_clean`` of the
-    smallest hash of doc_id; a row's text counts up to ``max_words`` words. Null labels are left out.
+    The sample is bounded: of either label all ids, or, if there are more, the ``max_toxic`` and ``max_clean`` of the
+    smallest hash of doc_id. Their texts are read whole. Null labels and ids are left out; an id that is labelled more
+    than once is toxic if one label says so; of documents that repeat an id the one of the smallest text is learned
+    from. Without labelled rows of both kinds all texts score alike.
     """
-    usable = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    usable = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = {r["doc_id"]: r["toxic"] for y, n in ((0, max_clean), (1, max_toxic)) for r in usable.where(F.col("toxic") == y).orderBy(*order).limit(n).collect()}
     if not chosen:
         return train([], [], **options)
-    rows = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.substring("text", 1, 20_000).alias("text")).limit(2 * len(chosen))
+    rows = docs.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min("text").alias("text"))
     got = sorted((r["doc_id"], r["text"] or "") for r in rows.collect())
     return train([t for _, t in got], [chosen[i] for i, _ in got], **options)
 
@@ -431,16 +433,17 @@ def _make(net: Network):
     return run
 
 
-def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, net: Network, threshold: float = 0.7, without: tuple[str, ...] = ()) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= threshold, else 0) to docs, replacing columns of these names.
 
-    Null and empty texts are scored as one window without words.
+    Null and empty texts are scored as one window without words; repeated rows are scored each, alike; no rows give
+    none. Columns of ``without`` are not returned.
     """
-    got = appended(docs.drop("predicted"), ["text"], "score double", partial(_make, net), rows=250)
+    got = appended(docs.drop("predicted"), ["text"], "score double", partial(_make, net), rows=250, without=without)
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def fit_score(docs: DataFrame, labels: DataFrame, fold: int = 3) -> DataFrame:
+def fit_score(docs: DataFrame, labels: DataFrame, fold: int = 3, without: tuple[str, ...] = ()) -> DataFrame:
     """Learns from rows whose crc32(doc_id as text) mod ``fold`` is not 1, scores all, adds held_out as well."""
     net = fit(docs, labels.where(remainder("doc_id", fold) != 1))
-    return score(docs, net).withColumn("held_out", remainder("doc_id", fold) == 1)
+    return score(docs.drop("held_out"), net, without=without).withColumn("held_out", remainder("doc_id", fold) == 1)
