@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.fit_predict(docs).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+    return langid.fit_predict(docs, without=("text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "margin_bytes", "margin", "rejected")
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.fit_score(docs, table(spark, sf_dir, "labels"), without=("text",)).select("doc_id", "held_out", "score", "predicted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

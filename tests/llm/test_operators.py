@@ -55,6 +55,28 @@ def test_language_accuracy_and_odd_rows(spark):
     assert langid.fit_predict(docs(spark, [])).count() == 0
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i + 10, t, k) for i, (_, t, k) in enumerate(sample(100))]
+    got = {r["doc_id"]: r for r in langid.fit_predict(docs(spark, [(1, "½ ² Ⅷ", "en"), (2, "42 -- _", "en"), (3, "½ der und", None), (3, "½ der und", None), *rows])).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in (1, 2, 3)] == [True, True, False] and got[1]["score"] == 0
+
+
+def test_languages_are_learned_from_all_of_a_text(spark):
+    rows = [(i, "xq " * 3000 + f"{stem}ta {stem}lo {stem}mi " * 400, stem) for i in range(40) for stem in [("gra", "pol")[i % 2]] if zlib.crc32(str(i).encode()) % 5]
+    model = langid.fit(docs(spark, rows), dictionary_bytes=2000)
+    assert all(stem.encode() in d for stem, d in zip(model.languages, model.dictionaries, strict=True))
+    c = langid.Classifier(model)
+    assert [c("grata gralo grami")[0], c("polta pollo polmi")[0]] == ["gra", "pol"]
+    assert c("xq xq")[2] <= 1  # the same in both: too narrow
+
+
+def test_narrow_margins_reject(spark):
+    model = langid.Model(("a", "b"), (b"one two three " * 9, b"one two three " * 9), (b"one ", b"one "))
+    got = langid.predict(docs(spark, [(1, "one two"), (2, None), (3, "one two")]), model).collect()
+    assert all(r["rejected"] for r in got) and [r["lang_pred"] for r in got] == ["a", "und", "a"]
+    assert "text" not in langid.predict(docs(spark, []), model, without=("text",)).columns
+
+
 def test_whole_text_counts():
     model = langid.Model(("a", "b"), (b"alpha beta gamma " * 50, b"uno dos tres " * 50), (b"alpha ", b"uno "), block=64)
     c = langid.Classifier(model)
@@ -274,8 +296,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = [r[:2] for r in ODD] + [(i + 50, x) for i, x, _ in sample(200)] + [(900, "a  b\n c \t<|endoftext|>"), (901, " lead and trail ")]
+    rows = [r[:2] for r in ODD] + [(i + 50, x) for i, x, _ in sample(200)] + [(900, "a  b\n c \t<|endoftext|>"), (901, " lead and trail "), (902, "a <|endoftext|> b"), (903, "end<|endoftext|>")]
     size = 64
     got = packing.pack(docs(spark, rows).repartition(3), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), size).collect()
     want = Counter()
@@ -467,6 +488,15 @@ def test_toxicity(spark):
     assert toxicity.fit_score(docs(spark, []), labels).count() == 0
 
 
+def test_toxicity_is_learned_from_whole_texts_and_defined_labels(spark):
+    tail = {i: i % 2 for i in range(80)}
+    rows = [(i, "plain words of no harm " * 450 + (" gronkado vleriish" if y else " calm end")) for i, y in tail.items()]
+    labels = spark.createDataFrame([*tail.items(), *((i, 0) for i in tail), (None, 1), (3, None)], "doc_id long, toxic int")  # one toxic label is enough
+    net = toxicity.fit(docs(spark, rows), labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs(spark, [(1, "so gronkado vleriish now"), (2, "plain words of no harm calm end"), (2, "plain words of no harm calm end")]), net).collect()}
+    assert got == {1: 1, 2: 0}
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(3)
     p = {k: v.astype(float) for k, v in toxicity.fresh(4, 3, rng).items() if k != "table"}
