@@ -67,6 +67,7 @@ EQUIVALENT = (
 #: A canonical line that only says whose the copyright is.
 COPYRIGHT = "^(copyright (c )?|c )([0-9]{4}|year|yyyy)( .*)?$|^all rights reserved$"
 
+# Parts of licence texts, and the known texts.
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
 THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
 COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
@@ -132,9 +133,14 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), line), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 
+_ANY = "(^| )(" + "|".join(a for a, _ in EQUIVALENT) + ")( |$)"
+
+
 def _spelled(x: Column) -> Column:
-    padded = F.concat(F.lit(" "), x, F.lit(" "))
-    return F.trim(reduce(lambda c, p: F.replace(c, F.lit(f" {p[0]} "), F.lit(f" {p[1]} ")), EQUIVALENT, padded))
+    """Every word has blanks of its own while spellings are replaced, so that a repeated word is replaced each time."""
+    padded = F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")), F.lit(" "))
+    spelled = reduce(lambda c, p: F.replace(c, F.lit(f" {p[0].replace(' ', '  ')} "), F.lit(f" {p[1]} ")), EQUIVALENT, padded)
+    return F.when(x.rlike(_ANY), F.trim(F.replace(spelled, F.lit("  "), F.lit(" ")))).otherwise(x)
 
 
 def digests_of(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> dict[str, str]:
@@ -160,7 +166,8 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
 
     text_digest: MD5 of the canonical text; licence: that whose known text equals the whole text, else null; notices:
     the known ones that a line equals (full texts included), sorted and comma-joined ('' if none); n_notice_lines: how many lines do. Null
-    text is as the empty text, which is no licence; repeated rows are each reported.
+    text is as the empty text, which is no licence; repeated rows are each reported; no rows give none. A digest that
+    two known texts share names the last of them in KNOWN; those of the data file give way to KNOWN.
     """
     spark = docs.sparkSession
     digests = full_texts() | digests_of(spark, known)
@@ -183,7 +190,8 @@ def sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
         return "'" + x.replace("'", "''") + "'"
 
     def spelled(x: str) -> str:
-        return "trim(" + reduce(lambda c, p: f"replace({c}, ' {p[0]} ', ' {p[1]} ')", EQUIVALENT, f"' ' || {x} || ' '") + ")"
+        words = f"list_transform(string_split({x}, ' '), lambda w: ' ' || w || ' ')"
+        return "trim(replace(" + reduce(lambda c, p: f"replace({c}, ' {p[0].replace(' ', '  ')} ', ' {p[1]} ')", EQUIVALENT, f"array_to_string({words}, '')") + ", '  ', ' '))"
 
     lines = (
         f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(replace(lower(x), '©', '(c)'), "
