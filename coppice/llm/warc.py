@@ -1,8 +1,8 @@
 """WARC archives: deduplicating writer and splittable reader.
 
 Writer. Each page becomes one gzip member that holds one record. Payload digests are taken in the JVM, the first
-page of each digest is found with partial aggregation on (digest, id) alone, and a salted join brings it back to the
-pages, so a payload that a third of the pages share is dealt over many tasks. A task writes its archive under a
+page of each digest is found with partial aggregation on (digest, id) alone, and a join brings it back to the pages.
+Digests that very many pages share, of which there are few, are broadcast instead, and those pages dealt evenly. A task writes its archive under a
 temporary name and renames it; names follow the partition, so a retried task replaces its own file.
 
 Reader. Archives are cut into byte ranges, one row each. A task scans its range for the gzip magic, accepts a
@@ -21,15 +21,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import shared_path
+from coppice.llm.common import shared_path, written
+from coppice.llm.files import filesystem
 
 MAGIC = b"\x1f\x8b\x08"
-SALTS = 16
+#: A digest is not dealt by if over one in HOT of all pages have it: fewer than HOT digests are so.
+HOT = 1000
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, path string, offset long"
 _STEP = 1 << 16
 
@@ -78,14 +79,13 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> Data
         F.sha1(F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")).alias("digest"),
         (F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= min_bytes).alias("large"),
     )
-    firsts = (
-        rows.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["digest", "salt"], "left").select(
-        "page_id", "url", "html", "large", "first",
-    )
+    firsts = written(rows.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-pages")
+    hot = F.col("n") > rows.count() / HOT
+    hottest = F.broadcast(firsts.where(hot).select("digest", F.col("first").alias("hot_first")))
+    cool = firsts.where(~hot).select(F.col("digest").alias("key"), "first")
+    own = F.xxhash64("page_id", "url").cast("string")  # is no digest: deals the pages of the hottest ones evenly
+    marked = rows.join(hottest, "digest", "left").withColumn("key", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(own))
+    joined = marked.join(cool.hint("merge"), "key", "left").select("page_id", "url", "html", "large", F.coalesce("hot_first", "first").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = temporary = None
@@ -115,21 +115,16 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> Data
     return spark.read.parquet(f"{root.rstrip('/')}/manifest")
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The filesystem of a URI or local path, and the path in it."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
-
-
 class _Window:
     """Bytes of a file by absolute position, read forward in steps and dropped behind the caller."""
 
     def __init__(self, f, start: int):
-        self.f, self.start, self.data = f, start, b""
-        f.seek(start)
+        self.f = f
+        self.jump(start)
+
+    def jump(self, to: int) -> None:
+        self.start, self.data = to, b""
+        self.f.seek(to)
 
     def more(self, n: int = _STEP) -> bool:
         got = self.f.read(n)
@@ -155,31 +150,36 @@ def records_in(f, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
         if at >= hi:
             return
         w.drop(at)
-        raw, used = _inflate(w)
+        raw = _inflate(w)
         if raw is None:
-            w.drop(at + 1)
+            w.jump(at + 1)
         else:
             yield at, raw
-            w.drop(at + used)
 
 
-def _inflate(w: _Window) -> tuple[bytes | None, int]:
-    """The member at the window's start and its length, or None if no WARC record inflates there."""
+def _inflate(w: _Window) -> bytes | None:
+    """The member at the window's start, or None if no WARC record inflates there. The window is left at its end.
+
+    Every byte is read and fed once, so the time is linear in the member's length.
+    """
     z = zlib.decompressobj(31)
-    parts, fed, checked = [], 0, False
-    while not z.eof:
-        if fed == len(w.data) and not w.more():
-            return None, 0
-        chunk, fed = w.data[fed:], len(w.data)
+    parts, head = [], b""
+    while True:
+        if not w.data and not w.more():
+            return None
+        chunk = w.data
+        w.drop(w.start + len(chunk))
         try:
             parts.append(z.decompress(chunk))
         except zlib.error:
-            return None, 0
-        if not checked and sum(map(len, parts)) >= 7:
-            if not b"".join(parts).startswith(b"WARC/1."):
-                return None, 0
-            checked = True
-    return (b"".join(parts), fed - len(z.unused_data)) if checked else (None, 0)
+            return None
+        if len(head) < 7:
+            head += parts[-1][: 7 - len(head)]
+            if not b"WARC/1.".startswith(head):
+                return None
+        if z.eof:
+            w.data, w.start = z.unused_data, w.start - len(z.unused_data)
+            return b"".join(parts) if len(head) == 7 else None
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
