@@ -110,6 +110,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_warc_reads_long_records_in_linear_time(spark):
+    import io
+    import time
+
+    long = b"".join(random.Random(1).randbytes(1 << 20) for _ in range(24))
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    member = z.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(long) + long) + z.flush()
+    start = time.process_time()
+    found = list(warc.records_in(io.BytesIO(member * 2), 1, 1 << 40))
+    assert [(at, len(raw)) for at, raw in found] == [(len(member), len(long) + 38)] and time.process_time() - start < 5
+    rows = spark.createDataFrame([(None, "a", "x"), (7, "b", "x"), (None, "c", "y"), (None, "d", "y")], "page_id long, url string, html string")
+    got = {r["url"]: (r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(warc.write(rows)).collect()}
+    assert got["b"] == (7, "response", None) and got["a"] == (None, "revisit", 7) and got["c"][1] == got["d"][1] == "response"
+
+
 def test_warc_reader_passes_over_false_magic(tmp_path):
     import gzip
     import io
@@ -230,7 +245,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
+@pytest.mark.parametrize("block", [200_000, 3, 40])
 def test_decontamination_equals_brute_force(spark, block):
     r = random.Random(5)
     v = ["Ab", "c", "dé", "e1", "f"]
@@ -349,6 +364,17 @@ def test_licences(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
+def test_every_spelling_of_a_repeated_word_is_made_one(spark):
+    rows = [(1, "licence licence terms"), (2, "license license terms"), (3, "sub licence copyright owner\ncopyright owners"), (4, "sublicense copyright holder copyright holders"), (5, "licences")]
+    got = {r["doc_id"]: r["text_digest"] for r in licences.scan(docs(spark, rows)).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and got[5] != got[1]
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in rows) + ") d(doc_id, text)")
+    assert {r[0]: r[1] for r in c.execute(licences.sql()).fetchall()} == got
+
+
 def test_whole_texts_of_long_licences(spark):
     folder = Path("/usr/share/common-licenses")
     known = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
