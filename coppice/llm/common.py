@@ -68,11 +68,21 @@ def matching(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, arrow_rows: int | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    ``arrow_rows`` is how many rows go to Python at once while this table is made, for rows that hold long texts.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if arrow_rows:
+        spark.conf.set(name, arrow_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -247,7 +247,7 @@ def links(
     low = threshold - 6 * (threshold * (1 - threshold) / m) ** 0.5
     source = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     made = appended(source, ["text"], "digest binary, registers binary, size long", _sketcher(k, m, by_count), rows=2000, without=["text"])
-    sketched = written(made, "sketches")
+    sketched = written(made, "sketches", arrow_rows=2000)
     texts = sketched.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("registers").alias("registers"), F.first("size").alias("size"))
     texts = written(texts, "texts")
@@ -265,7 +265,7 @@ def links(
         return rows.join(registers.drop("size").hint("merge"), "id").join(sharing.hint("merge"), "id")
 
     def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return written(_compare(whole(rows), keys, k, low, threshold, by_count), "links")
+        return written(_compare(whole(rows), keys, k, low, threshold, by_count), "links", arrow_rows=256)
 
     def dealt(rows: DataFrame, turn: int) -> DataFrame:
         return rows.withColumn("block", F.pmod(F.xxhash64("id", "bucket", F.lit(turn)), F.col("blocks")).cast("int"))
