@@ -1,14 +1,20 @@
 """Perplexity by a class-based bigram model with Brown classes from exchange clustering.
 
-Counting. Documents are packed into chunks of some megabytes: a row with the chunk's distinct words, their training
-counts, and each token as a number into them. So words cross the network once a chunk rather than once a token, both
-to be counted and to bring the corpus counts back to the documents that use them.
-
-Classes. The seed: every word has a symbol, the most frequent words their own, all others that of their ending.
-Exchange clustering on the driver moves one symbol at a time to the class that raises the likelihood of the class
-bigrams most. Then every other training word, however many there are, is given the class that its own neighbours'
-classes make likeliest: counts of class contexts by word are summed over the chunks. Class bigrams are counted anew
-with these classes. Only words that training has not keep the class of their ending.
+Counting. Documents are packed into chunks of some megabytes: a row with the chunk's distinct words (most frequent
+first), their training counts, and each token as a number into them. So words cross the network once a chunk rather
+than once a token.
+
+Classes. The units that exchange clustering moves are the ``hot`` most frequent words and, for all other words, their
+endings. A seed puts the most frequent few hundred words and the endings into classes on the driver, moving one at a
+time to the class that raises the likelihood of the class bigrams most. Then all units exchange classes in rounds: a
+pass over the chunks sums each unit's counts with the class before and after it, by task; the sums, whose size is
+units times classes, come to the driver, and each unit moves to the class that its own neighbours make likeliest.
+Rounds go on while the likelihood rises. Last, every other training word, however many there are, takes the class of
+highest likelihood between its own neighbours' classes, leaning on its ending's; class bigrams are counted anew. Words
+that training has not have the class of their ending.
+
+Hot words are few and broadcast, so only rare words are dealt by word: each row brings a chunk's counts there and
+takes the word's count and class back.
 
 Scoring. log10 P(text) = sum of log10 P(class | class before) P(word | class): class transitions are interpolated
 with class frequencies, emissions have half a count for a word not seen in the class.
@@ -17,7 +23,6 @@ with class frequencies, emissions have half a count for a word not seen in the c
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,21 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from coppice.llm.common import remainder, written
+from coppice.llm.common import Spool, remainder, written
 
 #: Stands for the end of a text; no word holds a space.
 END = b" "
-_POSITIONS = 1 << 24
 _CLASSES = 64
-_PAYLOAD = ["ids", "held_out", "sizes", "tokens", "endings"]
+_SPOT = 1 << 32  # a class and a position in one number
 
 
 @dataclass(frozen=True)
 class Settings:
-    frequent: int = 600
+    seed_words: int = 600
+    hot: int = 1 << 15
+    hot_bytes: int = 64  # longer words are not broadcast
     endings: int = 200
     classes: int = 64
-    chunk_bytes: int = 4 << 20
+    rounds: int = 6
+    chunk_bytes: int = 8 << 20
     chunk_docs: int = 20_000
     prior: float = 20.0
     ending_tokens: float = 2.0
@@ -59,40 +66,42 @@ def tokens(text: str | None) -> list[bytes]:
 
 def pack_numbers(x: np.ndarray) -> bytes:
     """Whole numbers, byte planes one after another and deflated: most are small, so the high planes nearly vanish."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, : 8 if x.max(initial=0) >> 32 else 4].T.tobytes() + bytes([8 if x.max(initial=0) >> 32 else 4]), 1)
 
 
 def unpack_numbers(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    data = zlib.decompress(raw)
+    n = data[-1]
+    planes = np.frombuffer(data, np.uint8, len(data) - 1).reshape(n, -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{n}").ravel()
 
 
-def symbol(word: bytes, frequent: dict[bytes, int], endings: int) -> int:
-    s = frequent.get(word)
-    return s if s is not None else len(frequent) + zlib.crc32(word[-3:]) % endings
+def ending(word: bytes, endings: int) -> int:
+    return zlib.crc32(word[-3:]) % endings
 
 
 def chunks(docs: DataFrame, held_out_column: str, settings: Settings) -> DataFrame:
-    """doc_id, text, held out -> one row a chunk: chunk, ids, held_out, sizes, tokens, endings, words, counts."""
+    """doc_id, text, held out -> one row a chunk: chunk, ids, held_out, sizes, tokens, words, counts. Word 0 is the end."""
     id_field = docs.schema["doc_id"]
-    schema = StructType([StructField("chunk", LongType()), StructField("ids", ArrayType(id_field.dataType)), *StructType.fromDDL("held_out array<boolean>, sizes array<int>, tokens binary, endings binary, words array<binary>, counts array<int>").fields])
+    schema = StructType([StructField("chunk", LongType()), StructField("ids", ArrayType(id_field.dataType)), *StructType.fromDDL("held_out array<boolean>, sizes array<int>, tokens binary, words array<binary>, counts array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        fresh = lambda: ({END: 0}, [], [], [], [], Counter())
-        number, ids, held, sizes, coded, train = fresh()
+        fresh = lambda: ({END: 0}, [], [], [])
+        number, held, sizes, coded = fresh()
         size = 0
 
         def row() -> pa.RecordBatch:
-            counts = np.zeros(len(number), np.int32)
-            for w, n in train.items():
-                counts[w] = n
-            flat = np.concatenate(coded)
+            flat, n = np.concatenate(coded), len(number)
+            train = ~np.repeat(np.array(held, bool), sizes)
+            order = np.concatenate([[0], 1 + np.argsort(-np.bincount(flat, minlength=n)[1:], kind="stable")])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            flat, listed = rank[flat], list(number)
             arrays = [
-                pa.array([base + made]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids_arrays)),
+                pa.array([base + made]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids_arrays)),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack_numbers(flat)], pa.binary()),
-                pa.array([pack_numbers(np.array([zlib.crc32(w[-3:]) % settings.endings for w in number]))], pa.binary()),
-                pa.array([list(number)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())),
+                pa.array([[listed[i] for i in order]], pa.list_(pa.binary())), pa.array([np.bincount(flat[train], minlength=n)], pa.list_(pa.int32())),
             ]
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -107,22 +116,17 @@ def chunks(docs: DataFrame, held_out_column: str, settings: Settings) -> DataFra
                 mine[:-1] = [get(w, len(number)) for w in words]
                 mine[-1] = 0
                 coded.append(mine)
-                ids.append(None)
                 held.append(flags[i])
                 sizes.append(len(mine))
-                if not flags[i]:
-                    which, n = np.unique(mine, return_counts=True)
-                    for w, c in zip(which.tolist(), n.tolist(), strict=True):
-                        train[w] += c
                 size += sum(map(len, words)) + len(words)
-                if size >= settings.chunk_bytes or len(ids) >= settings.chunk_docs:
+                if size >= settings.chunk_bytes or len(held) >= settings.chunk_docs:
                     ids_arrays.append(column.slice(start, i + 1 - start))
                     yield row()
-                    number, ids, held, sizes, coded, train = fresh()
+                    number, held, sizes, coded = fresh()
                     ids_arrays, start, size, made = [], i + 1, 0, made + 1
             if start < batch.num_rows:
                 ids_arrays.append(column.slice(start))
-        if ids:
+        if held:
             yield row()
 
     return docs.select("doc_id", F.col("text").cast("string"), F.col(held_out_column)).mapInArrow(run, schema)
@@ -187,68 +191,90 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Seed:
-    """Classes by exchange of the most frequent words and of the endings: where all other words start from."""
+class Units:
+    """What exchange clustering moves: the end (0), hot words (1, 2, ...), then the endings of all other words."""
 
-    frequent: dict[bytes, int]
-    own: np.ndarray  # class of each symbol
-    pull: np.ndarray  # (2 classes, classes): what a neighbour before, or after, adds to the log likelihood of each class
-    typical: np.ndarray  # of each symbol, the mean of that over its tokens
+    number: dict[bytes, int]
+    counts: np.ndarray  # training count of the end and of each hot word
+    endings: int
 
+    def __len__(self) -> int:
+        return len(self.number) + self.endings
 
-@dataclass(frozen=True)
-class Model:
-    unseen: np.ndarray  # class of each ending, for words that training has not
-    transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray  # of each class, the denominator of P(word | class)
-    n: int
-    v: int
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, hot = self.number.get, len(self.number)
+        return np.array([u if (u := get(w)) is not None else hot + ending(w, self.endings) for w in words], np.int64)
 
 
-def _symbols(words: list[bytes], frequent: dict[bytes, int], endings: int) -> np.ndarray:
-    return np.array([symbol(w, frequent, endings) for w in words], np.int64)
+_COUNTED = ("held_out", "sizes", "tokens", "words")
 
 
-def _sums(packed: DataFrame, frequent: dict[bytes, int], endings: int) -> np.ndarray:
-    """Symbol bigrams of the training documents; what comes before a text is symbol 0."""
-    s = len(frequent) + endings
+def _before(now: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    before = np.concatenate([[first], now[:-1]])
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = first
+    return before
+
+
+def _training(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Of each chunk: tokens, sizes of its texts, which tokens train, and its words."""
+    for held, sizes, tokens_, words in zip(*(batch.column(c) for c in _COUNTED), strict=True):
+        sizes = np.array(sizes.as_py(), np.int64)
+        yield unpack_numbers(tokens_.as_py()), sizes, ~np.repeat(np.array(held.as_py(), bool), sizes), words.as_py()
+
+
+def _bigrams(packed: DataFrame, units: Units, kinds: np.ndarray) -> np.ndarray:
+    """Bigrams of kinds of units (one number each) in training texts; what comes before a text is kind 0."""
+    s = int(kinds.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s * s, np.int64)
         for batch in batches:
-            for held, sizes, tokens_, words in zip(*(batch.column(c) for c in ("held_out", "sizes", "tokens", "words")), strict=True):
-                of = _symbols(words.as_py(), frequent, endings)
-                sizes, held = np.array(sizes.as_py(), np.int64), np.array(held.as_py(), bool)
-                now = of[unpack_numbers(tokens_.as_py())]
-                before = np.concatenate([[0], now[:-1]])
-                before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-                train = ~np.repeat(held, sizes)
-                total += np.bincount(before[train] * s + now[train], minlength=s * s)
+            for at, sizes, train, words in _training(batch):
+                now = kinds[units.of(words)][at]
+                total += np.bincount(_before(now, sizes, 0)[train] * s + now[train], minlength=s * s)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
-    got = packed.select("held_out", "sizes", "tokens", "words").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = packed.select(*_COUNTED).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # s * s rows at most
     out = np.zeros(s * s)
     out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(s, s)
 
 
-def _by_symbol(counts: DataFrame, frequent: dict[bytes, int], endings: int) -> np.ndarray:
-    """(training tokens, distinct training words) of each symbol."""
-    s = len(frequent) + endings
+def _around(packed: DataFrame, units: Units, own: np.ndarray, k: int) -> np.ndarray:
+    """(units, 2 k): how often each class comes before, and after, each unit in training texts. Class 0 is around texts."""
+    width, shared = 2 * k, packed.sparkSession.sparkContext.broadcast((units, own))  # bounded by the settings
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, s), np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, own = shared.value
+        total = np.zeros(len(units) * width, np.int64)
         for batch in batches:
-            of = _symbols(batch.column(0).to_pylist(), frequent, endings)
-            total[0] += np.bincount(of, weights=batch.column(1).to_numpy(), minlength=s).astype(np.int64)
-            total[1] += np.bincount(of, minlength=s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(s)), pa.array(total[0]), pa.array(total[1])], names=["s", "n", "v"])
-
-    got = counts.select("word", "c").mapInArrow(run, "s long, n long, v long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    out = np.zeros((2, s), np.int64)
-    for r in got:  # one row a symbol
-        out[:, r["s"]] = r["n"], r["v"]
+            for at, sizes, train, words in _training(batch):
+                of = units.of(words)
+                u = of[at]
+                now = own[u]
+                base = u[train] * width
+                total += np.bincount(base + _before(now, sizes, 0)[train], minlength=len(total))
+                total += np.bincount(base + k + np.append(now[1:], 0)[train], minlength=len(total))
+        keys = np.flatnonzero(total)
+        which, start = np.unique(keys // width, return_index=True)
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(start, len(keys)), pa.int32()), pa.array(x)) for x in ((keys % width).astype(np.uint8).view(np.int8), total[keys])]
+        yield pa.RecordBatch.from_arrays([pa.array(which), *lists], names=["u", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for u, at, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                total.setdefault(u, np.zeros(width, np.int64))[at.values.to_numpy().view(np.uint8)] += n.values.to_numpy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["u", "n"])
+
+    rows = packed.select(*_COUNTED).mapInArrow(count, "u long, at array<byte>, n array<long>").repartition("u")
+    out = np.zeros((len(units), width))
+    for r in rows.mapInArrow(add, "u long, n binary").toArrow().to_batches():  # a row a unit
+        for u, n in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
+            out[u] = np.frombuffer(n, np.int64)
+    shared.unpersist()
     return out
 
 
@@ -258,100 +284,184 @@ def _probabilities(g: np.ndarray, n: np.ndarray, v: np.ndarray, prior: float) ->
     return (g + prior * share[None]) / (g.sum(1, keepdims=True) + prior), n + 0.5 * (v + 1)
 
 
-def seed(packed: DataFrame, counts: DataFrame, top: list[bytes], settings: Settings) -> Seed:
-    frequent = {END: 0} | {w: i + 1 for i, w in enumerate(top)}
-    bigrams = _sums(packed, frequent, settings.endings)
-    own = exchange(bigrams, settings.classes)
-    k = int(own.max()) + 1
-    member = np.zeros((len(own), k))
-    member[np.arange(len(own)), own] = 1
-    n, v = _by_symbol(counts, frequent, settings.endings) @ member
-    transition, emission = _probabilities(member.T @ bigrams @ member, n, v, settings.prior)
-    pull = np.concatenate([np.log(transition) - np.log(emission)[None], np.log(transition).T])
-    pull[:, 0] = -1e9  # class 0 is the end's alone
-    around = np.concatenate([bigrams.T @ member, bigrams @ member], 1)
-    return Seed(frequent, own, pull, (around / np.maximum(1, bigrams.sum(0))[:, None]) @ pull)
+def likelihood(g: np.ndarray) -> float:
+    """What classes add to the log likelihood of a text: that of the class bigrams g over that of words alone."""
+    h = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return h(g) - h(g.sum(0)) - h(g.sum(1))
 
 
-def _before(now: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
-    before = np.concatenate([[0], now[:-1]])
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = first
-    return before
+@dataclass(frozen=True)
+class Classes:
+    own: np.ndarray  # class of each unit
+    pull: np.ndarray  # (2 classes, classes): what a neighbour before, or after, adds to the log likelihood of each class
+    typical: np.ndarray  # of each ending, the mean of that over its tokens
+
+
+def cluster(packed: DataFrame, units: Units, distinct: np.ndarray, settings: Settings) -> Classes:
+    """Classes of the units. ``distinct``: training words of each unit."""
+    hot, few = len(units.number), min(len(units.number), settings.seed_words + 1)
+    kinds = np.concatenate([np.arange(few), few + np.array([ending(w, settings.endings) for w in list(units.number)[few:]], np.int64), few + np.arange(settings.endings)])
+    own = exchange(_bigrams(packed, units, kinds), settings.classes)[kinds]
+    k, best = int(own.max()) + 1, None
+    for turn in range(settings.rounds + 1):
+        m = _around(packed, units, own, k)
+        member = np.zeros((len(units), k))
+        member[np.arange(len(units)), own] = 1
+        g = (member.T @ m[:, :k]).T  # class before, class
+        gain = likelihood(g)
+        if best is not None and gain <= best[0] * (1 + 1e-4 * np.sign(best[0])):
+            break
+        transition, emission = _probabilities(g, g.sum(0), member.T @ distinct, settings.prior)
+        pull = np.concatenate([np.log(transition) - np.log(emission)[None], np.log(transition).T])
+        pull[:, 0] = -1e9  # class 0 is the end's alone
+        fits = m @ pull
+        best = (gain, Classes(own, pull, fits[hot:] / np.maximum(1, m[hot:, :k].sum(1))[:, None]))
+        seen = m[:, :k].sum(1) > 0
+        seen[0] = False
+        own = np.where(seen, fits.argmax(1), own)
+    return best[1]
+
+
+def _rare(packed: DataFrame, units: Units, found: Classes, lean: float) -> DataFrame:
+    """chunk, x, c of every word of a chunk that is not hot: its class and place in the chunk, and its training count.
+    The first row of a word has cls, its class, as well."""
+    k = found.pull.shape[1]
+    width, hot = 2 * k, len(units.number)
+    shared = packed.sparkSession.sparkContext.broadcast((units, found))  # bounded by the settings
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, found = shared.value
+        for batch in batches:
+            for chunk, (at, sizes, train, words) in zip(batch.column("chunk").to_pylist(), _training(batch), strict=True):
+                of = units.of(words)
+                now, rare = found.own[of][at], np.flatnonzero(of >= hot)
+                mine = np.flatnonzero(train & (of >= hot)[at])
+                base = at[mine].astype(np.int64) * width
+                key, n = np.unique(np.concatenate([base + _before(now, sizes, 0)[mine], base + k + np.append(now[1:], 0)[mine]]), return_counts=True)
+                start = np.append(np.searchsorted(key, rare * width), len(key))
+                for lo in range(0, len(rare), 10_000):
+                    part, cut = rare[lo : lo + 10_000], start[lo : lo + 10_001]
+                    inside = slice(cut[0], cut[-1])
+                    lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(x)) for x in ((key[inside] % width).astype(np.uint8).view(np.int8), n[inside].astype(np.int32))]
+                    columns = [pa.array([words[i] for i in part], pa.binary()), pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array((of[part] - hot).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, *lists], names=["word", "chunk", "pos", "ending", "at", "n"])
 
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, found = shared.value
+        spool, last, total = Spool(), None, np.zeros(width, np.int64)
+
+        def decided(rows: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            """Rows with the number of each row's word and those words' counts by neighbouring class."""
+            new = True
+            for batch, which, sums in rows:
+                c = sums[:, :k].sum(1)
+                ends = batch.column("ending").to_numpy()
+                first = np.diff(which, prepend=-1).astype(bool)
+                fits = sums @ found.pull + lean * found.typical[ends[first]]
+                cls = np.where(c > 0, fits.argmax(1), found.own[hot + ends[first]])
+                first[0] &= new
+                new = False
+                x = cls[which] * _SPOT + batch.column("pos").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk"), pa.array(x, pa.int64()), pa.array(c[which], pa.int64()), pa.array(np.where(first & (c[which] > 0), cls[which], -1), pa.int32())],
+                    names=["chunk", "x", "c", "cls"])
+
+        def ended() -> Iterator[pa.RecordBatch]:  # the rows of one word, however many
+            yield from decided((b, np.zeros(b.num_rows, np.int64), total[None]) for b in spool)
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 5000):
+                batch = whole.slice(lo, 5000)
+                words = batch.column("word").to_pylist()
+                which = np.cumsum([i > 0 and words[i] != words[i - 1] for i in range(len(words))])
+                at, n = batch.column("at"), batch.column("n")
+                rows = np.repeat(which, at.value_lengths().to_numpy())
+                sums = np.bincount(rows * width + at.flatten().to_numpy().view(np.uint8), weights=n.flatten().to_numpy(), minlength=(int(which[-1]) + 1) * width)
+                sums = sums.reshape(-1, width).astype(np.int64)
+                cuts = np.searchsorted(which, [1, int(which[-1])]) if which[-1] else [len(words), 0]
+                if last is not None and words[0] != last:
+                    yield from ended()
+                    spool, total = Spool(), np.zeros(width, np.int64)
+                if not which[-1]:  # one word: maybe more of it comes
+                    spool.append(batch)
+                    total = total + sums[0]
+                else:
+                    spool.append(batch.slice(0, cuts[0]))
+                    total = total + sums[0]
+                    yield from ended()
+                    if cuts[1] > cuts[0]:
+                        yield from decided(iter([(batch.slice(cuts[0], cuts[1] - cuts[0]), which[cuts[0] : cuts[1]] - 1, sums[1:-1])]))
+                    spool, total = Spool(), sums[-1]
+                    spool.append(batch.slice(cuts[1]))
+                last = words[-1]
+        if last is not None:
+            yield from ended()
+
+    rows = packed.select("chunk", *_COUNTED).mapInArrow(deal, "word binary, chunk long, pos int, ending int, at array<byte>, n array<int>")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "chunk long, x long, c long, cls int")
 
-def word_classes(packed: DataFrame, found: Seed, settings: Settings) -> DataFrame:
-    """word, c (training count), cls of every training word that is not among the frequent ones.
 
-    A word's class is that of the highest likelihood of its tokens between the classes of their neighbours. Tokens of
-    the word's ending count for ``ending_tokens`` of its own, so that rare words lean on words spelled alike.
-    """
-    seeded, k = packed.sparkSession.sparkContext.broadcast(found), found.pull.shape[1]
+@dataclass(frozen=True)
+class Model:
+    transition: np.ndarray  # log10 P(class | class before)
+    emission: np.ndarray  # of each class, the denominator of P(word | class)
+    n: int
+    v: int
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, own = seeded.value.frequent, seeded.value.own
-        for batch in batches:
-            for held, sizes, tokens_, words in zip(*(batch.column(c) for c in ("held_out", "sizes", "tokens", "words")), strict=True):
-                of = _symbols(words.as_py(), frequent, settings.endings)
-                sizes, at = np.array(sizes.as_py(), np.int64), unpack_numbers(tokens_.as_py())
-                now = own[of][at]
-                before = _before(now, sizes, 0)
-                mine = np.flatnonzero(~np.repeat(np.array(held.as_py(), bool), sizes) & (of >= len(frequent))[at])
-                base = at[mine].astype(np.int64) * (2 * k)  # the end follows every text, so every token of a word has a next one
-                key, n = np.unique(np.concatenate([base + before[mine], base + k + now[mine + 1]]), return_counts=True)
-                which, start = np.unique(key // (2 * k), return_index=True)
-                x = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)), pa.int32()), pa.array(n * (2 * k) + key % (2 * k), pa.int64()))
-                yield pa.RecordBatch.from_arrays([words.values.take(pa.array(which)), pa.array(of[which], pa.int32()), x], names=["word", "s", "x"])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CLASSED = ["ids", "held_out", "sizes", "tokens", "c", "cls"]
+
+
+def _classed(packed: DataFrame, rare: DataFrame, units: Units, found: Classes) -> DataFrame:
+    """The chunks with the training count and the class of each of their words."""
+    shared, hot = packed.sparkSession.sparkContext.broadcast((units, found)), len(units.number)
+    back = rare.groupBy("chunk").agg(F.collect_list(F.struct("x", "c")).alias("rare"))
+    rows = packed.select("chunk", "ids", "held_out", "sizes", "tokens", "words").join(back.hint("merge"), "chunk", "left").drop("chunk")
+    schema = StructType([*(packed.schema[c] for c in ("ids", "held_out", "sizes", "tokens")), *StructType.fromDDL("c binary, cls binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, found = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                lists = part.column("x")
-                x = lists.flatten().to_numpy()
-                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                m = np.bincount(row * (2 * k) + x % (2 * k), weights=x // (2 * k), minlength=part.num_rows * 2 * k).reshape(-1, 2 * k)
-                fits = m @ seeded.value.pull + settings.ending_tokens * seeded.value.typical[part.column("s").to_numpy()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("word"), pa.array(m[:, :k].sum(1).astype(np.int64)), pa.array(fits.argmax(1), pa.int32())], names=["word", "c", "cls"]
-                )
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                of = units.of(row.column("words")[0].as_py())
+                is_hot = of < hot
+                c, cls = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+                c[is_hot], cls[is_hot] = units.counts[of[is_hot]], found.own[of[is_hot]]
+                if row.column("rare")[0].is_valid:
+                    pairs = row.column("rare")[0].values
+                    x = pairs.field("x").to_numpy()
+                    c[x % _SPOT], cls[x % _SPOT] = pairs.field("c").to_numpy(), x // _SPOT
+                arrays = [pa.array([pack_numbers(c)], pa.binary()), pa.array([pack_numbers(cls)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(row.column(k) for k in _CLASSED[:4]), *arrays], names=_CLASSED)
 
-    rows = packed.select("held_out", "sizes", "tokens", "words").mapInArrow(around, "word binary, s int, x array<long>")
-    return rows.groupBy("word").agg(F.first("s").alias("s"), F.flatten(F.collect_list("x")).alias("x")).mapInArrow(choose, "word binary, c long, cls int")
+    return rows.mapInArrow(run, schema)
 
 
-def _decoded(doc: dict, x: pa.Array | None, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Training count and class of each word of a chunk."""
-    cls = unseen[unpack_numbers(doc["endings"])]
-    cls[0] = 0
-    counts = np.zeros(len(cls), np.int64)
-    if x is not None:
-        x = x.to_numpy()
-        at = x % _POSITIONS
-        counts[at], cls[at] = x // (_POSITIONS * _CLASSES), x // _POSITIONS % _CLASSES
-    return counts, cls
+def _decoded(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, sizes of the texts, counts and classes of the words of chunk i of a batch."""
+    c, cls, at = (unpack_numbers(batch.column(k)[i].as_py()) for k in ("c", "cls", "tokens"))
+    return at, np.array(batch.column("sizes")[i].as_py(), np.int64), c, cls
 
 
-def _class_bigrams(rows: DataFrame, unseen: np.ndarray, k: int) -> np.ndarray:
+def _class_bigrams(rows: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                doc = {c: batch.column(c)[i].as_py() for c in ("held_out", "sizes", "tokens", "endings")}
-                cls, sizes = _decoded(doc, batch.column("found")[i].values, unseen)[1], np.array(doc["sizes"], np.int64)
-                now = cls[unpack_numbers(doc["tokens"])]
-                train = ~np.repeat(np.array(doc["held_out"], bool), sizes)
+                at, sizes, _, cls = _decoded(batch, i)
+                now, train = cls[at], ~np.repeat(np.array(batch.column("held_out")[i].as_py(), bool), sizes)
                 total += np.bincount(_before(now, sizes, 0)[train] * k + now[train], minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], names=["k", "n"])
 
     out = np.zeros(k * k)
-    for r in rows.select("held_out", "sizes", "tokens", "endings", "found").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select(*_CLASSED[1:]).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[r["k"]] = r["n"]
     return out.reshape(k, k)
 
 
-def _score(model: Model, id_type: pa.DataType, doc: dict, counts: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    sizes = np.array(doc["sizes"], np.int64)
-    at = unpack_numbers(doc["tokens"])
+def _score(model: Model, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+    at, sizes, counts, cls = _decoded(batch, i)
     base = np.log10((counts + 0.5) / (model.n + 0.5 * (model.v + 1)))
     emitted = np.log10((counts + 0.5) / model.emission[cls])
     now = cls[at]
@@ -359,7 +469,7 @@ def _score(model: Model, id_type: pa.DataType, doc: dict, counts: np.ndarray, cl
     score = emitted[at] + model.transition[_before(now, sizes, 0), now]
     known = (counts > 0)[at]
     columns = [
-        pa.array(doc["ids"], id_type), pa.array(doc["held_out"], pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), start)),
+        batch.column("ids")[i].values, batch.column("held_out")[i].values, pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), start)),
         pa.array(np.full(len(sizes), model.n, np.int64)), pa.array(np.add.reduceat(base[at], start)), pa.array(np.add.reduceat(score, start)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -370,36 +480,34 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, settings: Settings = Se
 
     Learns from the rows whose crc32(doc_id as text) mod ``fold`` is not ``held`` (null ids: remainder 0). Null and
     empty texts are the end token alone; repeated rows count and are scored each; without training rows all counts
-    are 0. Other columns are ignored. Perplexity is 10 ** (-score / n_tokens).
+    are 0; no rows give none; words of equal count are hot by their bytes. Other columns are ignored. Perplexity is
+    10 ** (-score / n_tokens).
     """
     flagged = docs.select("doc_id", "text", (remainder("doc_id", fold) == held).alias("_held"))
-    packed = written(chunks(flagged, "_held", settings), "chunks")
-    used = packed.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    packed = written(chunks(flagged, "_held", settings), "chunks", arrow_rows=1000)
+    used = packed.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = written(used.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    spark = docs.sparkSession
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
-    top = {bytes(r["word"]): r["c"] for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(settings.frequent).collect()}
-    start = seed(packed, counts, list(top), settings)
-    k, unseen = start.pull.shape[1], start.own[len(start.frequent) :]
-    first = [(bytearray(w), c, int(start.own[start.frequent[w]])) for w, c in [(END, total["ends"] or 0), *top.items()]]
-    known = written(word_classes(packed, start, settings).unionByName(spark.createDataFrame(first, "word binary, c long, cls int")), "word-classes")
-    # Count, class and position in one number, and one row a chunk: its words are bounded, so this row is.
-    number = F.col("c") * (_POSITIONS * _CLASSES) + F.col("cls").cast("long") * _POSITIONS + F.col("pos")
-    back = used.select("chunk", "pos", "word").join(known.where("c > 0"), "word").select("chunk", number.alias("x"))
-    found = back.groupBy("chunk").agg(F.collect_list("x").alias("found"))
-    rows = written(packed.select("chunk", *_PAYLOAD).join(found, "chunk", "left").drop("chunk"), "classed")
-    n, v = np.zeros(k), np.zeros(k)
-    for r in known.where("c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # one row a class
-        n[r["cls"]], v[r["cls"]] = r["n"], r["v"]
-    transition, emission = _probabilities(_class_bigrams(rows, unseen, k), n, v, settings.prior)
-    model = spark.sparkContext.broadcast(Model(unseen, np.log10(transition), emission, int(total["n"]), int(total["v"])))  # bounded by the settings
+    top = counts.where((F.col("word") != F.lit(END)) & (F.octet_length("word") <= settings.hot_bytes)).orderBy(F.desc("c"), "word").limit(settings.hot).toArrow()
+    words = top.column("word").to_pylist()  # at most settings.hot
+    units = Units({END: 0} | {w: i + 1 for i, w in enumerate(words)}, np.concatenate([[total["ends"] or 0], top.column("c").to_numpy()]).astype(np.int64), settings.endings)
+    rare_words = np.full(settings.endings, max(0, total["v"] - len(units.number)) / settings.endings)
+    found = cluster(packed, units, np.concatenate([np.ones(len(units.number)), rare_words]), settings)
+    rare = written(_rare(packed, units, found, settings.ending_tokens), "rare-words")
+    rows = written(_classed(packed, rare, units, found), "classed", arrow_rows=4)
+    k = found.pull.shape[1]
+    n = np.bincount(found.own[: len(units.number)], weights=units.counts, minlength=k)
+    v = np.bincount(found.own[: len(units.number)], weights=units.counts > 0, minlength=k)
+    for r in rare.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # one row a class
+        n[r["cls"]] += r["n"]
+        v[r["cls"]] += r["v"]
+    transition, emission = _probabilities(_class_bigrams(rows, k), n, v, settings.prior)
+    model = docs.sparkSession.sparkContext.broadcast(Model(np.log10(transition), emission, int(total["n"]), int(total["v"])))  # bounded by the settings
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
-                doc = {k: batch.column(k)[i].as_py() for k in _PAYLOAD}
-                yield _score(model.value, id_type, doc, *_decoded(doc, batch.column("found")[i].values, model.value.unseen))
+                yield _score(model.value, batch, i)
 
     return rows.mapInArrow(run, schema)

@@ -95,6 +95,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Spool:
+    """Arrow batches kept by a task, to be read as often as needed: beyond ``held`` of them on the task's own disk."""
+
+    def __init__(self, held: int = 16):
+        self.held, self.batches, self.file, self.writer = held, [], None, None
+
+    def append(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+        if len(self.batches) > self.held:
+            if self.writer is None:
+                self.file = tempfile.TemporaryFile()
+                self.writer = pa.ipc.new_stream(self.file, batch.schema)
+            for b in self.batches:
+                self.writer.write_batch(b)
+            self.batches = []
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        if self.writer is not None:
+            self.file.flush()
+            end = self.file.tell()
+            self.file.seek(0)
+            reader = pa.ipc.open_stream(self.file)
+            while self.file.tell() < end:
+                yield reader.read_next_batch()
+            self.file.seek(end)
+        yield from self.batches
+
+
 def appended(
     df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[], Callable[..., list]], rows: int = 1000, without: Sequence[str] = ()
 ) -> DataFrame:

@@ -14,7 +14,6 @@ which it holds one at a time, and so builds each file's tables once.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import appended, shared_path, words
+from coppice.llm.common import Spool, appended, shared_path, words
 from coppice.llm.files import filesystem
 
 
@@ -147,29 +146,21 @@ def _scanned_by_files(docs: DataFrame, items: DataFrame, n_windows: int, window:
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in new.fields]
-        with tempfile.TemporaryFile() as spool:  # this task's own rows, gone with it
-            writer = None
-            for batch in batches:
-                writer = writer or pa.ipc.new_stream(spool, batch.schema)
-                writer.write_batch(batch)
-            if writer is None:
-                return
-            writer.close()
-            hits = _Hits()
-            for searches in map(_searches, _files(root, files, window)):
-                number = 0
-                spool.seek(0)
-                for batch in pa.ipc.open_stream(spool):
-                    for text in batch.column(at):
-                        hits.search(searches, number, words(text.as_py()))
-                        number += 1
+        spool, hits = Spool(), _Hits()
+        for batch in batches:
+            spool.append(batch)
+        for searches in map(_searches, _files(root, files, window)):
             number = 0
-            spool.seek(0)
-            for batch in pa.ipc.open_stream(spool):
-                sizes = [len(words(t.as_py())) for t in batch.column(at)]
-                made = [pa.array(x, t) for x, t in zip(hits.columns(number, sizes), types, strict=True)]
-                number += len(sizes)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+            for batch in spool:
+                for text in batch.column(at):
+                    hits.search(searches, number, words(text.as_py()))
+                    number += 1
+        number = 0
+        for batch in spool:
+            sizes = [len(words(t.as_py())) for t in batch.column(at)]
+            made = [pa.array(x, t) for x, t in zip(hits.columns(number, sizes), types, strict=True)]
+            number += len(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 

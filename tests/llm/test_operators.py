@@ -271,7 +271,7 @@ def test_decontamination_equals_brute_force(spark, block):
 
 def test_class_model(spark):
     rows = [(i, t) for i, t, _ in sample(300)]
-    s = brown.Settings(frequent=40, endings=10, classes=8, chunk_bytes=2000)
+    s = brown.Settings(seed_words=20, hot=60, endings=10, classes=8, chunk_bytes=2000)
     got = brown.score(docs(spark, [*rows, *(r[:2] for r in ODD)]), settings=s).collect()
     everything = [*rows, *(r[:2] for r in ODD)]
     assert len(got) == len(everything)
@@ -281,18 +281,19 @@ def test_class_model(spark):
     want = Counter((i, len(split(t)), sum(c[w] > 0 for w in split(t)), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in split(t)), 6)) for i, t in everything)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert {r["train_tokens"] for r in got} == {n}
-    held = [r for r in brown.score(docs(spark, rows), settings=brown.Settings(100, 100, 8)).collect() if r["held_out"]]
+    held = [r for r in brown.score(docs(spark, rows), settings=brown.Settings(seed_words=100, hot=200, endings=100, classes=8)).collect() if r["held_out"]]
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert brown.score(docs(spark, []), settings=s).count() == 0
     alone = brown.score(docs(spark, [(1, "a b")]).where("true"), settings=s).first()
     assert alone["n_tokens"] == 3
 
 
-def test_words_of_one_ending_are_told_by_their_neighbours(spark):
+@pytest.mark.parametrize("hot", [4, 50, 1000])
+def test_words_of_one_ending_are_told_by_their_neighbours(spark, hot):
     held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
     rows = [(i, f"aa nn bb vv aa n{i % 40}ing bb v{i % 40}ing aa nn bb vv") for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1]
     rows += [(i, f"aa n{j}ing bb v{j}ing" if j % 2 else f"aa v{j - 1}ing bb n{j - 1}ing") for j, i in enumerate(held, 1)]
-    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows), settings=brown.Settings(frequent=4, endings=1, classes=8)).collect()}
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows), settings=brown.Settings(seed_words=4, hot=hot, endings=1, classes=8)).collect()}
     assert all(got[a] > got[b] + 1 for a, b in zip(held[::2], held[1::2], strict=True))
 
 
