@@ -4,17 +4,18 @@ Counting. Documents are packed into chunks of some megabytes: a row with the chu
 first), their training counts, and each token as a number into them. So words cross the network once a chunk rather
 than once a token.
 
-Classes. The units that exchange clustering moves are the ``hot`` most frequent words and, for all other words, their
-endings. A seed puts the most frequent few hundred words and the endings into classes on the driver, moving one at a
-time to the class that raises the likelihood of the class bigrams most. Then all units exchange classes in rounds: a
-pass over the chunks sums each unit's counts with the class before and after it, by task; the sums, whose size is
-units times classes, come to the driver, and each unit moves to the class that its own neighbours make likeliest.
-Rounds go on while the likelihood rises. Last, every other training word, however many there are, takes the class of
-highest likelihood between its own neighbours' classes, leaning on its ending's; class bigrams are counted anew. Words
-that training has not have the class of their ending.
-
-Hot words are few and broadcast, so only rare words are dealt by word: each row brings a chunk's counts there and
-takes the word's count and class back.
+Classes. The units that exchange clustering moves are the ``moved`` most frequent words and, for all other words,
+their endings. A seed puts the most frequent few hundred words and the endings into classes on the driver, moving one
+at a time to the class that raises the likelihood of the class bigrams most. Then all units exchange classes in
+rounds: a pass over the chunks sums each unit's counts with the class before and after it, by task; the sums, whose
+size is units times classes, come to the driver, and each unit moves to the class that its own neighbours make
+likeliest. Rounds go on while the likelihood rises. Last, every other training word, however many there are, takes
+the class of highest likelihood between its own neighbours' classes, leaning on its ending's; class bigrams are
+counted anew. Words that training has not have the class of their ending.
+
+The ``hot`` most frequent words (by their counts in the chunks where they are among the first) are few and broadcast,
+so only rare words are dealt by word: each row brings a chunk's occurrences there and takes the word's count and class
+back. All counts are exact and of all training texts.
 
 Scoring. log10 P(text) = sum of log10 P(class | class before) P(word | class): class transitions are interpolated
 with class frequencies, emissions have half a count for a word not seen in the class.
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +46,12 @@ _SPOT = 1 << 32  # a class and a position in one number
 @dataclass(frozen=True)
 class Settings:
     seed_words: int = 600
-    hot: int = 1 << 15
+    moved: int = 1 << 12
+    hot: int = 1 << 14
     hot_bytes: int = 64  # longer words are not broadcast
     endings: int = 200
     classes: int = 64
-    rounds: int = 6
+    rounds: int = 3
     chunk_bytes: int = 8 << 20
     chunk_docs: int = 20_000
     prior: float = 20.0
@@ -192,10 +195,9 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Units:
-    """What exchange clustering moves: the end (0), hot words (1, 2, ...), then the endings of all other words."""
+    """The end (0), hot words (1, 2, ...), then the endings of all other words."""
 
     number: dict[bytes, int]
-    counts: np.ndarray  # training count of the end and of each hot word
     endings: int
 
     def __len__(self) -> int:
@@ -205,8 +207,11 @@ class Units:
         get, hot = self.number.get, len(self.number)
         return np.array([u if (u := get(w)) is not None else hot + ending(w, self.endings) for w in words], np.int64)
 
-
-_COUNTED = ("held_out", "sizes", "tokens", "words")
+    def first(self, n: int) -> np.ndarray:
+        """For each unit its number where only the end and the n - 1 most frequent words are units of their own."""
+        words = list(self.number)
+        n = min(n, len(words))
+        return np.concatenate([np.arange(n), n + np.array([ending(w, self.endings) for w in words[n:]], np.int64), n + np.arange(self.endings)])
 
 
 def _before(now: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
@@ -215,43 +220,62 @@ def _before(now: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
     return before
 
 
-def _training(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Of each chunk: tokens, sizes of its texts, which tokens train, and its words."""
-    for held, sizes, tokens_, words in zip(*(batch.column(c) for c in _COUNTED), strict=True):
-        sizes = np.array(sizes.as_py(), np.int64)
-        yield unpack_numbers(tokens_.as_py()), sizes, ~np.repeat(np.array(held.as_py(), bool), sizes), words.as_py()
+def _training(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of chunk i of a batch, sizes of its texts, and which tokens train."""
+    sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
+    return unpack_numbers(batch.column("tokens")[i].as_py()), sizes, ~np.repeat(np.array(batch.column("held_out")[i].as_py(), bool), sizes)
+
+
+_CODED = ["chunk", "ids", "held_out", "sizes", "tokens", "u"]
+
+
+def _coded(packed: DataFrame, units: Units) -> DataFrame:
+    """The chunks with the unit of each of their words instead of the words."""
+    shared = packed.sparkSession.sparkContext.broadcast(units)  # bounded by the settings
+    schema = StructType([*(packed.schema[c] for c in _CODED[:-1]), *StructType.fromDDL("u binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = pa.array([pack_numbers(shared.value.of(w.as_py())) for w in batch.column("words")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _CODED[:-1]), u], names=_CODED)
 
+    return packed.select(*_CODED[:-1], "words").mapInArrow(run, schema)
 
-def _bigrams(packed: DataFrame, units: Units, kinds: np.ndarray) -> np.ndarray:
+
+def _bigrams(coded: DataFrame, kinds: np.ndarray) -> np.ndarray:
     """Bigrams of kinds of units (one number each) in training texts; what comes before a text is kind 0."""
     s = int(kinds.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s * s, np.int64)
         for batch in batches:
-            for at, sizes, train, words in _training(batch):
-                now = kinds[units.of(words)][at]
+            for i in range(batch.num_rows):
+                at, sizes, train = _training(batch, i)
+                now = kinds[unpack_numbers(batch.column("u")[i].as_py())][at]
                 total += np.bincount(_before(now, sizes, 0)[train] * s + now[train], minlength=s * s)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
-    got = packed.select(*_COUNTED).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # s * s rows at most
+    got = coded.select(*_CODED[2:]).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # s * s rows at most
     out = np.zeros(s * s)
     out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(s, s)
 
 
-def _around(packed: DataFrame, units: Units, own: np.ndarray, k: int) -> np.ndarray:
-    """(units, 2 k): how often each class comes before, and after, each unit in training texts. Class 0 is around texts."""
-    width, shared = 2 * k, packed.sparkSession.sparkContext.broadcast((units, own))  # bounded by the settings
+def _around(coded: DataFrame, kinds: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """(kinds, 2 k): how often each class comes before, and after, each kind of unit in training texts.
+
+    ``kinds``: of each unit; ``own``: the class of each kind. Class 0 is around texts.
+    """
+    width, shared = 2 * k, coded.sparkSession.sparkContext.broadcast((kinds, own))  # bounded by the settings
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, own = shared.value
-        total = np.zeros(len(units) * width, np.int64)
+        kinds, own = shared.value
+        total = np.zeros(len(own) * width, np.int64)
         for batch in batches:
-            for at, sizes, train, words in _training(batch):
-                of = units.of(words)
-                u = of[at]
+            for i in range(batch.num_rows):
+                at, sizes, train = _training(batch, i)
+                u = kinds[unpack_numbers(batch.column("u")[i].as_py())][at]
                 now = own[u]
                 base = u[train] * width
                 total += np.bincount(base + _before(now, sizes, 0)[train], minlength=len(total))
@@ -269,9 +293,9 @@ def _around(packed: DataFrame, units: Units, own: np.ndarray, k: int) -> np.ndar
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["u", "n"])
 
-    rows = packed.select(*_COUNTED).mapInArrow(count, "u long, at array<byte>, n array<long>").repartition("u")
-    out = np.zeros((len(units), width))
-    for r in rows.mapInArrow(add, "u long, n binary").toArrow().to_batches():  # a row a unit
+    rows = coded.select(*_CODED[2:]).mapInArrow(count, "u long, at array<byte>, n array<long>").repartition("u")
+    out = np.zeros((len(own), width))
+    for r in rows.mapInArrow(add, "u long, n binary").toArrow().to_batches():  # a row a kind
         for u, n in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
             out[u] = np.frombuffer(n, np.int64)
     shared.unpersist()
@@ -293,38 +317,60 @@ def likelihood(g: np.ndarray) -> float:
 @dataclass(frozen=True)
 class Classes:
     own: np.ndarray  # class of each unit
+    counts: np.ndarray  # training tokens of each unit
     pull: np.ndarray  # (2 classes, classes): what a neighbour before, or after, adds to the log likelihood of each class
     typical: np.ndarray  # of each ending, the mean of that over its tokens
 
 
-def cluster(packed: DataFrame, units: Units, distinct: np.ndarray, settings: Settings) -> Classes:
-    """Classes of the units. ``distinct``: training words of each unit."""
-    hot, few = len(units.number), min(len(units.number), settings.seed_words + 1)
-    kinds = np.concatenate([np.arange(few), few + np.array([ending(w, settings.endings) for w in list(units.number)[few:]], np.int64), few + np.arange(settings.endings)])
-    own = exchange(_bigrams(packed, units, kinds), settings.classes)[kinds]
-    k, best = int(own.max()) + 1, None
-    for turn in range(settings.rounds + 1):
-        m = _around(packed, units, own, k)
-        member = np.zeros((len(units), k))
-        member[np.arange(len(units)), own] = 1
-        g = (member.T @ m[:, :k]).T  # class before, class
-        gain = likelihood(g)
-        if best is not None and gain <= best[0] * (1 + 1e-4 * np.sign(best[0])):
+#: For class choices a rare word is taken to occur so often; scores use the exact number of words.
+_RARE_TOKENS = 4.0
+
+
+def _fits(m: np.ndarray, own: np.ndarray, words: int, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Likelihood of the classes of kinds with counts m around them, of which the first are words, then pull and fits."""
+    k = m.shape[1] // 2
+    member = np.zeros((len(own), k))
+    member[np.arange(len(own)), own] = 1
+    g = (member.T @ m[:, :k]).T  # class before, class
+    tokens_ = m[:, :k].sum(1)
+    distinct = np.concatenate([tokens_[:words] > 0, tokens_[words:] / _RARE_TOKENS])
+    transition, emission = _probabilities(g, g.sum(0), distinct @ member, prior)
+    pull = np.concatenate([np.log(transition) - np.log(emission)[None], np.log(transition).T])
+    pull[:, 0] = -1e9  # class 0 is the end's alone
+    return likelihood(g), pull, m @ pull
+
+
+def cluster(coded: DataFrame, units: Units, settings: Settings) -> Classes:
+    few, kinds = units.first(settings.seed_words + 1), units.first(settings.moved + 1)
+    words = int(kinds.max()) + 1 - settings.endings
+    seed = exchange(_bigrams(coded, few), settings.classes)
+    own = np.zeros(words + settings.endings, np.int64)
+    own[kinds] = seed[few]
+    k, best = int(seed.max()) + 1, None
+    for _ in range(settings.rounds + 1):
+        m = _around(coded, kinds, own, k)
+        gain, pull, fits = _fits(m, own, words, settings.prior)
+        if best is not None and gain <= best[0] + 1e-4 * abs(best[0]):
             break
-        transition, emission = _probabilities(g, g.sum(0), member.T @ distinct, settings.prior)
-        pull = np.concatenate([np.log(transition) - np.log(emission)[None], np.log(transition).T])
-        pull[:, 0] = -1e9  # class 0 is the end's alone
-        fits = m @ pull
-        best = (gain, Classes(own, pull, fits[hot:] / np.maximum(1, m[hot:, :k].sum(1))[:, None]))
+        best = gain, own
         seen = m[:, :k].sum(1) > 0
         seen[0] = False
         own = np.where(seen, fits.argmax(1), own)
-    return best[1]
+    own = best[1][kinds]
+    m = _around(coded, np.arange(len(units)), own, k)  # all hot words by themselves
+    hot = len(units.number)
+    _, pull, fits = _fits(m, own, hot, settings.prior)
+    counts = m[:, :k].sum(1)
+    typical = fits[hot:] / np.maximum(1, counts[hot:])[:, None]
+    new = np.flatnonzero((counts[:hot] > 0) & (np.arange(hot) >= words))
+    ends = np.array([ending(w, settings.endings) for w in units.number], np.int64)
+    own[new] = (fits[new] + settings.ending_tokens * typical[ends[new]]).argmax(1)
+    return Classes(own, counts.astype(np.int64), pull, typical)
 
 
 def _rare(packed: DataFrame, units: Units, found: Classes, lean: float) -> DataFrame:
     """chunk, x, c of every word of a chunk that is not hot: its class and place in the chunk, and its training count.
-    The first row of a word has cls, its class, as well."""
+    The first row of a word that training has holds cls, its class, as well; else that is -1."""
     k = found.pull.shape[1]
     width, hot = 2 * k, len(units.number)
     shared = packed.sparkSession.sparkContext.broadcast((units, found))  # bounded by the settings
@@ -332,72 +378,68 @@ def _rare(packed: DataFrame, units: Units, found: Classes, lean: float) -> DataF
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, found = shared.value
         for batch in batches:
-            for chunk, (at, sizes, train, words) in zip(batch.column("chunk").to_pylist(), _training(batch), strict=True):
-                of = units.of(words)
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                words = batch.column("words")[i].values
+                of = units.of(words.to_pylist())
+                at, sizes, train = _training(batch, i)
                 now, rare = found.own[of][at], np.flatnonzero(of >= hot)
                 mine = np.flatnonzero(train & (of >= hot)[at])
-                base = at[mine].astype(np.int64) * width
-                key, n = np.unique(np.concatenate([base + _before(now, sizes, 0)[mine], base + k + np.append(now[1:], 0)[mine]]), return_counts=True)
-                start = np.append(np.searchsorted(key, rare * width), len(key))
+                mine = mine[np.argsort(at[mine], kind="stable")]
+                pairs = np.stack([_before(now, sizes, 0)[mine], k + np.append(now[1:], 0)[mine]], 1).astype(np.uint8).tobytes()
+                start = 2 * np.append(np.searchsorted(at[mine], rare), len(mine))
+                x = pa.Array.from_buffers(pa.binary(), len(rare), [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(pairs)])
+                columns = [words.take(pa.array(rare)), pa.array(np.full(len(rare), chunk)), pa.array(rare, pa.int32()), x]
+                whole = pa.RecordBatch.from_arrays(columns, names=["word", "chunk", "pos", "x"])
                 for lo in range(0, len(rare), 10_000):
-                    part, cut = rare[lo : lo + 10_000], start[lo : lo + 10_001]
-                    inside = slice(cut[0], cut[-1])
-                    lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(x)) for x in ((key[inside] % width).astype(np.uint8).view(np.int8), n[inside].astype(np.int32))]
-                    columns = [pa.array([words[i] for i in part], pa.binary()), pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array((of[part] - hot).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([*columns, *lists], names=["word", "chunk", "pos", "ending", "at", "n"])
+                    yield whole.slice(lo, 10_000)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, found = shared.value
         spool, last, total = Spool(), None, np.zeros(width, np.int64)
 
-        def decided(rows: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def decided(batch: pa.RecordBatch, which: np.ndarray, sums: np.ndarray, new: bool) -> pa.RecordBatch:
             """Rows with the number of each row's word and those words' counts by neighbouring class."""
-            new = True
-            for batch, which, sums in rows:
-                c = sums[:, :k].sum(1)
-                ends = batch.column("ending").to_numpy()
-                first = np.diff(which, prepend=-1).astype(bool)
-                fits = sums @ found.pull + lean * found.typical[ends[first]]
-                cls = np.where(c > 0, fits.argmax(1), found.own[hot + ends[first]])
-                first[0] &= new
-                new = False
-                x = cls[which] * _SPOT + batch.column("pos").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk"), pa.array(x, pa.int64()), pa.array(c[which], pa.int64()), pa.array(np.where(first & (c[which] > 0), cls[which], -1), pa.int32())],
-                    names=["chunk", "x", "c", "cls"])
+            first = np.diff(which, prepend=-1).astype(bool)
+            ends = np.array([ending(w, units.endings) for w in batch.column("word").filter(pa.array(first)).to_pylist()], np.int64)
+            c = sums[:, :k].sum(1)
+            cls = np.where(c > 0, (sums @ found.pull + lean * found.typical[ends]).argmax(1), found.own[hot + ends])
+            first[0] &= new
+            x = cls[which] * _SPOT + batch.column("pos").to_numpy()
+            told = np.where(first & (c > 0)[which], cls[which], -1)
+            return pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(x), pa.array(c[which]), pa.array(told, pa.int32())], names=["chunk", "x", "c", "cls"])
 
         def ended() -> Iterator[pa.RecordBatch]:  # the rows of one word, however many
-            yield from decided((b, np.zeros(b.num_rows, np.int64), total[None]) for b in spool)
+            for i, b in enumerate(spool):
+                yield decided(b, np.zeros(b.num_rows, np.int64), total[None], i == 0)
 
         for whole in batches:
             for lo in range(0, whole.num_rows, 5000):
                 batch = whole.slice(lo, 5000)
                 words = batch.column("word").to_pylist()
                 which = np.cumsum([i > 0 and words[i] != words[i - 1] for i in range(len(words))])
-                at, n = batch.column("at"), batch.column("n")
-                rows = np.repeat(which, at.value_lengths().to_numpy())
-                sums = np.bincount(rows * width + at.flatten().to_numpy().view(np.uint8), weights=n.flatten().to_numpy(), minlength=(int(which[-1]) + 1) * width)
-                sums = sums.reshape(-1, width).astype(np.int64)
-                cuts = np.searchsorted(which, [1, int(which[-1])]) if which[-1] else [len(words), 0]
+                x = batch.column("x")
+                size = pa.compute.binary_length(x).to_numpy()
+                flat = np.frombuffer(b"".join(x.to_pylist()), np.uint8)
+                sums = np.bincount(np.repeat(which, size) * width + flat, minlength=(int(which[-1]) + 1) * width).reshape(-1, width)
                 if last is not None and words[0] != last:
                     yield from ended()
                     spool, total = Spool(), np.zeros(width, np.int64)
+                total = total + sums[0]
                 if not which[-1]:  # one word: maybe more of it comes
                     spool.append(batch)
-                    total = total + sums[0]
                 else:
-                    spool.append(batch.slice(0, cuts[0]))
-                    total = total + sums[0]
+                    second, final = np.searchsorted(which, [1, int(which[-1])])
+                    spool.append(batch.slice(0, second))
                     yield from ended()
-                    if cuts[1] > cuts[0]:
-                        yield from decided(iter([(batch.slice(cuts[0], cuts[1] - cuts[0]), which[cuts[0] : cuts[1]] - 1, sums[1:-1])]))
+                    if final > second:
+                        yield decided(batch.slice(second, final - second), which[second:final] - 1, sums[1:-1], True)
                     spool, total = Spool(), sums[-1]
-                    spool.append(batch.slice(cuts[1]))
+                    spool.append(batch.slice(final))
                 last = words[-1]
         if last is not None:
             yield from ended()
 
-    rows = packed.select("chunk", *_COUNTED).mapInArrow(deal, "word binary, chunk long, pos int, ending int, at array<byte>, n array<int>")
+    rows = packed.select("chunk", "held_out", "sizes", "tokens", "words").mapInArrow(deal, "word binary, chunk long, pos int, x binary")
     return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "chunk long, x long, c long, cls int")
 
 
@@ -412,22 +454,20 @@ class Model:
 _CLASSED = ["ids", "held_out", "sizes", "tokens", "c", "cls"]
 
 
-def _classed(packed: DataFrame, rare: DataFrame, units: Units, found: Classes) -> DataFrame:
+def _classed(coded: DataFrame, rare: DataFrame, units: Units, found: Classes) -> DataFrame:
     """The chunks with the training count and the class of each of their words."""
-    shared, hot = packed.sparkSession.sparkContext.broadcast((units, found)), len(units.number)
-    back = rare.groupBy("chunk").agg(F.collect_list(F.struct("x", "c")).alias("rare"))
-    rows = packed.select("chunk", "ids", "held_out", "sizes", "tokens", "words").join(back.hint("merge"), "chunk", "left").drop("chunk")
-    schema = StructType([*(packed.schema[c] for c in ("ids", "held_out", "sizes", "tokens")), *StructType.fromDDL("c binary, cls binary").fields])
+    shared, hot = coded.sparkSession.sparkContext.broadcast(found), len(units.number)
+    back = rare.groupBy("chunk").agg(F.collect_list(F.struct("x", "c")).alias("rare"))  # as many as a chunk has words
+    rows = coded.join(back.hint("merge"), "chunk", "left").drop("chunk")
+    schema = StructType([*(coded.schema[c] for c in _CLASSED[:4]), *StructType.fromDDL("c binary, cls binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, found = shared.value
+        found = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                of = units.of(row.column("words")[0].as_py())
-                is_hot = of < hot
-                c, cls = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
-                c[is_hot], cls[is_hot] = units.counts[of[is_hot]], found.own[of[is_hot]]
+                u = unpack_numbers(row.column("u")[0].as_py())
+                c, cls = np.where(u < hot, found.counts[u], 0), found.own[u]
                 if row.column("rare")[0].is_valid:
                     pairs = row.column("rare")[0].values
                     x = pairs.field("x").to_numpy()
@@ -485,24 +525,20 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, settings: Settings = Se
     """
     flagged = docs.select("doc_id", "text", (remainder("doc_id", fold) == held).alias("_held"))
     packed = written(chunks(flagged, "_held", settings), "chunks", arrow_rows=1000)
-    used = packed.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = written(used.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
-    top = counts.where((F.col("word") != F.lit(END)) & (F.octet_length("word") <= settings.hot_bytes)).orderBy(F.desc("c"), "word").limit(settings.hot).toArrow()
-    words = top.column("word").to_pylist()  # at most settings.hot
-    units = Units({END: 0} | {w: i + 1 for i, w in enumerate(words)}, np.concatenate([[total["ends"] or 0], top.column("c").to_numpy()]).astype(np.int64), settings.endings)
-    rare_words = np.full(settings.endings, max(0, total["v"] - len(units.number)) / settings.endings)
-    found = cluster(packed, units, np.concatenate([np.ones(len(units.number)), rare_words]), settings)
+    first = packed.select(F.explode(F.slice(F.arrays_zip("words", "counts"), 2, settings.hot)).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    top = first.where((F.col("n") > 0) & (F.octet_length("word") <= settings.hot_bytes)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(settings.hot).select("word").toArrow()
+    units = Units({END: 0} | {w: i + 1 for i, w in enumerate(top.column(0).to_pylist())}, settings.endings)
+    coded = written(_coded(packed, units), "coded", arrow_rows=4)
+    found = cluster(coded, units, settings)
     rare = written(_rare(packed, units, found, settings.ending_tokens), "rare-words")
-    rows = written(_classed(packed, rare, units, found), "classed", arrow_rows=4)
-    k = found.pull.shape[1]
-    n = np.bincount(found.own[: len(units.number)], weights=units.counts, minlength=k)
-    v = np.bincount(found.own[: len(units.number)], weights=units.counts > 0, minlength=k)
+    rows = written(_classed(coded, rare, units, found), "classed", arrow_rows=4)
+    k, hot = found.pull.shape[1], len(units.number)
+    n, v = (np.bincount(found.own[:hot], weights=x, minlength=k) for x in (found.counts[:hot], found.counts[:hot] > 0))
     for r in rare.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # one row a class
         n[r["cls"]] += r["n"]
         v[r["cls"]] += r["v"]
     transition, emission = _probabilities(_class_bigrams(rows, k), n, v, settings.prior)
-    model = docs.sparkSession.sparkContext.broadcast(Model(np.log10(transition), emission, int(total["n"]), int(total["v"])))  # bounded by the settings
+    model = docs.sparkSession.sparkContext.broadcast(Model(np.log10(transition), emission, int(n.sum()), int(v.sum())))  # bounded by the settings
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -271,7 +271,7 @@ def test_decontamination_equals_brute_force(spark, block):
 
 def test_class_model(spark):
     rows = [(i, t) for i, t, _ in sample(300)]
-    s = brown.Settings(seed_words=20, hot=60, endings=10, classes=8, chunk_bytes=2000)
+    s = brown.Settings(seed_words=20, moved=30, hot=60, endings=10, classes=8, chunk_bytes=2000)
     got = brown.score(docs(spark, [*rows, *(r[:2] for r in ODD)]), settings=s).collect()
     everything = [*rows, *(r[:2] for r in ODD)]
     assert len(got) == len(everything)
@@ -293,7 +293,7 @@ def test_words_of_one_ending_are_told_by_their_neighbours(spark, hot):
     held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
     rows = [(i, f"aa nn bb vv aa n{i % 40}ing bb v{i % 40}ing aa nn bb vv") for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1]
     rows += [(i, f"aa n{j}ing bb v{j}ing" if j % 2 else f"aa v{j - 1}ing bb n{j - 1}ing") for j, i in enumerate(held, 1)]
-    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows), settings=brown.Settings(seed_words=4, hot=hot, endings=1, classes=8)).collect()}
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows), settings=brown.Settings(seed_words=4, moved=max(4, hot // 2), hot=hot, endings=1, classes=8)).collect()}
     assert all(got[a] > got[b] + 1 for a, b in zip(held[::2], held[1::2], strict=True))
 
 
