@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from coppice.llm.common import Spool, remainder, written
+from coppice.llm.common import Spool, discard, remainder, written
 
 #: Stands for the end of a text; no word holds a space.
 END = b" "
@@ -531,12 +531,14 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, settings: Settings = Se
     coded = written(_coded(packed, units), "coded", arrow_rows=4)
     found = cluster(coded, units, settings)
     rare = written(_rare(packed, units, found, settings.ending_tokens), "rare-words")
+    discard(packed)
     rows = written(_classed(coded, rare, units, found), "classed", arrow_rows=4)
     k, hot = found.pull.shape[1], len(units.number)
     n, v = (np.bincount(found.own[:hot], weights=x, minlength=k) for x in (found.counts[:hot], found.counts[:hot] > 0))
     for r in rare.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # one row a class
         n[r["cls"]] += r["n"]
         v[r["cls"]] += r["v"]
+    discard(coded, rare)
     transition, emission = _probabilities(_class_bigrams(rows, k), n, v, settings.prior)
     model = docs.sparkSession.sparkContext.broadcast(Model(np.log10(transition), emission, int(n.sum()), int(v.sum())))  # bounded by the settings
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])

@@ -51,7 +51,17 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 def cleared(spark: SparkSession) -> None:
     """Deletes what operators of this application wrote to the shared folder: to be called once results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    _delete(spark, shared_root(spark))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing will read again: all that came of them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -83,7 +93,9 @@ def written(df: DataFrame, what: str, arrow_rows: int | None = None) -> DataFram
         df.write.parquet(path)
     finally:
         spark.conf.set(name, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
 def remainder(doc_id: Column | str, n: int) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import appended, matching, words, written
+from coppice.llm.common import appended, discard, matching, words, written
 from coppice.llm.graph import components
 
 #: A band of four registers is 64 bits. Texts of similarity 0.8 share none of 20 bands with probability 3e-5.
@@ -258,7 +258,8 @@ def links(
     distinct = buckets.groupBy("n", "x", "size").agg(F.min("bucket").alias("bucket"))
     sized = distinct.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     met = written(spots.select("id", "bucket").join(sized.hint("merge"), "bucket"), "buckets")
-    sharing = matching(source, written(met.select("id").distinct(), "sharing"), "id")
+    ids = written(met.select("id").distinct(), "sharing")
+    sharing = matching(source, ids, "id")
     registers = texts.select("id", "registers", "size")
 
     def whole(rows: DataFrame) -> DataFrame:
@@ -292,6 +293,7 @@ def links(
         pairs = dealt(grouped, 0).withColumn("other", other).where("other <> block").select(
             "id", "group", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
         found = found.unionByName(compared(pairs, ["bucket", "one", "two"]))
+    discard(met, ids)
     return found, sketched.select("id", "digest"), texts.select("digest", "id", "n")
 
 
