@@ -161,16 +161,78 @@ def test_wrappers(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def text_of(html):
+    return wrappers.Extractor()(html, None)
+
+
 def test_alignment_covers_both():
     a, b = (wrappers.fold(wrappers.parse(h)[0]) for h in ("<div><p>1<p>2<ul><li>x<li>y</ul></div>", "<div><h2>t</h2><p>1</div>"))
-    (one,) = wrappers.infer([a, b])
+    ((one, n),) = wrappers.infer([(a, 3), (b, 1)])
     e = wrappers.Expression(one)
+    assert n == 4
     for html in ("<div><p>1<p>2<p>3</div>", "<div><h2>t</h2><p>1<ul><li>x</ul></div>"):
-        stream, texts = wrappers.parse(html)
-        assert e.texts(stream, texts) == texts
+        stream, texts, _ = wrappers.parse(html)
+        slots = e.fill(stream)
+        assert len(slots) == len(texts) and e.followed("".join(e.letters[t] for t in stream)) == slots
     assert json.loads(json.dumps(one)) == one
 
 
+def test_pages_that_are_not_well_formed():
+    assert text_of("<html><head><title>t</title><body><article><p>Hello world</p></article>") == "Hello world"
+    assert text_of("<html><head><title>t</title>Hello <b>world") == "Hello world"
+    assert text_of("<article><p>Let x be <math><mi>b</mi><mo>+</mo></math> or <button>z</button></p></article>") == "Let x be b+ or z"
+    assert text_of("<article><p>a</p><select><option>b</article><footer>f</footer>") == "a"
+    assert text_of("<article><p>a<svg><text>b</text></svg> c<form><button>d</button></form>") == "a c"
+    assert text_of('<article class="post teaser-style social"><p>a</article><article class="comment"><p>b</article>') == "a"
+    assert text_of('<article><section class="related work"><p>a</section><section class="related-posts"><p>b</section></article>') == "a"
+    assert text_of("<script>x") == text_of(None) == text_of("<nav>only a menu</nav>") == ""
+
+
+def test_long_and_deep_pages_are_read_whole(spark):
+    long = "<article>" + "".join(f"<h{i % 5 + 1}>h{i}</h{i % 5 + 1}><p>t{i}" for i in range(20_000)) + "</article>"
+    deep = "<div>" * 3000 + "<article><p>x</article>"
+    got = wrappers.extract(spark.createDataFrame([(1, "http://a/", long), (2, "http://a/", deep), (2, "http://a/", deep)], "page_id long, url string, html string")).collect()
+    by = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 3 and by[2] == "x" and by[1] == "\n".join(f"h{i}\nt{i}" for i in range(20_000))
+
+
+def test_slots_do_not_hang_on_the_time():
+    group = [["p", 0], ["#", 0], ["/p", 0]]
+    hard = [[group, 0]] + [[group, i] for i in range(1, 30)] + [["div", 0], ["/div", 0]]
+    e = wrappers.Expression(hard)
+    for n in (1, 60, 400):
+        stream = ["p", "#", "/p"] * n
+        assert e.fill([*stream, "div", "/div"]) == [0] * n
+        assert e.fill(stream) is None and e.followed("".join(e.letters[t] for t in stream)) is None
+
+
+def test_templates_without_names_are_told_by_what_varies(spark):
+    def page(i, content):
+        return f"<body><div><div><a href=/>Home</a> <a href=/b>Books {i}</a></div><div>{content}</div><div>All rights of the site</div></div></body>"
+
+    rows = [(i, f"http://a.x/{i}", page(i, "".join(f"<p>Words {i} of {k}</p>" for k in range(1 + i % 4)))) for i in range(12)]
+    rows += [(100 + i, "http://b.x/", page(0, "<p>the same words</p>")) for i in range(5)]  # copies of one page
+    rows += [(200 + i, f"http://c.x/{i}", f"<body><article><p>All rights of the site</p><p>{i}</p></article></body>") for i in range(6)]  # named
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == ["\n".join(f"Words {i} of {k}" for k in range(1 + i % 4)) for i in range(12)]
+    assert {got[100 + i] for i in range(5)} == {"the same words\nAll rights of the site"}
+    assert [got[200 + i] for i in range(6)] == [f"All rights of the site\n{i}" for i in range(6)]
+    assert wrappers.Extractor()(rows[1][2], None) != got[1]  # what a page tells alone is not the answer
+
+
+def test_all_skeletons_of_a_host_are_aligned(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "GROUP", 4)
+    tags = ["h2", "h3", "pre", "blockquote", "ul"]
+    shape = lambda i: "".join(f"<{t}>x{i}</{t}>" for k, t in enumerate(tags) if i >> k & 1)
+    rows = [(i, "http://a.x/", f"<nav>m</nav><article><h1>t{i}</h1><p>a{i}</p>{shape(i)}<h6>z</h6></article>") for i in range(32)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counted = wrappers.skeleton_counts(df.withColumn("host", F.lit("a")))
+    n = counted.count()
+    found = wrappers.wrappers(counted).collect()
+    assert n == 32 and len(found) < 8 and sum(r["n"] for r in found) == 32
+    assert {r["page_id"]: r["text"].count("\n") for r in wrappers.extract(df).collect()} == {i: 2 + i.bit_count() for i in range(32)}
+
+
 # --- 4
 
 
