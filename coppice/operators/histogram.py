@@ -42,9 +42,8 @@ def node_statistics(df: DataFrame, node: Sequence[str], y: str, w: str, regulari
     of their sum.
     """
     classes = df.groupBy(*node, F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(F.col(w) * F.col(w)).alias("w2"))
-    best = F.max_by("y", F.struct("w", -F.col("rank")))
-    ranked = classes.withColumn("rank", F.dense_rank().over(Window.orderBy("y")))
-    nodes = ranked.groupBy(*node).agg(F.sum("n").alias("n"), F.sum("w").alias("weight"), F.sum("w2").alias("weight2"), F.count(F.lit(1)).alias("n_classes"), best.alias("prediction"), F.max("w").alias("top"))
+    best = F.min_by("y", F.struct(-F.col("w"), F.col("y")))
+    nodes = classes.groupBy(*node).agg(F.sum("n").alias("n"), F.sum("w").alias("weight"), F.sum("w2").alias("weight2"), F.count(F.lit(1)).alias("n_classes"), best.alias("prediction"), F.max("w").alias("top"))
     total = F.broadcast(nodes.agg(F.sum("weight").alias("_all")))
     loss = (F.col("weight") - F.col("top")) / F.col("_all")
     return nodes.crossJoin(total).select(*node, "n", "weight", "weight2", "n_classes", "prediction", loss.alias("loss"), (loss + regularisation).alias("objective"), (F.col("weight2") / (F.col("weight") * F.col("weight"))).alias("effective_unit"))
@@ -76,7 +75,7 @@ def best_threshold(hist: DataFrame, by: Sequence[str] = (), decimals: int = 9) -
 
 def contiguous_partitions(hist: DataFrame, groups: int) -> DataFrame:
     """feature, cut1[, cut2], loss, gini of every partition into 2 or 3 runs of bins, by self-join of the prefix table."""
-    p = prefix_sums(hist).select("feature", "bin", "c0", "c1", "t0", "t1").cache()
+    p = prefix_sums(hist).select("feature", "bin", "c0", "c1", "t0", "t1")
     if groups == 2:
         l0, l1, r0, r1 = _sides()
         return p.where((r0 + r1) > 0).select("feature", F.col("bin").alias("cut1"), (leaf_loss(l0, l1) + leaf_loss(r0, r1)).alias("loss"), (gini_mass(l0, l1) + gini_mass(r0, r1)).alias("gini"))
@@ -103,8 +102,18 @@ def patterns(df: DataFrame, features: Sequence[str], y: str, w: str | None = Non
 
 
 def pattern_ids(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """features, n, pattern: dense numbers of the distinct patterns in lexicographic order."""
-    return df.groupBy(*features).agg(F.count(F.lit(1)).alias("n")).withColumn("pattern", (F.row_number().over(Window.orderBy(*features)) - 1).cast("int"))
+    """features, n, pattern: dense numbers of the distinct patterns in lexicographic order.
+
+    Patterns are numbered within each value of the first feature, from where the values before it end: only those
+    values, which are bins, are ordered in one task.
+    """
+    found = df.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
+    first = features[0]
+    sizes = found.groupBy(F.col(first).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    base = F.broadcast(sizes.withColumn("_base", F.sum("_c").over(Window.orderBy("_v")) - F.col("_c")).drop("_c"))
+    local = F.row_number().over(Window.partitionBy(first).orderBy(*features)) - 1
+    numbered = found.withColumn("_at", local).join(base, F.col(first).eqNullSafe(F.col("_v")))
+    return numbered.select(*features, "n", (F.col("_base") + F.col("_at")).cast("int").alias("pattern"))
 
 
 def signature_bound(df: DataFrame, features: Sequence[str], y: str, regularisation: float = 0.0, by: Sequence[str] = ()) -> DataFrame:

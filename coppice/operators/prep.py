@@ -6,10 +6,12 @@ classes use a hash of the row's key so that any engine can repeat them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def one_row(df: DataFrame) -> DataFrame:
@@ -141,14 +143,72 @@ def largest_remainder(df: DataFrame, label: str, share: float) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, validation: float = 0.1, seed: int = 0) -> DataFrame:
     """Adds split: test, val or fit. In each class rows are ordered by a hash of the key; exact shares by class.
 
-    A class's rows are ranked in bounded pieces: by the first byte of the hash, with a running sum over 256 counts
-    for the pieces before, so no class is sorted in one task.
+    Rows of equal key go together, so shares are exact up to such ties. No row is moved: the two rows where a class is
+    cut are found by counting, and a row is held against its class's cuts. Classes are collected, so they must be few.
     """
-    ranked = rank_in_class(df, key, label, seed)
-    sizes = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n_test, n_val = F.floor(F.col("_n") * test + 0.5), F.floor(F.col("_n") * validation + 0.5)
-    split = F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "val").otherwise("fit")
-    return ranked.join(sizes, label).withColumn("split", split).drop("_rank", "_n")
+    h = F.coalesce(hashed(F.col(key), seed), F.lit("-"))  # a null key comes first
+    rows = df.select(F.col(label).alias("_l"), h.alias("_h"), F.col(key).alias("_k"))
+
+    def ranks(n: int) -> list[int]:
+        n_test, n_val = math.floor(n * test + 0.5), math.floor(n * validation + 0.5)
+        return [n_test, n_test + n_val]
+
+    found = class_cuts(rows, ranks)
+    schema = StructType([StructField("_l", df.schema[label].dataType), *(StructField(f"_{c}{i}", t) for i in (0, 1) for c, t in (("h", StringType()), ("k", df.schema[key].dataType)))])
+    cuts = df.sparkSession.createDataFrame([(k, *(x for c in v for x in c)) for k, v in found.items()], schema)
+    first, second = (F.coalesce(F.struct("_h", F.col(key)) <= F.struct(f"_h{i}", f"_k{i}"), F.lit(False)) for i in (0, 1))
+    split = F.when(first & F.col("_h0").isNotNull(), "test").when(second & F.col("_h1").isNotNull(), "val").otherwise("fit")
+    cut = df.withColumn("_h", h).join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_l")), "left")  # a row a class
+    return cut.withColumn("split", split).drop("_h", "_l", "_h0", "_k0", "_h1", "_k1")
+
+
+def class_cuts(rows: DataFrame, ranks: Callable[[int], list[int]], digits: int = 3, most: int = 10_000) -> dict:
+    """For each class (_l) the (hash, key) of the rows of the given ranks of its size, in order of _h and _k; (None, None)
+    for rank 0.
+
+    Rows are counted by the first digits of the hash, then by further ones within the pieces that hold a cut, until
+    those have at most ``most`` rows, which are looked at.
+    """
+    spark, key_types = rows.sparkSession, rows.schema
+    piece = F.substring("_h", 1, digits)
+    counts: dict = {}
+    for r in rows.groupBy("_l", piece.alias("p")).count().collect():  # classes times 16 ** digits
+        counts.setdefault(r["_l"], []).append((r["p"], r["count"]))
+    wanted = {k: ranks(sum(n for _, n in v)) for k, v in counts.items()}
+    left = {(k, i): ("", r) for k, v in wanted.items() for i, r in enumerate(v) if r > 0}  # prefix, rank within it
+    sizes: dict = {}
+    pieces = {(k, ""): v for k, v in counts.items()}
+    while True:
+        for at, (prefix, rank) in list(left.items()):
+            for p, n in sorted(pieces.get((at[0], prefix), ())):
+                if rank <= n:
+                    left[at], sizes[at[0], p] = (p, rank), n
+                    break
+                rank -= n
+        open_ = {(k, p) for (k, _), (p, _) in left.items() if sizes[k, p] > most}
+        if not open_ or digits >= 32:
+            break
+        digits = min(32, digits + 3)
+        inside = spark.createDataFrame(sorted(open_, key=str), StructType([StructField("c", key_types["_l"].dataType), StructField("p", StringType())]))
+        hit = rows.join(F.broadcast(inside), F.col("_l").eqNullSafe(F.col("c")) & F.col("_h").startswith(F.col("p")))
+        pieces = {}
+        for r in hit.groupBy("_l", "p", F.substring("_h", 1, digits).alias("q")).count().collect():
+            pieces.setdefault((r["_l"], r["p"]), []).append((r["q"], r["count"]))
+    ends = {(k, p) for (k, _), (p, _) in left.items()}
+    found = {k: [(None, None)] * len(v) for k, v in wanted.items()}
+    if ends:
+        inside = spark.createDataFrame(sorted(ends, key=str), StructType([StructField("c", key_types["_l"].dataType), StructField("p", StringType())]))
+        hit = rows.join(F.broadcast(inside), F.col("_l").eqNullSafe(F.col("c")) & F.col("_h").startswith(F.col("p")))
+        members: dict = {}
+        for r in hit.groupBy("_l", "p", "_h", "_k").count().collect():  # at most ``most`` a cut
+            members.setdefault((r["_l"], r["p"]), []).append((r["_h"], r["_k"], r["count"]))
+        for (k, i), (p, rank) in left.items():
+            for h, key, n in sorted(members[k, p], key=lambda x: (x[0], x[1] is not None, x[1])):
+                if rank <= n:
+                    found[k][i] = (h, key)
+                    break
+                rank -= n
+    return found
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 0) -> DataFrame:
@@ -156,9 +216,14 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed:
     return rank_in_class(df, key, label, seed).withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
 
 
-def rank_in_class(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
-    """Adds _rank: 1, 2, ... within the class by hash of the key, then the key."""
-    h = df.withColumn("_h", hashed(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 2))
+def rank_in_class(df: DataFrame, key: str, label: str, seed: int, piece_rows: int = 1_000_000) -> DataFrame:
+    """Adds _rank: 1, 2, ... within the class by hash of the key, then the key.
+
+    A class is ranked in pieces by the first digits of the hash, as many as leave about ``piece_rows`` rows a piece,
+    with a running sum over the counts of the pieces before, so no class is sorted in one task.
+    """
+    digits = max(2, math.ceil(math.log(max(1, df.count() / piece_rows), 16)))
+    h = df.withColumn("_h", hashed(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, digits))
     pieces = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     base = pieces.withColumn("_base", F.sum("_c").over(Window.partitionBy(label).orderBy("_b")) - F.col("_c")).drop("_c")
     local = h.withColumn("_local", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))

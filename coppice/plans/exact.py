@@ -177,8 +177,9 @@ class Fitted:
 def optimal(cases: Cases, settings: Settings = Settings()) -> Fitted:
     s, rows = Search(cases, settings), np.arange(len(cases.x))
     objective, tree = s.solve(rows, settings.depth)
-    lower = s.minority(rows) + s.reg if s.timed_out else objective
-    return Fitted(tree, objective, lower, "timeout" if s.timed_out else "optimal")
+    proven = not s.timed_out and settings.proposals is None
+    lower = objective if proven else min(objective, s.minority(rows) + s.reg)
+    return Fitted(tree, objective, lower, "timeout" if s.timed_out else "optimal" if proven else "proposals")
 
 
 def lookahead(cases: Cases, settings: Settings, steps: int = 2, fill: str = "optimal") -> Fitted:

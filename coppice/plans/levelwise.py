@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.operators.binning import long_form
-from coppice.plans.trees import Leaf, Split, Tree, expression, to_spans
+from coppice.plans.trees import Leaf, Split, Tree, below, expression, to_spans
 
 EPS = 1e-12
 
@@ -110,6 +110,8 @@ def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float) ->
 def grow(df: DataFrame, features: Sequence[str], y: str, settings: Settings = Settings()) -> Tree:
     """Grows a tree on binned columns; at most one job a level."""
     s = settings
+    if s.branches < 2 or s.depth < 0:
+        raise ValueError("a split has two branches at least, and a depth is not negative")
     numeric = s.criterion == "variance"
     classes = None if numeric else sorted((r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect()), key=str)
     tree: Tree | None = None
@@ -149,7 +151,7 @@ def grow(df: DataFrame, features: Sequence[str], y: str, settings: Settings = Se
             children = [_leaf(part[part["_bin"].isin(g)][names].to_numpy(float).sum(0), classes, s) for g in groups]
             split = Split(features[i], [to_spans(g) for g in groups], children, leaf.prediction, leaf.loss, leaf.counts)
             tree = _replaced(tree, name, split)
-            grown |= {f"{name}{k}" for k in range(len(groups))}
+            grown |= {below(name, k) for k in range(len(groups))}
         open_ = grown
         if not open_:
             break
@@ -165,8 +167,8 @@ def _leaf(a: np.ndarray, classes: list | None, s: Settings) -> Leaf:
 def _replaced(tree: Tree, path: str, new: Tree) -> Tree:
     if not path:
         return new
-    k = int(path[0])
-    children = [_replaced(c, path[1:], new) if i == k else c for i, c in enumerate(tree.children)]
+    k, _, rest = path.partition(".")
+    children = [_replaced(c, rest, new) if i == int(k) else c for i, c in enumerate(tree.children)]
     return Split(tree.feature, tree.branches, children, tree.prediction, tree.loss, tree.counts)
 
 
@@ -183,9 +185,9 @@ def alternate(df: DataFrame, tree: Tree, features: Sequence[str], y: str, settin
     s = Settings(1, settings.kind, settings.branches, settings.min_child, settings.penalty, settings.criterion)
     errors = _errors(df, tree, y)
     for _ in range(rounds):
-        for path in sorted(_paths(tree), key=len, reverse=True):
+        for path in sorted(_paths(tree), key=lambda p: p.count(".") + bool(p), reverse=True):
             node = _at(tree, path)
-            within = df.withColumn("_path", expression(tree, "path")).where(F.col("_path").startswith(path)).drop("_path")
+            within = df.withColumn("_path", expression(tree, "path")).where((F.col("_path") == path) | F.col("_path").startswith(f"{path}." if path else "")).drop("_path")
             right = [expression(c).eqNullSafe(F.col(y)).cast("int") for c in node.children]
             n_right = sum(right[1:], right[0])
             care = within.where((n_right > 0) & (n_right < len(right))).withColumn("_best", F.array_position(F.array(*right), 1).cast("int") - 1)
@@ -211,10 +213,10 @@ def _errors(df: DataFrame, tree: Tree, y: str) -> int:
 
 
 def _paths(t: Tree, at: str = "") -> list[str]:
-    return [] if isinstance(t, Leaf) else [at, *(p for k, c in enumerate(t.children) for p in _paths(c, f"{at}{k}"))]
+    return [] if isinstance(t, Leaf) else [at, *(p for k, c in enumerate(t.children) for p in _paths(c, below(at, k)))]
 
 
 def _at(t: Tree, path: str) -> Tree:
-    for k in path:
+    for k in path.split(".") if path else ():
         t = t.children[int(k)]
     return t

@@ -7,6 +7,7 @@ table, JSON, text, or a column expression, by which prediction is a projection i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,8 +73,12 @@ def predict_one(tree: Tree, row: dict, depth: int | None = None) -> object:
     return tree.prediction
 
 
+def below(path: str, branch: int) -> str:
+    return f"{path}.{branch}" if path else str(branch)
+
+
 def expression(tree: Tree, what: str = "prediction", depth: int | None = None) -> Column:
-    """The prediction (or ``path``: the leaf's branches from the root) as a CASE over the bins. A null bin stops at the
+    """The prediction (or ``path``: the leaf's branches from the root, joined by dots) as a CASE over the bins. A null bin stops at the
     node; so does a depth limit."""
     def of(t: Tree, path: str, d: int | None) -> Column:
         own = F.lit(path if what == "path" else t.prediction)
@@ -81,7 +86,7 @@ def expression(tree: Tree, what: str = "prediction", depth: int | None = None) -
             return own
         c, bins = None, F.col(t.feature)
         for top, k in cuts(t.branches):
-            value = of(t.children[k], f"{path}{k}", None if d is None else d - 1)
+            value = of(t.children[k], below(path, k), None if d is None else d - 1)
             cond = bins.isNotNull() if top is None else bins <= top
             c = F.when(cond, value) if c is None else c.when(cond, value)
         return c.otherwise(own)
@@ -89,6 +94,85 @@ def expression(tree: Tree, what: str = "prediction", depth: int | None = None) -
     return of(tree, "", depth)
 
 
+def shares(tree: Tree, classes: list, out: str = "share_", depth: int | None = None) -> dict[str, Column]:
+    """The share of each class (``out`` and its name: column) in the leaf that a row reaches, by class position; leaves
+    without rows share alike. The shares of a row add up to 1."""
+    def of(t: Tree, d: int | None, i: int) -> Column:
+        total = sum(t.counts.values())
+        own = F.lit(float(t.counts.get(str(classes[i]), 0.0) / total) if total else 1 / len(classes))
+        if isinstance(t, Leaf) or d == 0:
+            return own
+        c, bins = None, F.col(t.feature)
+        for top, k in cuts(t.branches):
+            cond = bins.isNotNull() if top is None else bins <= top
+            value = of(t.children[k], None if d is None else d - 1, i)
+            c = F.when(cond, value) if c is None else c.when(cond, value)
+        return c.otherwise(own)
+
+    return {f"{out}{c}": of(tree, depth, i) for i, c in enumerate(classes)}
+
+
+def predict_shares(df: DataFrame, tree: Tree, classes: list, out: str = "share_", depth: int | None = None) -> DataFrame:
+    """Adds a column for each class with its share in the row's leaf (class probabilities)."""
+    return df.withColumns(shares(tree, classes, out, depth))
+
+
+def leaf_groups(tree: Tree) -> list[tuple[dict[str, Spans], Leaf]]:
+    """For each leaf the bins that each feature may have there: all conditions on a feature as one list of spans."""
+    def walk(t: Tree, held: dict[str, set[int] | None]) -> Iterator[tuple[dict[str, Spans], Leaf]]:
+        if isinstance(t, Leaf):
+            yield {f: to_spans(list(b)) for f, b in held.items()}, t
+            return
+        for spans, c in zip(t.branches, t.children, strict=True):
+            bins = {b for lo, hi in spans for b in range(lo, hi + 1)}
+            yield from walk(c, held | {t.feature: bins & held[t.feature] if t.feature in held else bins})
+
+    return list(walk(tree, {}))
+
+
+def group_table(spark: SparkSession, tree: Tree) -> DataFrame:
+    """leaf, feature, spans, prediction, n: the leaf groups as rows; a tree of one leaf has one row of a null feature."""
+    rows = []
+    for i, (held, leaf) in enumerate(leaf_groups(tree)):
+        for f, spans in held.items() or [(None, None)]:
+            rows.append((i, f, spans, str(leaf.prediction), float(sum(leaf.counts.values()))))
+    return spark.createDataFrame(rows, "leaf int, feature string, spans array<struct<lo:int,hi:int>>, prediction string, n double")
+
+
+def latex(tree: Tree, edges: dict[str, list[float]] | None = None) -> str:
+    """The tree for LaTeX's forest package: a node for each split, branches labelled by their conditions."""
+    def safe(x: object) -> str:
+        return re.sub(r"([#$%&_{}])", r"\\\1", str(x)).replace("<=", r"$\le$").replace("<", "$<$")
+
+    def of(t: Tree, label: str) -> str:
+        edge = f", edge label={{node[midway]{{{safe(label)}}}}}" if label else ""
+        if isinstance(t, Leaf):
+            return f"[{{{safe(t.prediction)}}}{edge}]"
+        inner = " ".join(of(c, condition(t.feature, s, (edges or {}).get(t.feature))) for s, c in zip(t.branches, t.children, strict=True))
+        return f"[{{{safe(t.feature)}}}{edge} {inner}]"
+
+    return f"\\begin{{forest}}\n{of(tree, '')}\n\\end{{forest}}"
+
+
+def summarised(tree: Tree) -> Tree:
+    """Children that split the same feature as their parent are taken up into it: their branches, cut to the bins that
+    reach them, become the parent's. Predictions of bins that the splits name stay the same."""
+    if isinstance(tree, Leaf):
+        return tree
+    spans, children = [], []
+    for s, c in zip(tree.branches, map(summarised, tree.children), strict=True):
+        if isinstance(c, Split) and c.feature == tree.feature:
+            for bins in ([b for lo, hi in s for b in range(lo, hi + 1)],):
+                for k, g in enumerate(c.children):
+                    if inside := [b for b in bins if route(c, b) == k]:
+                        spans.append(to_spans(inside))
+                        children.append(g)
+        else:
+            spans.append(s)
+            children.append(c)
+    return Split(tree.feature, spans, children, tree.prediction, tree.loss, tree.counts)
+
+
 def nodes(tree: Tree) -> Iterator[tuple[int, int | None, int | None, int, Tree]]:
     """(node, parent, branch, depth, subtree), parents first."""
     todo: list[tuple[int | None, int | None, int, Tree]] = [(None, None, 0, tree)]

@@ -608,7 +608,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     li = table(spark, sf_dir, "lineitem")
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    parts = prep.stratified_split(li.select(*features, "l_linestatus", key.alias("key")), "key", "l_linestatus").drop("key").persist()  # read by every level
+    parts = prep.stratified_split(li.select(*features, "l_linestatus", key.alias("key")), "key", "l_linestatus").drop("key")
     fit = parts.where("split <> 'test'")
     rows = binning.digitise(parts, binning.edges_of(fit, features, 8))
     bins = [f"{f}_bin" for f in features]
