@@ -250,3 +250,35 @@ def variants(df: DataFrame, column: str) -> DataFrame:
     """variant, and the row: all rows as ``full`` and each row under ``column=value``."""
     names = F.array(F.lit("full"), F.concat(F.lit(f"{column}="), F.col(column)))
     return df.withColumn("variant", F.explode(F.filter(names, lambda x: x.isNotNull())))
+
+
+def slice_rows(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is in the column ``key`` of ``wanted``; each once, however often it is wanted."""
+    return df.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def beside(a: DataFrame, b: DataFrame, row: str) -> DataFrame:
+    """The columns of two tables of the same rows side by side, by their row number; an error where either lacks one."""
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), row, "full")
+    ok = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a row is missing on one side")))
+    return both.withColumn(row, F.coalesce(ok.cast(a.schema[row].dataType), F.col(row))).drop("_a", "_b")
+
+
+def numeric_token(text: Column) -> Column:
+    """(whole, real) of a text: a number with a point or an exponent is real, any other number whole, else both null."""
+    t = F.trim(text)
+    real = t.rlike(r"[.eE]")
+    return F.struct(F.when(~real, F.try_to_number(t, F.lit("S9999999999999999999")).cast("long")).alias("whole"), F.when(real, t.try_cast("double")).alias("real"))
+
+
+def mask(features: Sequence[str]) -> Column:
+    """Boolean (0/1) columns as the bits of one number, the first the lowest; at most 63."""
+    if len(features) > 63:
+        raise ValueError("at most 63 features")
+    bits = [F.shiftleft(F.col(f).cast("long"), i) for i, f in enumerate(features)]
+    return sum(bits[1:], bits[0])
+
+
+def population(features: Sequence[str]) -> Column:
+    """How many of the 0/1 columns are 1."""
+    return F.bit_count(mask(features)).cast("int")

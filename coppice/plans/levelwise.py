@@ -9,6 +9,7 @@ wherever they lie, from cuts of the bins sorted by class share or mean. Targets
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,10 +34,10 @@ class Settings:
 
 
 def impurity(a: np.ndarray, criterion: str) -> np.ndarray:
-    """Impurity mass of rows of statistics: class counts, or (n, sum, sum of squares)."""
+    """Impurity mass of rows of statistics: class counts, or (n, then sum and sum of squares of each target)."""
     if criterion == "variance":
-        n, s, q = a[..., 0], a[..., 1], a[..., 2]
-        return q - np.divide(s * s, n, out=np.zeros_like(s), where=n > 0)
+        n, s, q = a[..., 0], a[..., 1::2], a[..., 2::2]
+        return q.sum(-1) - np.divide((s * s).sum(-1), n, out=np.zeros_like(n), where=n > 0)
     t = a.sum(-1)
     if criterion == "gini":
         return t - np.divide((a * a).sum(-1), t, out=np.zeros_like(t), where=t > 0)
@@ -107,60 +108,151 @@ def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float) ->
     return best
 
 
-def grow(df: DataFrame, features: Sequence[str], y: str, settings: Settings = Settings()) -> Tree:
-    """Grows a tree on binned columns; at most one job a level."""
-    s = settings
+@dataclass
+class Target:
+    """What the leaves predict: classes, a number, or several numbers (then by the sum of their variances)."""
+
+    y: str | list[str]
+    classes: list | None
+
+    def names(self) -> list[str]:
+        return [self.y] if isinstance(self.y, str) else list(self.y)
+
+    def aggregates(self) -> list:
+        if self.classes is not None:
+            return [F.sum(F.when(F.col("_y0") == c, 1.0).otherwise(0.0)) for c in self.classes]
+        sums = [f(F.col(f"_y{i}")).cast("double") for i in range(len(self.names())) for f in (F.sum, lambda c: F.sum(c * c))]
+        return [F.count("_y0").cast("double"), *sums]
+
+
+@dataclass
+class Candidate:
+    """The best split of a node: impurity mass it takes away, feature, bins of each branch, and leaves for them."""
+
+    gain: float
+    feature: str
+    groups: list[list[int]]
+    children: list[Leaf]
+    leaf: Leaf
+
+
+def _target(df: DataFrame, y: str | Sequence[str], s: Settings) -> Target:
+    if s.criterion == "variance":
+        return Target(y if isinstance(y, str) else list(y), None)
+    if not isinstance(y, str):
+        raise ValueError("several targets need the criterion variance")
+    return Target(y, sorted((r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect()), key=str))
+
+
+def _histograms(df: DataFrame, tree: Tree | None, paths: Sequence[str], features: Sequence[str], target: Target):  # noqa: ANN202
+    """Statistics by path, feature and bin of the rows that reach the paths: one job, nodes times features times bins rows."""
+    path = expression(tree, "path") if tree is not None else F.lit("")
+    ys = [F.col(c).alias(f"_y{i}") for i, c in enumerate(target.names())]
+    rows = df.select(*features, *ys).withColumn("_path", path).where(F.col("_path").isin(sorted(paths)))
+    if target.classes is None:
+        rows = rows.dropna("any", subset=[f"_y{i}" for i in range(len(ys))])
+    long = long_form(rows, features, ["_path", *(f"_y{i}" for i in range(len(ys)))], "_bin")
+    aggs = target.aggregates()
+    return long.groupBy("_path", "feature", "_bin").agg(*(a.alias(f"s{i}") for i, a in enumerate(aggs))).toPandas(), [f"s{i}" for i in range(len(aggs))]
+
+
+def _candidates(got, names: list[str], features: Sequence[str], target: Target, s: Settings, total: float) -> dict[str, Candidate | Leaf]:  # noqa: ANN001
+    """For each path its best split, or its leaf where none lowers the impurity."""
+    out: dict[str, Candidate | Leaf] = {}
+    for name, node in got.groupby("_path"):
+        own = node[node["feature"] == features[0]][names].to_numpy(float).sum(0)
+        leaf, options = _leaf(own, target.classes, s), []
+        for i, f in enumerate(features):
+            part = node[(node["feature"] == f) & node["_bin"].notna()].sort_values("_bin")
+            found = best_split(part["_bin"].to_numpy(int), part[names].to_numpy(float), s, total)
+            if found:
+                options.append((found[0], i, found[1], part))
+        mass = float(impurity(own, s.criterion))
+        if not options or min(options, key=lambda x: x[:2])[0] >= mass - EPS:
+            out[name] = leaf
+            continue
+        cost, i, groups, part = min(options, key=lambda x: x[:2])
+        children = [_leaf(part[part["_bin"].isin(g)][names].to_numpy(float).sum(0), target.classes, s) for g in groups]
+        out[name] = Candidate(mass - cost, features[i], groups, children, leaf)
+    return out
+
+
+def _split(c: Candidate) -> Split:
+    return Split(c.feature, [to_spans(g) for g in c.groups], c.children, c.leaf.prediction, c.leaf.loss, c.leaf.counts)
+
+
+def _checked(s: Settings) -> None:
     if s.branches < 2 or s.depth < 0:
         raise ValueError("a split has two branches at least, and a depth is not negative")
-    numeric = s.criterion == "variance"
-    classes = None if numeric else sorted((r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect()), key=str)
+
+
+def grow(df: DataFrame, features: Sequence[str], y: str | Sequence[str], settings: Settings = Settings()) -> Tree:
+    """Grows a tree on binned columns; at most one job a level. Several targets are predicted as an array."""
+    s = settings
+    _checked(s)
+    target = _target(df, y, s)
     tree: Tree | None = None
-    open_ = {""}
-    total = 0.0
+    open_, total = {""}, 0.0
     for level in range(s.depth + 1):
         if level == s.depth and tree is not None:
             break
-        path = expression(tree, "path") if tree is not None else F.lit("")
-        rows = df.select(*features, F.col(y).alias("_y")).withColumn("_path", path).where(F.col("_path").isin(sorted(open_)))
-        long = long_form(rows, features, ["_path", "_y"], "_bin")
-        if numeric:
-            aggs = [F.count("_y").cast("double").alias("s0"), F.sum("_y").cast("double").alias("s1"), F.sum(F.col("_y") * F.col("_y")).cast("double").alias("s2")]
-        else:
-            aggs = [F.sum(F.when(F.col("_y") == c, 1.0).otherwise(0.0)).alias(f"s{i}") for i, c in enumerate(classes)]
-        got = long.groupBy("_path", "feature", "_bin").agg(*aggs).toPandas()  # nodes * features * bins
-        names = [f"s{i}" for i in range(len(aggs))]
+        got, names = _histograms(df, tree, sorted(open_), features, target)
         if tree is None:
-            root = got[got["feature"] == features[0]][names].to_numpy(float).sum(0)
-            tree = _leaf(root, classes, s)
+            root = got[got["feature"] == features[0]][names].to_numpy(float).sum(0) if len(got) else np.zeros(len(names))
+            tree = _leaf(root, target.classes, s)
             total = float(rows_of(root, s.criterion))
-        if level == s.depth:
+        if level == s.depth or not len(got):
             break
-        grown: set[str] = set()
-        for name, node in got.groupby("_path"):
-            own = node[node["feature"] == features[0]][names].to_numpy(float).sum(0)
-            options = []
-            for i, f in enumerate(features):
-                part = node[(node["feature"] == f) & node["_bin"].notna()].sort_values("_bin")
-                found = best_split(part["_bin"].to_numpy(int), part[names].to_numpy(float), s, total)
-                if found:
-                    options.append((found[0], i, found[1], part))
-            if not options or min(options, key=lambda x: x[:2])[0] >= float(impurity(own, s.criterion)) - EPS:
-                continue
-            _, i, groups, part = min(options, key=lambda x: x[:2])
-            leaf = _leaf(own, classes, s)
-            children = [_leaf(part[part["_bin"].isin(g)][names].to_numpy(float).sum(0), classes, s) for g in groups]
-            split = Split(features[i], [to_spans(g) for g in groups], children, leaf.prediction, leaf.loss, leaf.counts)
-            tree = _replaced(tree, name, split)
-            grown |= {below(name, k) for k in range(len(groups))}
-        open_ = grown
+        open_ = set()
+        for name, c in _candidates(got, names, features, target, s, total).items():
+            if isinstance(c, Candidate):
+                tree = _replaced(tree, name, _split(c))
+                open_ |= {below(name, k) for k in range(len(c.groups))}
         if not open_:
             break
     return tree
 
 
+def grow_best_first(df: DataFrame, features: Sequence[str], y: str | Sequence[str], settings: Settings = Settings(), leaves: int = 8) -> Tree:
+    """Grows by the split that takes away the most impurity, wherever it is, until there are ``leaves`` leaves, no split
+    lowers the impurity, or ``settings.depth`` is reached; ties go to the node that was opened first. A job a split,
+    over the rows of the new children only."""
+    s = settings
+    _checked(s)
+    target = _target(df, y, s)
+    got, names = _histograms(df, None, [""], features, target)
+    root = got[got["feature"] == features[0]][names].to_numpy(float).sum(0) if len(got) else np.zeros(len(names))
+    tree, total, n, opened = _leaf(root, target.classes, s), float(rows_of(root, s.criterion)), 1, 0
+    heap: list[tuple[float, int, str, Candidate]] = []
+
+    def push(paths: list[str]) -> None:
+        nonlocal opened
+        found = _candidates(got, names, features, target, s, total)
+        for p in paths:
+            c = found.get(p)
+            if isinstance(c, Candidate):
+                heapq.heappush(heap, (-c.gain, opened, p, c))
+            opened += 1
+
+    if s.depth > 0 and len(got):
+        push([""])
+    while heap:
+        _, _, path, c = heapq.heappop(heap)
+        if n + len(c.groups) - 1 > leaves:
+            continue
+        tree, n = _replaced(tree, path, _split(c)), n + len(c.groups) - 1
+        paths = [below(path, k) for k in range(len(c.groups))]
+        if n < leaves and paths[0].count(".") + 1 < s.depth:
+            got, names = _histograms(df, tree, paths, features, target)
+            if len(got):
+                push(paths)
+    return tree
+
+
 def _leaf(a: np.ndarray, classes: list | None, s: Settings) -> Leaf:
     if classes is None:
-        return Leaf(float(a[1] / a[0]) if a[0] else 0.0, float(impurity(a, s.criterion)), {"n": float(a[0])})
+        means = [float(x / a[0]) if a[0] else 0.0 for x in a[1::2]]
+        return Leaf(means[0] if len(means) == 1 else means, float(impurity(a, s.criterion)), {"n": float(a[0])})
     return Leaf(classes[int(a.argmax())], float(a.sum() - a.max()), {str(c): float(x) for c, x in zip(classes, a, strict=True)})
 
 

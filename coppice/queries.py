@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import entropy, gini
 from coppice.operators import binning, evaluate, histogram, prep
-from coppice.plans import exact, levelwise, multiway, rashomon, selection, teacher, trees
+from coppice.plans import levelwise, multiway, selection, teacher, trees
 from coppice.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,16 +529,6 @@ def json_prop_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("first_keys"))
 
 
-SIDES = "(VALUES (0, 1, 2), (1, 2, 3), (2, 3, 1)) AS a(falses, leaves, n), (VALUES (0, 1, 1), (1, 1, 4)) AS b(falses, leaves, n)"
-
-
-@query(f"SELECT a.falses + b.falses AS falses, a.leaves + b.leaves AS leaves, CAST(sum(a.n * b.n) AS BIGINT) AS n FROM {SIDES} GROUP BY 1, 2")
-def rashomon_metric_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([(0, 1, 2), (1, 2, 3), (2, 3, 1)], "f int, l int, n long")
-    b = F.broadcast(spark.createDataFrame([(0, 1, 1), (1, 1, 4)], "g int, m int, k long"))
-    return a.crossJoin(b).groupBy((F.col("f") + F.col("g")).alias("falses"), (F.col("l") + F.col("m")).alias("leaves")).agg(F.sum(F.col("n") * F.col("k")).alias("n"))
-
-
 # --- searches: no SQL
 
 
@@ -554,11 +544,6 @@ def multiway_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, got.tree, objective=got.objective, status=got.status)
 
 
-@query()
-def levelwise_threshold_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, levelwise.grow(binned(spark, sf_dir), FEATURES, "l_returnflag", levelwise.Settings(3, min_child=20)))
-
-
 @query()
 def shape_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, levelwise.grow(binned(spark, sf_dir), FEATURES, "y", levelwise.Settings(2, "shape", 3, min_child=20, penalty=1e-5)))
@@ -569,30 +554,6 @@ def shape_regression_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, levelwise.grow(binned(spark, sf_dir), ["db", "tb"], "l_quantity", levelwise.Settings(2, "shape", 3, criterion="variance", min_child=20)))
 
 
-@query()
-def optimal_sparse_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = exact.optimal(exact.collapse(flagged(spark, sf_dir), list(FLAGS), "l_returnflag"), exact.Settings(3, 0.001))
-    return _rows(spark, got.tree, objective=got.objective, status=got.status)
-
-
-@query()
-def lookahead_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = exact.lookahead(exact.collapse(flagged(spark, sf_dir), list(FLAGS), "y"), exact.Settings(3, 0.0001), 1)
-    return _rows(spark, got.tree, objective=got.objective)
-
-
-@query()
-def recursive_lookahead_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = exact.recursive_lookahead(exact.collapse(flagged(spark, sf_dir), list(FLAGS), "y"), exact.Settings(3, 0.0001))
-    return _rows(spark, got.tree, objective=got.objective)
-
-
-@query()
-def rashomon_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = rashomon.ModelSet(exact.collapse(flagged(spark, sf_dir), list(FLAGS), "y"), exact.Settings(2, 0.005), adder=0.006)
-    return got.tables(spark)[0]
-
-
 @query()
 def boosted_teacher_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = binned(spark, sf_dir).select("l_quantity", "l_extendedprice", "y")
@@ -621,3 +582,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(flagship)
+
+
+from coppice import search_queries  # noqa: E402, F401  registers the queries of searches

@@ -310,3 +310,85 @@ def test_pair_features(spark):
     tree = levelwise.grow(wide, ["a", "b", *names], "y", levelwise.Settings(1, "shape", 2))
     assert tree.feature == "a_x_b"
     assert trees.predict(wide.withColumnRenamed("a_x_b", "pair"), trees.Split("pair", tree.branches, tree.children, tree.prediction)).where("predicted <> y").count() == 0
+
+
+def test_class_cuts_refine_to_the_row(spark):
+    from coppice.operators import prep
+
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(3000)] + [(None, "a"), (7, None), (8, None), (9, "one")]
+    df = spark.createDataFrame(rows, "k long, l string")
+    want = {}
+    for label in ("a", "b", "one", None):
+        import hashlib
+
+        own = sorted((hashlib.md5(f"5:{k}".encode()).hexdigest() if k is not None else "-", k or 0) for k, l in rows if l == label)
+        n = len(own)
+        t, v = int(n * 0.2 + 0.5), int(n * 0.1 + 0.5)
+        want |= {(k if h != "-" else None, label): "test" if i < t else "val" if i < t + v else "fit" for i, (h, k) in enumerate(own)}
+    got = prep.stratified_split(df, "k", "l", seed=5).collect()
+    assert {(r["k"], r["l"]): r["split"] for r in got} == want and len(got) == len(rows)
+    hashed = df.select(F.col("l").alias("_l"), F.coalesce(prep.hashed(F.col("k"), 5), F.lit("-")).alias("_h"), F.col("k").alias("_k"))
+    both = [prep.class_cuts(hashed, lambda n: [n // 5, n // 2, 0], digits=d, most=m) for d, m in ((3, 10_000), (1, 3), (2, 0))]
+    assert both[0] == both[1] == both[2]
+
+
+def test_nodes_of_more_than_ten_branches(spark):
+    rows = [(b, c, (b * 7 + c) % 3) for b in range(12) for c in range(4) for _ in range(3)]
+    df = spark.createDataFrame(rows, "a int, b int, y int")
+    wide = trees.Split("a", [[(i, i)] for i in range(12)], [trees.Leaf(i) for i in range(12)], prediction=0)
+    tree = levelwise._replaced(wide, "11", trees.Split("b", [[(0, 1)], [(2, 3)]], [trees.Leaf(100), trees.Leaf(101)], prediction=0))
+    got = {(r["a"], r["b"]): r["p"] for r in df.select("a", "b", trees.expression(tree, "path").alias("p")).distinct().collect()}
+    assert got[11, 0] == "11.0" and got[11, 3] == "11.1" and got[1, 0] == "1" and got[10, 2] == "10"
+    assert levelwise._paths(tree) == ["", "11"] and levelwise._at(tree, "11").feature == "b"
+    with pytest.raises(ValueError):
+        levelwise.grow(df, ["a"], "y", levelwise.Settings(branches=1))
+    full = levelwise.grow(df, ["a", "b"], "y", levelwise.Settings(2, "multiway", 12))
+    few = levelwise.grow_best_first(df, ["a", "b"], "y", levelwise.Settings(4, "multiway", 3), leaves=5)
+    assert trees.statistics(few)["leaves"] <= 5 and trees.statistics(full)["max_arity"] > 2
+
+
+def test_summaries_of_trees():
+    inner = trees.Split("a", [[(0, 2)], [(3, 9)]], [trees.Leaf(1), trees.Leaf(2)], prediction=1)
+    tree = trees.Split("a", [[(0, 4)], [(5, 9)]], [inner, trees.boolean("b", trees.Leaf(3), trees.Leaf(4), prediction=3)], prediction=1)
+    flat = trees.summarised(tree)
+    assert flat.branches == [[(0, 2)], [(3, 4)], [(5, 9)]] and len(flat.children) == 3
+    assert all(trees.predict_one(tree, {"a": a, "b": b}) == trees.predict_one(flat, {"a": a, "b": b}) for a in range(10) for b in (0, 1))
+    groups = trees.leaf_groups(tree)
+    assert [g for g, _ in groups] == [{"a": [(0, 2)]}, {"a": [(3, 4)]}, {"a": [(5, 9)], "b": [(1, 1)]}, {"a": [(5, 9)], "b": [(0, 0)]}]
+    text = trees.latex(tree)
+    assert text.startswith("\\begin{forest}\n[{a}") and text.count("[{") == 7 and "$\\le$" in text
+
+
+def test_parzen_search_beats_its_start():
+    from coppice.plans import selection as sel
+
+    def score(s):
+        if s["kind"] == "bad":
+            raise ValueError
+        return -abs(s["n"] - 37) / 100 - abs(s["rate"] - 0.003) * 10
+
+    done = sel.parzen_search(score, 60, seed=1, n=sel.whole(0, 100), rate=sel.log_uniform(1e-5, 1.0, zero=0.1), kind=sel.one_of("good", "bad"))
+    assert len(done) == 60 and all(v == -1.0 for v, s in done if s["kind"] == "bad")
+    assert sum(v for v, _ in done[40:]) / 20 > sum(v for v, _ in done[:10]) / 10
+    assert sel.feature_sparsity(["a", "a"], ["a", "b"]) == 0.5
+
+
+def test_rows_beside_need_both_sides(spark):
+    from coppice.operators import prep
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "r int, p string"), spark.createDataFrame([(1, "z")], "r int, q string")
+    with pytest.raises(Exception, match="missing on one side"):
+        prep.beside(a, b, "r").collect()
+    assert prep.beside(a.where("r = 1"), b, "r").collect() == [(1, "x", "z")]
+    got = spark.createDataFrame([("12",), ("-3",), ("1.5",), ("2e3",), ("x",), (None,), ("1.x",)], "t string").select(prep.numeric_token(F.col("t")).alias("v")).select("v.*").collect()
+    assert [tuple(r) for r in got] == [(12, None), (-3, None), (None, 1.5), (None, 2000.0), (None, None), (None, None), (None, None)]
+
+
+def test_bounds_of_proposals():
+    x = np.array([[i >> j & 1 for j in range(4)] for i in range(16)])
+    w = np.zeros((16, 2))
+    w[np.arange(16), x[:, :2].sum(1) % 2] = 1 / 16
+    cases = exact.Cases(list("abcd"), [0, 1], x, np.ones(16, int), w, w[:, ::-1].copy())
+    got = exact.optimal(cases, exact.Settings(3, 0.001, allow_small=True, proposals=1))
+    best = exact.optimal(cases, exact.Settings(3, 0.001, allow_small=True))
+    assert (got.status, best.status) == ("proposals", "optimal") and got.lower <= best.objective <= got.objective
