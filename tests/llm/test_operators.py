@@ -77,6 +77,24 @@ def test_narrow_margins_reject(spark):
     assert "text" not in langid.predict(docs(spark, []), model, without=("text",)).columns
 
 
+def test_languages_equal_a_plain_version(spark):
+    import zstandard as z
+
+    rows = [*sample(150), (900, LONG, None), (901, "Ünd der üng", None), (902, "x", None)]
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    model = langid.fit(docs(spark, held))
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, rows), model).collect()}
+    params = z.ZstdCompressionParameters.from_level(model.level, min_match=3, window_log=19, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for i, text, _ in rows:
+        data, sizes = langid.letters(text), []
+        for d, p in zip(model.dictionaries, model.prefixes, strict=True):
+            size = lambda x, d=d: len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x))
+            sizes.append(sum(size(p + data[k : k + model.block]) - size(p) for k in range(0, len(data), model.block)))
+        best = int(np.argmin(sizes))
+        assert got[i]["lang_pred"] == model.languages[best] and got[i]["margin_bytes"] == sorted(sizes)[1] - min(sizes)
+        assert got[i]["score"] == pytest.approx(1 / sum(2.0 ** (min(sizes) - s) for s in sizes))
+
+
 def test_whole_text_counts():
     model = langid.Model(("a", "b"), (b"alpha beta gamma " * 50, b"uno dos tres " * 50), (b"alpha ", b"uno "), block=64)
     c = langid.Classifier(model)
@@ -359,6 +377,42 @@ def test_words_of_one_ending_are_told_by_their_neighbours(spark, hot):
     assert all(got[a] > got[b] + 1 for a, b in zip(held[::2], held[1::2], strict=True))
 
 
+def test_class_scores_equal_a_plain_version(spark):
+    rows = [(i, t) for i, t, _ in sample(120)] + [(1000, None), (1001, ""), (1002, "unseen words only zzz")]
+    settings = brown.Settings(seed_words=5000, moved=5000, hot=5000, endings=1, classes=6, rounds=0, chunk_bytes=3000)
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows, extra=False), settings=settings).collect()}
+    split = {i: [*brown.tokens(t), brown.END] for i, t in rows}
+    train = [w for i, w in split.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(x for w in train for x in w)
+    order = [brown.END, *sorted((w for w in c if w != brown.END), key=lambda w: (-c[w], w))]
+    number = {w: k for k, w in enumerate(order)}
+    m = np.zeros((len(order) + 1,) * 2)  # the last symbol is that of all other words
+    for w in train:
+        for a, b in zip([brown.END, *w], w, strict=False):
+            m[number[a], number[b]] += 1
+    own = brown.exchange(m, 6)
+    k = own.max() + 1
+    g, n, v = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    np.add.at(g, (own[:, None].repeat(len(own), 1), own[None].repeat(len(own), 0)), m)
+    np.add.at(n, own[:-1], [c[w] for w in order])
+    np.add.at(v, own[:-1], 1)
+    share = (n + 0.5) / (n.sum() + 0.5 * k)
+
+    def plain(w):
+        total, before = 0.0, 0
+        for x in w:
+            cls = own[number.get(x, len(order))]
+            total += math.log10((g[before, cls] + settings.prior * share[cls]) / (g[before].sum() + settings.prior))
+            total += math.log10((c[x] + 0.5) / (n[cls] + 0.5 * (v[cls] + 1)))
+            before = cls
+        return total
+
+    assert got == pytest.approx({i: plain(w) for i, w in split.items()})
+    for before in range(k):  # what may follow a class adds up to 1, one unseen word in each class among it
+        p = sum((g[before, x] + settings.prior * share[x]) / (g[before].sum() + settings.prior) * (sum(c[w] + 0.5 for w in order if own[number[w]] == x) + 0.5) / (n[x] + 0.5 * (v[x] + 1)) for x in range(k))
+        assert p == pytest.approx(1)
+
+
 def test_exchange_finds_blocks():
     b = np.zeros((9, 9))
     b[0, 1:5] = 5
@@ -615,6 +669,40 @@ def test_gradients_match_differences():
     assert dx[1][2, 1, 4] == pytest.approx((up - loss()) / 2e-3, rel=0.05, abs=2e-4)
 
 
+def test_scores_equal_a_plain_version(spark):
+    rows = [*((i, t) for i, t, _ in sample(40)), (900, LONG[:9000]), (901, ""), (902, None)]
+    p = toxicity.fresh(6, 4, np.random.default_rng(5))
+    net = toxicity.Network(p, bias=0.3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows), net).collect()}
+
+    def vector(word):
+        flat, _ = toxicity.cells([word])
+        return p["table"][flat[0]] + p["table"][flat[1:]].mean(0)
+
+    def gru(x, d):
+        h, s, out = 4, np.zeros(4), []
+        for v in x:
+            g, u = v @ p[f"W{d}"] + p[f"b{d}"], s @ p[f"U{d}"]
+            zz, r = (1 / (1 + np.exp(-(g + u)[i * h : (i + 1) * h])) for i in (0, 1))
+            s = s + zz * (np.tanh(g[2 * h :] + r * u[2 * h :]) - s)
+            out.append(s)
+        return out
+
+    def window(words):
+        if not words:
+            return None
+        x = [vector(w) for w in words]
+        both = [np.concatenate(s) for s in zip(gru(x, 0), gru(x[::-1], 1)[::-1], strict=True)]
+        e = np.exp([np.tanh(b @ p["A"]) @ p["a"] for b in both])
+        return float((e / e.sum()) @ np.array(both) @ p["o"] + p["c"][0])
+
+    for i, text in rows:
+        words = toxicity.tokens(text)
+        found = [window(words[s : s + 32]) for s in toxicity.starts(len(words), 32, 24)]
+        want = max(x for x in found) if words else float(p["c"][0])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-want - 0.3)), abs=1e-5)
+
+
 def test_long_runs_of_word_characters_are_read_whole():
     for n in (1, 40, 41, 70, 71, 1000):
         run = "".join(chr(0x4E00 + i) for i in range(n))

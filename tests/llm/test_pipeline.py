@@ -1,12 +1,111 @@
-"""The pipeline against what its stages say of their own inputs."""
+"""The pipeline against what its stages say of their own inputs, and against a plain version of each."""
+
+import zlib
+from collections import Counter
 
 import corpus_pipeline
-from coppice.llm import queries
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_operators import LONG, brute_classes, brute_hits
+
+from coppice.llm import langid, packing, queries, toxicity
 from coppice.llm.common import table
+from coppice.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """The smallest tables with odd rows: nulls, empty and long texts, copies, benchmark passages, repeated ids, clashing columns."""
+    path = str(tmp_path_factory.mktemp("sf"))
+    d = table(spark, SF, "documents")
+    rows = d.orderBy("doc_id").collect()
+    item = next(r["text"] for r in table(spark, SF, "benchmark").collect() if len(r["text"].split()) > 30)
+    plain = next(r for r in rows if len(r["text"]) > 1500 and r["lang"] == "en")
+    words = plain["text"].split()
+    near = " ".join([*words[:-3], "xx", "yy", "zz"])
+    own = " ".join(f"the{i} and{i % 7}" for i in range(40))
+    more = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, LONG), (10**6 + 3, plain["text"]), (10**6 + 4, near), (10**6 + 5, "Well then. " + item), (10**6 + 6, "12 34"), (None, own), (10**6 + 7, own + " b"), (10**6 + 7, own + " a")]
+    odd = spark.createDataFrame([(i, t, None, "src", None) for i, t in more], d.schema)
+    d.unionByName(odd).withColumns({c: F.lit(c) for c in ("score", "kept", "items", "predicted", "held_out", "class_id", "piece")}).write.parquet(f"{path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        table(spark, SF, t).write.parquet(f"{path}/{t}.parquet")
+    return path
+
+
+def ids(rows):
+    return Counter((r["doc_id"], r["text"]) for r in rows)
+
+
+def test_stages_equal_plain_versions(spark, planted):
+    df = table(spark, planted, "documents")
+    columns, stages = df.columns, dict(corpus_pipeline.STAGES)
+    crc = lambda i: zlib.crc32(str(i).encode()) if i is not None else 0
+
+    rows = df.collect()
+    labels = {}
+    for r in table(spark, planted, "labels").collect():
+        if r["toxic"] is not None and crc(r["doc_id"]) % 3 != 1:
+            labels[r["doc_id"]] = max(labels.get(r["doc_id"], 0), int(r["toxic"] > 0))
+    known = sorted((r["doc_id"], r["text"] or "") for r in rows if r["doc_id"] in labels)
+    scorer = toxicity.Scorer(toxicity.train([t for _, t in known], [labels[i] for i, _ in known]))
+    scores = [float(scorer([r["text"]])[0]) for r in rows]
+    assert all(abs(s - 0.7) > 1e-4 for s in scores)
+    got = stages["toxicity"](spark, df, planted).cache()
+    assert ids(got.collect()) == ids(r for r, s in zip(rows, scores, strict=True) if s < 0.7) and got.columns == columns
+
+    rows = got.collect()
+    classify = langid.Classifier(langid.fit(got.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0)) != 0)))
+    told = [classify(r["text"]) for r in rows]
+    df, got = got, stages["language ID"](spark, got, planted).cache()
+    assert ids(got.collect()) == ids(r for r, (k, _, b, m) in zip(rows, told, strict=True) if k != "und" and b > 1 and m > 0.0005) and got.columns == columns
+    assert not {10**6, 10**6 + 1, 10**6 + 6} & {r["doc_id"] for r in got.collect()}
+
+    rows = got.collect()
+    firsts = {}
+    for r in sorted((r for r in rows if r["doc_id"] is not None), key=lambda r: (r["doc_id"], r["text"])):
+        firsts.setdefault(r["doc_id"], r["text"])
+    want = brute_classes(sorted((r["doc_id"], r["text"]) for r in rows if r["doc_id"] not in (None, 10**6 + 7)))
+    df, got = got, stages["near-dedup"](spark, got, planted).cache()
+    left = got.collect()
+    kept = Counter((i, firsts[i]) for i in set(want.values())) + Counter((None, r["text"]) for r in rows if r["doc_id"] is None)
+    kept[10**6 + 7, firsts[10**6 + 7]] += 1
+    assert ids(left) == kept and got.columns == columns
+
+    items = [(r["item_id"], r["text"]) for r in table(spark, planted, "benchmark").collect()]
+    hits = [brute_hits(r["text"], items) for r in left]
+    df, got = got, stages["decontamination"](spark, got, planted).cache()
+    assert ids(got.collect()) == ids(r for r, (n, h, _) in zip(left, hits, strict=True) if not (h > 0 and 20 * h >= n)) and got.columns == columns
+    assert 10**6 + 5 not in {r["doc_id"] for r in got.collect()}
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in got.collect():
+        own = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        for k, (s, n) in enumerate(packing.pieces_of(len(own), 1024)):
+            want[r["doc_id"], k, s, n, zlib.crc32(np.array(own[s : s + n], "<u4").tobytes())] += 1
+    packed = stages["pattern packing"](spark, got, planted).collect()
+    assert Counter(tuple(r)[:5] for r in packed) == want
+    total, used = sum(r["length"] for r in packed), len({r["sequence_id"] for r in packed})
+    assert used <= -(-total // 1024) + 3
+    run = corpus_pipeline.run(spark, planted).collect()
+    assert Counter(tuple(r)[:5] for r in run) == want
+
+
+def test_empty_tables(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        table(spark, SF, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    df = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, str(tmp_path))
+        assert got.count() == 0 and (name == "pattern packing" or got.columns == df.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_take_effect(spark):
     df = table(spark, SF, "documents")
     columns = df.columns
