@@ -10,20 +10,21 @@ from coppice.llm.queries import tokenizer_path
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose highest window scores 0.7 or more go. Learns from two thirds of the labelled rows."""
+    """Documents whose highest window scores 0.7 or more go. Learns from two thirds of the labelled rows, whole texts."""
     labels = table(spark, sf_dir, "labels")
     net = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1))
     return toxicity.score(docs, net).where("predicted = 0").select(*docs.columns)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or equally near to two languages, go. Learns from four fifths of the rows."""
+    """Documents without a letter, or as near to two languages but for a byte, go. Learns from four fifths of the rows."""
     model = langid.fit(docs.where(remainder("doc_id", 5) != 0))
     return langid.predict(docs, model).where("not rejected").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by five-word shingles with a Jaccard similarity of 0.8 or more one stays."""
+    """Of documents joined by five-word shingles with a Jaccard similarity of 0.8 or more one stays:
+    that of the smallest id, and of rows that repeat it the one of the smallest text. Rows without an id stay."""
     return probminhash.deduplicated(docs)
 
 
@@ -45,7 +46,7 @@ STAGES = [
     ("pattern packing", pattern_packing),
 ]
 
-#: The first two stages learn and the last packs; SQL expresses none of these. Tests look at columns and falling row counts only.
+#: The first two stages learn and the last packs; SQL expresses none of these. Tests hold each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
