@@ -60,18 +60,24 @@ def digits(c: Column, places: Sequence[int]) -> list[Column]:
 
 
 def quantile_edges(df: DataFrame, features: Sequence[str], bins: int, decimals: int = 6, exact: bool = True) -> DataFrame:
-    """feature, edges: distinct interpolated quantiles strictly inside the range, rounded; of two values the midpoint
-    (a sketch that is exact for few values counts them, which spares a distinct aggregate for each feature).
+    """feature, edges: distinct interpolated quantiles strictly inside the range, rounded; of two values the midpoint.
 
     Exact percentiles hold a count for each distinct value; ``exact`` false takes sketches of bounded size instead, for
     columns of very many values.
     """
     quantiles = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
     ps = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    aggs = [F.struct(F.lit(f).alias("feature"), F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi"), F.approx_count_distinct(f, 0.01).alias("n"), quantiles(F.col(f).cast("double"), ps).alias("q")) for f in features]
-    rows = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    ends = df.agg(*(f(c).cast("double").alias(f"_{k}{i}") for i, c in enumerate(features) for k, f in (("lo", F.min), ("hi", F.max))))
+    rows = df.select(*(F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features))).crossJoin(F.broadcast(ends))  # one row
+    aggs = []
+    for i, f in enumerate(features):
+        v, lo, hi = (F.col(f"_{k}{i}") for k in ("v", "lo", "hi"))
+        between = F.count_if((v > lo) & (v < hi)) + F.count_if(F.isnan(v))
+        aggs.append(F.struct(F.lit(f).alias("feature"), F.min(lo).alias("lo"), F.max(hi).alias("hi"), between.alias("between"), quantiles(v, ps).alias("q")))
+    found = rows.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     inside = F.array_sort(F.array_distinct(F.filter(F.transform("q", lambda x: F.round(x, decimals)), lambda x: (x > F.col("lo")) & (x < F.col("hi")))))
-    return rows.select("feature", F.when(F.col("n") == 2, F.array((F.col("lo") + F.col("hi")) / 2)).otherwise(inside).alias("edges"))
+    two = (F.col("between") == 0) & (F.col("lo") < F.col("hi"))
+    return found.select("feature", F.when(two, F.array((F.col("lo") + F.col("hi")) / 2)).otherwise(inside).alias("edges"))
 
 
 def edges_of(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:

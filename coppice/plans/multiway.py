@@ -31,6 +31,7 @@ class Settings:
     min_split: int | None = None  # default: twice min_child
     max_branching: int = 3
     top_k: int | None = None  # default: the square root of the candidates
+    scatter_bins: int = 24  # groups scatter (are refined by moves) where a feature has at most so many bins in a node
     max_patterns: int = 200_000
     seconds: float = 100.0
 
@@ -181,7 +182,7 @@ class Solver:
         out: list[tuple[float, list[int]]] = []
         feasible = lambda g: (np.bincount(g, weights=c["n"], minlength=c["groups"]) >= self.s.min_child).all()
         for k, (_, group) in c["found"].items():
-            group = refine(group, c["scores"][k], feasible) if len(group) <= 24 else group
+            group = refine(group, c["scores"][k], feasible) if len(group) <= self.s.scatter_bins else group
             if all(group != other for _, other in out):
                 out.append((c["scores"].get("impurity", c["scores"][k])(group), group))
         return out
@@ -240,8 +241,9 @@ def fit(df: DataFrame, features: Sequence[str], y: str, teacher_logit: str | Non
     """Fits a tree to binned columns. teacher_logit: a column of margins (two classes) or of arrays of class logits."""
     if teacher_logit is None:
         raise ValueError("teacher_logit is needed: a column of margins or of arrays of class logits")
-    for f in features:
-        if df.where(F.col(f) < 0).limit(1).count():
+    lowest = df.agg(*(F.min(f).alias(f"m{i}") for i, f in enumerate(features))).first()
+    for f, low in zip(features, lowest, strict=True):
+        if low is not None and low < 0:
             raise ValueError(f"bins of {f} must not be negative")
     t = F.col(teacher_logit)
     from coppice.functions.impurity import sigmoid, softmax

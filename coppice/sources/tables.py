@@ -64,11 +64,11 @@ class Registry:
 
 def read_costs(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
     """prediction, truth, cost of a square file whose header names the classes; its rows are in the header's order."""
-    schema = ", ".join(f"`{c}` double" for c in classes)
-    lines = spark.read.schema(schema).option("header", True).csv(path).coalesce(1).withColumn("_i", F.monotonically_increasing_id())
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("truth"), F.col(c).alias("cost")) for c in classes)))
-    named = lines.select(F.element_at(F.array(*map(F.lit, classes)), F.col("_i").cast("int") + 1).alias("prediction"), pairs.alias("s"))
-    return named.select("prediction", "s.truth", "s.cost")
+    whole = spark.read.text(path, wholetext=True)  # one row a file, so the order of its lines is that of the file
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    cells = whole.select(F.posexplode(lines).alias("i", "line")).where("i > 0").select("i", F.posexplode(F.split("line", ",")).alias("j", "cost"))
+    name = lambda at: F.element_at(F.array(*map(F.lit, classes)), at)
+    return cells.select(name(F.col("i")).alias("prediction"), name(F.col("j") + 1).alias("truth"), F.trim("cost").cast("double").alias("cost"))
 
 
 def store_name(stem: str, **parameters: object) -> str:
