@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.operators import prep
-from coppice.plans import exact, imbalance, levelwise, rashomon, selection, trees
-from coppice.queries import BINNED, FEATURES, FLAGGED, FLAGS, binned, flagged, query, sql_entropy
+from coppice.functions.impurity import sigmoid, softmax
+from coppice.operators import binning, evaluate, histogram, prep
+from coppice.plans import exact, imbalance, levelwise, multiway, rashomon, selection, trees
+from coppice.queries import BINNED, CASE, FEATURES, FLAGGED, FLAGS, ROUTED, THREE, TWO, binned, flagged, query, routed, sql_entropy
 from coppice.sources.tables import table
+from coppice.streaming import incremental
 
 # --- optimal trees over three 0/1 features, by all subcubes: 0 or 1 fixes a feature, 2 leaves it free
 
@@ -140,18 +143,19 @@ def balanced_accuracy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(loss, 9),)], "objective double")
 
 
-def solutions(depth: int, reg: float, adder: float) -> str:
+def solutions(depth: int, reg: float, adder: float, found: str = "SELECT CAST(e AS BIGINT) AS errors, leaves, count(*) AS trees FROM within GROUP BY 1, 2") -> str:
     """SQL of (errors, leaves, trees) of all trees within ``adder`` of the optimum, by listing them."""
-    ctes = ["t0 AS (SELECT " + ", ".join(f"{f}" for f in ABC) + ", least(n0, n1) AS e, 1 AS leaves, CASE WHEN n1 > n0 THEN 1 ELSE 0 END AS one, o FROM leaf)"]
+    ctes = ["t0 AS (SELECT " + ", ".join(f"{f}" for f in ABC) + ", CASE WHEN n1 > n0 THEN n0 ELSE 0 END AS fp, CASE WHEN n1 > n0 THEN 0 ELSE n1 END AS fn, 1 AS leaves, CASE WHEN n1 > n0 THEN 1 ELSE 0 END AS one, o FROM leaf)"]
     for d in range(1, depth + 1):
         rows = " UNION ALL ".join(
-            f"SELECT {', '.join(f'l.{g}' for g in ABC)}, x.e + y.e AS e, x.leaves + y.leaves AS leaves, NULL AS one, 0 AS o FROM leaf l {halves(f't{d - 1}', f, 'x', 'y')} "
+            f"SELECT {', '.join(f'l.{g}' for g in ABC)}, x.fp + y.fp AS fp, x.fn + y.fn AS fn, x.leaves + y.leaves AS leaves, NULL AS one, 0 AS o FROM leaf l {halves(f't{d - 1}', f, 'x', 'y')} "
             "WHERE x.o IS NOT NULL AND y.o IS NOT NULL AND (x.one IS NULL OR y.one IS NULL OR x.one <> y.one)" for f in ABC
         )
         ctes.append(f"t{d} AS (SELECT * FROM t0 UNION ALL {rows})")
     at = " AND ".join(f"{f} = 2" for f in ABC)
-    ctes.append(f"every AS (SELECT e, leaves, e / n.total + leaves * greatest({reg}, 1 / n.total) AS price FROM t{depth}, n WHERE {at})")
-    return "WITH " + cubes("y", ["0", "1"], minority(2, reg)) + ", " + ", ".join(ctes) + f" SELECT CAST(e AS BIGINT) AS errors, leaves, count(*) AS trees FROM every WHERE price <= (SELECT min(price) FROM every) + {adder} + 1e-12 GROUP BY 1, 2"
+    ctes.append(f"every AS (SELECT fp + fn AS e, leaves, 1 - ((n.n1 - fn) / n.n1 + (n.n0 - fp) / n.n0) / 2 + leaves * greatest({reg}, 1 / n.total) AS balanced, (fp + fn) / n.total + leaves * greatest({reg}, 1 / n.total) AS price FROM t{depth}, n WHERE {at})")
+    ctes.append(f"within AS (SELECT * FROM every WHERE price <= (SELECT min(price) FROM every) + {adder} + 1e-12)")
+    return "WITH " + cubes("y", ["0", "1"], minority(2, reg)) + ", " + ", ".join(ctes) + " " + found
 
 
 def _models(spark: SparkSession, sf_dir: str, depth: int, reg: float, adder: float) -> tuple[rashomon.ModelSet, DataFrame]:
@@ -186,6 +190,78 @@ def model_set_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "trees long, distinct_trees long, found long, strangers long")
 
 
+@query(solutions(2, 0.005, 0.2, "SELECT count(*) AS covered FROM within WHERE balanced <= 0.55 + 1e-12"))
+def model_set_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models, _ = _models(spark, sf_dir, 2, 0.005, 0.2)
+    return spark.createDataFrame([(len(models.covered(rashomon.balanced_accuracy, 0.55)),)], "covered long")
+
+
+def either_class(depth: int, reg: float, loss: str) -> str:
+    """SQL of the least loss + reg * leaves over all trees whose leaves may be of either class; loss is of fp, fn, p, n."""
+    ctes = [f"t0 AS (SELECT {', '.join(ABC)}, n0 AS fp, 0.0 AS fn, 1 AS leaves, o FROM leaf UNION ALL SELECT {', '.join(ABC)}, 0.0, n1, 1, o FROM leaf)"]
+    for d in range(1, depth + 1):
+        rows = " UNION ALL ".join(
+            f"SELECT DISTINCT {', '.join(f'l.{g}' for g in ABC)}, x.fp + y.fp AS fp, x.fn + y.fn AS fn, x.leaves + y.leaves AS leaves, 0.0 AS o FROM leaf l {halves(f't{d - 1}', f, 'x', 'y')} WHERE x.o IS NOT NULL AND y.o IS NOT NULL" for f in ABC)
+        ctes.append(f"t{d} AS (SELECT * FROM t0 UNION ALL {rows})")
+    at = " AND ".join(f"{f} = 2" for f in ABC)
+    return "WITH " + cubes("y", ["0", "1"], "cc.n0") + ", " + ", ".join(ctes) + f" SELECT round(min({loss} + {reg} * leaves), 9) AS objective FROM (SELECT fp / n.total AS fp, fn / n.total AS fn, leaves, n.n1 / n.total AS p, n.n0 / n.total AS n FROM t{depth}, n WHERE {at})"
+
+
+def _imbalanced(spark: SparkSession, sf_dir: str, objective: object) -> DataFrame:
+    loss, _ = imbalance.optimal(exact.collapse(flagged(spark, sf_dir), ABC, "y"), exact.Settings(2, 0.01), objective)
+    return spark.createDataFrame([(round(loss, 9),)], "objective double")
+
+
+@query(either_class(2, 0.01, "(fp + fn) / (2 * p + fp - fn)"))
+def f1_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imbalanced(spark, sf_dir, "f1")
+
+
+@query(either_class(2, 0.01, "(3 * fn + fp) / (3 * p + n)"))
+def weighted_accuracy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imbalanced(spark, sf_dir, imbalance.weighted(3))
+
+
+def rule_list(name: str, prev: str) -> str:
+    """The best list of rules one longer than those of ``prev``: of every split one side is a leaf."""
+    joins = " ".join(f"JOIN leaf {p} ON " + " AND ".join(f"{p}.{g} = {x}.{g}" for g in ABC) for p, x in (("p", "x"), ("q", "y")))
+    splits = each_split(f"{name}_s", "least(p.o + y.o, x.o + q.o)", "0", joins).replace("{prev}", prev)
+    key = ", ".join(f"l.{g}" for g in ABC)
+    return f"{splits}, {name} AS (SELECT {key}, least(l.o, coalesce(min(s.price), l.o)) AS o FROM leaf l LEFT JOIN {name}_s s USING ({', '.join(ABC)}) GROUP BY {key}, l.o)"
+
+
+@query("WITH " + cubes("l_returnflag", ["'A'", "'N'", "'R'"], minority(3, 0.001)) + ", " + ", ".join(rule_list(f"o{i}", f"o{i - 1}" if i > 1 else "leaf") for i in (1, 2, 3)) + " " + _both(root("o3")))
+def optimal_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flagged(spark, sf_dir)
+    return _fitted(rows, "l_returnflag", exact.optimal(exact.collapse(rows, ABC, "l_returnflag"), exact.Settings(3, 0.001, rule_list=True)), 0.001)
+
+
+@query("WITH " + cubes("y", ["0", "1"], "least(5 * cc.n1, cc.n0) / n.total + 0.001") + ", " + best("o1", "leaf") + ", " + best("o2", "o1") + f" SELECT round({root('o2')}, 9) AS objective")
+def cost_matrix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing a 1 costs five times a false alarm."""
+    cases = exact.collapse(flagged(spark, sf_dir), ABC, "y", costs={(0, 1): 5.0, (1, 0): 1.0})
+    return spark.createDataFrame([(round(exact.optimal(cases, exact.Settings(2, 0.001)).objective, 9),)], "objective double")
+
+
+@query("WITH " + cubes("y", ["0", "1"], "least(cc.n0 / n.n0, cc.n1 / n.n1) / 2 + 0.001") + ", " + best("o1", "leaf") + ", " + best("o2", "o1") + f" SELECT round({root('o2')}, 9) AS objective")
+def balanced_weights_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = exact.collapse(flagged(spark, sf_dir), ABC, "y", balance=True)
+    return spark.createDataFrame([(round(exact.optimal(cases, exact.Settings(2, 0.001)).objective, 9),)], "objective double")
+
+
+@query(f"WITH two AS (SELECT feature, min(loss) AS l FROM ({TWO}) GROUP BY feature), three AS (SELECT feature, min(loss) AS l FROM ({THREE}) GROUP BY feature) SELECT feature, two.l AS loss_2, three.l AS loss_3 FROM two JOIN three USING (feature)")
+def interval_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least errors of two and of three runs of bins, by the interval program on the histogram."""
+    out = []
+    hist = histogram.binary_histogram(binned(spark, sf_dir), FEATURES, "y").orderBy("feature", "bin").toPandas()
+    for feature, rows in hist.groupby("feature"):
+        c = np.concatenate([np.zeros((1, 2)), rows[["n0", "n1"]].to_numpy(float).cumsum(0)])
+        seg = c[None] - c[:, None]
+        found = multiway.interval_partitions(multiway.loss(seg), seg.sum(-1) > 0, 3)
+        out.append((feature, round(found[2][0]), round(found[3][0])))
+    return spark.createDataFrame(out, "feature string, loss_2 long, loss_3 long")
+
+
 # --- trees grown by levels
 
 
@@ -299,3 +375,114 @@ def parzen_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = selection.parzen_search(lambda s: float(sum(d for b, d in counts.items() if b >= s["cut"])), 60, seed=3, cut=selection.whole(min(counts), max(counts)))
     top = max(v for v, _ in done)
     return spark.createDataFrame([(min(s["cut"] for v, s in done if v == top),)], "best int")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS code FROM orders")
+def label_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    coded = prep.encode_labels(orders, "o_orderstatus").select("o_orderkey", "code")
+    return prep.decode_labels(coded, prep.label_codes(orders, "o_orderstatus"), "code").select("o_orderkey", F.col("label").alias("o_orderstatus"), "code")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey + 0.5 WHEN 2 THEN c_custkey * 10.0 WHEN 3 THEN -c_custkey END AS x FROM customer")
+def coerced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "customer").select("c_custkey", F.expr(TOKENS.replace("VARCHAR", "STRING").replace("n/a", "Infinity")).alias("t"))
+    return tokens.select("c_custkey", prep.finite(F.col("t")).alias("x"))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-(value - 100) / 50)), 9) AS p, round(exp(value / 50 - 4) / (exp(value / 50 - 4) + 1 + exp(1)), 9) AS q FROM events")
+def logistic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    q = softmax(F.array(v / 50 - 4, F.lit(0.0), F.lit(1.0)))[0]
+    return table(spark, sf_dir, "events").select("event_id", F.round(sigmoid((v - 100) / 50), 9).alias("p"), F.round(q, 9).alias("q"))
+
+
+@query("SELECT p_partkey, CAST(floor(p_retailprice) % 10 AS INTEGER) AS d0, CAST(floor(p_retailprice / 10) % 10 AS INTEGER) AS d1, CAST(floor(p_retailprice / 100) % 10 AS INTEGER) AS d2 FROM part")
+def radix_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = binning.digits(F.col("p_retailprice"), [0, 1, 2])
+    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(f"d{i}") for i, c in enumerate(found)))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binned(spark, sf_dir).select(F.array("qb", "tb").alias("labels"), (F.col("db") % 5).alias("p"))
+
+
+@query(f"SELECT round(avg(CASE WHEN db % 5 IN (qb, tb) THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM {BINNED} b")
+def any_label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.any_label_accuracy(_labelled(spark, sf_dir), "labels", "p").select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(f"SELECT label, count(*) AS n FROM (SELECT qb AS label FROM {BINNED} b UNION ALL SELECT tb FROM {BINNED} c) GROUP BY label")
+def rows_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.one_row_per_label(_labelled(spark, sf_dir), "labels", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH e AS (SELECT qb, db, tb, count(*) AS n FROM {BINNED} b GROUP BY ALL), u AS (SELECT qb, db, tb, 0 AS branch, qb AS e, n FROM e UNION ALL SELECT qb, db, tb, 1, db, n FROM e UNION ALL SELECT qb, db, tb, 2, tb, n FROM e), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY qb, db, tb ORDER BY e, branch) - 1 AS rank, max(e) OVER (PARTITION BY qb, db, tb) - e AS weight FROM u) SELECT branch, CAST(rank AS INTEGER) AS rank, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * weight) AS BIGINT) AS weight FROM r GROUP BY 1, 2")
+def error_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.error_weights(binned(spark, sf_dir).select(F.array("qb", "db", "tb").alias("e")), "e")
+    return found.groupBy("branch", "rank").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("long").alias("weight"))
+
+
+HASHED = "CAST('0x' || substr(md5('3:' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN h >= 0.8 THEN 2 WHEN h >= 0.7 THEN 1 ELSE 0 END AS part FROM (SELECT o_orderkey, {HASHED} AS h FROM orders)")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.random_split(table(spark, sf_dir, "orders"), "o_orderkey", [0.7, 0.1, 0.2], seed=3).select("o_orderkey", "part")
+
+
+@query("SELECT count(DISTINCT o_orderstatus) AS classes FROM orders")
+def class_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(prep.require_classes(table(spark, sf_dir, "orders"), "o_orderstatus"),)], "classes long")
+
+
+ROUTED_CASE = CASE.format(a="CASE WHEN db >= 5 THEN 1 ELSE 0 END")
+
+
+@query(f"SELECT {ROUTED_CASE} AS predicted, count(*) AS n, 3 AS leaves FROM {BINNED} b GROUP BY 1")
+def tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a tree that went through its dictionary."""
+    tree = trees.from_dict(trees.to_dict(ROUTED))
+    return trees.predict(routed(spark, sf_dir), tree).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"), F.lit(trees.statistics(tree)["leaves"]).alias("leaves"))
+
+
+@query(f"SELECT {ROUTED_CASE} AS predicted, count(*) AS n, 2 AS branches FROM {BINNED} b GROUP BY 1")
+def tree_group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions after branches of equal subtrees became one."""
+    inner = ROUTED.children[0]
+    tree = trees.merged(trees.Split("qb", [[(0, 1)], [(2, 2)], [(4, 4)]], [inner, trees.Leaf(1), inner], prediction=0))
+    return trees.predict(routed(spark, sf_dir), tree).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"), F.lit(len(tree.children)).alias("branches"))
+
+
+@query(f"SELECT CASE WHEN qb <= 0 THEN 0 WHEN qb <= 2 THEN 1 ELSE 2 END AS predicted, count(*) AS n, 1 AS depth FROM {BINNED} b GROUP BY 1")
+def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions after a child's split of the same feature was taken up."""
+    inner = trees.Split("qb", [[(0, 0)], [(1, 2)]], [trees.Leaf(0), trees.Leaf(1)], prediction=0)
+    tree = trees.summarised(trees.Split("qb", [[(0, 2)], [(3, 4)]], [inner, trees.Leaf(2)], prediction=0))
+    return trees.predict(binned(spark, sf_dir), tree).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"), F.lit(trees.statistics(tree)["depth"]).alias("depth"))
+
+
+@query(f"SELECT leaf, count(*) AS n FROM (SELECT CASE WHEN qb IN (0, 1, 4) AND db >= 5 THEN 0 WHEN qb IN (0, 1, 4) THEN 1 WHEN qb = 2 THEN 2 END AS leaf FROM {BINNED} b) WHERE leaf IS NOT NULL GROUP BY leaf")
+def leaf_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the bins that each leaf's groups name."""
+    groups = trees.group_table(spark, ROUTED).select("leaf", "feature", F.explode("spans").alias("s"))
+    patterns = routed(spark, sf_dir).groupBy("qb", "cheap").agg(F.count(F.lit(1)).alias("n"))
+    cells = patterns.select("qb", "cheap", "n", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in ("qb", "cheap")))).alias("c"))
+    inside = (F.col("c.feature") == F.col("feature")) & F.col("c.bin").between(F.col("s.lo"), F.col("s.hi"))
+    hits = cells.join(F.broadcast(groups), inside).groupBy("leaf", "qb", "cheap", "n").agg(F.count_distinct("feature").alias("k"))
+    needed = F.broadcast(trees.group_table(spark, ROUTED).groupBy("leaf").agg(F.count_distinct("feature").alias("k")))
+    return hits.join(needed, ["leaf", "k"]).groupBy("leaf").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT qb * 11 + db AS cell, count(*) AS n FROM {BINNED} b GROUP BY 1")
+def pair_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, names = levelwise.with_pairs(binned(spark, sf_dir), [("qb", "db")], {"qb": 5, "db": 11})
+    return wide.groupBy(F.col(names[0]).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, 'b' AS feature, CAST(floor(value / 50) AS INTEGER) AS bin, event_type AS y, count(*) AS n FROM events GROUP BY ALL")
+def windowed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") / 50).cast("int").alias("b"), "event_type")
+    got = incremental.windowed_histogram(e, "ts", ["b"], "event_type", width="1 day")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "feature", "bin", "y", "n")
