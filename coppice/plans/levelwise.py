@@ -3,7 +3,7 @@
 The binned table keeps a path column that is a CASE over the tree so far; one group-by a level gives the histograms of
 all active nodes, bounded by nodes, features, bins and classes. The driver picks each node's split from them.
 
-Splits: threshold (binary), multiway (interval groups) or shape: bins regrouped into k branches by coordinate descent,
+Splits: threshold (binary), multiway (interval groups), kmeans (groups of bins of like means) or shape: bins regrouped into k branches by coordinate descent,
 wherever they lie, from cuts of the bins sorted by class share or mean. Targets are classes or numbers (variance).
 """
 
@@ -26,7 +26,7 @@ EPS = 1e-12
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3
-    kind: str = "threshold"  # threshold, multiway or shape
+    kind: str = "threshold"  # threshold, multiway, kmeans or shape
     branches: int = 2
     min_child: int = 1
     penalty: float = 0.0  # per branch beyond the first, in impurity shares of all rows
@@ -91,6 +91,36 @@ def intervals(stats: np.ndarray, k: int, s: Settings) -> tuple[float, np.ndarray
     return (found[k][0], np.array(found[k][1])) if k in found else (np.inf, np.zeros(len(stats), int))
 
 
+def by_means(stats: np.ndarray, k: int, s: Settings) -> tuple[float, np.ndarray]:
+    """Bins grouped by their means (of the targets, or shares of the classes), rows weighing: k-means of the bins.
+
+    Along one direction groups are runs of the sorted means, so the program over runs is exact for one target; for more
+    the direction of largest spread orders the bins, and each bin then goes to the nearest centre while any moves.
+    """
+    n = np.maximum(rows_of(stats, s.criterion), EPS)
+    means = (stats[:, 1::2] if s.criterion == "variance" else stats) / n[:, None]
+    centred = means - np.average(means, axis=0, weights=n)
+    line = means[:, 0] if means.shape[1] == 1 else centred @ np.linalg.svd(centred * np.sqrt(n)[:, None], full_matrices=False)[2][0]
+    order = np.argsort(line, kind="stable")
+    cost, group = intervals(stats[order], k, s)
+    if not np.isfinite(cost):
+        return cost, group
+    own = np.empty(len(stats), int)
+    own[order] = group
+    if means.shape[1] > 1:
+        for _ in range(50):
+            centres = np.stack([np.average(means[own == g], axis=0, weights=n[own == g]) for g in range(k)])
+            new = ((means[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            if (new == own).all() or len(np.unique(new)) < k:
+                break
+            own = new
+    total = np.zeros((k, stats.shape[1]))
+    np.add.at(total, own, stats)
+    if (rows_of(total, s.criterion) < s.min_child).any():
+        return np.inf, own
+    return float(impurity(total, s.criterion).sum()), own
+
+
 def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float) -> tuple[float, list[list[int]]] | None:
     """(penalised impurity mass, bins of each branch) of the best split of one feature in one node."""
     best = None
@@ -100,6 +130,8 @@ def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float) ->
             level = stats[:, 1] / n
             found = min((descend(stats, k, s, o) for o in (np.argsort(level, kind="stable"), np.arange(len(bins)))), key=lambda x: x[0])
             found = min(found, intervals(stats, k, s), key=lambda x: x[0])
+        elif s.kind == "kmeans":
+            found = by_means(stats, k, s)
         else:
             found = intervals(stats, k, s)
         cost = found[0] + s.penalty * unit * (k - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -142,3 +143,24 @@ def support(fraction: float, n: int) -> int:
 def feature_sparsity(used: Sequence[str], features: Sequence[str]) -> float:
     """Share of the features that a tree does not use."""
     return 1 - len(set(used) & set(features)) / len(features) if features else 0.0
+
+
+@dataclass(frozen=True)
+class Timing:
+    seconds: float  # the best run
+    spread: float  # between the runs, relative to the best
+    steady: bool
+
+
+def timed(f: Callable[[], object], warm_up: int = 1, runs: int = 2, spread: float = 0.12, absolute: float = 0.05) -> Timing:
+    """The best of some runs after warm-up; steady if the runs differ by no more than ``spread`` of the best, or, where
+    that takes less than a second, by ``absolute`` seconds."""
+    for _ in range(warm_up):
+        f()
+    took = []
+    for _ in range(runs):
+        start = time.perf_counter()
+        f()
+        took.append(time.perf_counter() - start)
+    best, gap = min(took), max(took) - min(took)
+    return Timing(best, gap / best if best else 0.0, gap <= spread * best or (best < 1 and gap <= absolute))

@@ -7,6 +7,7 @@ table, JSON, text, or a column expression, by which prediction is a projection i
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -312,3 +313,32 @@ def _shape(t: Tree) -> object:
 
 def same(a: Tree, b: Tree) -> bool:
     return _shape(a) == _shape(b)
+
+
+def svg(tree: Tree, edges: dict[str, list[float]] | None = None, wide: int = 120, high: int = 70) -> str:
+    """A drawing of the tree: leaves from left to right, a split above the middle of its children."""
+    shapes: list[str] = []
+    leaves = 0
+
+    def safe(x: object) -> str:
+        return html.escape(str(x))
+
+    def draw(t: Tree, depth: int) -> float:
+        nonlocal leaves
+        y = high * (depth + 0.5)
+        if isinstance(t, Leaf):
+            leaves += 1
+            x = wide * (leaves - 0.5)
+        else:
+            at = [draw(c, depth + 1) for c in t.children]
+            x = (at[0] + at[-1]) / 2
+            for cx, spans in zip(at, t.branches, strict=True):
+                shapes.append(f'<line x1="{x:g}" y1="{y:g}" x2="{cx:g}" y2="{y + high:g}" stroke="#888"/>')
+                shapes.append(f'<text x="{(x + cx) / 2:g}" y="{y + high / 2:g}" font-size="9" text-anchor="middle">{safe(condition(t.feature, spans, (edges or {}).get(t.feature)))}</text>')
+        label = safe(t.prediction if isinstance(t, Leaf) else t.feature)
+        shapes.append(f'<rect x="{x - 0.4 * wide:g}" y="{y - 12:g}" width="{0.8 * wide:g}" height="24" fill="#fff" stroke="#333"/>')
+        shapes.append(f'<text x="{x:g}" y="{y + 4:g}" font-size="12" text-anchor="middle">{label}</text>')
+        return x
+
+    draw(tree, 0)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{wide * leaves}" height="{high * (statistics(tree)["depth"] + 1)}">{"".join(shapes)}</svg>'

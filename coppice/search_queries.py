@@ -331,6 +331,18 @@ def multi_target_regression_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("qb", F.round(F.col("predicted")[0], 9).alias("db_mean"), F.round(F.col("predicted")[1], 9).alias("tb_mean")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH h AS (SELECT db, CAST(count(*) AS DOUBLE) AS n, sum(l_quantity) AS s, sum(l_quantity * l_quantity) AS q FROM {BINNED} b GROUP BY db),
+p AS (SELECT db, s / n AS m, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(q) OVER o AS q, sum(n) OVER () AS an, sum(s) OVER () AS as_, sum(q) OVER () AS aq FROM h WINDOW o AS (ORDER BY s / n)),
+c AS (SELECT *, q - s * s / n + (aq - q) - (as_ - s) * (as_ - s) / (an - n) AS cost FROM p WHERE an > n),
+b AS (SELECT * FROM c ORDER BY cost LIMIT 1)
+SELECT h.db, round(CASE WHEN h.s / h.n <= b.m THEN b.s / b.n ELSE (b.as_ - b.s) / (b.an - b.n) END, 6) AS predicted FROM h, b""")
+def kmeans_branch_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of one feature in two groups of like means of a number."""
+    rows = binned(spark, sf_dir)
+    tree = levelwise.grow(rows, ["db"], "l_quantity", levelwise.Settings(1, "kmeans", 2, criterion="variance"))
+    return trees.predict(rows, tree).groupBy("db", F.round("predicted", 6).alias("predicted")).count().select("db", "predicted")
+
+
 # --- preparation and search
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Callable
@@ -21,6 +22,30 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructTyp
     return spark.read.schema(schema).option("header", header).csv(path)
 
 
+def read_zip(spark: SparkSession, path: str, members: str, schema: str | StructType, header: bool = False) -> DataFrame:
+    """Delimited text inside zip files: the lines of all members whose names match the regular expression ``members``,
+    as one table with a declared schema and the member's name. An archive is read by one task, a member line by line."""
+    def lines(frames):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for frame in frames:
+            for content in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        if re.search(members, name):
+                            with io.TextIOWrapper(z.open(name), "utf-8", "replace") as f:
+                                rows = itertools.islice(f, 1 if header else 0, None)
+                                while part := list(itertools.islice(rows, 10_000)):
+                                    yield pd.DataFrame({"member": name, "line": [x.rstrip("\r\n") for x in part]})
+
+    ddl = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "member string, line string")
+    return found.where("line <> ''").select("member", F.from_csv("line", ddl).alias("row")).select("member", "row.*")
+
+
 @dataclass(frozen=True)
 class Dataset:
     """A registered source: how to load it and which column is the target (the last one if None)."""

@@ -392,3 +392,55 @@ def test_bounds_of_proposals():
     got = exact.optimal(cases, exact.Settings(3, 0.001, allow_small=True, proposals=1))
     best = exact.optimal(cases, exact.Settings(3, 0.001, allow_small=True))
     assert (got.status, best.status) == ("proposals", "optimal") and got.lower <= best.objective <= got.objective
+
+
+def test_decision_process_lies_between_greedy_and_optimal():
+    r = random.Random(3)
+    for _ in range(20):
+        x = np.array([[i >> j & 1 for j in range(4)] for i in range(16)])
+        w = np.array([[r.random(), r.random()] for _ in range(16)])
+        w /= w.sum()
+        cases = exact.Cases(list("abcd"), [0, 1], x, np.ones(16, int), w, w[:, ::-1].copy())
+        s = exact.Settings(3, 0.004, allow_small=True)
+        low, mid, high = exact.optimal(cases, s).objective, exact.over_proposals(cases, s), exact.greedy(cases, s).objective
+        assert low - 1e-9 <= mid.objective <= high + 1e-9 and mid.objective == pytest.approx(exact.Search(cases, s).objective(np.arange(16), mid.tree))
+        front = exact.pareto(cases, s, [0.0, 0.001, 0.01, 0.1])
+        assert [n for n, *_ in front] == sorted({n for n, *_ in front}) and [x for _, x, _ in front] == sorted((x for _, x, _ in front), reverse=True)
+
+
+def test_means_group_bins_of_several_targets(spark):
+    centre = {0: (0, 0), 1: (9, 9), 2: (0, 9), 3: (9, 9), 4: (0, 0), 5: (0, 9)}
+    rows = [(b, float(u + i % 2), float(v - i % 3)) for b, (u, v) in centre.items() for i in range(6)]
+    df = spark.createDataFrame(rows, "b int, u double, v double")
+    tree = levelwise.grow(df, ["b"], ["u", "v"], levelwise.Settings(1, "kmeans", 3, criterion="variance"))
+    groups = sorted(sorted(b for lo, hi in s for b in range(lo, hi + 1)) for s in tree.branches)
+    assert groups == [[0, 4], [1, 3], [2, 5]]
+    assert trees.predict(df, tree).where("b = 0").first()["predicted"] == [0.5, -1.0]
+
+
+def test_columns_that_tell_nothing_go(spark):
+    from coppice.plans import teacher
+
+    r = random.Random(2)
+    rows = [(a, b, r.randrange(2), a & b) for a in (0, 1) for b in (0, 1) for _ in range(40)]
+    kept, score = teacher.eliminate_columns(frame(spark, rows, ["a", "b", "noise", "y"]), ["a", "b", "noise"], "y", trees=3, depth=2)
+    assert kept == ["a", "b"] and score == 1.0
+
+
+def test_timing_drawing_and_zip(spark, tmp_path):
+    import zipfile
+
+    assert selection.timed(lambda: None).steady
+    waits = iter([0, 0.0, 0.3])
+    import time as clock
+
+    assert not selection.timed(lambda: clock.sleep(next(waits)), absolute=0.01).steady
+    tree = trees.Split("a<b", [[(0, 1)], [(2, 3)]], [trees.Leaf("x&y"), trees.boolean("c", trees.Leaf(1), trees.Leaf(0))], prediction=0)
+    drawn = trees.svg(tree)
+    assert drawn.count("<rect") == 5 and drawn.count("<line") == 4 and "a&lt;b" in drawn and "x&amp;y" in drawn
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("d/train.txt", "1,2.5,A\n2,3.5,B\n")
+        z.writestr("d/test.txt", "3,4.5,A\r\n\r\n")
+        z.writestr("readme.md", "no,rows,here\n")
+    got = tables.read_zip(spark, f"{tmp_path}/d.zip", r"(train|test)\.txt$", "f1 int, f2 double, label string")
+    assert sorted((r["member"], r["f1"], r["f2"], r["label"]) for r in got.collect()) == [("d/test.txt", 3, 4.5, "A"), ("d/train.txt", 1, 2.5, "A"), ("d/train.txt", 2, 3.5, "B")]
