@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from coppice.llm.common import written
 
 #: Words kept per worker; once full, it stays as it is, as frequent words come early.
-CACHE = 200_000
+CACHE = 120_000
 
 
 class Encoder:

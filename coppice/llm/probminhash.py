@@ -59,7 +59,7 @@ _hashes = _Hashes()
 
 def shingle_hashes(split: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every run of k words of every text; of a text of fewer words, but not none, all of it."""
-    if len(_hashes) > 400_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     sizes = np.array([len(w) for w in split], np.int64)
     flat = np.fromiter((h for w in split for h in map(_hashes.__getitem__, w)), np.uint64, int(sizes.sum()))

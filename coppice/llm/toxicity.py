@@ -368,7 +368,7 @@ def _score(p: dict, words: Words, win: np.ndarray, chunk: int = 2048) -> np.ndar
 class Scorer:
     """Scores texts; keeps the input projections of up to ``most`` words."""
 
-    def __init__(self, net: Network, most: int = 150_000):
+    def __init__(self, net: Network, most: int = 80_000):
         self.net, self.most = net, most
         self.clear()
 
