@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,30 +139,92 @@ def wilson_neighbours(hist: DataFrame) -> DataFrame:
 
 
 def merge_by_bic(counts: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
-    """Bins (class counts in order) merged greedily while that lowers the Bayesian information criterion; spans.
+    """Bins (class counts in order) merged greedily while that does not raise the Bayesian information criterion of the two
+    neighbours and more than two are left; spans.
 
     Sequential by nature and small: for the driver or a grouped function.
     """
-    import numpy as np
-
-    def loglik(c: np.ndarray) -> float:
-        t = c.sum()
-        return float(sum(x * np.log(x / t) for x in c if x > 0)) if t else 0.0
-
-    atoms = [(i, i, np.array(c, float)) for i, c in enumerate(counts)]
-    n, k = sum(a[2].sum() for a in atoms), len(counts[0]) if counts else 0
-    while len(atoms) > 1:
-        gains = [np.log(max(n, 2)) * (k - 1) - 2 * (loglik(a[2]) + loglik(b[2]) - loglik(a[2] + b[2])) for a, b in zip(atoms, atoms[1:], strict=False)]
-        i = int(np.argmax(gains))
-        if gains[i] <= 0:
+    def loglik(c: Sequence[float]) -> float:
+        t = sum(c)
+        return sum(x * math.log(x / t) for x in c if x > 0)
+
+    def gain(a: Sequence[float], b: Sequence[float]) -> float | None:
+        both = [x + y for x, y in zip(a, b, strict=True)]
+        g = (len(both) - 1) * math.log(max(sum(both), 2)) - 2 * (loglik(a) + loglik(b) - loglik(both))
+        return g if g >= 0 else None
+
+    return _merged_greedily(counts, gain)
+
+
+def _merged_greedily(counts: Sequence[Sequence[float]], gain: Callable[[Sequence[float], Sequence[float]], float | None]) -> list[tuple[int, int]]:
+    """Neighbours of the highest gain (ties: the first; None: apart) merge until two spans are left or none may."""
+    atoms = [(i, i, list(map(float, c))) for i, c in enumerate(counts)]
+    while len(atoms) > 2:
+        gains = [(g, -i) for i, (a, b) in enumerate(zip(atoms, atoms[1:], strict=False)) if (g := gain(a[2], b[2])) is not None]
+        if not gains:
             break
-        atoms[i : i + 2] = [(atoms[i][0], atoms[i + 1][1], atoms[i][2] + atoms[i + 1][2])]
+        i = -max(gains)[1]
+        atoms[i : i + 2] = [(atoms[i][0], atoms[i + 1][1], [x + y for x, y in zip(atoms[i][2], atoms[i + 1][2], strict=True)])]
     return [(a, b) for a, b, _ in atoms]
 
 
+def _overlap(a: Sequence[float], b: Sequence[float], z: float = 1.959963984540054) -> bool:
+    """Whether the score intervals of every class's share overlap."""
+    def interval(k: float, n: float) -> tuple[float, float]:
+        p = k / n
+        half = z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+        return (p + z * z / (2 * n) - half) / (1 + z * z / n), (p + z * z / (2 * n) + half) / (1 + z * z / n)
+
+    na, nb = sum(a), sum(b)
+    if na <= 0 or nb <= 0:
+        return False
+    pairs = [(interval(x, na), interval(y, nb)) for x, y in zip(a, b, strict=True)]
+    return all(p[0] <= q[1] and q[0] <= p[1] for p, q in pairs)
+
+
+def merge_by_plateau(counts: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
+    """Neighbours whose score intervals overlap merge, those of the least total variation first, down to two spans."""
+    def gain(a: Sequence[float], b: Sequence[float]) -> float | None:
+        return -sum(abs(x / sum(a) - y / sum(b)) for x, y in zip(a, b, strict=True)) / 2 if _overlap(a, b) else None
+
+    return _merged_greedily(counts, gain)
+
+
+def merge_by_confidence(counts: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
+    """From the first bin on a bin joins the span before it where their score intervals overlap."""
+    out: list[tuple[int, int, list[float]]] = []
+    for i, c in enumerate(counts):
+        if out and _overlap(out[-1][2], c):
+            out[-1] = out[-1][0], i, [x + y for x, y in zip(out[-1][2], c, strict=True)]
+        else:
+            out.append((i, i, list(map(float, c))))
+    return [(a, b) for a, b, _ in out]
+
+
+def merged_by(rule: Callable[[Sequence[Sequence[float]]], list[tuple[int, int]]], hist: DataFrame) -> DataFrame:
+    """feature, bin, n0, n1 -> feature, atom, lo, hi, n0, n1 by merge_by_bic, merge_by_plateau or merge_by_confidence: a
+    feature's occupied bins are one group, which the number of bins bounds."""
+    import pandas as pd
+
+    def merge(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("bin")
+        counts, bins = own[["n0", "n1"]].to_numpy(), own["bin"].tolist()
+        out = [(own["feature"].iloc[0], k, bins[i], bins[j], *map(int, counts[i : j + 1].sum(0))) for k, (i, j) in enumerate(rule(counts.tolist()))]
+        return pd.DataFrame(out, columns=["feature", "atom", "lo", "hi", "n0", "n1"])
+
+    return hist.groupBy("feature").applyInPandas(merge, "feature string, atom long, lo int, hi int, n0 long, n1 long")
+
+
+def merge_proportional(hist: DataFrame) -> DataFrame:
+    """feature, bin, n0, n1 -> feature, atom, lo, hi, n0, n1: neighbouring bins of the same shares merge."""
+    w = Window.partitionBy("feature").orderBy("bin")
+    same = F.lag("n0").over(w) * F.col("n1") == F.lag("n1").over(w) * F.col("n0")
+    marked = hist.withColumn("_new", F.when(same, 0).otherwise(1))
+    atoms = marked.withColumn("atom", F.sum("_new").over(w) - 1)
+    return atoms.groupBy("feature", "atom").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
 def line_projections(df: DataFrame, a: str, b: str, angles: int) -> DataFrame:
     """Adds cos * a + sin * b for ``angles`` directions over half a turn but those along an axis."""
-    import math
-
     turns = [180 * i / angles for i in range(angles)]
     return df.withColumns({f"{a}:{b}@{t:g}": F.round(F.lit(math.cos(math.radians(t))), 3) * F.col(a) + F.round(F.lit(math.sin(math.radians(t))), 3) * F.col(b) for t in turns if t % 90})

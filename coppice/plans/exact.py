@@ -28,6 +28,7 @@ class Settings:
     min_rows: int = 1
     rule_list: bool = False
     proposals: int | None = None  # splits tried at a node: those of the most gain; then the best tree over proposals
+    feature_exchange: bool = False  # leave out splits that a split with a side inside theirs is proven to equal or beat
     seconds: float = 60.0
     max_patterns: int = 50_000
 
@@ -129,9 +130,12 @@ class Search:
             best = min(best, self.greedy(rows, frontier)[0])
         elif depth > 0 and least + 2 * self.reg < best - EPS and not self.timed_out:
             gain = self.gains(rows)
+            out = self.exchanged(rows, np.flatnonzero(gain > -np.inf), depth - 1) if self.s.feature_exchange and not frontier else set()
             for f in np.argsort(-gain, kind="stable")[: self.s.proposals]:
                 if gain[f] == -np.inf:
                     break
+                if f in out:
+                    continue
                 a, b = self.halves(rows, int(f))
                 low = self.minority(b) + self.reg
                 if self.minority(a) + self.reg + low >= best - EPS:
@@ -150,6 +154,29 @@ class Search:
         self.memo[key] = best, tree
         return best, tree
 
+    def exchanged(self, rows: np.ndarray, features: np.ndarray, depth: int) -> set[int]:
+        """Features not worth a split. Where a side of i lies inside a side of j, that side of i costs no more; if the other
+        side of i has an upper bound no higher than the lower bound of the other side of j, i is as good as j. Neighbouring
+        thresholds of one column are such features. Fewest rows a leaf may have would break the first claim: then none goes."""
+        if self.s.min_rows > 1 or len(features) < 2:
+            return set()
+        on = self.c.x[rows][:, features].astype(np.int64)
+        sides = np.stack([1 - on, on], 2)  # rows, features, side
+        upper, lower = np.empty(sides.shape[1:]), np.empty(sides.shape[1:])
+        for k, f in enumerate(features):
+            for side, part in enumerate(self.halves(rows, int(f))[::-1]):
+                known = self.memo.get((part.tobytes(), depth))
+                upper[k, side] = known[0] if known else self.leaf(part)[0]
+                lower[k, side] = known[0] if known and not self.timed_out else min(upper[k, side], self.minority(part) + self.reg)
+        flat = sides.reshape(len(rows), -1)
+        inside = (flat.T @ (1 - flat) == 0).reshape(len(features), 2, len(features), 2)
+        gone: set[int] = set()
+        for i in range(len(features)):
+            if i not in gone:
+                ok = inside[i] & (upper[i, ::-1, None, None] <= lower[None, :, ::-1])
+                gone |= {int(j) for j in np.flatnonzero(ok.any((0, 2))) if j != i}
+        return {int(features[j]) for j in gone}
+
     def objective(self, rows: np.ndarray, tree: Tree) -> float:
         if isinstance(tree, Leaf):
             return float(self.c.cost[rows][:, self.c.classes.index(tree.prediction)].sum()) + self.reg

@@ -249,6 +249,12 @@ def pure_run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.merge_pure_runs(days(spark, sf_dir))
 
 
+@query(f"WITH i AS (SELECT *, CASE WHEN lag(n0) OVER w * n1 = lag(n1) OVER w * n0 THEN 0 ELSE 1 END AS new FROM {DAYS} d WINDOW w AS (PARTITION BY feature ORDER BY bin)), a AS (SELECT *, sum(new) OVER (PARTITION BY feature ORDER BY bin) - 1 AS atom FROM i) "
+       "SELECT feature, CAST(atom AS BIGINT) AS atom, min(bin) AS lo, max(bin) AS hi, CAST(sum(n0) AS BIGINT) AS n0, CAST(sum(n1) AS BIGINT) AS n1 FROM a GROUP BY feature, atom")
+def proportional_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binning.merge_proportional(days(spark, sf_dir))
+
+
 Z = 1.959963984540054
 WILSON = f"(n1 / n + {Z * Z} / (2 * n)) / (1 + {Z * Z} / n)", f"{Z} * sqrt(n1 / n * (1 - n1 / n) / n + {Z * Z} / (4 * n * n)) / (1 + {Z * Z} / n)"
 
@@ -260,6 +266,38 @@ def wilson_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.wilson_neighbours(hist(spark, sf_dir)).withColumn("tv", F.round("tv", 6))
 
 
+def sql_apart(k: str, n: str, k2: str, n2: str) -> str:
+    """Whether the score intervals of k of n and of k2 of n2 do not meet."""
+    def at(k: str, n: str, sign: str) -> str:
+        p = f"({k} / CAST({n} AS DOUBLE))"
+        return f"(({p} + {Z * Z} / (2.0 * {n})) {sign} {Z} * sqrt({p} * (1 - {p}) / {n} + {Z * Z} / (4.0 * {n} * {n}))) / (1 + {Z * Z} / {n})"
+
+    return f"({at(k, n, '-')} > {at(k2, n2, '+')} OR {at(k2, n2, '-')} > {at(k, n, '+')})"
+
+
+APART = sql_apart("s.n1", "(s.n0 + s.n1)", "h.n1", "(h.n0 + h.n1)")
+
+
+@query(f"WITH RECURSIVE h AS (SELECT feature, bin, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, row_number() OVER (PARTITION BY feature ORDER BY bin) AS r FROM {HIST} x), "
+       "s AS (SELECT feature, r, bin AS lo, bin AS hi, n0, n1, CAST(0 AS BIGINT) AS atom FROM h WHERE r = 1 UNION ALL "
+       f"SELECT s.feature, h.r, CASE WHEN {APART} THEN h.bin ELSE s.lo END, h.bin, CASE WHEN {APART} THEN h.n0 ELSE s.n0 + h.n0 END, CASE WHEN {APART} THEN h.n1 ELSE s.n1 + h.n1 END, "
+       f"CASE WHEN {APART} THEN s.atom + 1 ELSE s.atom END FROM s JOIN h ON h.feature = s.feature AND h.r = s.r + 1) "
+       "SELECT feature, atom, lo, hi, n0, n1 FROM s QUALIFY row_number() OVER (PARTITION BY feature, atom ORDER BY r DESC) = 1")
+def confidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binning.merged_by(binning.merge_by_confidence, hist(spark, sf_dir))
+
+
+LOGS = "ln(1 + n0) AS a, ln(1 + n0 + n1) AS b, ln(1 + abs(n0 - n1)) AS c"
+
+
+@query(f"WITH l AS (SELECT feature, bin, {LOGS} FROM {HIST} h), m AS (SELECT *, max(a) OVER w AS ma, max(b) OVER w AS mb, max(c) OVER w AS mc FROM l WINDOW w AS (PARTITION BY feature)) "
+       f"SELECT feature, bin, round(({' + '.join(f'CASE WHEN m{x} > 1e-12 THEN {x} / m{x} ELSE 0 END' for x in 'abc')}) / 3, 6) AS strength FROM m")
+def relative_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priors = hist(spark, sf_dir).select("feature", "bin", F.col("n0").alias("gain"), (F.col("n0") + F.col("n1")).alias("cover"), F.abs(F.col("n0") - F.col("n1")).alias("jump"))
+    return teacher.relative_strengths(priors).select("feature", "bin", F.round("strength", 6).alias("strength"))
+
+
+
 @query("WITH b AS (SELECT DISTINCT event_type, CAST(date_part('hour', ts) AS INTEGER) AS bin FROM events WHERE value > 140), i AS (SELECT *, bin - row_number() OVER (PARTITION BY event_type ORDER BY bin) AS i FROM b) SELECT event_type, min(bin) AS lo, max(bin) AS hi FROM i GROUP BY event_type, i")
 def bins_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "events").where("value > 140").select("event_type", F.hour("ts").alias("bin")).distinct()
@@ -544,6 +582,19 @@ def multiway_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, got.tree, objective=got.objective, status=got.status)
 
 
+WAYS = f"""WITH c AS {PREFIX}, two AS (SELECT least(c0, c1) + least(t0 - c0, t1 - c1) AS loss, 2 AS ways FROM c WHERE c0 + c1 >= 50 AND t0 + t1 - c0 - c1 >= 50),
+  three AS (SELECT least(a.c0, a.c1) + least(b.c0 - a.c0, b.c1 - a.c1) + least(a.t0 - b.c0, a.t1 - b.c1) AS loss, 3 AS ways FROM c a JOIN c b ON a.feature = b.feature AND a.bin < b.bin
+  WHERE a.c0 + a.c1 >= 50 AND b.c0 + b.c1 - a.c0 - a.c1 >= 50 AND a.t0 + a.t1 - b.c0 - b.c1 >= 50), n AS (SELECT count(*) AS n, least(sum(y), sum(1 - y)) AS leaf FROM {BINNED} b)"""
+
+
+@query(f"{WAYS} SELECT round(least((SELECT leaf / n + 0.00001 FROM n), (SELECT min(loss / (SELECT n FROM n) + 0.00001 * ways) FROM (SELECT * FROM two UNION ALL SELECT * FROM three) x)), 9) AS objective, 'done' AS status")
+def multiway_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level over contiguous groups, all nominees searched: the objective is the least of all 2- and 3-way splits."""
+    df = binned(spark, sf_dir).withColumn("t", F.lit(0.0))
+    got = multiway.fit(df, FEATURES, "y", "t", None, multiway.Settings(1, 1, 0.00001, 50, top_k=1000, scatter_bins=0))
+    return spark.createDataFrame([(round(got.objective, 9), got.status)], "objective double, status string")
+
+
 @query()
 def shape_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, levelwise.grow(binned(spark, sf_dir), FEATURES, "y", levelwise.Settings(2, "shape", 3, min_child=20, penalty=1e-5)))

@@ -114,6 +114,13 @@ def optimal_sparse_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fitted(rows, "l_returnflag", got, 0.001, status=got.status)
 
 
+@query("WITH " + cubes("l_returnflag", ["'A'", "'N'", "'R'"], minority(3, 0.001)) + ", " + ", ".join(best(f"o{i}", f"o{i - 1}" if i > 1 else "leaf") for i in (1, 2, 3)) + " " + _both(root("o3"), "'optimal' AS status"))
+def feature_exchange_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flagged(spark, sf_dir)
+    got = exact.optimal(exact.collapse(rows, ABC, "l_returnflag"), exact.Settings(3, 0.001, feature_exchange=True))
+    return _fitted(rows, "l_returnflag", got, 0.001, status=got.status)
+
+
 TWO_CLASSES = "WITH " + cubes("y", ["0", "1"], minority(2, 0.0001)) + ", " + GAIN + ", "
 
 

@@ -150,6 +150,95 @@ def test_interval_program_and_refinement():
             assert best - 1e-9 <= better <= contiguous + 1e-9
 
 
+def test_nominees_anchors_and_dominance():
+    def nominee(score, family, ceiling, floor=0.0, feature=0, groups=2):
+        return multiway.Nominee(score, groups, 0.0, family, ceiling, [0, 1], {"feature": feature, "groups": groups, "floor": floor})
+
+    good, middle, loss = nominee(0.1, "impurity", 0.5), nominee(0.2, "impurity", 0.4, feature=1), nominee(0.9, "loss", 0.2)
+    solver = multiway.Solver.__new__(multiway.Solver)
+    solver.s = multiway.Settings()
+    assert solver.shortlist([loss, middle, good], None, 1) == [good, loss]  # the anchors, whatever the budget
+    assert solver.shortlist([loss, middle, good], None, 3) == [good, middle, loss]
+    assert solver.shortlist([loss, middle, good], None, None) == [good]
+    assert solver.shortlist([nominee(0.5, "loss", 0.3, 0.3), good], 1.0, 3)[0].ceiling == 0.3  # attains its floor: alone
+    assert solver.shortlist([nominee(0.1, "loss", 0.9, 0.8), good], 0.5, 3) == [good]
+    solver.s = multiway.Settings(drop_dominated=True)
+    worse = nominee(0.2, "loss", 0.5)
+    assert good.dominates(worse) and not good.dominates(loss) and not good.dominates(good)
+    assert solver.shortlist([worse, good, middle], None, 3) == [good, middle]
+    assert multiway.canonical([2, 0, 0, 2, 1]) == [0, 1, 1, 0, 2]
+
+
+def test_boundaries_decide_ties():
+    strength, bins = [0.0, 1.0, 0.0], np.arange(4)
+    assert multiway.boundary_penalty([0, 0, 1, 1], bins, strength) == -1.0
+    assert multiway.boundary_penalty([0, 1, 1, 0], bins, strength) == pytest.approx(1 / 3)  # leaps over three bins, cuts two of none
+    ok = np.triu(np.ones((5, 5), bool), 1)
+    bonus = np.array([0.0, 0.0, 1.0, 0.0])
+    assert multiway.interval_partitions(np.zeros((5, 5)), ok, 2, bonus)[2][1] == [0, 0, 1, 1]
+
+
+def test_linear_selector(spark):
+    got = multiway.fit(eight(spark), ["f0", "f1"], "y", "t", "w", multiway.Settings(2, regularisation=0.02, max_branching=4, selector="linear"))
+    scored = trees.predict(eight(spark), got.tree).agg(F.sum(F.when(F.col("predicted") != F.col("y"), F.col("w")).otherwise(0.0))).first()[0]
+    assert scored / 10 + 0.02 * trees.statistics(got.tree)["leaves"] == pytest.approx(got.objective)
+    assert trees.statistics(got.tree)["non_contiguous"] == 0
+    forced = multiway.fit(eight(spark), ["f0", "f1"], "y", "t", "w", multiway.Settings(1, regularisation=9.0, selector="linear"))
+    assert trees.statistics(forced.tree)["leaves"] > 1  # taken although a leaf costs less
+    with pytest.raises(ValueError, match="selector"):
+        multiway.fit(eight(spark), ["f0"], "y", "t", settings=multiway.Settings(selector="x"))
+
+
+def test_feature_exchange_keeps_the_optimum():
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for turn in range(40):
+        v = rng.integers(0, 5, (30, 2))
+        x = np.unique(np.concatenate([v[:, [c]] >= np.arange(1, 5) for c in (0, 1)], 1).astype(int), axis=0)
+        n = rng.integers(1, 6, (len(x), 2)).astype(float)
+        w = n / n.sum()
+        cases = exact.Cases([f"f{i}" for i in range(8)], [0, 1], x, n.sum(1).astype(int), w, w @ (1 - np.eye(2)))
+        plain, less = (exact.Search(cases, exact.Settings(3, 0.02 + 0.002 * turn, feature_exchange=k)) for k in (False, True))
+        rows = np.arange(len(x))
+        assert less.solve(rows, 3)[0] == pytest.approx(plain.solve(rows, 3)[0])
+        dropped += len(less.exchanged(rows, np.arange(8), 2))
+    assert dropped
+
+
+def test_neighbouring_bins_merge():
+    assert binning.merge_by_plateau([(50, 50), (52, 48), (10, 90), (9, 91)]) == [(0, 1), (2, 3)]
+    assert binning.merge_by_plateau([(50, 50), (50, 50)]) == [(0, 0), (1, 1)]  # two spans stay
+    assert binning.merge_by_plateau([(90, 10), (50, 50), (10, 90)]) == [(0, 0), (1, 1), (2, 2)]
+    assert binning.merge_by_confidence([(50, 50), (52, 48), (10, 90), (0, 0)]) == [(0, 1), (2, 2), (3, 3)]
+    assert binning.merge_by_confidence([]) == binning.merge_by_plateau([]) == []
+
+
+def test_boundary_tensors(spark):
+    from coppice.plans import teacher
+
+    rows = [(float(i % 7), float(i * 5 % 11), int(i % 7 + i * 5 % 11 > 8)) for i in range(77)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    edges, reps = {"a": [2.0, 4.0], "b": [5.0]}, {"a": [1.0, 3.0, 5.0], "b": [2.0, 8.0]}
+    t = teacher.fit(df, ["a", "b"], "y", trees=3, depth=2)
+    priors = teacher.boundary_priors(t, edges)
+    assert [p[:2] for p in priors] == [("a", 0), ("a", 1), ("b", 0)] and all(p[3] > 0 for p in priors if p[2] > 0)
+    ready = binning.digitise(df, edges)
+    got = teacher.boundary_tensors(t, ready, {"a": "a_bin", "b": "b_bin"}, reps)
+    assert set(ready.columns) < set(got.columns)
+    sample = got.limit(12).collect()
+    for f in ("a", "b"):
+        at = lambda r, k, f=f: {**{c: r[c] for c in ("a", "b")}, f: reps[f][k]} if 0 <= k < len(reps[f]) else None
+        wanted = [(i, side, x) for i, r in enumerate(sample) for side in (-1, 0, 1) if (x := at(r, r[f"{f}_bin"] + side))]
+        asked = spark.createDataFrame([(i, side, x["a"], x["b"]) for i, side, x in wanted], "i int, side int, a double, b double")
+        margin = {(r["i"], r["side"]): r["m"] for r in t.logits(asked, "m").collect()}
+        for i, r in enumerate(sample):
+            low, mid, high = (margin.get((i, side)) for side in (-1, 0, 1))
+            assert r[f"{f}_left_delta"] == pytest.approx(0 if low is None else mid - low)
+            assert r[f"{f}_right_delta"] == pytest.approx(0 if high is None else high - mid)
+            assert r[f"{f}_left_conf"] == pytest.approx(0 if low is None else (abs(mid) + abs(low)) / 2)
+            assert r[f"{f}_right_conf"] == pytest.approx(0 if high is None else (abs(high) + abs(mid)) / 2)
+
+
 def test_single_class(spark):
     df = frame(spark, [(i % 3, 1) for i in range(9)], ["f", "y"])
     with pytest.raises(ValueError, match="classes"):
@@ -198,6 +287,7 @@ def test_binariser_document_example(spark):
     rows = binning.binarise(df, ts).drop("x", "z").collect()
     assert [tuple(r) for r in rows] == [(1, 1, 1, 1), (0, 0, 1, 1), (1, 0, 0, 1), (0, 0, 0, 0)]
     assert binning.merge_by_bic([(9, 1), (90, 10), (1, 99)]) == [(0, 1), (2, 2)]
+    assert binning.merge_by_bic([(9, 1), (9, 1)]) == [(0, 0), (1, 1)]
     assert binning.encoder_predicates([1, 2], "rational") == [">= 1.5"]
 
 
