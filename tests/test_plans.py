@@ -213,6 +213,13 @@ def test_neighbouring_bins_merge():
     assert binning.merge_by_confidence([]) == binning.merge_by_plateau([]) == []
 
 
+def test_bins_of_the_same_shares_merge(spark):
+    hist = spark.createDataFrame([("f", 0, 1, 2), ("f", 1, 2, 4), ("f", 3, 3, 1), ("g", 0, 1, 2)], "feature string, bin int, n0 long, n1 long")
+    assert sorted(map(tuple, binning.merge_proportional(hist).collect())) == [("f", 0, 0, 1, 3, 6), ("f", 1, 3, 3, 3, 1), ("g", 0, 0, 0, 1, 2)]
+    merged = binning.merged_by(binning.merge_by_plateau, hist).collect()
+    assert sorted(map(tuple, merged)) == [("f", 0, 0, 1, 3, 6), ("f", 1, 3, 3, 3, 1), ("g", 0, 0, 0, 1, 2)]
+
+
 def test_boundary_tensors(spark):
     from coppice.plans import teacher
 
