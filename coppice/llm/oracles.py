@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from coppice.llm import licences
+_BITS = "list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+
+#: CRC-32 in SQL: a table of 256 remainders (one row, column tab), then a step for each byte.
+CRC_TABLE = f"SELECT list(r ORDER BY i) AS tab FROM (SELECT i, {_BITS} AS r FROM (SELECT unnest(range(256)) AS i))"
+
+
+def crc32(bytes_: str) -> str:
+    """CRC-32 of a list of byte values, where the column of CRC_TABLE is in reach."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -59,11 +67,36 @@ c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, coalesce(c, doc_id) AS class_id, doc_id = coalesce(c, doc_id) AS kept FROM d LEFT JOIN rep ON rep.text = d.text LEFT JOIN c ON c.a = rep.id"""
 
 
+#: Places of equal words at most a quarter of the text apart, as islands by lag; a run within one of a smaller period is not one.
+PERIODS = f"""
+WITH tab AS ({CRC_TABLE}),
+h AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  {crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} AS h FROM documents, tab),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM p),
+x AS MATERIALIZED (SELECT r, n, unnest(w) AS t, unnest(range(n)) AS i FROM d),
+isle AS (SELECT r, q, min(i) AS s, count(*) + q AS m FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k
+  FROM (SELECT x.r, x.i, y.i - x.i AS q FROM x JOIN x y ON x.r = y.r AND x.t = y.t AND y.i > x.i AND y.i <= x.i + x.n // 4)) GROUP BY r, q, k),
+long AS MATERIALIZED (SELECT * FROM isle WHERE m >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT * FROM long l WHERE NOT EXISTS (SELECT 1 FROM long o WHERE o.r = l.r AND o.q < l.q AND l.q % o.q = 0 AND o.s <= l.s AND o.s + o.m >= l.s + l.m)),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + m)) AS i FROM run),
+kept AS (SELECT r, string_agg(t, ' ' ORDER BY i) AS c FROM x ANTI JOIN gone USING (r, i) GROUP BY r),
+best AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS l, first({{'s': s, 'm': m, 'q': q}} ORDER BY m DESC, s, q) AS b FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, CAST(b.m AS BIGINT) AS length, b.q AS period, CAST(1000 * b.m // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256 FROM d LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    from coppice.llm import importance, licences, line_rules
+
     return {
         "op2_warc_round_trip": WARC,
         "op4_inverted_multi_index": LINKS,
         "op5_wu_manber_decontamination": DECONTAMINATION,
         "op8_licence_digests": licences.sql(),
         "op9_probminhash_near_dedup": NEAR_DUPLICATES,
+        "op11_lag_counting_runs": PERIODS,
+        "op12_position_table_resampling": importance.sql(),
+        "op13_line_first_cleaning": line_rules.sql(),
     }

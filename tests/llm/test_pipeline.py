@@ -130,5 +130,5 @@ def test_run(spark):
 
 def test_queries_are_registered():
     names = queries.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13
     assert set(queries.oracle_sql()) <= set(names)
