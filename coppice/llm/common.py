@@ -69,8 +69,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 BROADCAST_IDS = 1_000_000
 
 
-def matching(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join of df with ids (one column ``key``, distinct, of a written table).
+def matching(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of df with ids (the column or columns ``key``, distinct, of a written table).
 
     Up to BROADCAST_IDS ids are counted and broadcast, so that df stays where it is; more are dealt by key with df.
     """
@@ -98,6 +98,11 @@ def written(df: DataFrame, what: str, arrow_rows: int | None = None) -> DataFram
     return table
 
 
+def own_names(docs: DataFrame) -> list[str]:
+    """Names for the columns of docs that clash with none of an operator's: doc_id and text keep theirs."""
+    return [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(0)).cast("int")

@@ -4,11 +4,13 @@ Sketch. A shingle of weight w is a Poisson process of rate w over m registers: i
 drawn from its hash, each falls on a random register, and a register keeps its earliest arrival. Two texts agree in a
 register with the probability Jaccard similarity of their weighted shingles, which for equal weights is the Jaccard
 similarity of the sets. An element whose next arrival lies beyond the latest register of its text can no longer win
-and ends early; all elements of a batch of texts advance together, so the work is numpy's. The similarity that is
-sketched is the one that is verified, for equal weights (as near-duplicates use) and for weights by count.
+and ends early; all elements of a batch of texts advance together, so the work is numpy's. A shingle weighs as much as
+its text has it. Where near-duplicates are told by the Jaccard similarity of the sets, as by default, counts alone could
+hide one (a line repeated in one text of two), so a text that has a shingle more than once gets a second sketch of
+equal weights beside the weighted one and is a candidate by either.
 
-Candidates. Equal texts are collapsed to their smallest id first. Registers are banded; texts that share a band meet
-in a bucket. Buckets of equal members are compared once. Within a bucket each text is held against those that are not
+Candidates. Equal texts are collapsed to one node first, which has a number of its own: ids may repeat, and decide
+nothing but which one names a class. Registers are banded; texts that share a band meet in a bucket. Buckets of equal members are compared once. Within a bucket each text is held against those that are not
 joined with it yet, first by registers, then by the exact similarity of the shingles; a link joins two groups. So a
 bucket of thousands of near copies gives a link for each text rather than all pairs. Large buckets are dealt over
 blocks at random, anew in each band. Where links elsewhere have not joined the members of such a bucket, one member
@@ -24,10 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import appended, discard, matching, words, written
+from coppice.llm.common import appended, discard, matching, own_names, words, written
 from coppice.llm.graph import components
 
 #: A band of four registers is 64 bits. Texts of similarity 0.8 share none of 20 bands with probability 3e-5.
@@ -129,20 +131,27 @@ def sketch(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, m: int) -> np
     return won.reshape(n, m)
 
 
-def _sketcher(k: int, m: int, by_count: bool):
-    def make():
-        from xxhash import xxh3_128_digest
+def _registers(won: np.ndarray, m: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(won + np.arange(m, dtype=np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def _sketcher(k: int, m: int):
+    """Registers of equal weights, and of weights by count for texts that have a shingle more than once (else the same)."""
 
+    def make():
         def run(texts: list[str | None]) -> list:
             split = [words(t) for t in texts]
-            won = sketch(*weighted(*shingle_hashes(split, k), by_count), len(texts), m)
-            with np.errstate(over="ignore"):
-                registers = (mix(won + np.arange(m, dtype=np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
-            raw = [t.encode("utf-8", "surrogatepass") if t else None for t in texts]
+            text, h, w = weighted(*shingle_hashes(split, k), True)
+            even = _registers(sketch(text, h, np.ones(len(w)), len(texts), m), m)
+            repeats = np.zeros(len(texts), bool)
+            repeats[text[w > 1]] = True
+            some = repeats[text]
+            counted = _registers(sketch((np.cumsum(repeats) - 1)[text[some]], h[some], w[some], int(repeats.sum()), m), m)
+            place = np.cumsum(repeats) - 1
             return [
-                [xxh3_128_digest(t) if t else None for t in raw],
-                [r.tobytes() if w else None for r, w in zip(registers, split, strict=True)],
-                [len(t) if t else 0 for t in raw],
+                [r.tobytes() if w else None for r, w in zip(even, split, strict=True)],
+                [counted[place[i]].tobytes() if repeats[i] else None for i in range(len(texts))],
             ]
 
         return run
@@ -150,6 +159,11 @@ def _sketcher(k: int, m: int, by_count: bool):
     return make
 
 
+def digest(text: Column) -> Column:
+    """16 bytes that tell texts apart; null for null and empty ones."""
+    return F.when(F.length(text) > 0, F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
+
+
 def bucket_links(
     registers: np.ndarray, sets: Callable[[int], tuple[np.ndarray, np.ndarray]], group: np.ndarray, low: float, threshold: float, by_count: bool = False
 ) -> list[tuple[int, int, float]]:
@@ -234,36 +248,47 @@ def _compare(rows: DataFrame, keys: list[str], k: int, low: float, threshold: fl
 def links(
     docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, by_count: bool = False, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b, similarity) that join all similar texts, the rows (id, digest), and the distinct texts (digest, id, n).
-
-    ``docs`` has doc_id and text. A text that is null or empty has no digest; one without words links with its exact
-    copies only, which share its digest; rows without an id are left out. Between texts that no other link joins, no
-    link of a shared bucket is left out; the register test passes over texts estimated six standard deviations below
-    the threshold only.
+    """Links (a, b, similarity) that join all similar texts, the rows (doc, digest), and the distinct texts (digest, id, doc, n).
+
+    ``docs`` has doc_id and text; a and b are ids of texts, numbers that mean nothing else; doc is a doc_id, of a text the
+    smallest one that has it, and n the number of its rows. A text that is null or empty has no digest; one without words
+    links with its exact copies only, which share its digest; rows without a doc_id are left out. Candidates are texts
+    that share a band of either sketch, all but 3e-5 of those of similarity 0.8. Between texts of a bucket that no other
+    link joins no link is left out but where the register test passes over one, as it does over texts estimated six
+    standard deviations below the threshold: for a similarity at the threshold with a probability of 1e-9 or so.
     """
     if rows > 4:
         raise ValueError("a band holds at most four registers of 16 bits")
     m = bands * rows
     low = threshold - 6 * (threshold * (1 - threshold) / m) ** 0.5
-    source = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    made = appended(source, ["text"], "digest binary, registers binary, size long", _sketcher(k, m, by_count), rows=2000, without=["text"])
+    source = docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
+    known = source.select("doc", "text", digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    made = appended(known, ["text"], "registers binary, counted binary", _sketcher(k, m), rows=2000, without=["text"])
     sketched = written(made, "sketches", arrow_rows=2000)
     texts = sketched.where("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("registers").alias("registers"), F.first("size").alias("size"))
-    texts = written(texts, "texts")
-
-    band = lambda b: F.xxhash64(F.lit(b), F.substring("registers", 2 * rows * b + 1, 2 * rows))
-    spots = texts.where("registers is not null").select("id", "size", F.explode(F.array(*map(band, range(bands)))).alias("bucket"))
+        F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("registers", "counted", "size")))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # the numbers are those of the table
+
+    band = lambda of, b: F.xxhash64(F.lit(b), F.substring(of, 2 * rows * b + 1, 2 * rows))
+    of_sets = F.array(*(band(F.col("registers"), b) for b in range(bands)))
+    of_counts = F.array(*(band(F.col("counted"), b) for b in range(bands)))
+    own = of_sets if not by_count else F.when(F.col("counted").isNull(), of_sets).otherwise(of_counts)
+    both = F.when(F.col("counted").isNull(), of_sets).otherwise(F.array_distinct(F.concat(of_counts, of_sets)))
+    spots = texts.where("registers is not null").select("id", "size", F.explode(own if by_count else both).alias("bucket"))
     buckets = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum("size").alias("size")).where("n > 1")
     distinct = buckets.groupBy("n", "x", "size").agg(F.min("bucket").alias("bucket"))
     sized = distinct.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     met = written(spots.select("id", "bucket").join(sized.hint("merge"), "bucket"), "buckets")
-    ids = written(met.select("id").distinct(), "sharing")
-    sharing = matching(source, ids, "id")
-    registers = texts.select("id", "registers", "size")
+    ids = written(texts.join(met.select("id").distinct().hint("merge"), "id", "left_semi").select("doc", "digest"), "sharing")
+    docs_of = written(ids.select("doc").distinct(), "sharing-docs")
+    sharing = matching(source, docs_of, "doc").withColumn("digest", digest(F.col("text")))
+    if matching(sketched.select("doc", "digest"), docs_of, "doc").join(ids.hint("merge"), ["doc", "digest"], "left_semi").count() > ids.count():
+        sharing = sharing.groupBy("doc", "digest").agg(F.first("text").alias("text"))  # rows that repeat both: one is enough
+    compared_by = F.coalesce("counted", "registers") if by_count else F.col("registers")
+    registers = texts.select("id", "doc", "digest", compared_by.alias("registers"), "size")
 
     def whole(rows: DataFrame) -> DataFrame:
-        return rows.join(registers.drop("size").hint("merge"), "id").join(sharing.hint("merge"), "id")
+        return rows.join(registers.drop("size").hint("merge"), "id").join(sharing.hint("merge"), ["doc", "digest"])
 
     def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
         return written(_compare(whole(rows), keys, k, low, threshold, by_count), "links", arrow_rows=256)
@@ -282,8 +307,8 @@ def links(
         open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
         grouped = written(grouped.join(open_, "bucket"), "open")
         if grouped.isEmpty():
-            return found, sketched.select("id", "digest"), texts.select("digest", "id", "n")
-        one = grouped.groupBy("bucket", "group").agg(F.min("id").alias("id")).join(registers.drop("registers"), "id")
+            return found, sketched.select("doc", "digest"), texts.select("digest", "id", "doc", "n")
+        one = grouped.groupBy("bucket", "group").agg(F.min("id").alias("id")).join(registers.select("id", "size"), "id")
         parts = one.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
         more = compared(dealt(one.drop("size").join(parts, "bucket"), turn), ["bucket", "block"])
         settled = more.isEmpty()
@@ -293,44 +318,61 @@ def links(
         pairs = dealt(grouped, 0).withColumn("other", other).where("other <> block").select(
             "id", "group", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
         found = found.unionByName(compared(pairs, ["bucket", "one", "two"]))
-    discard(met, ids)
-    return found, sketched.select("id", "digest"), texts.select("digest", "id", "n")
+    discard(met, ids, docs_of)
+    return found, sketched.select("doc", "digest"), texts.select("digest", "id", "doc", "n")
+
+
+def _classes(docs: DataFrame, k: int, threshold: float, by_count: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc, digest) of docs and the texts (digest, doc, n, class_id, first): class_id is the smallest doc of the
+    text's class, and first whether the text is the one of the smallest doc, then digest, of its class."""
+    found, rows, texts = links(docs, k, threshold, by_count=by_count)
+    joined = components(found)
+    linked = written(texts.join(joined.hint("merge"), "id").select("digest", "doc", "n", "component"), "linked")
+    heads = linked.groupBy("component").agg(F.min(F.struct("doc", "digest")).alias("head"))
+    named = linked.join(heads.hint("merge"), "component").select("digest", "doc", "n", F.col("head.doc").alias("class_id"), (F.col("head.digest") == F.col("digest")).alias("first"))
+    alone = texts.join(joined.select("id").hint("merge"), "id", "left_anti").select("digest", "doc", "n", F.col("doc").alias("class_id"), F.lit(True).alias("first"))
+    return rows, written(named.unionByName(alone), "text-classes")
 
 
 def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, by_count: bool = False) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), kept (doc_id = class_id); a row for each row of docs.
 
-    Rows without an id have no class and are kept, null and empty texts are alone in their class; repeated rows of
-    one id share its class if their texts are equal, else each has that of its text; no rows give none. Other columns
-    are ignored. A text that very many rows share does not go through one task: its class is broadcast.
+    Rows without an id have no class and are kept, null and empty texts are alone in their class; of rows that repeat an
+    id each has the class of its own text; texts are compared whole, whatever their length; no rows give none. Other columns
+    are ignored. A text that very many rows share does not go through one task: its class is broadcast. ``by_count`` tells
+    classes by the probability Jaccard of shingles weighted by their counts instead of the Jaccard of the sets.
     """
-    found, rows, texts = links(docs, k, threshold, by_count=by_count)
-    joined = components(found)
-    of_text = written(texts.join(joined.hint("merge"), "id", "left").select("digest", "n", F.coalesce("component", "id").alias("class_id")), "text-classes")
+    rows, of_text = _classes(docs, k, threshold, by_count)
     total = of_text.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(of_text.where(F.col("n") > total / HOT).select("digest", F.col("class_id").alias("hot_class")))  # fewer than HOT rows
     marked = rows.join(hot, "digest", "left")
-    done = marked.where("digest is null or hot_class is not null").select(F.col("id").alias("doc_id"), F.coalesce("hot_class", "id").alias("class_id"))
-    rest = marked.where("digest is not null and hot_class is null").select("id", "digest").join(of_text.drop("n").hint("merge"), "digest")
+    done = marked.where("digest is null or hot_class is not null").select(F.col("doc").alias("doc_id"), F.coalesce("hot_class", "doc").alias("class_id"))
+    rest = marked.where("digest is not null and hot_class is null").select("doc", "digest").join(of_text.select("digest", "class_id").hint("merge"), "digest")
     bare = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    named = done.unionByName(rest.select(F.col("id").alias("doc_id"), "class_id")).unionByName(bare)
+    named = done.unionByName(rest.select(F.col("doc").alias("doc_id"), "class_id")).unionByName(bare)
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs of which one stays for each class: that of the smallest id.
+    """The rows of docs of which one stays for each class: that of the smallest id, then of the smallest digest of the text.
 
-    Of rows that repeat that id, the one of the smallest text stays (nulls first), and of rows that repeat both, that
-    of the smallest hash of its other columns. Rows without an id stay. All columns of docs are kept.
+    Rows are told apart by id and text, so an id that repeats decides over none but its own text: a text that is like no
+    other stays, whoever shares its id. Of rows that repeat both, that of the smallest hash of their other columns stays.
+    Rows without an id, and null and empty texts, are no one's copies and all stay. All columns of docs are kept as they
+    are; no rows give none.
     """
-    found = written(classes(docs, k, threshold), "classes")
-    of_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    of_id = written(of_id.where("not kept or n > 1"), "class-ids")
-    kept = matching(docs, of_id.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = of_id.where("kept").select("doc_id")
+    rows, of_text = _classes(docs, k, threshold, False)
+    firsts = of_text.where("first").select("digest", F.col("doc").alias("first_doc"))
+    of_row = rows.where("digest is not null").groupBy("doc", "digest").agg(F.count(F.lit(1)).alias("n"))
+    told = of_row.join(firsts.hint("merge"), "digest", "left").withColumn("stays", F.coalesce(F.col("first_doc") == F.col("doc"), F.lit(False)))
+    told = written(told.where("not stays or n > 1").select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), "stays"), "copies")
+    rows = docs.toDF(*own_names(docs)).withColumns({"_doc": F.col("doc_id"), "_digest": digest(F.col("text").cast("string"))})
+    back = lambda df: df.select(*own_names(docs)).toDF(*docs.columns)
+    kept = matching(rows, told.where("not stays").select("_doc", "_digest"), ["_doc", "_digest"], "left_anti")
+    repeated = told.where("stays").select("_doc", "_digest")
     if repeated.isEmpty():
-        return kept
-    plain = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").cast("string"), F.xxhash64(*plain))).alias("row")
-    once = matching(kept, repeated, "doc_id").groupBy("doc_id").agg(first).select("row.*")
-    return matching(kept, repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return back(kept)
+    plain = [n for n, f in zip(own_names(docs), docs.schema.fields, strict=True) if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*own_names(docs)), F.xxhash64(*plain)).alias("row")
+    once = matching(kept, repeated, ["_doc", "_digest"]).groupBy("_doc", "_digest").agg(first).select("row.*")
+    return back(matching(kept, repeated, ["_doc", "_digest"], "left_anti")).unionByName(back(once))

@@ -571,6 +571,25 @@ def test_lines_repeated_hundreds_of_times_link(spark):
     assert {g["doc_id"]: g["class_id"] for g in probminhash.classes(docs(spark, rows)).collect()} == want
 
 
+def test_candidates_by_counts_and_by_sets_find_all_similar_texts():
+    """Bands of both sketches against all pairs: of counts alone most, of either all."""
+    r = random.Random(6)
+    texts = []
+    for i in range(150):
+        own = [f"p{i}w{j}" for j in range(r.randint(30, 200))]
+        line = own[:12] * r.choice([0, 0, 1, 3])
+        texts += [own + line, edited(r, own, r.randint(0, 2)) + line * r.choice([1, 1, 4])]
+    texts = [" ".join(t) for t in texts]
+    even, counted = probminhash._sketcher(5, 80)()(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for t in texts)]
+    band = lambda x: {(b, x[8 * b : 8 * b + 8]) for b in range(20)}
+    by_count = [band(c or e) for e, c in zip(even, counted, strict=True)]
+    either = [x | band(e) for e, x in zip(even, by_count, strict=True)]
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    recall = lambda of: sum(bool(of[i] & of[j]) for i, j in similar) / len(similar)
+    assert len(similar) >= 100 and any(counted) and recall(by_count) >= 0.9 and recall(either) == 1
+
+
 def test_registers_estimate_probability_jaccard():
     r = random.Random(9)
     a = [f"w{r.randrange(10**6)}".encode() for _ in range(400)]
