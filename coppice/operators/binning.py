@@ -18,10 +18,11 @@ def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
 
 
 def midpoints(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """feature, threshold: halfway between each two neighbouring distinct values."""
+    """feature, threshold: halfway between each two neighbouring distinct values; the lower of two with no number between."""
     values = long_form(df.select(*(F.col(f).cast("double").alias(f) for f in features)), features).where("v is not null").distinct()
     nxt = F.lead("v").over(Window.partitionBy("feature").orderBy("v"))
-    return values.withColumn("n", nxt).where("n is not null").select("feature", ((F.col("v") + F.col("n")) / 2).alias("threshold"))
+    half = (F.col("v") + F.col("n")) / 2
+    return values.withColumn("n", nxt).where("n is not null").select("feature", F.when(half < F.col("n"), half).otherwise(F.col("v")).alias("threshold"))
 
 
 def thresholds_of(df: DataFrame, features: Sequence[str], limit: int = 10_000) -> dict[str, list[float]]:
@@ -32,9 +33,25 @@ def thresholds_of(df: DataFrame, features: Sequence[str], limit: int = 10_000) -
     return {f: sorted(r["threshold"] for r in rows if r["feature"] == f) for f in features}
 
 
+def number(x: float) -> str:
+    """The shortest text that reads back as the same number, whole ones without a point: two numbers never share one."""
+    return repr(float(x)).removesuffix(".0")
+
+
+def column_of(feature: str, threshold: float) -> str:
+    """The name of a binarised column."""
+    return f"{feature}<={number(threshold)}"
+
+
+def feature_map(thresholds: Mapping[str, Sequence[float]]) -> dict[str, tuple[str, float]]:
+    """Source and threshold of each binarised column."""
+    return {column_of(f, t): (f, float(t)) for f, ts in thresholds.items() for t in ts}
+
+
 def binarise(df: DataFrame, thresholds: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Adds a 0/1 column ``feature<=threshold`` for each."""
-    return df.withColumns({f"{f}<={t:g}": (F.col(f) <= t).cast("int") for f, ts in thresholds.items() for t in ts})
+    """Adds a 0/1 column ``feature<=threshold`` for each, null where the value is; however near two thresholds lie, each
+    has a column of its own (see ``feature_map``)."""
+    return df.withColumns({name: (F.col(f) <= t).cast("int") for name, (f, t) in feature_map(thresholds).items()})
 
 
 def unbinarise(df: DataFrame, feature: str, values: Sequence[float], thresholds: Sequence[float], out: str) -> DataFrame:
@@ -42,7 +59,7 @@ def unbinarise(df: DataFrame, feature: str, values: Sequence[float], thresholds:
     each two thresholds."""
     c = F.lit(float(values[-1]))
     for v, t in reversed(list(zip(values, thresholds, strict=False))):
-        c = F.when(F.col(f"`{feature}<={t:g}`") == 1, F.lit(float(v))).otherwise(c)
+        c = F.when(F.col(f"`{column_of(feature, t)}`") == 1, F.lit(float(v))).otherwise(c)
     return df.withColumn(out, c)
 
 
@@ -51,7 +68,7 @@ def encoder_predicates(values: Sequence, kind: str) -> list[str]:
     if kind == "integral":
         return [f">= {v}" for v in values]
     if kind == "rational":
-        return [f">= {(a + b) / 2:g}" for a, b in zip(values, values[1:], strict=False)]
+        return [f">= {number((a + b) / 2)}" for a, b in zip(values, values[1:], strict=False)]
     return [f"= '{v}'" for v in values]
 
 
@@ -86,9 +103,10 @@ def edges_of(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, lis
 
 
 def digitise(df: DataFrame, edges: Mapping[str, Sequence[float]], suffix: str = "_bin") -> DataFrame:
-    """Adds bins: how many edges are at or below the value. A value on an edge is above it."""
+    """Adds bins: how many edges are at or below the value. A value on an edge is above it, NaN above all; null has no bin."""
     def bin_of(f: str, es: Sequence[float]) -> Column:
-        return F.size(F.filter(F.array(*(F.lit(float(e)) for e in es)), lambda e: e <= F.col(f))) if es else F.lit(0)
+        below = F.size(F.filter(F.array(*(F.lit(float(e)) for e in es)), lambda e: e <= F.col(f))) if es else F.lit(0)
+        return F.when(F.col(f).isNotNull(), below)
 
     return df.withColumns({f"{f}{suffix}": bin_of(f, es).cast("int") for f, es in edges.items()})
 

@@ -217,6 +217,7 @@ def lookahead(cases: Cases, settings: Settings, steps: int = 2, fill: str = "opt
     left = settings.depth - steps
     _, prefix = s.solve(rows, steps, frontier=left)
     rest = Search(cases, settings)
+    rest.until = s.until
     make = (lambda r: rest.solve(r, left)[1]) if fill == "optimal" else (lambda r: rest.greedy(r, left)[1])
     tree = s.fill(rows, prefix, make) if left else prefix
     return Fitted(tree, s.objective(rows, tree), s.minority(rows) + s.reg, "timeout" if s.timed_out or rest.timed_out else "done")
@@ -230,11 +231,14 @@ def recursive_lookahead(cases: Cases, settings: Settings, steps: int = 1) -> Fit
         if depth <= 0:
             return s.leaf(r)[1]
         k = min(steps, depth)
-        prefix = Search(cases, settings).solve(r, k, frontier=depth - k)[1]
+        search = Search(cases, settings)
+        search.until = s.until  # one deadline for all
+        prefix = search.solve(r, k, frontier=depth - k)[1]
+        s.timed_out |= search.timed_out
         return prefix if isinstance(prefix, Leaf) else s.fill(r, prefix, lambda x: grow(x, depth - k))
 
     tree = grow(rows, settings.depth)
-    return Fitted(tree, s.objective(rows, tree), s.minority(rows) + s.reg, "done")
+    return Fitted(tree, s.objective(rows, tree), s.minority(rows) + s.reg, "timeout" if s.timed_out else "done")
 
 
 def greedy(cases: Cases, settings: Settings = Settings()) -> Fitted:

@@ -2,7 +2,7 @@
 
 Spark collapses the rows to distinct patterns with class weights and teacher weights; the search runs on these. A node
 splits the occupied bins of one feature into 2 to ``max_branching`` groups: an interval program finds the best
-contiguous groups for impurity and for loss, then runs of bins move between groups while that improves. Above the
+contiguous groups for impurity and for loss, then groups may scatter, however many the bins (see scatter.py). Above the
 lookahead the best candidates are searched exactly, with bounds; below it one candidate is followed. The best nominee by
 impurity and the best by loss are always among those searched. Equal scores are decided by fewer runs, then by stronger
 boundaries of the teacher at the cuts.
@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.plans import scatter
+from coppice.plans.scatter import EPS, gini, loss
 from coppice.plans.trees import Leaf, Split, Tree, to_spans
 
-EPS = 1e-12
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -33,7 +33,7 @@ class Settings:
     min_split: int | None = None  # default: twice min_child
     max_branching: int = 3
     top_k: int | None = None  # default: the square root of the candidates
-    scatter_bins: int = 24  # groups scatter (are refined by moves) where a feature has at most so many bins in a node
+    scatter_bins: int | None = None  # groups stay contiguous where a feature has more bins than that in a node; None: they never need to
     max_patterns: int = 200_000
     seconds: float = 100.0
     selector: str = "nominees"  # or "linear": contiguous groups only, no horizon, any best split is taken, even over the leaf
@@ -79,15 +79,6 @@ def collapse(df: DataFrame, features: Sequence[str], y: str, teacher: Column, we
     return Patterns(list(features), classes, got[list(features)].to_numpy(int), got["_n"].to_numpy(int), take("_w"), take("_t"), got["_e"].to_numpy(float) / total, got["_s"].to_numpy(float) / total**2)
 
 
-def gini(w: np.ndarray) -> np.ndarray:
-    t = w.sum(-1)
-    return t - np.divide((w * w).sum(-1), t, out=np.zeros_like(t), where=t > 0)
-
-
-def loss(w: np.ndarray) -> np.ndarray:
-    return w.sum(-1) - w.max(-1)
-
-
 def interval_partitions(cost: np.ndarray, ok: np.ndarray, most: int, bonus: np.ndarray | None = None) -> dict[int, tuple[float, list[int]]]:
     """Best contiguous partitions of m atoms by number of groups: (cost, group of each atom). cost[i, j] and ok[i, j] are
     of the atoms i to j - 1. Of equal costs that with the greatest sum of bonus[i] over the cuts before atoms i."""
@@ -117,6 +108,15 @@ def interval_partitions(cost: np.ndarray, ok: np.ndarray, most: int, bonus: np.n
     return out
 
 
+def _intervals(bins: scatter.Bins, k: int) -> list[int] | None:
+    """The best contiguous groups of the bins in their order; None if none has enough rows in each."""
+    upto = [np.concatenate([np.zeros((1, x.shape[1])), x.cumsum(0)]) for x in (bins.x, bins.n[:, None])]
+    cost, rows = bins.cost(upto[0][None] - upto[0][:, None]), (upto[1][None] - upto[1][:, None])[..., 0]
+    ok = (rows >= bins.least) & (np.arange(len(cost))[None] > np.arange(len(cost))[:, None])
+    found = interval_partitions(np.where(ok, cost, 0), ok, k).get(k)
+    return found[1] if found else None
+
+
 def runs(group: Sequence[int]) -> int:
     return 1 + sum(a != b for a, b in zip(group, group[1:], strict=False))
 
@@ -146,27 +146,6 @@ def boundary_penalty(group: Sequence[int], bins: np.ndarray, strength: Sequence[
     return total
 
 
-def refine(group: list[int], score, feasible, rounds: int = 20) -> list[int]:  # noqa: ANN001
-    """Moves single atoms and runs of one group to another group while the score falls; groups may scatter."""
-    group, best = list(group), score(group)
-    k = max(group) + 1
-    for _ in range(rounds):
-        found = None
-        for i in range(len(group)):
-            for j in range(i + 1, len(group) + 1):
-                if group[j - 1] != group[i]:
-                    break
-                for to in range(k):
-                    if to != group[i]:
-                        new = group[:i] + [to] * (j - i) + group[j:]
-                        if feasible(new) and (s := score(new)) < best - EPS:
-                            best, found = s, new
-        if not found:
-            break
-        group = found
-    return group
-
-
 @dataclass
 class Nominee:
     score: float  # impurity of classes and teacher
@@ -235,7 +214,7 @@ class Solver:
                 have = {k: v[g] for k, v in found.items() if g in v}
                 if have:
                     hard = min(self._groups(x[1], aw, loss) for x in have.values())
-                    out.append({"feature": f, "groups": g, "bins": bins, "at": at, "found": have, "scores": {k: families[k][1] for k in have}, "n": an,
+                    out.append({"feature": f, "groups": g, "bins": bins, "at": at, "found": have, "scores": {k: families[k][1] for k in have}, "n": an, "tables": {"impurity": (aw, asoft), "loss": (aw,)},
                                 "ceiling": hard + s.regularisation * g, "cheap": min(x[0] + unit * (boundary_penalty(x[1], bins, strength) + g) for x in have.values()), "strength": strength, "loss": families["loss"][1],
                                 "floor": float(p.reference[rows].sum()) + s.regularisation * g})
         return out
@@ -249,9 +228,10 @@ class Solver:
     def nominees(self, c: dict) -> list[Nominee]:
         """Refined partitions of a candidate, those that differ."""
         out: list[Nominee] = []
-        feasible = lambda g: (np.bincount(g, weights=c["n"], minlength=c["groups"]) >= self.s.min_child).all()
         for k, (_, group) in c["found"].items():
-            group = refine(group, c["scores"][k], feasible) if len(group) <= self.s.scatter_bins else group
+            if self.s.scatter_bins is None or len(group) <= self.s.scatter_bins:
+                bins = scatter.Bins(c["tables"][k], c["n"], *((gini, scatter.gini_slope) if k == "impurity" else (loss, scatter.loss_slope)), self.s.min_child)
+                group = scatter.best_groups(bins, group, c["groups"], _intervals)
             group = canonical(group)
             if all(group != other.group for other in out):
                 score = c["scores"].get("impurity", c["scores"][k])(group)

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.operators.binning import number
+
 Spans = list[tuple[int, int]]
 
 
@@ -212,23 +214,38 @@ def _walk(df: DataFrame, tree: Tree, out: str, depth: int | None) -> DataFrame:
     by_id = {n: t for n, _, _, _, t in nodes(tree)}
     child = {(p, b): n for n, p, b, _, _ in nodes(tree)}
     for n, t in by_id.items():
-        values.append((n, t.feature if isinstance(t, Split) else None, t.prediction))
+        values.append((n, t.feature if isinstance(t, Split) else None, t.prediction.item() if hasattr(t.prediction, "item") else t.prediction))
         if isinstance(t, Split):
             low = None
             for top, k in cuts(t.branches):
                 edges.append((n, low, top, child[n, k]))
                 low = top
-    kind = "string" if isinstance(tree.prediction, str) else "double" if isinstance(tree.prediction, float) else "int"
+    kind = _type_of([v for *_, v in values])
+    if kind == "double":
+        values = [(n, f, None if v is None else float(v)) for n, f, v in values]
     spark = df.sparkSession
     info = F.broadcast(spark.createDataFrame(values, f"_n int, _feature string, _value {kind}"))  # bounded by the tree
     steps = F.broadcast(spark.createDataFrame(edges, "_n int, _lo int, _hi int, _next int"))
     features = sorted({t.feature for t in by_id.values() if isinstance(t, Split)})
-    walked = df.withColumn("_n", F.lit(0)).withColumn("_bins", F.create_map(*(x for f in features for x in (F.lit(f), F.col(f).cast("int")))))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")  # so that no column of df clashes with those of the walk
+    walked = df.select(whole, F.lit(0).alias("_n"), F.create_map(*(x for f in features for x in (F.lit(f), F.col(f"`{f}`").cast("int")))).alias("_bins"))
     for _ in range(min(statistics(tree)["depth"], depth if depth is not None else 1 << 30)):
         at = walked.join(info.drop("_value"), "_n").withColumn("_b", F.col("_bins")[F.col("_feature")])
         hit = (at["_n"] == steps["_n"]) & (F.coalesce(at["_b"] > steps["_lo"], steps["_lo"].isNull() & at["_b"].isNotNull())) & (F.coalesce(at["_b"] <= steps["_hi"], steps["_hi"].isNull()))
-        walked = at.join(steps, hit, "left").withColumn("_to", F.coalesce("_next", at["_n"])).select(*df.columns, "_bins", F.col("_to").alias("_n"))
-    return walked.join(info, "_n").withColumn(out, F.col("_value")).select(*df.columns, out)
+        walked = at.join(steps, hit, "left").withColumn("_to", F.coalesce("_next", at["_n"])).select("_row", "_bins", F.col("_to").alias("_n"))
+    return walked.join(info, "_n").select("_row", "_value").select(*(F.col("_row").getField(c).alias(c) for c in df.columns if c != out), F.col("_value").alias(out))
+
+
+def _type_of(predictions: list) -> str:
+    """The type that holds the predictions of all nodes: of several targets an array."""
+    known = [p for p in predictions if p is not None]
+    if known and all(isinstance(p, (list, tuple)) for p in known):
+        return f"array<{_type_of([x for p in known for x in p])}>"
+    if all(isinstance(p, bool) for p in known):
+        return "boolean"
+    if all(isinstance(p, int) for p in known):
+        return "int" if all(-(1 << 31) <= p < 1 << 31 for p in known) else "long"
+    return "string" if any(isinstance(p, str) for p in known) else "double"
 
 
 def statistics(tree: Tree) -> dict[str, int]:
@@ -249,8 +266,8 @@ def condition(feature: str, spans: Spans, edges: list[float] | None = None) -> s
     def part(lo: int, hi: int) -> str:
         if edges is None:
             return f"{feature} = {lo}" if lo == hi else f"{lo} <= {feature} <= {hi}"
-        low = f"{edges[lo - 1]:g} <= " if lo > 0 else ""
-        high = f" < {edges[hi]:g}" if hi < len(edges) else ""
+        low = f"{number(edges[lo - 1])} <= " if lo > 0 else ""
+        high = f" < {number(edges[hi])}" if hi < len(edges) else ""
         return f"{low}{feature}{high}" if low or high else "any"
 
     return " or ".join(part(lo, hi) for lo, hi in spans)

@@ -185,7 +185,7 @@ def midpoint_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numeric_binarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     ts = binning.thresholds_of(li, ["l_tax"])
-    wide = binning.binarise(li, ts).agg(F.array(*(F.struct(F.lit(round(t, 6)).alias("threshold"), F.sum(F.col(f"`l_tax<={t:g}`")).alias("ones")) for t in ts["l_tax"])).alias("a"))
+    wide = binning.binarise(li, ts).agg(F.array(*(F.struct(F.lit(round(t, 6)).alias("threshold"), F.sum(F.col(f"`{binning.column_of('l_tax', t)}`")).alias("ones")) for t in ts["l_tax"])).alias("a"))
     return wide.select(F.explode("a").alias("s")).select("s.*")
 
 
@@ -595,6 +595,28 @@ def multiway_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(got.objective, 9), got.status)], "objective double, status string")
 
 
+FIFTY = "(SELECT CAST(l_quantity AS INTEGER) AS b, CAST(l_partkey % 2 AS INTEGER) AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_partkey IS NOT NULL)"
+
+
+@query(f"WITH c AS (SELECT b, sum(y) AS one, sum(1 - y) AS none FROM {FIFTY} r GROUP BY b) SELECT round(sum(least(one, none)) / sum(one + none) + 0.00002, 9) AS objective, count(*) AS bins, 'done' AS status FROM c")
+def scattered_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of the 50 quantities, however they lie: each goes with its own majority, which no contiguous groups can do."""
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("b"), (F.col("l_partkey") % 2).cast("int").alias("y"), F.lit(0.0).alias("t")).where("b is not null and y is not null")
+    got = multiway.fit(df, ["b"], "y", "t", None, multiway.Settings(1, 1, 0.00001, 1, max_branching=2))
+    predicted = trees.predict(df, got.tree).agg((F.avg((F.col("predicted") != F.col("y")).cast("double")) + 0.00002).alias("o"), F.countDistinct("b").alias("bins"))
+    return predicted.select(F.round("o", 9).alias("objective"), "bins", F.lit(got.status).alias("status"))
+
+
+@query("SELECT 100000 + l_tax + l_discount / 10 AS value, count(*) AS n FROM lineitem GROUP BY 1")
+def binarize_inverse_of_close_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose midpoints differ beyond the sixth digit: each has a column, and each value comes back."""
+    rows = table(spark, sf_dir, "lineitem").select((100000 + F.col("l_tax") + F.col("l_discount") / 10).alias("v"))
+    ts = binning.thresholds_of(rows, ["v"])
+    values = sorted(r[0] for r in rows.distinct().collect())  # at most one more than thresholds_of allows
+    back = binning.unbinarise(binning.binarise(rows, ts).drop("v"), "v", values, ts["v"], "value")
+    return back.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def shape_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, levelwise.grow(binned(spark, sf_dir), FEATURES, "y", levelwise.Settings(2, "shape", 3, min_child=20, penalty=1e-5)))

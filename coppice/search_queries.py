@@ -160,7 +160,7 @@ def solutions(depth: int, reg: float, adder: float, found: str = "SELECT CAST(e
         )
         ctes.append(f"t{d} AS (SELECT * FROM t0 UNION ALL {rows})")
     at = " AND ".join(f"{f} = 2" for f in ABC)
-    ctes.append(f"every AS (SELECT fp + fn AS e, leaves, 1 - ((n.n1 - fn) / n.n1 + (n.n0 - fp) / n.n0) / 2 + leaves * greatest({reg}, 1 / n.total) AS balanced, (fp + fn) / n.total + leaves * greatest({reg}, 1 / n.total) AS price FROM t{depth}, n WHERE {at})")
+    ctes.append(f"every AS (SELECT fp, fn, fp + fn AS e, leaves, 1 - ((n.n1 - fn) / n.n1 + (n.n0 - fp) / n.n0) / 2 + leaves * greatest({reg}, 1 / n.total) AS balanced, (fp + fn) / n.total + leaves * greatest({reg}, 1 / n.total) AS price FROM t{depth}, n WHERE {at})")
     ctes.append(f"within AS (SELECT * FROM every WHERE price <= (SELECT min(price) FROM every) + {adder} + 1e-12)")
     return "WITH " + cubes("y", ["0", "1"], minority(2, reg)) + ", " + ", ".join(ctes) + " " + found
 
@@ -200,7 +200,60 @@ def model_set_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(solutions(2, 0.005, 0.2, "SELECT count(*) AS covered FROM within WHERE balanced <= 0.55 + 1e-12"))
 def model_set_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     models, _ = _models(spark, sf_dir, 2, 0.005, 0.2)
-    return spark.createDataFrame([(len(models.covered(rashomon.balanced_accuracy, 0.55)),)], "covered long")
+    at = models.covered(rashomon.balanced_accuracy, 0.55)
+    assert len(at) == models.covered_count(rashomon.balanced_accuracy, 0.55)
+    return spark.createDataFrame([(len(at),)], "covered long")
+
+
+@query(solutions(3, 0.005, 0.1, "SELECT leaves, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, count(*) AS trees FROM within GROUP BY 1, 2, 3"))
+def model_set_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many trees of a set have so many false positives, false negatives and leaves, by products over the graph."""
+    models, _ = _models(spark, sf_dir, 3, 0.005, 0.1)
+    rows, (none, one) = int(models.cases.n.sum()), models.cases.w.sum(0)
+    found: dict[tuple[int, int, int], int] = {}
+    for leaves, tp, tn, n in models.confusion():
+        key = leaves, round((none - tn) * rows), round((one - tp) * rows)
+        found[key] = found.get(key, 0) + n
+    return spark.createDataFrame([(*k, n) for k, n in found.items()], "leaves int, fp long, fn long, trees long")
+
+
+@query(solutions(3, 0.005, 0.1, "SELECT round(min(balanced), 9) AS objective, round(min(balanced), 9) AS scored, count(*) AS trees FROM within"))
+def model_set_best_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best balanced accuracy of a set, and the same of the tree that has it, by its own predictions."""
+    models, _ = _models(spark, sf_dir, 3, 0.005, 0.1)
+    objective, at = models.best_metric(rashomon.balanced_accuracy)
+    rows, best = flagged(spark, sf_dir), models[at]
+    scored = trees.predict(rows, best).agg(*((F.avg(F.when(F.col("y") == k, (F.col("predicted") != k).cast("int")))).alias(f"_e{k}") for k in (0, 1)))
+    direct = (F.col("_e0") + F.col("_e1")) / 2 + F.lit(trees.statistics(best)["leaves"] * models.search.reg)
+    return scored.select(F.lit(round(objective, 9)).alias("objective"), F.round(direct, 9).alias("scored"), F.lit(len(models)).cast("long").alias("trees"))
+
+
+def completions(reg: float, adder: float, more: float) -> str:
+    """SQL of (errors, leaves, trees): prefixes of one level within ``adder`` of the best, each leaf replaced by each tree of one
+    more level within ``more`` of the best for its rows."""
+    head = solutions(1, reg, adder, "").strip()
+    cube = ", ".join(ABC)
+    price = f"(fp + fn) / n.total + leaves * greatest({reg}, 1 / n.total)"
+    ends = f"ends AS (SELECT {cube}, fp + fn AS e, leaves FROM (SELECT t1.*, {price} AS price FROM t1, n) QUALIFY price <= min(price) OVER (PARTITION BY {cube}) + {more} + 1e-12)"
+    at = lambda t, **fixed: " AND ".join(f"{t}.{f} = {fixed.get(f, 2)}" for f in ABC)
+    bound = f"(SELECT min(price) FROM every) + {adder} + 1e-12"
+    rows = [f"SELECT c.e, c.leaves FROM t0 x, n, ends c WHERE {at('x')} AND {at('c')} AND (x.fp + x.fn) / n.total + greatest({reg}, 1 / n.total) <= {bound}"]
+    rows += [f"SELECT c.e + d.e, c.leaves + d.leaves FROM t0 x, t0 y, n, ends c, ends d WHERE {at('x', **{f: 1})} AND {at('y', **{f: 0})} AND {at('c', **{f: 1})} AND {at('d', **{f: 0})} "
+             f"AND x.one <> y.one AND (x.fp + x.fn + y.fp + y.fn) / n.total + 2 * greatest({reg}, 1 / n.total) <= {bound}" for f in ABC]
+    return f"{head}, {ends}, whole AS ({' UNION ALL '.join(rows)}) SELECT CAST(e AS BIGINT) AS errors, leaves, count(*) AS trees FROM whole GROUP BY 1, 2"
+
+
+@query(completions(0.005, 0.2, 0.05))
+def completed_model_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of one level, each leaf completed by every good tree of one more: counted on the shared graph."""
+    models, _ = _models(spark, sf_dir, 1, 0.005, 0.2)
+    whole, n = models.completed(1, 0.05), int(models.cases.n.sum())
+    found: dict[tuple[int, int], int] = {}
+    for price, leaves, count in whole.metric_counts():
+        key = round((price - leaves * models.search.reg) * n), leaves
+        found[key] = found.get(key, 0) + count
+    assert sum(found.values()) == len(whole)
+    return spark.createDataFrame([(*k, v) for k, v in found.items()], "errors long, leaves int, trees long")
 
 
 def either_class(depth: int, reg: float, loss: str) -> str:

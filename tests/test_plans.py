@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import softmax
 from coppice.operators import binning, evaluate, prep
-from coppice.plans import exact, imbalance, levelwise, multiway, rashomon, selection, trees
+from coppice.plans import exact, imbalance, levelwise, multiway, rashomon, scatter, selection, trees
 from coppice.sources import tables
 
 BITS = ["a", "b", "c"]
@@ -104,6 +104,86 @@ def test_rashomon_equals_brute_force(spark, seed):
         got[len(got)]
 
 
+def metric_of(models, tree, metric):
+    """1 - metric + regularisation * leaves by walking the tree."""
+    c = models.cases
+
+    def walk(rows, t):
+        if isinstance(t, trees.Leaf):
+            w = c.w[rows].sum(0)
+            return (w[1], 0.0, 1) if t.prediction == c.classes[1] else (0.0, w[0], 1)
+        return tuple(map(sum, zip(*(walk(r, k) for r, k in zip(models.search.halves(rows, c.features.index(t.feature)), t.children, strict=True)), strict=True)))
+
+    tp, tn, leaves = walk(np.arange(len(c.w)), tree)
+    return 1 - metric(tp, tn, *c.w.sum(0)[::-1]) + models.search.reg * leaves
+
+
+def noisy(spark, bits, rows, seed, names="abcdef"):
+    r = random.Random(seed)
+    x = [[r.randint(0, 1) for _ in range(bits)] for _ in range(rows)]
+    y = [int((a[0] and a[1]) or a[-1]) if r.random() < 0.7 else r.randint(0, 1) for a in x]
+    return exact.collapse(frame(spark, [(*a, b) for a, b in zip(x, y, strict=True)], [*names[:bits], "y"]), list(names[:bits]), "y")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_covered_trees_equal_listing(spark, seed):
+    models = rashomon.ModelSet(noisy(spark, 3, 30, seed), exact.Settings(2, 0.02), adder=0.15)
+    every = [models[i] for i in range(len(models))]
+    for metric in (rashomon.f1, rashomon.balanced_accuracy):
+        values = [metric_of(models, t, metric) for t in every]
+        for cut in sorted(values)[:: max(1, len(values) // 5)]:
+            want = [i for i, v in enumerate(values) if v <= cut + 1e-9]
+            assert models.covered(metric, cut).tolist() == want and models.covered_count(metric, cut) == len(want)
+        best, at = models.best_metric(metric)
+        assert best == pytest.approx(min(values)) and values[at] == pytest.approx(best)
+    assert sum(n for *_, n in models.confusion()) == len(models)
+
+
+def test_a_set_of_millions_is_covered_without_its_trees(spark, monkeypatch):
+    models = rashomon.ModelSet(noisy(spark, 5, 200, 4), exact.Settings(5, 0.005), adder=0.2)
+    assert len(models) > 1_000_000
+    some = random.Random(0).sample(range(len(models)), 20)
+    values = {i: metric_of(models, models[i], rashomon.f1) for i in some}
+    monkeypatch.setattr(rashomon.ModelSet, "_tree", None)  # whatever makes a tree fails from here on
+    best, first = models.best_metric(rashomon.f1)
+    cut = best + 0.02
+    at = models.covered(rashomon.f1, cut)
+    assert models.covered_count(rashomon.f1, cut) == len(at) == len(np.unique(at)) and at[0] <= first and 0 < len(at) < len(models)
+    assert all((i in at) == (v <= cut + 1e-9) for i, v in values.items()) and min(values.values()) >= best - 1e-9
+    assert models.covered_count(rashomon.f1, 10) == len(models)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_completed_prefixes_equal_listing(spark, seed):
+    cases = noisy(spark, 3, 40, seed)
+    prefix = rashomon.ModelSet(cases, exact.Settings(1 + seed % 2, 0.02), adder=0.2)
+    whole = prefix.completed(1, 0.05)
+    leaf = prefix.search.leaf
+
+    def ends(rows):
+        found = [(leaf(rows)[0], leaf(rows)[1])]
+        for f in np.flatnonzero(prefix.search.gains(rows) > -np.inf):
+            a, b = (leaf(x) for x in prefix.search.halves(rows, int(f)))
+            if a[1].prediction != b[1].prediction:
+                found.append((a[0] + b[0], trees.boolean(cases.features[f], a[1], b[1])))
+        least = min(v for v, _ in found)
+        return [t for v, t in found if v <= least + 0.05 + 1e-9]
+
+    def fills(rows, t):
+        if isinstance(t, trees.Leaf):
+            return ends(rows)
+        a, b = prefix.search.halves(rows, cases.features.index(t.feature))
+        return [trees.boolean(t.feature, x, y) for x in fills(a, t.children[0]) for y in fills(b, t.children[1])]
+
+    names = lambda ts: sorted(rashomon.keys(t, cases.features, cases.classes) for t in ts)
+    listed = [t for i in range(len(prefix)) for t in fills(np.arange(len(cases.x)), prefix[i])]
+    assert len(whole) == len(listed) and names(whole[i] for i in range(len(whole))) == names(listed)
+    assert sum(n for *_, n in whole.metric_counts()) == len(whole)
+    assert whole.metric_counts()[0][0] == pytest.approx(min(prefix.search.objective(np.arange(len(cases.x)), t) for t in listed))
+    with pytest.raises(IndexError):
+        whole[len(whole)]
+
+
 EIGHT = [(0, 0, 0, 1.0, -3.0), (1, 0, 0, 1.0, -2.0), (2, 0, 1, 2.0, 2.0), (3, 0, 1, 2.0, 3.0), (0, 1, 0, 1.0, -1.5), (1, 1, 1, 1.0, 0.5), (2, 1, 0, 1.0, -0.5), (3, 1, 1, 1.0, 1.5)]
 
 
@@ -131,6 +211,43 @@ def test_margin_equals_matrix(spark):
     assert df.select(softmax(F.col("m")).alias("p")).where("abs(p[0] + p[1] - 1) > 1e-12").count() == 0
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_scattered_groups_equal_brute_force(classes):
+    """Up to ten bins, all partitions: two classes always reach the best, three nearly always."""
+    rng, missed, tried = np.random.default_rng(classes), 0, 0
+    for m in (2, 4, 7, 10):
+        for _ in range(6):
+            hard, rows = rng.integers(0, 6, (m, classes)).astype(float), rng.integers(1, 9, m).astype(float)
+            for cost, slope in ((scatter.loss, scatter.loss_slope), (scatter.gini, scatter.gini_slope)):
+                bins = scatter.Bins((hard,), rows, cost, slope, 1)
+                for k in (2, 3):
+                    start = multiway._intervals(bins, k) if m >= k else None
+                    if start is None:
+                        continue
+                    best = min(bins.total(np.array(p), k) for p in itertools.product(range(k), repeat=m) if len(set(p)) == k)
+                    got = scatter.best_groups(bins, start, k, multiway._intervals)
+                    assert len(set(got)) == k and bins.total(got, k) >= best - 1e-9
+                    missed, tried = missed + (bins.total(got, k) > best + 1e-9), tried + 1
+    assert missed <= (0 if classes == 2 else tried // 20)
+
+
+@pytest.mark.parametrize("m", [24, 25, 40, 400])
+def test_scattered_groups_of_many_bins(spark, m):
+    df = spark.range(m).selectExpr("cast(id as int) b", "cast(id % 2 as int) y", "0.0D t")
+    got = multiway.fit(df, ["b"], "y", "t", settings=multiway.Settings(1, max_branching=2))
+    assert got.objective == 0 and trees.statistics(got.tree)["non_contiguous"] == 2
+    held = multiway.fit(df, ["b"], "y", "t", settings=multiway.Settings(1, max_branching=2, min_child=m // 2))
+    assert held.objective == 0
+    assert multiway.fit(df, ["b"], "y", "t", settings=multiway.Settings(1, max_branching=2, scatter_bins=10)).objective > 0.4
+
+
+def test_a_move_that_costs_nothing_bridges():
+    """Two ties between better places: neither a bin nor a stretch lowers the cost, one free move leads to fewer runs."""
+    bins = scatter.Bins((np.array([[4.0, 0], [2, 2], [4, 0], [0, 4], [2, 2], [0, 4]]),), np.ones(6), scatter.loss, scatter.loss_slope, 1)
+    got = scatter.refined(bins, [0, 1, 0, 1, 0, 1], 2)
+    assert bins.total(got, 2) == pytest.approx(4) and scatter.run_count(got) == 2
+
+
 def test_interval_program_and_refinement():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -146,8 +263,9 @@ def test_interval_program_and_refinement():
             contiguous = min(cost(np.searchsorted(cuts, np.arange(7), side="right")) for cuts in itertools.combinations(range(1, 7), g - 1))
             assert found[g][0] == pytest.approx(contiguous)
             best = min(cost(p) for p in itertools.product(range(g), repeat=7) if len(set(p)) == g)
-            better = cost(multiway.refine(found[g][1], cost, lambda p, g=g: len(set(p)) == g))
-            assert best - 1e-9 <= better <= contiguous + 1e-9
+            bins = scatter.Bins((a,), np.ones(7), multiway.loss, scatter.loss_slope, 1)
+            better = cost(scatter.best_groups(bins, found[g][1], g, multiway._intervals))
+            assert best == pytest.approx(better)
 
 
 def test_nominees_anchors_and_dominance():
@@ -541,3 +659,35 @@ def test_timing_drawing_and_zip(spark, tmp_path):
         z.writestr("readme.md", "no,rows,here\n")
     got = tables.read_zip(spark, f"{tmp_path}/d.zip", r"(train|test)\.txt$", "f1 int, f2 double, label string")
     assert sorted((r["member"], r["f1"], r["f2"], r["label"]) for r in got.collect()) == [("d/test.txt", 3, 4.5, "A"), ("d/train.txt", 1, 2.5, "A"), ("d/train.txt", 2, 3.5, "B")]
+
+
+def test_thresholds_that_share_six_digits_stay_apart(spark):
+    df = spark.createDataFrame([(1, 123456.0), (2, 123456.2), (3, 123456.4), (4, 1e15), (5, None)], "i int, v double")
+    ts = binning.thresholds_of(df, ["v"])
+    wide = binning.binarise(df, ts)
+    assert len(wide.columns) == 5 and binning.feature_map(ts)[binning.column_of("v", ts["v"][0])] == ("v", ts["v"][0])
+    back = binning.unbinarise(wide.drop("v").where("i < 5"), "v", [123456.0, 123456.2, 123456.4, 1e15], ts["v"], "back")
+    assert {r["i"]: r["back"] for r in back.collect()} == {1: 123456.0, 2: 123456.2, 3: 123456.4, 4: 1e15}
+    assert "123456.1" in trees.condition("v", [(0, 0)], [123456.1])
+
+
+def test_null_has_no_bin(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.5,), (2.0,)], "v double")
+    assert [r["v_bin"] for r in binning.digitise(df, {"v": [1.0, 2.0]}).collect()] == [None, 2, 0, 2]
+    assert [r["v_bin"] for r in binning.digitise(df, {"v": []}).collect()] == [None, 0, 0, 0]
+
+
+@pytest.mark.parametrize("values", [([0.5, 1.0], [2.0, -1.0], [3.0, 3.0]), (True, False, True), (1 << 40, 2, 3), ("a", "b", None), (1.5, 2, 3), (1, 2, 3)])
+def test_walked_predictions_equal_the_expression(spark, values):
+    tree = trees.Split("b", [[(0, 1)], [(2, 5)]], [trees.Leaf(values[0]), trees.Leaf(values[1])], values[2])
+    df = spark.createDataFrame([(i if i < 6 else None, i, "x") for i in range(8)], "b int, _n int, _bins string")
+    one, two = trees.predict(df, tree), trees.predict(df, tree, most=1)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_one_deadline_for_all_lookaheads(spark):
+    r = random.Random(1)
+    cases = exact.collapse(frame(spark, [tuple(r.randint(0, 1) for _ in range(7)) for _ in range(80)], [*"abcdef", "y"]), list("abcdef"), "y")
+    for f in (exact.optimal, exact.lookahead, exact.recursive_lookahead):
+        assert f(cases, exact.Settings(3, 0.001, True, seconds=0.0)).status == "timeout"
+    assert exact.recursive_lookahead(cases, exact.Settings(3, 0.001, True)).status == "done"
