@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.impurity import wilson
+from coppice.operators import ranks
 
 
 def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), value: str = "v") -> DataFrame:
@@ -80,21 +81,27 @@ def digits(c: Column, places: Sequence[int]) -> list[Column]:
 def quantile_edges(df: DataFrame, features: Sequence[str], bins: int, decimals: int = 6, exact: bool = True) -> DataFrame:
     """feature, edges: distinct interpolated quantiles strictly inside the range, rounded; of two values the midpoint.
 
-    Exact percentiles hold a count for each distinct value; ``exact`` false takes sketches of bounded size instead, for
-    columns of very many values.
+    Exact quantiles are found by counting in pieces of the range, a few scans in all (see ranks.py); ``exact`` false takes
+    sketches of bounded size instead, in one scan.
     """
-    quantiles = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
-    ps = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    ends = df.agg(*(f(c).cast("double").alias(f"_{k}{i}") for i, c in enumerate(features) for k, f in (("lo", F.min), ("hi", F.max))))
-    rows = df.select(*(F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features))).crossJoin(F.broadcast(ends))  # one row
-    aggs = []
-    for i, f in enumerate(features):
-        v, lo, hi = (F.col(f"_{k}{i}") for k in ("v", "lo", "hi"))
-        between = F.count_if((v > lo) & (v < hi)) + F.count_if(F.isnan(v))
-        aggs.append(F.struct(F.lit(f).alias("feature"), F.min(lo).alias("lo"), F.max(hi).alias("hi"), between.alias("between"), quantiles(v, ps).alias("q")))
-    found = rows.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    ps = [i / bins for i in range(1, bins)]
+    columns = {f: F.col(f) for f in features}
+    if exact:
+        got = ranks.order_statistics(df, columns, lambda n: sorted({0, n - 1, *ranks.quantile_ranks(n, ps)}) if n else [])
+        rows = [(f, s.low, s.high, s.between, [s.quantile(p) for p in ps]) for f, s in got.items()]
+        found = df.sparkSession.createDataFrame(rows, "feature string, lo double, hi double, between boolean, q array<double>")
+    else:
+        ends = df.agg(*(f(c).cast("double").alias(f"_{k}{i}") for i, c in enumerate(features) for k, f in (("lo", F.min), ("hi", F.max))))
+        each = df.select(*(F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features))).crossJoin(F.broadcast(ends))  # one row
+        aggs = []
+        for i, f in enumerate(features):
+            v, lo, hi = (F.col(f"_{k}{i}") for k in ("v", "lo", "hi"))
+            some = F.count_if(((v > lo) & (v < hi)) | F.isnan(v)) > 0
+            q = F.percentile_approx(v, F.array(*(F.lit(p) for p in ps)), 10_000)
+            aggs.append(F.struct(F.lit(f).alias("feature"), F.min(lo).alias("lo"), F.max(hi).alias("hi"), some.alias("between"), q.alias("q")))
+        found = each.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     inside = F.array_sort(F.array_distinct(F.filter(F.transform("q", lambda x: F.round(x, decimals)), lambda x: (x > F.col("lo")) & (x < F.col("hi")))))
-    two = (F.col("between") == 0) & (F.col("lo") < F.col("hi"))
+    two = ~F.col("between") & (F.col("lo") < F.col("hi"))
     return found.select("feature", F.when(two, F.array((F.col("lo") + F.col("hi")) / 2)).otherwise(inside).alias("edges"))
 
 

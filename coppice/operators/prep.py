@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from coppice.operators import ranks
 
 
 def one_row(df: DataFrame) -> DataFrame:
@@ -23,6 +25,12 @@ def hashed(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def bounded(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The table with a hint to broadcast it if it has at most ``most`` rows, which are counted: rows that are joined with it
+    stay where they are."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """label, code: labels in the order of their text, from 0. One row a class; null labels have no code."""
     labels = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
@@ -31,11 +39,11 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Adds the class code. A label that is not among the codes would be null, which no fit row is."""
-    return df.join(label_codes(df, label).withColumnRenamed("label", label).withColumnRenamed("code", code), label, "left")
+    return df.join(bounded(label_codes(df, label).withColumnRenamed("label", label).withColumnRenamed("code", code)), label, "left")
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, code: str) -> DataFrame:
-    return df.join(codes.withColumnRenamed("code", code), code, "left")
+    return df.join(bounded(codes.withColumnRenamed("code", code)), code, "left")
 
 
 def require_classes(df: DataFrame, label: str, n: int | None = None) -> int:
@@ -76,8 +84,9 @@ def finite(c: Column) -> Column:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the exact median of each column's finite values, 0 where there is none."""
-    return df.agg(*(F.coalesce(F.percentile(finite(F.col(c)), F.lit(0.5)), F.lit(0.0)).alias(c) for c in columns))
+    """One row with the exact median of each column's finite values, 0 where there is none; found by counting (ranks.py)."""
+    got = ranks.order_statistics(df, {c: finite(F.col(c)) for c in columns}, lambda n: ranks.quantile_ranks(n, [0.5]))
+    return df.sparkSession.createDataFrame([[got[c].quantile(0.5) if got[c].n else 0.0 for c in columns]], StructType([StructField(c, DoubleType()) for c in columns]))
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
@@ -95,7 +104,7 @@ def impute_mode(df: DataFrame, column: str, fit: DataFrame | None = None) -> Dat
     """Missing values, and values that no fit row has, become the mode of the fit rows."""
     source = fit if fit is not None else df
     known = source.where(F.col(column).isNotNull()).select(F.col(column)).distinct().withColumn("_known", F.lit(True))
-    joined = df.join(known, column, "left").join(one_row(mode(source, column)), how="left")
+    joined = df.join(bounded(known), column, "left").join(one_row(mode(source, column)), how="left")
     return joined.withColumn(column, F.when(F.col("_known"), F.col(column)).otherwise(F.col("mode"))).select(*df.columns)
 
 
@@ -125,8 +134,8 @@ def standardise(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
 
 
 def binarise_at_median(df: DataFrame, column: str, out: str) -> DataFrame:
-    stats = one_row(df.agg(F.percentile(column, F.lit(0.5)).alias("_median")))
-    return df.crossJoin(stats).withColumn(out, (F.col(column) >= F.col("_median")).cast("int")).drop("_median")
+    got = ranks.order_statistics(df, {column: F.col(column)}, lambda n: ranks.quantile_ranks(n, [0.5]))[column]
+    return df.withColumn(out, (F.col(column) >= F.lit(got.quantile(0.5)).cast("double")).cast("int"))
 
 
 def largest_remainder(df: DataFrame, label: str, share: float) -> DataFrame:

@@ -643,6 +643,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     parts = prep.stratified_split(li.select(*features, "l_linestatus", key.alias("key")), "key", "l_linestatus").drop("key")
+    parts = parts.persist()  # read by every scan below; what is lost is computed again
     fit = parts.where("split <> 'test'")
     rows = binning.digitise(parts, binning.edges_of(fit, features, 8))
     bins = [f"{f}_bin" for f in features]

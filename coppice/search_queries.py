@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import sigmoid, softmax
 from coppice.operators import binning, evaluate, histogram, prep
-from coppice.plans import exact, imbalance, levelwise, multiway, rashomon, selection, trees
+from coppice.plans import bounded, exact, imbalance, levelwise, multiway, rashomon, selection, trees
 from coppice.queries import BINNED, CASE, FEATURES, FLAGGED, FLAGS, ROUTED, THREE, TWO, binned, flagged, query, routed, sql_entropy
 from coppice.sources.tables import table
 from coppice.streaming import incremental
@@ -121,6 +121,17 @@ def feature_exchange_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fitted(rows, "l_returnflag", got, 0.001, status=got.status)
 
 
+@query("WITH " + cubes("l_returnflag", ["'A'", "'N'", "'R'"], minority(3, 0.001)) + ", " + ", ".join(best(f"o{i}", f"o{i - 1}" if i > 1 else "leaf") for i in (1, 2, 3))
+       + " " + _both(root("o3"), "'optimal' AS status", "true AS bounds_hold"))
+def bounded_search_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimum by bounds that close in, and whether those reported on the way all hold and only close in."""
+    rows = flagged(spark, sf_dir)
+    got = bounded.optimal(exact.collapse(rows, ABC, "l_returnflag"), exact.Settings(3, 0.001))
+    trace = got.more["trace"]
+    hold = all(lo <= got.objective + 1e-9 and hi >= got.objective - 1e-9 for _, lo, hi in trace) and all(a[1] <= b[1] + 1e-9 and a[2] >= b[2] - 1e-9 for a, b in zip(trace, trace[1:], strict=False))
+    return _fitted(rows, "l_returnflag", got, 0.001, status=got.status, bounds_hold=hold)
+
+
 TWO_CLASSES = "WITH " + cubes("y", ["0", "1"], minority(2, 0.0001)) + ", " + GAIN + ", "
 
 

@@ -1,6 +1,7 @@
 """Searches against brute force, invariants, and the small fixtures of the blueprint."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.functions.impurity import softmax
-from coppice.operators import binning, evaluate, prep
-from coppice.plans import exact, imbalance, levelwise, multiway, rashomon, scatter, selection, trees
+from coppice.operators import binning, evaluate, prep, ranks
+from coppice.plans import bounded, exact, imbalance, levelwise, multiway, rashomon, scatter, selection, trees
 from coppice.sources import tables
 
 BITS = ["a", "b", "c"]
@@ -691,3 +692,54 @@ def test_one_deadline_for_all_lookaheads(spark):
     for f in (exact.optimal, exact.lookahead, exact.recursive_lookahead):
         assert f(cases, exact.Settings(3, 0.001, True, seconds=0.0)).status == "timeout"
     assert exact.recursive_lookahead(cases, exact.Settings(3, 0.001, True)).status == "done"
+
+
+def test_order_statistics_equal_sorting(spark):
+    rng, inf, nan = np.random.default_rng(5), math.inf, math.nan
+    columns = {
+        "normal": rng.normal(size=4000), "ties": rng.integers(0, 3, 4000).astype(float), "hot": np.where(rng.random(4000) < 0.6, 7.25, rng.normal(size=4000) * 1e-9),
+        "wide": 10.0 ** rng.uniform(-300, 300, 4000) * rng.choice([-1, 1], 4000), "odd": rng.choice([nan, inf, -inf, 0.0, 1.5], 4000), "one": np.full(4000, 2.0), "ends": rng.choice([-1.7e308, 1.7e308], 4000),
+    }
+    df = spark.createDataFrame([tuple(None if i % 7 == 0 else float(v[i]) for v in columns.values()) for i in range(4000)], ", ".join(f"{c} double" for c in columns)).repartition(3)
+    for pieces, most in ((4096, 2000), (8, 5)):
+        got = ranks.order_statistics(df, {c: F.col(c) for c in columns}, lambda n: [0, n - 1, *ranks.quantile_ranks(n, [0.1, 0.5, 0.77])], pieces, most)
+        for c, v in columns.items():
+            want = np.sort(np.array([x for i, x in enumerate(v) if i % 7]))
+            assert got[c].n == len(want) and all(got[c].values[r] == want[r] or np.isnan(want[r]) for r in got[c].values), c
+            assert got[c].between == bool(np.isnan(want).any() or ((want > want[0]) & (want < want[-1])).any()), c
+        assert got["normal"].quantile(0.77) == pytest.approx(np.percentile([x for i, x in enumerate(columns["normal"]) if i % 7], 77))
+    none = ranks.order_statistics(df.where("false"), {"one": F.col("one")}, lambda n: ranks.quantile_ranks(n, [0.5]))["one"]
+    assert none.n == 0 and none.quantile(0.5) is None and none.low is None
+
+
+def test_edges_of_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, None, 5.0), (2.0, None, 5.0), (2.0, None, 5.0)], "two double, none double, one double")
+    for exact_ in (True, False):
+        assert {r["feature"]: r["edges"] for r in binning.quantile_edges(df, ["two", "none", "one"], 4, exact=exact_).collect()} == {"two": [1.5], "none": None if not exact_ else [], "one": []}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounded_search_equals_the_optimum_and_its_bounds_hold(spark, seed):
+    cases, s = noisy(spark, 5, 120, seed), exact.Settings(3, 0.01)
+    want, got = exact.optimal(cases, s), bounded.optimal(cases, s)
+    assert got.status == "optimal" and got.objective == pytest.approx(want.objective) and got.lower == got.objective
+    assert exact.Search(cases, s).objective(np.arange(len(cases.x)), got.tree) == pytest.approx(want.objective)
+    gaps = []
+    for n in range(0, got.more["expanded"], max(1, got.more["expanded"] // 12)):
+        part = bounded.optimal(cases, s, most=n)
+        assert part.lower <= want.objective + 1e-9 <= part.objective + 2e-9 and part.status == "timeout"
+        assert exact.Search(cases, s).objective(np.arange(len(cases.x)), part.tree) <= part.objective + 1e-9
+        gaps.append(part.objective - part.lower)
+    assert gaps == sorted(gaps, reverse=True) and (not gaps or gaps[0] > 0)
+    assert bounded.optimal(cases, exact.Settings(3, 0.01, seconds=0.0)).status == "timeout"
+
+
+def test_label_joins_leave_rows_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(1000).selectExpr("id", "cast(id % 3 as string) l").repartition(4)
+        plan = prep.encode_labels(df, "l")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert prep.encode_labels(df, "l").where("code = cast(l as int)").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
