@@ -23,6 +23,7 @@ with class frequencies, emissions have half a count for a word not seen in the c
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +49,7 @@ class Settings:
     seed_words: int = 600
     moved: int = 1 << 12
     hot: int = 1 << 14
-    hot_bytes: int = 64  # longer words are not broadcast
+    name_bytes: int = 64  # longer words go by a name that long at most
     endings: int = 200
     classes: int = 64
     rounds: int = 3
@@ -67,6 +68,12 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def name(word: bytes, most: int) -> bytes:
+    """The word, or for a longer one than ``most`` bytes a digest with its last three bytes, which no UTF-8 text holds: so words
+    of any length can be counted, broadcast and told apart alike, and none is too long to be hot."""
+    return word if len(word) <= most else b"\xff" + hashlib.blake2b(word, digest_size=16).digest() + word[-3:]
+
+
 def pack_numbers(x: np.ndarray) -> bytes:
     """Whole numbers, byte planes one after another and deflated: most are small, so the high planes nearly vanish."""
     return zlib.compress(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, : 8 if x.max(initial=0) >> 32 else 4].T.tobytes() + bytes([8 if x.max(initial=0) >> 32 else 4]), 1)
@@ -90,6 +97,7 @@ def chunks(docs: DataFrame, held_out_column: str, settings: Settings) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
+        most = settings.name_bytes
         fresh = lambda: ({END: 0}, [], [], [])
         number, held, sizes, coded = fresh()
         size = 0
@@ -116,7 +124,7 @@ def chunks(docs: DataFrame, held_out_column: str, settings: Settings) -> DataFra
                 words = tokens(text.as_py())
                 mine = np.empty(len(words) + 1, np.int32)
                 get = number.setdefault
-                mine[:-1] = [get(w, len(number)) for w in words]
+                mine[:-1] = [get(w if len(w) <= most else name(w, most), len(number)) for w in words]
                 mine[-1] = 0
                 coded.append(mine)
                 held.append(flags[i])
@@ -520,13 +528,14 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, settings: Settings = Se
 
     Learns from the rows whose crc32(doc_id as text) mod ``fold`` is not ``held`` (null ids: remainder 0). Null and
     empty texts are the end token alone; repeated rows count and are scored each; without training rows all counts
-    are 0; no rows give none; words of equal count are hot by their bytes. Other columns are ignored. Perplexity is
+    are 0; no rows give none; words of equal count are hot by their bytes. Texts and words are read whole, whatever their
+    length: a long word goes by a short name of its own (see ``name``). Other columns are ignored. Perplexity is
     10 ** (-score / n_tokens).
     """
     flagged = docs.select("doc_id", "text", (remainder("doc_id", fold) == held).alias("_held"))
     packed = written(chunks(flagged, "_held", settings), "chunks", arrow_rows=1000)
     first = packed.select(F.explode(F.slice(F.arrays_zip("words", "counts"), 2, settings.hot)).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    top = first.where((F.col("n") > 0) & (F.octet_length("word") <= settings.hot_bytes)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(settings.hot).select("word").toArrow()
+    top = first.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(settings.hot).select("word").toArrow()
     units = Units({END: 0} | {w: i + 1 for i, w in enumerate(top.column(0).to_pylist())}, settings.endings)
     coded = written(_coded(packed, units), "coded", arrow_rows=4)
     found = cluster(coded, units, settings)

@@ -413,6 +413,80 @@ def test_class_scores_equal_a_plain_version(spark):
         assert p == pytest.approx(1)
 
 
+@pytest.mark.parametrize("hot", [10, 50])
+def test_rounds_and_rare_words_equal_a_plain_version(spark, hot):
+    """Exchange rounds, words dealt by neighbours and endings, and words too long to go by themselves."""
+    long = ["-" * 80, "x" * 70 + "ing", "x" * 71 + "ing"]
+    r = random.Random(3)
+    rows = [(i, " ".join([*t.split(), r.choice(long), *(["-" * 80] * (i % 3))])) for i, t, _ in sample(160, 7)] + [(1000, None), (1001, ""), (1002, "unseen words only zzz")]
+    s = brown.Settings(seed_words=6, moved=hot // 2, hot=hot, endings=5, classes=6, rounds=2)
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs(spark, rows, extra=False).coalesce(1), settings=s).collect()}
+    names = {i: [brown.name(w, s.name_bytes) for w in brown.tokens(t)] for i, t in rows}
+    split = {i: [*w, brown.END] for i, w in names.items()}
+    train = [w for i, w in split.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, every = Counter(x for w in train for x in w), Counter(x for w in split.values() for x in w if x != brown.END)
+    listed = [w for w, _ in sorted(every.items(), key=lambda x: -x[1])][:hot]  # of one chunk
+    units = brown.Units({w: k for k, w in enumerate([brown.END, *sorted((w for w in listed if c[w]), key=lambda w: (-c[w], w))])}, s.endings)
+    assert brown.name(b"-" * 80, 64) in units.number and len(units.number) < len(c)
+    unit = {w: int(units.of([w])[0]) for w in every | c}
+
+    def pairs(own):
+        return [(own[unit[a]], unit[b], b) for w in train for a, b in zip([brown.END, *w], w, strict=False)]
+
+    def around(kinds, own, k):
+        m = np.zeros((len(own), 2 * k))
+        for w in train:
+            u = [kinds[unit[x]] for x in w]
+            for j, x in enumerate(u):
+                m[x, own[u[j - 1]] if j else 0] += 1
+                m[x, k + (own[u[j + 1]] if j + 1 < len(u) else 0)] += 1
+        return m
+
+    few, kinds = units.first(s.seed_words + 1), units.first(s.moved + 1)
+    b = np.zeros((few.max() + 1,) * 2)
+    for before, x, _ in pairs(few):
+        b[before, few[x]] += 1
+    seed = brown.exchange(b, s.classes)
+    words_ = int(kinds.max()) + 1 - s.endings
+    own = np.zeros(words_ + s.endings, np.int64)
+    own[kinds] = seed[few]
+    k, best = int(seed.max()) + 1, None
+    for _ in range(s.rounds + 1):
+        m = around(kinds, own, k)
+        gain, _, fits = brown._fits(m, own, words_, s.prior)
+        if best is not None and gain <= best[0] + 1e-4 * abs(best[0]):
+            break
+        best = gain, own
+        seen = m[:, :k].sum(1) > 0
+        seen[0] = False
+        own = np.where(seen, fits.argmax(1), own)
+    own = best[1][kinds]
+    first, n_hot = own.copy(), len(units.number)
+    m = around(np.arange(len(units)), own, k)
+    _, pull, fits = brown._fits(m, own, n_hot, s.prior)
+    typical = fits[n_hot:] / np.maximum(1, m[n_hot:, :k].sum(1))[:, None]
+    for w, u in units.number.items():
+        if u >= words_ and c[w]:
+            first[u] = (fits[u] + s.ending_tokens * typical[brown.ending(w, s.endings)]).argmax()
+    sums = {}
+    for w in train:
+        for j, x in enumerate(w):
+            near = sums.setdefault(x, np.zeros(2 * k))
+            near[first[unit[w[j - 1]]] if j else 0] += 1
+            near[k + (first[unit[w[j + 1]]] if j + 1 < len(w) else 0)] += 1
+    cls = {w: int(first[u]) if u < n_hot or not c[w] else int((sums[w] @ pull + s.ending_tokens * typical[brown.ending(w, s.endings)]).argmax()) for w, u in unit.items()}
+    g, n, v = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for w in train:
+        for a, x in zip([brown.END, *w], w, strict=False):
+            g[cls[a], cls[x]] += 1
+    for w in c:
+        n[cls[w]] += c[w]
+        v[cls[w]] += 1
+    transition, emission = brown._probabilities(g, n, v, s.prior)
+    want = {i: sum(math.log10(transition[cls[a], cls[x]]) + math.log10((c[x] + 0.5) / emission[cls[x]]) for a, x in zip([brown.END, *w], w, strict=False)) for i, w in split.items()}
+    assert got == pytest.approx(want)
+
+
 def test_exchange_finds_blocks():
     b = np.zeros((9, 9))
     b[0, 1:5] = 5
