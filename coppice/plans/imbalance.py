@@ -1,15 +1,20 @@
 """Optimal trees for objectives of two classes that accuracy does not serve: balanced or weighted accuracy, F1, and the
-area under the curve of the leaves.
+area under the curve of the leaves, or under its first part.
 
 Balanced accuracy, weighted accuracy and F1 fall with false positives and with false negatives whatever the totals, so
 the best tree is among those that no other tree beats in (false positives, false negatives, leaves). That frontier is
-built from the frontiers of the two sides, with leaves of either class, and is exact. The area under the curve depends
-on how leaves rank together; for it the trees of a model set are held against each other.
+built from the frontiers of the two sides, with leaves of either class, and is exact.
+
+The area under the curve depends on how leaves rank together, but a tree's curve is the sum of those of its sides, in the
+sense that their leaves are put in one order by slope. So a side whose curve lies nowhere above that of another, and that has
+no fewer leaves, is in no better tree than the other. The sides left are joined, whatever they are joined with: the best
+tree of all is found without a list of trees, for the whole area and for that up to a share of false positives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -107,3 +112,77 @@ def best_area(models: ModelSet) -> tuple[float, Tree]:
         scored.append((1 - leaf_area(found) + s.reg * len(found), i))
     value, i = min(scored)
     return value, models[i]
+
+
+@dataclass(frozen=True)
+class Curve:
+    """The leaves of a tree over some rows as (negatives, positives), by falling share of positives, and how it is made."""
+
+    leaves: tuple[tuple[float, float], ...]
+    way: object
+
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """The corners of the curve by distinct negatives, the most positives of each."""
+        x, y = np.cumsum([(0.0, 0.0), *self.leaves], axis=0).T
+        last = np.append(np.diff(x) > EPS, True)
+        return x[last], y[last]
+
+    def covers(self, other: Curve) -> bool:
+        """Whether this curve lies nowhere below the other, of the same rows, with no more leaves."""
+        if len(self.leaves) > len(other.leaves):
+            return False
+        (x, y), (ox, oy) = self.points(), other.points()
+        return bool((np.interp(ox, x, y) >= oy - EPS).all())
+
+    def area(self, p: float, n: float, most: float = 1.0) -> float:
+        """The area up to the share ``most`` of false positives, as a part of the largest there."""
+        x, y = self.points()
+        x, y = np.append(x / n, 1.0), np.append(y / p, y[-1] / p)
+        inside = np.append(x[x < most], most)
+        return float(np.trapezoid(np.interp(inside, x, y), inside)) / most
+
+
+def _merged(a: Curve, b: Curve, way: object) -> Curve:
+    return Curve(tuple(sorted(a.leaves + b.leaves, key=lambda q: -q[1] / max(q[0] + q[1], EPS))), way)
+
+
+def curve_frontier(cases: Cases, settings: Settings) -> list[Curve]:
+    """The curves of trees that no other tree's curve covers; class 1 of two is positive."""
+    if len(cases.classes) != 2:
+        raise ValueError("two classes are needed")
+    s, memo = Search(cases, settings), {}
+
+    def of(rows: np.ndarray, depth: int) -> list[Curve]:
+        key = rows.tobytes(), depth
+        if key not in memo:
+            n, p = (float(x) for x in cases.w[rows].sum(0))
+            found = [Curve(((n, p),), cases.classes[int(p > n)])]
+            if depth > 0 and n > EPS and p > EPS:
+                for f in np.flatnonzero(s.gains(rows) > -np.inf):
+                    a, b = s.halves(rows, int(f))
+                    if len(a) and len(b):
+                        found += [_merged(x, y, (int(f), x, y)) for x in of(a, depth - 1) for y in of(b, depth - 1)]
+            kept: list[Curve] = []
+            for c in sorted(found, key=lambda c: (len(c.leaves), -c.area(p, n) if p > EPS and n > EPS else 0.0)):
+                if not any(k.covers(c) for k in kept):
+                    kept.append(c)
+            memo[key] = kept
+        return memo[key]
+
+    return of(np.arange(len(cases.x)), settings.depth)
+
+
+def optimal_area(cases: Cases, settings: Settings, most: float = 1.0) -> tuple[float, Tree]:
+    """(1 - area + regularisation * leaves, tree) of the best tree of all, the area being that up to the share ``most`` of
+    false positives, as a part of the largest there; ties: fewer leaves."""
+    n, p = (float(x) for x in cases.w.sum(0))
+    reg = settings.regularisation
+    best = min(curve_frontier(cases, settings), key=lambda c: (round(1 - c.area(p, n, most) + reg * len(c.leaves), 12), len(c.leaves)))
+
+    def tree(c: Curve) -> Tree:
+        if not isinstance(c.way, tuple):
+            return Leaf(c.way, min(c.leaves[0]), {str(k): float(w) for k, w in zip(cases.classes, c.leaves[0], strict=True)})
+        f, a, b = c.way
+        return boolean(cases.features[f], tree(a), tree(b), prediction=cases.classes[int(p > n)], loss=sum(min(q) for q in c.leaves))
+
+    return 1 - best.area(p, n, most) + reg * len(best.leaves), tree(best)

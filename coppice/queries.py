@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions.impurity import entropy, gini
-from coppice.operators import binning, evaluate, histogram, prep
+from coppice.operators import binning, evaluate, histogram, prep, rowsets
 from coppice.plans import levelwise, multiway, selection, teacher, trees
 from coppice.sources.tables import table
 
@@ -617,6 +617,36 @@ def binarize_inverse_of_close_values(spark: SparkSession, sf_dir: str) -> DataFr
     return back.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+RETURNED, CHEAP = "SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'", "SELECT l_orderkey AS k FROM lineitem WHERE l_discount > 0.05"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS op, count(*) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS total FROM ({sql}) s" for name, sql in (
+    ("union", f"{RETURNED} UNION {CHEAP}"), ("intersection", f"{RETURNED} INTERSECT {CHEAP}"), ("difference", f"{RETURNED} EXCEPT {CHEAP}"),
+    ("symmetric difference", f"({RETURNED} EXCEPT {CHEAP}) UNION ({CHEAP} EXCEPT {RETURNED})"))))
+def row_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a returned item and orders with a discounted one as bitmaps: size and members of each combination."""
+    li, key = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    a, b = rowsets.rowset(li, F.col("l_returnflag") == "R", key), rowsets.rowset(li, F.col("l_discount") > 0.05, key)
+    rows = None
+    for name, f in (("union", rowsets.union), ("intersection", rowsets.intersection), ("difference", rowsets.difference), ("symmetric difference", rowsets.symmetric_difference)):
+        c = f(a, b)
+        total = rowsets.members(c).agg(F.coalesce(F.sum("number"), F.lit(0)).cast("long").alias("total"))
+        one = rowsets.size(c).crossJoin(F.broadcast(total)).select(F.lit(name).alias("op"), "n", "total")  # one row each
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+FLAG_SETS = {"returned": "l_returnflag = 'R'", "cheap": "l_discount > 0.05", "small": "l_quantity < 10", "open": "l_linestatus = 'O'"}
+
+
+@query("WITH " + ", ".join(f"{n} AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE {p})" for n, p in FLAG_SETS.items()) + " "
+       + " UNION ALL ".join(f"SELECT '{a}' AS one, '{b}' AS two, (SELECT count(*) FROM {a} JOIN {b} USING (k)) AS both" for i, a in enumerate(FLAG_SETS) for b in list(FLAG_SETS)[i:]))
+def row_set_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders each two of four predicates share, from one scan of the items."""
+    sets = rowsets.rowsets(table(spark, sf_dir, "lineitem"), {n: F.expr(p) for n, p in FLAG_SETS.items()}, F.col("l_orderkey"))
+    return rowsets.crossed(sets, list(FLAG_SETS))
+
+
 @query()
 def shape_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, levelwise.grow(binned(spark, sf_dir), FEATURES, "y", levelwise.Settings(2, "shape", 3, min_child=20, penalty=1e-5)))

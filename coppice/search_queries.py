@@ -161,6 +161,36 @@ def balanced_accuracy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(loss, 9),)], "objective double")
 
 
+def areas(reg: float, most: float) -> str:
+    """SQL of the best area of all trees of up to two levels: each tree as the list of its leaves, which are put in order."""
+    cube = ", ".join(f"l.{g}" for g in ABC)
+    leaf_ = "struct_pack(n := {t}.n0, p := {t}.n1)"
+    splits = " UNION ALL ".join(f"SELECT {cube}, [{leaf_.format(t='x')}, {leaf_.format(t='y')}] AS v FROM leaf l {halves('leaf', f, 'x', 'y')} WHERE x.o IS NOT NULL AND y.o IS NOT NULL" for f in ABC)
+    at = lambda t, **fixed: " AND ".join(f"{t}.{f} = {fixed.get(f, 2)}" for f in ABC)
+    two = " UNION ALL ".join(f"SELECT a.v || b.v FROM opt a, opt b WHERE {at('a', **{f: 1})} AND {at('b', **{f: 0})}" for f in ABC)
+    return ("WITH " + cubes("y", ["0", "1"], "0") + f""", opt AS (SELECT {cube}, [{leaf_.format(t='l')}] AS v FROM leaf l UNION ALL {splits}),
+tree AS (SELECT row_number() OVER () AS id, v FROM (SELECT v FROM opt WHERE {at('opt')} UNION ALL {two})),
+part AS (SELECT id, len(v) AS leaves, unnest(v) AS q FROM tree),
+curve AS (SELECT id, leaves, q.n / n.n0 AS dx, q.p / n.n1 AS dy, sum(q.n / n.n0) OVER w AS x, sum(q.p / n.n1) OVER w AS y FROM part, n WINDOW w AS (PARTITION BY id ORDER BY q.p / (q.n + q.p) DESC, q.n ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT id, leaves, dx, dy, x - dx AS x0, y - dy AS y0, greatest(0, least({most}, x) - least({most}, x - dx)) AS w FROM curve),
+area AS (SELECT id, any_value(leaves) AS leaves, sum(CASE WHEN dx > 0 THEN w * (y0 + w / dx * dy / 2) ELSE 0 END) / {most} AS a FROM cut GROUP BY id)
+SELECT round(min(1 - a + {reg} * leaves), 9) AS objective FROM area""")
+
+
+@query(areas(0.01, 1.0))
+def area_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best area under the curve of all trees of two levels."""
+    value, _ = imbalance.optimal_area(exact.collapse(flagged(spark, sf_dir), ABC, "y"), exact.Settings(2, 0.01))
+    return spark.createDataFrame([(round(value, 9),)], "objective double")
+
+
+@query(areas(0.001, 0.25))
+def partial_area_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best area up to a quarter of false positives of all trees of two levels."""
+    value, _ = imbalance.optimal_area(exact.collapse(flagged(spark, sf_dir), ABC, "y"), exact.Settings(2, 0.001), 0.25)
+    return spark.createDataFrame([(round(value, 9),)], "objective double")
+
+
 def solutions(depth: int, reg: float, adder: float, found: str = "SELECT CAST(e AS BIGINT) AS errors, leaves, count(*) AS trees FROM within GROUP BY 1, 2") -> str:
     """SQL of (errors, leaves, trees) of all trees within ``adder`` of the optimum, by listing them."""
     ctes = ["t0 AS (SELECT " + ", ".join(f"{f}" for f in ABC) + ", CASE WHEN n1 > n0 THEN n0 ELSE 0 END AS fp, CASE WHEN n1 > n0 THEN 0 ELSE n1 END AS fn, 1 AS leaves, CASE WHEN n1 > n0 THEN 1 ELSE 0 END AS one, o FROM leaf)"]

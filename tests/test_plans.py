@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.functions.impurity import softmax
-from coppice.operators import binning, evaluate, prep, ranks
+from coppice.operators import binning, evaluate, prep, ranks, rowsets
 from coppice.plans import bounded, exact, imbalance, levelwise, multiway, rashomon, scatter, selection, trees
 from coppice.sources import tables
 
@@ -743,3 +743,48 @@ def test_label_joins_leave_rows_where_they_are(spark):
         assert prep.encode_labels(df, "l").where("code = cast(l as int)").count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("most", [1.0, 0.3])
+def test_best_area_equals_brute_force(spark, most):
+    for seed in range(3):
+        cases = noisy(spark, 4, 60, seed)
+        s = exact.Search(cases, exact.Settings(2, 0.01))
+        n, p = cases.w.sum(0)
+
+        def every(rows, depth, s=s, cases=cases):
+            yield [tuple(cases.w[rows].sum(0))]
+            for f in np.flatnonzero(s.gains(rows) > -np.inf) if depth else ():
+                a, b = s.halves(rows, int(f))
+                for x, y in itertools.product(every(a, depth - 1), every(b, depth - 1)):
+                    yield x + y
+
+        def area(leaves, n=n, p=p):
+            x = y = total = 0.0
+            for a, b in sorted(leaves, key=lambda q: -q[1] / (q[0] + q[1])):
+                w = max(0.0, min(most, (x + a) / n) - min(most, x / n))
+                total += w * (y / p + (w * n / a * b / p / 2 if a else 0))
+                x, y = x + a, y + b
+            return total / most
+
+        want = min(1 - area(t) + 0.01 * len(t) for t in every(np.arange(len(cases.x)), 2))
+        value, tree = imbalance.optimal_area(cases, exact.Settings(2, 0.01), most)
+        assert value == pytest.approx(want)
+        assert trees.statistics(tree)["depth"] <= 2
+
+
+def test_row_sets_equal_python_sets(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, r.randint(0, 500)]), r.random() < 0.4, r.choice([True, False, None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "k long, a boolean, b boolean")
+    one, two = {k for k, a, _ in rows if a and k is not None}, {k for k, _, b in rows if b and k is not None}
+    a, b = rowsets.rowset(df, F.col("a"), F.col("k")), rowsets.rowset(df, F.col("b"), F.col("k"))
+    for f, want in ((rowsets.union, one | two), (rowsets.intersection, one & two), (rowsets.difference, one - two), (rowsets.symmetric_difference, one ^ two)):
+        got = f(a, b)
+        assert {x[0] for x in rowsets.members(got).collect()} == want and rowsets.size(got).first()[0] == len(want)
+    assert rowsets.same(a, rowsets.union(a, rowsets.intersection(a, b))) and not rowsets.same(a, b)
+    assert rowsets.fingerprint(a) == rowsets.fingerprint(a.repartition(3)) != rowsets.fingerprint(b)
+    none = rowsets.rowset(df.where("false"), F.col("a"), F.col("k"))
+    assert rowsets.size(none).first()[0] == 0 and rowsets.same(rowsets.difference(a, a), none) and rowsets.fingerprint(none) == 0
+    sets = rowsets.rowsets(df, {"a": F.col("a"), "b": F.col("b")}, F.col("k"))
+    assert {(x["one"], x["two"]): x["both"] for x in rowsets.crossed(sets, ["a", "b"]).collect()} == {("a", "a"): len(one), ("a", "b"): len(one & two), ("b", "b"): len(two)}
