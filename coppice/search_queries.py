@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import sigmoid, softmax
 from coppice.operators import binning, evaluate, histogram, prep
-from coppice.plans import bounded, exact, imbalance, levelwise, multiway, rashomon, selection, trees
+from coppice.plans import bounded, exact, imbalance, levelwise, modelstore, multiway, rashomon, selection, trees
 from coppice.queries import BINNED, CASE, FEATURES, FLAGGED, FLAGS, ROUTED, THREE, TWO, binned, flagged, query, routed, sql_entropy
 from coppice.sources.tables import table
 from coppice.streaming import incremental
@@ -269,6 +269,21 @@ def model_set_best_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.lit(round(objective, 9)).alias("objective"), F.round(direct, 9).alias("scored"), F.lit(len(models)).cast("long").alias("trees"))
 
 
+@query(solutions(3, 0.005, 0.1))
+def model_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of a narrow and a wide bound through their tables and merged: all trees of the wide one, each once."""
+    sets = []
+    for adder in (0.02, 0.1):
+        models, _ = _models(spark, sf_dir, 3, 0.005, adder)
+        sets.append(modelstore.read(*modelstore.stored(models).tables(spark), ABC, models.cases.classes, models.search.reg))
+    merged, n = sets[0].union(sets[1]), int(models.cases.n.sum())
+    found: dict[tuple[int, int], int] = {}
+    for price, leaves, count in merged.metric_counts():
+        key = round((price - leaves * merged.regularisation) * n), leaves
+        found[key] = found.get(key, 0) + count
+    return spark.createDataFrame([(*k, v) for k, v in found.items()], "errors long, leaves int, trees long")
+
+
 def completions(reg: float, adder: float, more: float) -> str:
     """SQL of (errors, leaves, trees): prefixes of one level within ``adder`` of the best, each leaf replaced by each tree of one
     more level within ``more`` of the best for its rows."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import softmax
 from coppice.operators import binning, evaluate, prep, ranks, rowsets
-from coppice.plans import bounded, exact, imbalance, levelwise, multiway, rashomon, scatter, selection, trees
+from coppice.plans import bounded, exact, imbalance, levelwise, modelstore, multiway, rashomon, scatter, selection, trees
 from coppice.sources import tables
 
 BITS = ["a", "b", "c"]
@@ -788,3 +788,25 @@ def test_row_sets_equal_python_sets(spark):
     assert rowsets.size(none).first()[0] == 0 and rowsets.same(rowsets.difference(a, a), none) and rowsets.fingerprint(none) == 0
     sets = rowsets.rowsets(df, {"a": F.col("a"), "b": F.col("b")}, F.col("k"))
     assert {(x["one"], x["two"]): x["both"] for x in rowsets.crossed(sets, ["a", "b"]).collect()} == {("a", "a"): len(one), ("a", "b"): len(one & two), ("b", "b"): len(two)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_model_sets_are_stored_and_merged(spark, seed, tmp_path):
+    cases = noisy(spark, 3, 40, seed)
+    narrow, wide = (rashomon.ModelSet(cases, exact.Settings(2, 0.02), adder=a) for a in (0.03, 0.15))
+    one, two = modelstore.stored(narrow), modelstore.stored(wide)
+    names = lambda m: sorted(rashomon.keys(m[i], cases.features, cases.classes) for i in range(len(m)))
+    assert names(one) == names(narrow) and names(two) == names(wide) and len(one) < len(two)
+    for merged in (one.union(two), two.union(one), two.union(two)):
+        assert names(merged) == names(wide) and merged.metric_counts() == two.metric_counts()
+    for name, t in zip(("keys", "ways"), two.tables(spark), strict=True):
+        t.write.parquet(f"{tmp_path}/{name}")
+    keys, ways = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("keys", "ways"))
+    back = modelstore.read(keys, ways, cases.features, cases.classes, narrow.search.reg)
+    assert names(back) == names(wide) and back.ways == two.ways and back.roots == two.roots
+    with pytest.raises(ValueError, match="more than 3 ways"):
+        modelstore.read(keys, ways, cases.features, cases.classes, narrow.search.reg, most=3)
+    with pytest.raises(ValueError, match="do not merge"):
+        one.union(modelstore.stored(rashomon.ModelSet(cases, exact.Settings(2, 0.05), adder=0.1)))
+    with pytest.raises(IndexError):
+        two[len(two)]
