@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.impurity import entropy, gini_mass, leaf_loss
 from coppice.operators.binning import long_form
+from coppice.operators.prep import bounded
 
 
 def class_histogram(df: DataFrame, features: Sequence[str], y: str, w: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -110,7 +111,7 @@ def pattern_ids(df: DataFrame, features: Sequence[str]) -> DataFrame:
     found = df.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
     first = features[0]
     sizes = found.groupBy(F.col(first).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    base = F.broadcast(sizes.withColumn("_base", F.sum("_c").over(Window.orderBy("_v")) - F.col("_c")).drop("_c"))
+    base = bounded(sizes.withColumn("_base", F.sum("_c").over(Window.orderBy("_v")) - F.col("_c")).drop("_c"))
     local = F.row_number().over(Window.partitionBy(first).orderBy(*features)) - 1
     numbered = found.withColumn("_at", local).join(base, F.col(first).eqNullSafe(F.col("_v")))
     return numbered.select(*features, "n", (F.col("_base") + F.col("_at")).cast("int").alias("pattern"))
@@ -135,8 +136,8 @@ def majority_labels(df: DataFrame, features: Sequence[str], y: str) -> DataFrame
 def balanced_costs(df: DataFrame, y: str) -> DataFrame:
     """prediction, truth, cost: 0 on the diagonal, else 1 / (rows of the true class * classes)."""
     counts = df.groupBy(F.col(y).alias("truth")).agg(F.count(F.lit(1)).alias("n"))
-    k = F.broadcast(counts.agg(F.count(F.lit(1)).alias("k")))
-    predicted = F.broadcast(counts.select(F.col("truth").alias("prediction")))
+    k = F.broadcast(counts.agg(F.count(F.lit(1)).alias("k")))  # one row
+    predicted = bounded(counts.select(F.col("truth").alias("prediction")))
     return predicted.crossJoin(counts).crossJoin(k).select("prediction", "truth", F.when(F.col("prediction") == F.col("truth"), 0.0).otherwise(1 / (F.col("n") * F.col("k"))).alias("cost"))
 
 

@@ -31,6 +31,14 @@ def bounded(table: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def distinct_values(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The values of a column but null, on the driver, in the order of their text; refuses more than ``most``."""
+    rows = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} distinct values")
+    return sorted((r[0] for r in rows), key=str)
+
+
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """label, code: labels in the order of their text, from 0. One row a class; null labels have no code."""
     labels = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
@@ -113,10 +121,12 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str], drop_first: b
     return df.withColumns({f"{column}__{c}": F.when(F.col(column) == c, 1).otherwise(0) for c in categories[1 if drop_first else 0 :]})
 
 
-def categories(df: DataFrame, column: str, seen_by: str | None = None) -> list[str]:
-    """Categories in order, or in the order in which they first appear by ``seen_by``."""
+def categories(df: DataFrame, column: str, seen_by: str | None = None, most: int = 10_000) -> list[str]:
+    """Categories in order, or in the order in which they first appear by ``seen_by``; refuses more than ``most``."""
     order = F.min(seen_by) if seen_by else F.min(column)
-    rows = df.where(F.col(column).isNotNull()).groupBy(column).agg(order.alias("o")).orderBy("o", column).collect()  # one row a category
+    rows = df.where(F.col(column).isNotNull()).groupBy(column).agg(order.alias("o")).orderBy("o", column).limit(most + 1).collect()  # one row a category
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return [r[0] for r in rows]
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.operators.binning import long_form
+from coppice.operators.prep import distinct_values
 from coppice.plans.trees import Leaf, Split, Tree, below, expression, to_spans
 
 EPS = 1e-12
@@ -173,7 +174,7 @@ def _target(df: DataFrame, y: str | Sequence[str], s: Settings) -> Target:
         return Target(y if isinstance(y, str) else list(y), None)
     if not isinstance(y, str):
         raise ValueError("several targets need the criterion variance")
-    return Target(y, sorted((r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect()), key=str))
+    return Target(y, distinct_values(df, y))
 
 
 def _histograms(df: DataFrame, tree: Tree | None, paths: Sequence[str], features: Sequence[str], target: Target):  # noqa: ANN202

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.operators.prep import distinct_values
 from coppice.plans import scatter
 from coppice.plans.scatter import EPS, gini, loss
 from coppice.plans.trees import Leaf, Split, Tree, to_spans
@@ -57,8 +58,7 @@ class Patterns:
 
 def collapse(df: DataFrame, features: Sequence[str], y: str, teacher: Column, weight: Column | None = None, most: int = 200_000) -> Patterns:
     """Patterns of a table. teacher: array of probabilities by class in the order of the labels' text."""
-    classes = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect()]
-    classes.sort(key=str)
+    classes = distinct_values(df, y)
     if len(classes) < 2:
         raise ValueError("two or more classes are needed")
     w = weight if weight is not None else F.lit(1.0)

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.operators.prep import distinct_values
+
 
 @dataclass
 class Teacher:
@@ -49,7 +51,7 @@ def _splits(node, features: Sequence[str]) -> list[tuple[str, float, float, floa
 def fit(df: DataFrame, features: Sequence[str], y: str, trees: int = 20, depth: int = 3, bins: int = 64, seed: int = 0) -> Teacher:
     from pyspark.ml.classification import GBTClassifier
 
-    classes = sorted((r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().collect()), key=str)
+    classes = distinct_values(df, y)
     if len(classes) < 2:
         raise ValueError("two or more classes are needed")
     ready = _assembled(df, features)

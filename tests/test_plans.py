@@ -810,3 +810,11 @@ def test_model_sets_are_stored_and_merged(spark, seed, tmp_path):
         one.union(modelstore.stored(rashomon.ModelSet(cases, exact.Settings(2, 0.05), adder=0.1)))
     with pytest.raises(IndexError):
         two[len(two)]
+
+
+def test_labels_are_collected_up_to_a_stated_number(spark):
+    df = spark.range(30).selectExpr("cast(id as string) l", "id v")
+    assert prep.distinct_values(df, "l")[:3] == ["0", "1", "10"] and len(prep.distinct_values(df, "l", 30)) == 30
+    for f in (prep.distinct_values, prep.categories):
+        with pytest.raises(ValueError, match="more than 29"):
+            f(df, "l", most=29)
