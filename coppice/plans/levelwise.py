@@ -3,15 +3,16 @@
 The binned table keeps a path column that is a CASE over the tree so far; one group-by a level gives the histograms of
 all active nodes, bounded by nodes, features, bins and classes. The driver picks each node's split from them.
 
-Splits: threshold (binary), multiway (interval groups), kmeans (groups of bins of like means) or shape: bins regrouped into k branches by coordinate descent,
-wherever they lie, from cuts of the bins sorted by class share or mean. Targets are classes or numbers (variance).
+Splits: threshold (binary), multiway (interval groups), kmeans (groups of bins of like means), shape: bins regrouped into
+k branches by coordinate descent, wherever they lie, from cuts of the bins sorted by class share or mean, or inner: the
+leaves of a small tree over the feature's bins mapped to branches. Targets are classes or numbers (variance).
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,11 +28,13 @@ EPS = 1e-12
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3
-    kind: str = "threshold"  # threshold, multiway, kmeans or shape
+    kind: str = "threshold"  # threshold, multiway, kmeans, shape or inner
     branches: int = 2
     min_child: int = 1
     penalty: float = 0.0  # per branch beyond the first, in impurity shares of all rows
     criterion: str = "gini"  # gini, entropy or variance
+    inner_depth: int = 3  # of an inner tree
+    inner_min: int = 1  # rows of a leaf of an inner tree
 
 
 def impurity(a: np.ndarray, criterion: str) -> np.ndarray:
@@ -122,9 +125,73 @@ def by_means(stats: np.ndarray, k: int, s: Settings) -> tuple[float, np.ndarray]
     return float(impurity(total, s.criterion).sum()), own
 
 
-def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float) -> tuple[float, list[list[int]]] | None:
-    """(penalised impurity mass, bins of each branch) of the best split of one feature in one node."""
+def inner_leaves(at: np.ndarray, stats: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell its leaf in a greedy tree over the cells' places (a column an axis), and the side of its root cut.
+
+    A cut parts the places of one axis at a value; it must lower the impurity and leave inner_min rows on either side. Of
+    equal cuts the first axis and lowest value. Leaves are numbered from left to right."""
+    leaf, side, n = np.zeros(len(at), int), np.zeros(len(at), int), 0
+
+    def grow(own: np.ndarray, depth: int) -> None:
+        nonlocal n
+        best = (float(impurity(stats[own].sum(0), s.criterion)) - EPS, -1, 0)
+        for axis in range(at.shape[1]) if depth else ():
+            values, place = np.unique(at[own, axis], return_inverse=True)
+            by_value = np.zeros((len(values), stats.shape[1]))
+            np.add.at(by_value, place, stats[own])
+            low = by_value.cumsum(0)[:-1]
+            high = by_value.sum(0) - low
+            ok = np.minimum(rows_of(low, s.criterion), rows_of(high, s.criterion)) >= max(s.inner_min, EPS)
+            cost = np.where(ok, impurity(low, s.criterion) + impurity(high, s.criterion), np.inf)
+            if len(cost) and cost.min() < best[0] - (EPS if best[1] >= 0 else 0):
+                best = (float(cost.min()), axis, values[int(cost.argmin())])
+        if best[1] < 0:
+            leaf[own] = n
+            n += 1
+            return
+        low = at[own, best[1]] <= best[2]
+        if depth == s.inner_depth:
+            side[own[~low]] = 1
+        grow(own[low], depth - 1)
+        grow(own[~low], depth - 1)
+
+    grow(np.arange(len(at)), s.inner_depth)
+    return leaf, side
+
+
+def mapped(stats: np.ndarray, side: np.ndarray, k: int, s: Settings) -> tuple[float, np.ndarray]:
+    """Branch of each leaf of an inner tree: the best of runs of the leaves sorted by class share or mean (for two classes or
+    one number no mapping is better), of descents from like runs and from the sides of the root, and of means."""
+    n = np.maximum(rows_of(stats, s.criterion), EPS)
+    order = np.argsort(stats[:, 1] / n, kind="stable")
+    cost, runs = intervals(stats[order], k, s)
+    own = np.empty(len(stats), int)
+    own[order] = runs
+    found = [(cost, own), descend(stats, k, s, order), by_means(stats, k, s)]
+    if k == 2:
+        found.append(descend(stats, k, s, np.argsort(side, kind="stable")))
+    return min(found, key=lambda x: x[0])
+
+
+def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float, places: np.ndarray | None = None) -> tuple[float, list[list[int]]] | None:
+    """(penalised impurity mass, bins of each branch) of the best split of one feature in one node.
+
+    places: for inner trees the place of each bin on several axes, where bins are cells of several features."""
     best = None
+    if s.kind == "inner":
+        if not len(bins):
+            return None
+        leaf, sides = inner_leaves(bins[:, None] if places is None else places, stats, s)
+        by_leaf = np.zeros((leaf.max() + 1, stats.shape[1]))
+        np.add.at(by_leaf, leaf, stats)
+        side = np.zeros(len(by_leaf), int)
+        side[leaf] = sides
+        for k in range(2, min(len(by_leaf), s.branches) + 1):
+            found = mapped(by_leaf, side, k, s)
+            cost = found[0] + s.penalty * unit * (k - 1)
+            if np.isfinite(cost) and (best is None or cost < best[0] - EPS):
+                best = cost, [[int(b) for b in bins[found[1][leaf] == g]] for g in range(k)]
+        return best
     for k in range(2, min(len(bins), 2 if s.kind == "threshold" else s.branches) + 1):
         if s.kind == "shape":
             n = np.maximum(rows_of(stats, s.criterion), EPS)
@@ -307,7 +374,7 @@ def with_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], sizes: dict[str,
 def alternate(df: DataFrame, tree: Tree, features: Sequence[str], y: str, settings: Settings, rounds: int = 1) -> Tree:
     """Alternating optimisation, bottom up: each split is refitted on the rows that only one of its branches gets right,
     and kept if that lowers the training errors. A job a node and round."""
-    s = Settings(1, settings.kind, settings.branches, settings.min_child, settings.penalty, settings.criterion)
+    s = replace(settings, depth=1)
     errors = _errors(df, tree, y)
     for _ in range(rounds):
         for path in sorted(_paths(tree), key=lambda p: p.count(".") + bool(p), reverse=True):
