@@ -688,4 +688,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 query()(flagship)
 
 
-from coppice import search_queries  # noqa: E402, F401  registers the queries of searches
+from coppice import search_queries, shape_queries  # noqa: E402, F401  registers the queries of searches
