@@ -678,14 +678,35 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = binning.digitise(parts, binning.edges_of(fit, features, 8))
     bins = [f"{f}_bin" for f in features]
     tree = levelwise.grow(rows.where("split <> 'test'"), bins, "l_linestatus", levelwise.Settings(1, "multiway", 3))
-    nodes = trees.node_table(spark, tree).where("depth = 1").select(F.col("branch").cast("string").alias("path"), "spans", "prediction", "n")
+    branches = [(str(k), min(lo for lo, _ in sp), max(hi for _, hi in sp), c.prediction) for k, (sp, c) in enumerate(zip(tree.branches, tree.children, strict=True))] if isinstance(tree, trees.Split) else [("", None, None, tree.prediction)]
+    nodes = spark.createDataFrame(branches, "path string, lo int, hi int, prediction string").withColumn("feature", F.lit(getattr(tree, "feature", None)).cast("string"))
     scored = trees.predict(rows, tree).withColumn("path", trees.expression(tree, "path"))
-    right = (F.col("predicted") == F.col("l_linestatus")).cast("int")
-    by = scored.groupBy("path").agg(F.avg(F.when(F.col("split") != "test", right)).alias("fit_accuracy"), F.avg(F.when(F.col("split") == "test", right)).alias("test_accuracy"), F.count(F.lit(1)).alias("rows"))
-    return by.join(F.broadcast(nodes), "path", "left")
-
-
-query()(flagship)
+    right, held = (F.col("predicted") == F.col("l_linestatus")).cast("int"), F.col("split") == "test"
+    by = scored.groupBy("path").agg(F.round(F.avg(F.when(~held, right)), 9).alias("fit_accuracy"), F.round(F.avg(F.when(held, right)), 9).alias("test_accuracy"), F.count(F.lit(1)).alias("rows"))
+    return by.join(F.broadcast(nodes), "path", "left")  # a row a branch
+
+
+_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+_SEG2 = sql_gini("a.c0", "a.c1") + " + " + sql_gini("a.t0 - a.c0", "a.t1 - a.c1")
+_SEG3 = sql_gini("a.c0", "a.c1") + " + " + sql_gini("b.c0 - a.c0", "b.c1 - a.c1") + " + " + sql_gini("a.t0 - b.c0", "a.t1 - b.c1")
+FLAGSHIP = f"""WITH k AS (SELECT {", ".join(_COLUMNS)}, l_linestatus AS y, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS key FROM lineitem),
+  r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY y ORDER BY md5('0:' || key), key) <= floor(count(*) OVER (PARTITION BY y) * 0.2 + 0.5) AS held FROM k),
+  l AS ({" UNION ALL ".join(f"SELECT '{c}_bin' AS feature, {i} AS place, {c} AS v, id, y, held FROM r" for i, c in enumerate(_COLUMNS))}),
+  q AS (SELECT feature, unnest(quantile_cont(v, {QUANTILES})) AS edge, min(v) AS lo, max(v) AS hi FROM l WHERE NOT held GROUP BY feature),
+  e AS (SELECT DISTINCT feature, round(edge, 6) AS edge FROM q WHERE round(edge, 6) > lo AND round(edge, 6) < hi),
+  b AS (SELECT l.feature, l.place, l.id, l.y, l.held, count(e.edge) AS bin FROM l LEFT JOIN e ON l.feature = e.feature AND e.edge <= l.v GROUP BY ALL),
+  h AS (SELECT feature, place, bin, CAST(count_if(y = 'F') AS DOUBLE) AS n0, CAST(count_if(y = 'O') AS DOUBLE) AS n1 FROM b WHERE NOT held GROUP BY ALL),
+  c AS (SELECT *, sum(n0) OVER w AS c0, sum(n1) OVER w AS c1, sum(n0) OVER (PARTITION BY feature) AS t0, sum(n1) OVER (PARTITION BY feature) AS t1, max(bin) OVER (PARTITION BY feature) AS last FROM h WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+  s AS (SELECT a.feature, a.place, 2 AS ways, a.bin AS one, a.last AS two, a.last, {_SEG2} AS cost FROM c a WHERE a.bin < a.last
+    UNION ALL SELECT a.feature, a.place, 3, a.bin, b.bin, a.last, {_SEG3} FROM c a JOIN c b ON a.feature = b.feature AND a.bin < b.bin AND b.bin < b.last),
+  best AS (SELECT * FROM s ORDER BY cost, place, ways LIMIT 1),
+  d AS (SELECT b.*, CASE WHEN b.bin <= s.one THEN '0' WHEN b.bin <= s.two THEN '1' ELSE '2' END AS path FROM b JOIN best s ON b.feature = s.feature),
+  p AS (SELECT path, CASE WHEN count_if(y = 'F') >= count_if(y = 'O') THEN 'F' ELSE 'O' END AS prediction, CAST(min(bin) AS INTEGER) AS lo, CAST(max(bin) AS INTEGER) AS hi FROM d WHERE NOT held GROUP BY path)
+  SELECT d.path, round(avg(CASE WHEN NOT held THEN CAST(y = prediction AS INTEGER) END), 9) AS fit_accuracy, round(avg(CASE WHEN held THEN CAST(y = prediction AS INTEGER) END), 9) AS test_accuracy,
+    count(*) AS rows, p.lo, p.hi, p.prediction, d.feature FROM d JOIN p ON d.path = p.path GROUP BY d.path, p.lo, p.hi, p.prediction, d.feature"""
+
+
+query(FLAGSHIP)(flagship)
 
 
 from coppice import search_queries, shape_queries  # noqa: E402, F401  registers the queries of searches
