@@ -550,9 +550,16 @@ def algorithm_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("dataset", "depth", F.round("multiway", 6).alias("multiway"), F.round("shape", 6).alias("shape"))
 
 
-@query("SELECT depth, branching, reg FROM (SELECT unnest([2, 3, 4]) AS depth), (SELECT unnest([2, 3]) AS branching), (SELECT unnest([0.0, 0.01]::DOUBLE[]) AS reg)")
+@query("SELECT flag, status, share, CAST(count(l_orderkey) AS BIGINT) AS rows FROM (SELECT DISTINCT l_returnflag AS flag FROM lineitem WHERE l_returnflag IS NOT NULL) CROSS JOIN "
+       "(SELECT DISTINCT l_linestatus AS status FROM lineitem WHERE l_linestatus IS NOT NULL) CROSS JOIN (SELECT unnest([0.02, 0.05]::DOUBLE[]) AS share) "
+       "LEFT JOIN lineitem ON l_returnflag = flag AND l_linestatus = status AND l_tax <= share GROUP BY ALL")
 def grid_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.grid_table(spark, depth=[2, 3, 4], branching=[2, 3], reg=[0.0, 0.01])
+    """A grid of the table's flags, states and two bounds of the tax, each setting with the rows that meet it: one scan for all."""
+    li, shares = table(spark, sf_dir, "lineitem"), [0.02, 0.05]
+    grid = selection.grid_table(spark, flag=prep.distinct_values(li, "l_returnflag"), status=prep.distinct_values(li, "l_linestatus"), share=shares)
+    met = F.explode(F.array_compact(F.array(*(F.when(F.col("l_tax") <= s, F.lit(s)) for s in shares))))
+    counts = li.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), met.alias("share")).groupBy("flag", "status", "share").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(counts, ["flag", "status", "share"], "left").select("flag", "status", "share", F.coalesce("n", F.lit(0)).alias("rows"))
 
 
 @query(f"WITH m AS (SELECT algorithm, depth, avg(score) AS mean, stddev_pop(score) AS std FROM {RUNS} r GROUP BY ALL) SELECT algorithm, depth, round(mean, 6) AS mean, round(std, 6) AS std, CAST(row_number() OVER (ORDER BY round(mean, 9) DESC, algorithm, depth) AS INTEGER) AS rank FROM m")
