@@ -4,7 +4,8 @@ The binned table keeps a path column that is a CASE over the tree so far; one gr
 all active nodes, bounded by nodes, features, bins and classes. The driver picks each node's split from them.
 
 Splits: threshold (binary), multiway (interval groups), kmeans (groups of bins of like means), shape: bins regrouped into
-k branches by coordinate descent, wherever they lie, from cuts of the bins sorted by class share or mean, or inner: the
+k branches by coordinate descent, wherever they lie, from cuts of the bins sorted by class share or mean, or the best
+runs of the sorted bins, or inner: the
 leaves of a small tree over the feature's bins mapped to branches. Targets are classes or numbers (variance).
 """
 
@@ -24,7 +25,6 @@ from coppice.plans.trees import Leaf, Split, Tree, below, expression, to_spans
 
 EPS = 1e-12
 
-
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3
@@ -198,6 +198,11 @@ def best_split(bins: np.ndarray, stats: np.ndarray, s: Settings, unit: float, pl
             level = stats[:, 1] / n
             found = min((descend(stats, k, s, o) for o in (np.argsort(level, kind="stable"), np.arange(len(bins)))), key=lambda x: x[0])
             found = min(found, intervals(stats, k, s), key=lambda x: x[0])
+            order = np.argsort(level, kind="stable")  # for two classes or one number no grouping is better than runs of these
+            cost, runs = intervals(stats[order], k, s)
+            own = np.empty(len(stats), int)
+            own[order] = runs
+            found = min(found, (cost, own), key=lambda x: x[0])
         elif s.kind == "kmeans":
             found = by_means(stats, k, s)
         else:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.plans import boosting, levelwise, shapes
+from coppice.plans import boosting, levelwise, shapes, trees
 from coppice.plans.trees import Leaf, Split
 from coppice.queries import BINNED, FEATURES, HIST, binned, query, sql_gini
 
@@ -126,3 +128,49 @@ def leafwise_teacher_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = boosting.fit(df, features, "y", boosting.Settings(trees=3, leaves=8, rate=0.3, bins=32, patience=2), valid="held")
     edges = boosting.teacher_edges(got, df, features, 8)
     return spark.createDataFrame([(f, i, float(e)) for f, es in edges.items() for i, e in enumerate(es)], "feature string, boundary int, edge double")
+
+
+# --- shape trees of two levels: every grouping of the bins into two or three runs of those sorted by share or mean
+
+
+def _shape_level(k: int, rows: str, features: list[str], stats: dict[str, str], order: str, n: Callable, mass: Callable, penalty: str) -> str:
+    """CTEs that part the rows (path, features, target) of every path by its best split into rows{k}."""
+    cells = " UNION ALL ".join(f"SELECT path, '{f}' AS feature, {i} AS place, {f} AS bin, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in stats.items())} FROM {rows} x WHERE {f} IS NOT NULL GROUP BY path, {f}" for i, f in enumerate(features))
+    sums = ", ".join(f"sum({c}) OVER w AS c_{c}, sum({c}) OVER (PARTITION BY path, feature) AS t_{c}" for c in stats)
+    first, second = [f"a.c_{c}" for c in stats], [f"(b.c_{c} - a.c_{c})" for c in stats]
+    after_a, after_b, whole = [f"(a.t_{c} - a.c_{c})" for c in stats], [f"(a.t_{c} - b.c_{c})" for c in stats], [f"a.t_{c}" for c in stats]
+    held = lambda *parts: " AND ".join(f"{n(*p)} >= 20" for p in parts)
+    which = "CASE d.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in features) + " END"
+    return f"""run{k} AS (SELECT *, {sums}, row_number() OVER w AS i FROM ({cells}) x WINDOW w AS (PARTITION BY path, feature ORDER BY {order}, bin)),
+  ways{k} AS (SELECT a.path, a.feature, a.place, 2 AS ways, a.i AS one, NULL AS two, {mass(*first)} + {mass(*after_a)} + {penalty} AS cost, {mass(*whole)} AS own FROM run{k} a WHERE {held(first, after_a)}
+    UNION ALL SELECT a.path, a.feature, a.place, 3, a.i, b.i, {mass(*first)} + {mass(*second)} + {mass(*after_b)} + 2 * {penalty}, {mass(*whole)} FROM run{k} a JOIN run{k} b ON a.path = b.path AND a.feature = b.feature AND a.i < b.i
+    WHERE {held(first, second, after_b)}),
+  best{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cost, place, ways) AS rank FROM ways{k}) x WHERE rank = 1 AND cost < own - 1e-9),
+  rows{k} AS (SELECT r.* EXCLUDE (path), r.path || CASE WHEN d.path IS NULL THEN '' WHEN u.i <= d.one THEN '0' WHEN d.two IS NULL OR u.i <= d.two THEN '1' ELSE '2' END AS path
+    FROM {rows} r LEFT JOIN best{k} d ON r.path = d.path LEFT JOIN run{k} u ON u.path = d.path AND u.feature = d.feature AND u.bin = {which})"""
+
+
+def _two_levels(features: list[str], target: str, stats: dict[str, str], order: str, n: Callable, mass: Callable, penalty: str, loss: str) -> str:
+    levels = ", ".join(_shape_level(k, f"rows{k - 1}", features, stats, order, n, mass, penalty) for k in (1, 2))
+    return f"""WITH rows0 AS (SELECT '' AS path, {", ".join(features)}, {target} FROM {BINNED} b), {levels}
+  SELECT CAST(length(path) AS INTEGER) AS depth, CAST(count(*) AS DOUBLE) AS n_rows, round({loss}, 6) AS loss FROM rows2 GROUP BY path"""
+
+
+def _leaves(spark: SparkSession, tree: trees.Tree) -> DataFrame:
+    rows = [(d, float(sum(t.counts.values())), round(float(t.loss), 6)) for _, _, _, d, t in trees.nodes(tree) if isinstance(t, Leaf)]
+    return spark.createDataFrame(rows, "depth int, n_rows double, loss double")
+
+
+@query(_two_levels(FEATURES, "y", {"n0": "sum(1 - y)", "n1": "sum(y)"}, "n1 / (n0 + n1)", lambda a, b: f"({a} + {b})", sql_gini, f"(SELECT 0.00001 * count(*) FROM {BINNED} b)", "CAST(least(sum(y), sum(1 - y)) AS DOUBLE)"))
+def shape_tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, rows and errors of the leaves of a shape tree of two levels and at most three branches a split."""
+    return _leaves(spark, levelwise.grow(binned(spark, sf_dir), FEATURES, "y", levelwise.Settings(2, "shape", 3, min_child=20, penalty=1e-5)))
+
+
+_SPREAD = "sum(l_quantity * l_quantity) - sum(l_quantity) * sum(l_quantity) / count(*)"
+
+
+@query(_two_levels(["db", "tb"], "l_quantity", {"n": "count(*)", "s": "sum(l_quantity)", "q": "sum(l_quantity * l_quantity)"}, "s / n", lambda n, s, q: n, lambda n, s, q: f"(CASE WHEN {n} > 0 THEN {q} - {s} * {s} / {n} ELSE 0 END)", "0", _SPREAD))
+def shape_regression_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, rows and squared error of the leaves of a shape tree of a number."""
+    return _leaves(spark, levelwise.grow(binned(spark, sf_dir), ["db", "tb"], "l_quantity", levelwise.Settings(2, "shape", 3, criterion="variance", min_child=20)))
