@@ -141,3 +141,20 @@ def test_odd_rows(spark):
         boosting.fit(df.where("y = 'x'"), ["a"], "y")
     with pytest.raises(ValueError, match="classes"):
         boosting.fit(df.where("false"), ["a"], "y")
+
+
+def test_columns_go_by_halving(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for _ in range(300):
+        x = [float(r.randrange(6)) for _ in range(8)]
+        rows.append((*x, int(x[2] > 2) + 2 * int(x[5] > 3)))
+    names = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", y int").coalesce(2).cache()
+    fits, own = [], boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda *a, **k: fits.append(1) or own(*a, **k))
+    kept, share = boosting.eliminate_columns(df, names, "y", boosting.Settings(trees=3, leaves=4, rate=0.5, bins=8))
+    assert kept == ["x2", "x5"]
+    assert share == 1.0
+    assert len(fits) <= 4
+    df.unpersist()
