@@ -32,6 +32,7 @@ class PairSplit:
     features: tuple[str, ...]  # one feature, or two
     groups: list[list[int]]  # bins, or cells a * size_b + b, of each branch
     asked: int  # joint histograms asked for
+    sizes: dict[str, int]  # of the features: those given, or the span of the bins and 0 where that is wider
 
 
 def pair_bound(a: np.ndarray, b: np.ndarray, rows: float, s: Settings) -> float:
@@ -67,48 +68,90 @@ def _refined_bound(a: np.ndarray, b: np.ndarray, rows: float, s: Settings) -> fl
     return float(mass.sum() - saved)
 
 
-def best_pair(df: DataFrame, features: Sequence[str], y: str, sizes: Mapping[str, int], settings: Settings = Settings(1, "inner"), pair_penalty: float = 0.0, batch: int = 4) -> PairSplit | None:
+def cut_of_shares(bins: np.ndarray, stats: np.ndarray, s: Settings) -> tuple[float, list[list[int]]] | None:
+    """(impurity mass, bins of each branch) of the best cut in two of the bins sorted by class share or mean: for two classes
+    or one number no other grouping in two is better. It may lower nothing; of equal cuts the first."""
+    n = rows_of(stats, s.criterion)
+    order = np.argsort(stats[:, min(1, stats.shape[1] - 1)] / np.maximum(n, EPS), kind="stable")
+    low = stats[order].cumsum(0)[:-1]
+    high = stats.sum(0) - low
+    ok = np.minimum(rows_of(low, s.criterion), rows_of(high, s.criterion)) >= max(s.min_child, EPS)
+    if not ok.any():
+        return None
+    cost = np.where(ok, impurity(low, s.criterion) + impurity(high, s.criterion), np.inf)
+    at = int(cost.argmin()) + 1
+    return float(cost[at - 1]), [sorted(bins[order[:at]].tolist()), sorted(bins[order[at:]].tolist())]
+
+
+def best_pair(df: DataFrame, features: Sequence[str], y: str, sizes: Mapping[str, int], settings: Settings = Settings(1, "inner"), pair_penalty: float = 0.0, batch: int = 4, gain: bool = True) -> PairSplit | None:
     """The best split by one feature or the joint cells of two; None if none lowers the impurity.
 
     sizes: the number of bins of each feature. A pair's penalty is a share of all rows. Pairs wait in a queue by their
     bound; ``batch`` joint histograms at a time come from one job, until the next bound is no better than the best split.
     The result is that of all pairs: of equal costs a single feature, then the pair first in the order of features.
     Class targets are told apart up to 10,000; rows without a bin of either feature count for no cell of a pair.
+
+    gain: whether a split, penalties included, and every cut of an inner tree must lower the impurity. If not, all
+    groupings of single bins or cells in two compete (two classes or one number), whatever the kind and depth of trees, and
+    there is a split wherever there are two bins. Penalties are then shares of the rows that have the bins, and that of the branch, which every split in two has, does
+    not decide.
     """
     s = settings
     target = levelwise._target(df, y, s)
+    if not gain and (s.branches != 2 or len(target.classes or ()) > 2):
+        raise ValueError("without a gain there are splits in two only, of two classes or a number")
     got, names = levelwise._histograms(df, None, [""], features, target)
     if not len(got):
         return None
     parts = {f: got[(got["feature"] == f) & got["_bin"].notna()].sort_values("_bin") for f in features}
     own = got[got["feature"] == features[0]][names].to_numpy(float).sum(0)
     rows = float(rows_of(own, s.criterion))
-    best, asked = (float(impurity(own, s.criterion)), -1, (), []), 0
+    first = {f: min(0, int(p["_bin"].min())) if len(p) else 0 for f, p in parts.items()}
+    sizes = {f: max(sizes[f], int(p["_bin"].max()) - first[f] + 1 if len(p) else 0) for f, p in parts.items()}
+
+    def price(part: pd.DataFrame, share: float, places: np.ndarray | None = None) -> tuple[float, float, list[list[int]]] | None:
+        """What decides, cost and groups of the best split by a histogram."""
+        at, stats = part["_bin"].to_numpy(int), part[names].to_numpy(float)
+        if gain:
+            found = best_split(at, stats, s, rows, places)
+            return (found[0] + share * rows, found[0] + share * rows, found[1]) if found else None
+        found, n = cut_of_shares(at, stats, s), float(rows_of(stats, s.criterion).sum())
+        return (found[0] + share * n, found[0] + s.penalty * n + share * n, found[1]) if found else None
+
+    def least(a: str, b: str) -> float:
+        """The penalties that a pair's splits have at least."""
+        if gain:
+            return (s.penalty + pair_penalty) * rows
+        return pair_penalty * max(0.0, sum(float(rows_of(parts[f][names].to_numpy(float), s.criterion).sum()) for f in (a, b)) - rows)
+
+    # bounds are rounded in another order than costs: without a gain, where rounding may decide, pairs as near as that are asked for too
+    margin, near = (EPS, EPS) if gain else (0.0, 1e-9 * rows)
+    best, asked = (float(impurity(own, s.criterion)) if gain else np.inf, -1, 0.0, (), []), 0
     for i, f in enumerate(features):
-        found = best_split(parts[f]["_bin"].to_numpy(int), parts[f][names].to_numpy(float), s, rows)
-        if found and found[0] < best[0] - EPS:
-            best = (found[0], i, (f,), found[1])
-    least = (s.penalty + pair_penalty) * rows
+        found = price(parts[f], 0.0)
+        if found and found[0] < best[0] - margin:
+            best = (found[0], i, found[1], (f,), found[2])
     queue = [
-        (pair_bound(parts[a][names].to_numpy(float), parts[b][names].to_numpy(float), rows, s) + least, k, (a, b))
+        (pair_bound(parts[a][names].to_numpy(float), parts[b][names].to_numpy(float), rows, s) + least(a, b), k, (a, b))
         for k, (a, b) in enumerate(itertools.combinations(features, 2))
     ]
     heapq.heapify(queue)
-    pairs: tuple[float, int, tuple, list] | None = None
-    while queue and queue[0][0] < min(best[0], pairs[0] if pairs else np.inf) + EPS:
+    pairs: tuple[float, int, float, tuple, list] | None = None
+    while queue and queue[0][0] < min(best[0], pairs[0] if pairs else np.inf) + near:
         now = [heapq.heappop(queue)[1:] for _ in range(min(batch, len(queue)))]
         asked += len(now)
-        joint, columns = levelwise.with_pairs(df, [p for _, p in now], dict(sizes))
+        joint, columns = levelwise.with_pairs(df, [p for _, p in now], sizes)
         cells, _ = levelwise._histograms(joint, None, [""], columns, target)
         for (k, p), c in zip(now, columns, strict=True):
             part = cells[(cells["feature"] == c) & cells["_bin"].notna()].sort_values("_bin")
             at = part["_bin"].to_numpy(int)
-            found = best_split(at, part[names].to_numpy(float), s, rows, np.stack([at // sizes[p[1]], at % sizes[p[1]]], 1))
-            if found and (pairs is None or (found[0] + pair_penalty * rows, k) < pairs[:2]):
-                pairs = found[0] + pair_penalty * rows, k, p, found[1]
-    if pairs and pairs[0] < best[0] - EPS:
+            b = (at - first[p[1]]) % sizes[p[1]] + first[p[1]]
+            found = price(part, pair_penalty, np.stack([(at - b) // sizes[p[1]], b], 1))
+            if found and (pairs is None or (found[0], k) < pairs[:2]):
+                pairs = found[0], k, found[1], p, found[2]
+    if pairs and pairs[0] < best[0] - margin:
         best = pairs
-    return PairSplit(best[0], best[2], best[3], asked) if best[2] else None
+    return PairSplit(best[2], best[3], best[4], asked, sizes) if best[3] else None
 
 
 # --- refits of a level

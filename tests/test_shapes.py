@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from coppice import queries
 from coppice.plans import levelwise, shapes, trees
 
 
@@ -105,6 +107,76 @@ def test_best_pair_of_nothing(spark):
     assert shapes.best_pair(df, ["a", "b"], "y", {"a": 1, "b": 1}) is None
 
 
+def line_items(kind):
+    """Quantity, discount, tax and status of rows that the query of pairs has met in no sample table."""
+    r = random.Random(kind)
+    rows = [(r.choice([1.0, 11.0, 21.0]), r.randrange(4), r.randrange(3)) for _ in range(120)]
+    if kind == "no gain":  # a cut lowers the impurity by less than its penalty
+        return [(q, d, 0, "OF"[i % 2]) for d, n in ((0, 400), (1, 404)) for q in (1.0, 11.0) for i in range(n + (d and q == 1.0))]
+    if kind == "no cut of one feature lowers anything":
+        return [(1.0, d, t, "OF"[(d + t) % 2]) for d in range(4) for t in range(4)]
+    if kind == "equal shares":
+        return [(q, d, t, x) for q, d, t in rows for x in "OFF"]
+    if kind == "one status":
+        return [(*x, "F") for x in rows]
+    if kind == "nulls":
+        return [(None if i % 7 == 0 else q, None if i % 5 == 0 else d, t, (None, "O", "F")[(i + d) % 3]) for i, (q, d, t) in enumerate(rows)]
+    if kind == "bins beyond the sizes":
+        return [(-8.0, d, t, "FO"[d == 0 and t > 0]) for d in (0, 1) for t in (-1, 0, 8, 9) for _ in range(5)]
+    return [(1.0, 0, 0, "O"), (1.0, 0, 0, "F")]  # one cell: no split
+
+
+KINDS = ["no gain", "no cut of one feature lowers anything", "equal shares", "one status", "nulls", "bins beyond the sizes", "one cell"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_pair_priority_split_equals_sql_on_odd_rows(spark, tmp_path, kind):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE lineitem (l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_linestatus VARCHAR)")
+    db.executemany("INSERT INTO lineitem VALUES (?, ? / 100.0, ? / 100.0, ?)", line_items(kind))
+    db.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    want = db.execute(queries.SQL["pair_priority_split"]).fetchall()
+    assert len(want) == (kind != "one cell")
+    got = queries.QUERIES["pair_priority_split"](spark, str(tmp_path)).collect()
+    assert [tuple(x) for x in got] == want
+
+
+def test_pair_priority_split_equals_sql_where_penalties_outweigh_all_gains(spark):
+    sf = "/root/testdata/sf0.1"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
+    got = queries.QUERIES["pair_priority_split"](spark, sf).collect()
+    assert [tuple(x) for x in got] == db.execute(queries.SQL["pair_priority_split"]).fetchall()
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy", "variance"])
+def test_best_pair_without_gain_is_that_of_all_groupings(spark, criterion):
+    r = random.Random(criterion)
+    rows = [(r.randrange(3), r.randrange(2), r.randrange(2), r.randrange(2 if criterion != "variance" else 9)) for _ in range(60)]
+    names, sizes = ["a", "b", "c"], {"a": 3, "b": 2, "c": 2}
+    s = levelwise.Settings(1, "inner", 2, penalty=10.0, criterion=criterion)  # the penalty outweighs any split
+    df = frame(spark, rows, [*names, "y"])
+    assert shapes.best_pair(df, names, "y", sizes, s, pair_penalty=0.01) is None
+    got = shapes.best_pair(df, names, "y", sizes, s, pair_penalty=0.01, batch=1, gain=False)
+    mass = lambda ys: float(levelwise.impurity(np.array([len(ys), sum(ys), sum(y * y for y in ys)] if criterion == "variance" else [ys.count(0), ys.count(1)], float), criterion))
+    want = np.inf
+    for k in (1, 2):
+        for at in itertools.combinations(range(3), k):
+            cells = sorted({tuple(x[i] for i in at) for x in rows})
+            for side in itertools.product((0, 1), repeat=len(cells)):
+                if len(set(side)) == 2:
+                    branch = dict(zip(cells, side, strict=True))
+                    parts = [[x[3] for x in rows if branch[tuple(x[i] for i in at)] == g] for g in (0, 1)]
+                    want = min(want, sum(map(mass, parts)) + (10.0 + 0.01 * (k - 1)) * len(rows))
+    assert got.cost == pytest.approx(want)
+
+
+def test_best_pair_without_gain_is_of_two_classes(spark):
+    df = frame(spark, [(0, 0, 0), (1, 0, 1), (0, 1, 2)], ["a", "b", "y"])
+    with pytest.raises(ValueError, match="in two only"):
+        shapes.best_pair(df, ["a", "b"], "y", {"a": 2, "b": 2}, levelwise.Settings(1, "inner", 2), gain=False)
+
+
 @pytest.mark.parametrize("seed", [2])
 def test_levels_refit_as_single_nodes_do(spark, monkeypatch, seed):
     r = random.Random(seed)
